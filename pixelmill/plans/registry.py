@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pixelmill.plans import flagship, q_prepare
+from pixelmill.plans import flagship, q_evaluate, q_prepare
 
 
 def _modules():
-    return [q_prepare]
+    return [q_prepare, q_evaluate]
 
 
 def all_queries() -> dict:
