@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pixelmill.plans import flagship, q_evaluate, q_prepare
+from pixelmill.plans import flagship, q_evaluate, q_models, q_prepare
 
 
 def _modules():
-    return [q_prepare, q_evaluate]
+    return [q_prepare, q_evaluate, q_models]
 
 
 def all_queries() -> dict:
