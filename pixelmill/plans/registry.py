@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pixelmill.plans import flagship, q_evaluate, q_models, q_prepare
+from pixelmill.plans import flagship, q_evaluate, q_images, q_models, q_prepare
 
 
 def _modules():
-    return [q_prepare, q_evaluate, q_models]
+    return [q_prepare, q_evaluate, q_models, q_images]
 
 
 def all_queries() -> dict:
