@@ -103,9 +103,18 @@ def framework_time(comp: DataFrame, a: str = FRAMEWORK_SPARK, b: str = FRAMEWORK
                     F.abs(F.col("avg_a") - F.col("avg_b")).alias("gap")))
 
 
+def fixed2(x: Column) -> Column:
+    """Two-decimal text rounded on the exact binary value (as toFixed(2) and C
+    printf do; ``format_string`` would round the shortest decimal form and turn
+    41.734999... into 41.74). The value is first rounded to 8 decimals so
+    last-bit noise of a sum at an exact tie (e.g. 0.41735) cannot decide the
+    digit. ``format_number`` groups thousands: the commas are dropped."""
+    return F.regexp_replace(F.format_number(F.round(x, 8), 2), ",", "")
+
+
 def percent_text(x: Column) -> Column:
     """0.94985 -> '94.99' (two decimals of the percentage)."""
-    return F.format_string("%.2f", x * 100)
+    return fixed2(x * 100)
 
 
 def metric_text(comp: DataFrame) -> DataFrame:
@@ -117,7 +126,7 @@ def metric_text(comp: DataFrame) -> DataFrame:
         F.concat(percent_text(q("Accuracy")), F.lit("%")).alias("accuracy_text"),
         F.concat(percent_text(q("F1-Score")), F.lit("%")).alias("f1_text"),
         F.concat(percent_text(q("AUC-ROC")), F.lit("%")).alias("auc_text"),
-        F.when(t.isNotNull() & (t != 0), F.format_string("%.2f", t)).otherwise(F.lit("")).alias("time_text"))
+        F.when(t.isNotNull() & (t != 0), fixed2(t)).otherwise(F.lit("")).alias("time_text"))
 
 
 def display_name(name: Column | str) -> Column:
@@ -140,7 +149,7 @@ def insights(comp: DataFrame, position: str = "position",
         F.format_string(INSIGHT_BEST_TEXT, "Model", "Framework", percent_text(F.col("value"))).alias("text"))
     speed = framework_time(comp, a, b).select(
         F.lit(2).alias("rank"), F.lit(INSIGHT_SPEED_TITLE).alias("title"),
-        F.format_string(INSIGHT_SPEED_TEXT, "faster", F.format_string("%.2f", F.col("gap"))).alias("text"))
+        F.format_string(INSIGHT_SPEED_TEXT, "faster", fixed2(F.col("gap"))).alias("text"))
     best_acc = best_by(comp, "Accuracy", position).select(
         F.lit(3).alias("rank"), F.lit(INSIGHT_ACC_TITLE).alias("title"),
         F.format_string(INSIGHT_ACC_TEXT, "Model", percent_text(F.col("value"))).alias("text"))

@@ -96,8 +96,13 @@ def _sql_stacked() -> str:
    GROUP BY sc.model, sc.framework, sc.position, sc.length, e.vec_id, e.label) t)"""
 
 
-def _sql_metrics(src: str, by: list[str]) -> str:
-    """Weighted metrics + AUC for DuckDB, grouped by ``by``."""
+def _sql_metrics(src: str, by: list[str], digits: int | None = 6) -> str:
+    """Weighted metrics + AUC for DuckDB, grouped by ``by`` (rounded to
+    ``digits`` unless None)."""
+
+    def rnd(e: str) -> str:
+        return e if digits is None else f"round({e}, {digits})"
+
     g = ", ".join(by)
     gsel = g + ", " if by else ""
     on = " AND ".join(f"a.{c} = b.{c}" for c in by) or "TRUE"
@@ -120,9 +125,9 @@ d AS (SELECT {gsel}score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FIL
 r AS (SELECT *, coalesce(sum(neg) OVER ({part} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
       FROM d),
 u AS (SELECT {gsel}sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc_roc FROM r GROUP BY ALL)
-SELECT {', '.join('a.' + c for c in by) + ', ' if by else ''}round(a.accuracy, 6) AS accuracy,
-       round(a.precision, 6) AS precision, round(a.recall, 6) AS recall,
-       round(a.f1_score, 6) AS f1_score, round(b.auc_roc, 6) AS auc_roc
+SELECT {', '.join('a.' + c for c in by) + ', ' if by else ''}{rnd('a.accuracy')} AS accuracy,
+       {rnd('a.precision')} AS precision, {rnd('a.recall')} AS recall,
+       {rnd('a.f1_score')} AS f1_score, {rnd('b.auc_roc')} AS auc_roc
 FROM w a JOIN u b ON {on}"""
 
 
@@ -221,7 +226,7 @@ def comparison(spark, sf_dir) -> DataFrame:
 
 def _sql_comparison() -> str:
     return f"""(WITH s AS {_sql_stacked()},
-m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework', 'position', 'length'])}),
+m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework', 'position', 'length'], None)}),
 w AS (SELECT model, framework, count(*) * first(length) / 1000.0 AS training_time FROM s GROUP BY ALL)
 SELECT m.model AS "Model", m.framework AS "Framework", m.position AS position, m.accuracy AS "Accuracy",
        m.f1_score AS "F1-Score", m.auc_roc AS "AUC-ROC", w.training_time AS "Training Time"
@@ -287,12 +292,12 @@ t AS (SELECT avg("Training Time") FILTER (WHERE "Framework" = 'Spark MLlib') AS
              count(*) FILTER (WHERE "Framework" = 'Spark MLlib') AS na,
              count(*) FILTER (WHERE "Framework" = 'scikit-learn') AS nb FROM c)
 SELECT 1 AS rank, 'Meilleur Modèle' AS title,
-       printf('%s (%s) avec un F1-Score de %.2f%%', "Model", "Framework", "F1-Score" * 100) AS text FROM b
+       printf('%s (%s) avec un F1-Score de %.2f%%', "Model", "Framework", round("F1-Score" * 100, 8)) AS text FROM b
 UNION ALL
 SELECT 2, 'Performance', printf('%s est plus rapide de %.2f secondes en moyenne',
-       CASE WHEN ta < tb THEN 'Spark MLlib' ELSE 'scikit-learn' END, abs(ta - tb)) FROM t WHERE na > 0 AND nb > 0
+       CASE WHEN ta < tb THEN 'Spark MLlib' ELSE 'scikit-learn' END, round(abs(ta - tb), 8)) FROM t WHERE na > 0 AND nb > 0
 UNION ALL
-SELECT 3, 'Meilleure Précision', printf('%s atteint %.2f%% d''accuracy', "Model", "Accuracy" * 100) FROM a
+SELECT 3, 'Meilleure Précision', printf('%s atteint %.2f%% d''accuracy', "Model", round("Accuracy" * 100, 8)) FROM a
 """)
 def q_insights(spark, sf_dir):
     return C.insights(comparison(spark, sf_dir))
@@ -300,9 +305,9 @@ def q_insights(spark, sf_dir):
 
 @register("metric_text", f"""
 WITH c AS {_sql_comparison()}
-SELECT "Model", "Framework", printf('%.2f%%', "Accuracy" * 100) AS accuracy_text,
-       printf('%.2f%%', "F1-Score" * 100) AS f1_text, printf('%.2f%%', "AUC-ROC" * 100) AS auc_text,
-       CASE WHEN "Training Time" IS NOT NULL AND "Training Time" <> 0 THEN printf('%.2f', "Training Time")
+SELECT "Model", "Framework", printf('%.2f%%', round("Accuracy" * 100, 8)) AS accuracy_text,
+       printf('%.2f%%', round("F1-Score" * 100, 8)) AS f1_text, printf('%.2f%%', round("AUC-ROC" * 100, 8)) AS auc_text,
+       CASE WHEN "Training Time" IS NOT NULL AND "Training Time" <> 0 THEN printf('%.2f', round("Training Time", 8))
             ELSE '' END AS time_text
 FROM c
 """)
