@@ -82,15 +82,20 @@ QUERIES["rf_cv"] = _cv_query("rf")
 QUERIES["svm_cv"] = _cv_query("svm")
 
 
-@register("balanced_grid")
-def q_balanced_grid(spark, sf_dir):
-    """The single-machine grids re-aimed at MLlib (balanced weights)."""
-    prepared = Tr.prepare(Tr.labelled_vectors(spark, sf_dir))
-    rows = None
-    for which in ("lr", "rf", "svm"):
-        _, m = Tr.run_twin_grid(prepared, which)
-        rows = m if rows is None else rows.unionByName(m)
-    return rows
+def _twin_query(which: str):
+    def run(spark, sf_dir):
+        """A single-machine grid re-aimed at MLlib (train + val merged,
+        balanced class weights)."""
+        prepared = Tr.prepare(Tr.labelled_vectors(spark, sf_dir))
+        fit, metrics = Tr.run_twin_grid(prepared, which)
+        return metrics.withColumn("n_fits", F.lit(fit.n_fits))
+    run.__name__ = f"q_twin_{which}_cv"
+    return run
+
+
+QUERIES["twin_lr_cv"] = _twin_query("lr")
+QUERIES["twin_rf_cv"] = _twin_query("rf")
+QUERIES["twin_svm_cv"] = _twin_query("svm")
 
 
 # --- R1, R3, S9, S10: scoring with saved models ------------------------------------------

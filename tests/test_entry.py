@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from pixelmill.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
-FAST_SKIP = {"lr_cv", "rf_cv", "svm_cv", "balanced_grid"}
+FAST_SKIP = {"lr_cv", "rf_cv", "svm_cv", "twin_lr_cv", "twin_rf_cv", "twin_svm_cv"}
 
 
 def test_entry_runs(spark):
