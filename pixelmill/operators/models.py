@@ -61,34 +61,37 @@ def _grid(stage, spec: dict):
     return b.build()
 
 
-def lr_pipeline(features: str = "features", label: str = "label", weight: str | None = None):
+def lr_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
+                pre: list | tuple = ()):
     """Scale (std only) + elastic-net logistic regression, 100 iterations."""
     sc = StandardScaler(inputCol=features, outputCol="scaledFeatures")
     lr = LogisticRegression(featuresCol="scaledFeatures", labelCol=label, maxIter=100,
                             regParam=0.01, elasticNetParam=0.5)
     if weight:
         lr.setWeightCol(weight)
-    return Pipeline(stages=[sc, lr]), lr
+    return Pipeline(stages=[*pre, sc, lr]), lr
 
 
-def rf_pipeline(features: str = "features", label: str = "label", weight: str | None = None):
+def rf_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
+                pre: list | tuple = ()):
     """Scale + random forest, 50 trees, depth 7, seed 42."""
     sc = StandardScaler(inputCol=features, outputCol="scaledFeatures")
     rf = RandomForestClassifier(featuresCol="scaledFeatures", labelCol=label, numTrees=50,
                                 maxDepth=7, seed=SEED)
     if weight:
         rf.setWeightCol(weight)
-    return Pipeline(stages=[sc, rf]), rf
+    return Pipeline(stages=[*pre, sc, rf]), rf
 
 
-def svm_pipeline(features: str = "features", label: str = "label", weight: str | None = None):
+def svm_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
+                pre: list | tuple = ()):
     """Centre + scale, then a linear SVM on the scaled features."""
     sc = StandardScaler(inputCol=features, outputCol="scaledFeatures", withMean=True, withStd=True)
     svm = LinearSVC(featuresCol="scaledFeatures", labelCol=label, maxIter=50, regParam=0.3,
                     tol=1e-4, aggregationDepth=2, standardization=False)
     if weight:
         svm.setWeightCol(weight)
-    return Pipeline(stages=[sc, svm]), svm
+    return Pipeline(stages=[*pre, sc, svm]), svm
 
 
 def auc_evaluator(label: str = "label") -> BinaryClassificationEvaluator:
@@ -138,18 +141,18 @@ def cross_validate(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
                      extra={"best_params": params[best]})
 
 
-def fit_lr(train: DataFrame, **kw) -> FitResult:
-    pipe, lr = lr_pipeline()
+def fit_lr(train: DataFrame, pre=(), **kw) -> FitResult:
+    pipe, lr = lr_pipeline(pre=pre)
     return cross_validate("Logistic Regression", pipe, _grid(lr, LR_GRID), train, **kw)
 
 
-def fit_rf(train: DataFrame, **kw) -> FitResult:
-    pipe, rf = rf_pipeline()
+def fit_rf(train: DataFrame, pre=(), **kw) -> FitResult:
+    pipe, rf = rf_pipeline(pre=pre)
     return cross_validate("Random Forest", pipe, _grid(rf, RF_GRID), train, **kw)
 
 
-def fit_svm(train: DataFrame, **kw) -> FitResult:
-    pipe, svm = svm_pipeline()
+def fit_svm(train: DataFrame, pre=(), **kw) -> FitResult:
+    pipe, svm = svm_pipeline(pre=pre)
     return cross_validate("Linear SVM", pipe, _grid(svm, SVM_GRID), train, **kw)
 
 
@@ -166,17 +169,17 @@ def twin_reg_param(c: float, n: int) -> float:
     return 1.0 / (c * n)
 
 
-def fit_twin_lr(train: DataFrame, n: int, weight: str = "class_weight", **kw) -> FitResult:
-    pipe, lr = lr_pipeline(weight=weight)
+def fit_twin_lr(train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
+    pipe, lr = lr_pipeline(weight=weight, pre=pre)
     lr.setElasticNetParam(0.0).setMaxIter(1000)
     grid = ParamGridBuilder().addGrid(lr.regParam, [twin_reg_param(c, n) for c in TWIN_LR_C]).build()
     return cross_validate("Logistic Regression", pipe, grid, train, **kw)
 
 
-def fit_twin_rf(train: DataFrame, weight: str = "class_weight", **kw) -> FitResult:
+def fit_twin_rf(train: DataFrame, weight: str = "class_weight", pre=(), **kw) -> FitResult:
     """min_samples_split s has no MLlib twin; minInstancesPerNode = s // 2 is
     the nearest rule (a split needs two children of at least that size)."""
-    pipe, rf = rf_pipeline(weight=weight)
+    pipe, rf = rf_pipeline(weight=weight, pre=pre)
     depths = [MAX_TREE_DEPTH if d is None else d for d in TWIN_RF_GRID["maxDepth"]]
     grid = (ParamGridBuilder().addGrid(rf.numTrees, TWIN_RF_GRID["numTrees"])
             .addGrid(rf.maxDepth, depths)
@@ -185,9 +188,9 @@ def fit_twin_rf(train: DataFrame, weight: str = "class_weight", **kw) -> FitResu
     return cross_validate("Random Forest", pipe, grid, train, **kw)
 
 
-def fit_twin_svm(train: DataFrame, n: int, weight: str = "class_weight", **kw) -> FitResult:
+def fit_twin_svm(train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
     """Linear part of the kernel-SVM grid (no distributed RBF solver in MLlib)."""
-    pipe, svm = svm_pipeline(weight=weight)
+    pipe, svm = svm_pipeline(weight=weight, pre=pre)
     svm.setMaxIter(100)
     grid = ParamGridBuilder().addGrid(svm.regParam, [twin_reg_param(c, n) for c in TWIN_SVM_C]).build()
     return cross_validate("SVM", pipe, grid, train, **kw)

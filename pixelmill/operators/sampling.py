@@ -18,6 +18,20 @@ from pyspark.sql import functions as F
 from pixelmill.functions.hashing import hash_uniform
 
 
+MAX_GROUPS = 10_000
+
+
+def bounded_table(df: DataFrame, max_rows: int = MAX_GROUPS) -> DataFrame:
+    """Compute a small per-class / per-group table once and return it as a
+    local relation, so that later branches broadcast it instead of re-running
+    the aggregation (and re-scanning the input) each time. The row bound is
+    checked: a table over ``max_rows`` is an error, never a silent broadcast."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} groups, found more")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 # --- B3 / A2 -----------------------------------------------------------------
 
 def split_thresholds(weights) -> list[float]:
@@ -82,10 +96,10 @@ def balance_targets(df: DataFrame, label: str = "label", factor: float = 2.0) ->
 def class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
     """B4: 'balanced' weights n / (k * n_c) attached to every row."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.partitionBy()
-    weights = counts.select(
+    w = Window.partitionBy()  # over the per-class table: one row per class
+    weights = bounded_table(counts.select(
         label,
-        (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
+        (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out)))
     return df.join(F.broadcast(weights), on=label, how="inner")
 
 
@@ -103,23 +117,23 @@ def smallest_per_group(df: DataFrame, group: str, order: str, ties: list[str],
     ``k`` is one row per group: (group, k_col)."""
     b = df.withColumn("_bucket", F.floor(F.col(order) * F.lit(buckets)).cast("int"))
     per_bucket = b.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.partitionBy(group).orderBy("_bucket")
-    cum = (per_bucket
-           .withColumn("_upto", F.sum("_cnt").over(wb.rowsBetween(Window.unboundedPreceding, 0)))
-           .withColumn("_before", F.col("_upto") - F.col("_cnt")))
+    wb = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     kk = k.select(group, F.col(k_col).cast("long").alias("_k"))
-    # boundary bucket: the one where the running count first reaches k
-    cut = (cum.join(F.broadcast(kk), group)
-           .where((F.col("_before") < F.col("_k")) & (F.col("_upto") >= F.col("_k")))
-           .select(group, F.col("_bucket").alias("_cut"), (F.col("_k") - F.col("_before")).alias("_need")))
-    # groups whose k covers every row have no boundary bucket: keep them whole
-    totals = cum.groupBy(group).agg(F.max("_upto").alias("_total"))
-    whole = (totals.join(F.broadcast(kk), group)
-             .where(F.col("_k") >= F.col("_total")).select(group, F.lit(True).alias("_all")))
-    tagged = (b.join(F.broadcast(cut), group, "left")
-              .join(F.broadcast(whole), group, "left"))
-    keep_low = tagged.where(F.col("_all").isNotNull() | (F.col("_bucket") < F.col("_cut")))
-    edge = tagged.where(F.col("_all").isNull() & (F.col("_bucket") == F.col("_cut")))
+    cum = (per_bucket.withColumn("_upto", F.sum("_cnt").over(wb))
+           .withColumn("_before", F.col("_upto") - F.col("_cnt"))
+           .join(F.broadcast(kk), group))
+    # per group: total rows and the boundary bucket (where the running count
+    # first reaches k) with the number of rows still needed from it
+    reach = F.when(F.col("_upto") >= F.col("_k"), F.col("_bucket"))
+    plan = bounded_table(cum.groupBy(group).agg(
+        F.max("_upto").alias("_total"), F.first("_k").alias("_k"),
+        F.min_by(F.struct(F.col("_bucket").alias("b"), (F.col("_k") - F.col("_before")).alias("need")), reach)
+        .alias("_edge")))
+    plan = plan.select(group, (F.col("_k") >= F.col("_total")).alias("_all"),
+                       F.col("_edge.b").alias("_cut"), F.col("_edge.need").alias("_need"))
+    tagged = b.join(F.broadcast(plan), group)
+    keep_low = tagged.where(F.col("_all") | (F.col("_bucket") < F.col("_cut")))
+    edge = tagged.where(~F.col("_all") & (F.col("_bucket") == F.col("_cut")))
     wr = Window.partitionBy(group).orderBy(F.col(order), *[F.col(t) for t in ties])
     edge_kept = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= F.col("_need")).drop("_r")
     cols = df.columns
@@ -156,7 +170,7 @@ def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: flo
     Each row gets Poisson(target / n_c) copies from its own hash draw, exploded
     locally; the cap keeps the copies with the smallest order hash per class
     (exact, see :func:`smallest_per_group`). Output adds ``copy`` (1-based)."""
-    targets = balance_targets(df, label, factor)
+    targets = bounded_table(balance_targets(df, label, factor))
     params = F.broadcast(targets.select(label, "target", "fraction"))
     drawn = (df.join(params, label)
              .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction")))
@@ -173,9 +187,9 @@ def exact_balance(df: DataFrame, key: str, label: str = "label", factor: float =
                   seed: int = 42) -> DataFrame:
     """B2: exactly ``target`` rows per class: every row ``target // n_c`` times,
     plus the ``target % n_c`` rows with the smallest hash once more."""
-    targets = (balance_targets(df, label, factor)
-               .withColumn("whole", (F.col("target") / F.col("n")).cast("long"))
-               .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
+    targets = bounded_table(balance_targets(df, label, factor)
+                            .withColumn("whole", (F.col("target") / F.col("n")).cast("long"))
+                            .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
     p = F.broadcast(targets.select(label, "whole", "rest"))
     base = df.join(p, label)
     whole = (base.where(F.col("whole") > 0)

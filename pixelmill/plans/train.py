@@ -60,26 +60,59 @@ def test_metrics(result: Mo.FitResult, test: DataFrame, label: str = "label") ->
                     "auc_roc", F.lit(float(result.training_time)).alias("training_time"))
 
 
-def run_spark_grid(prepared: DataFrame, which: str, parallelism: int | None = None):
-    """Fit one of the original MLlib grids; returns (FitResult, metrics row)."""
+def run_spark_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
+    """Fit one of the original MLlib grids; returns (FitResult, metrics row).
+    ``pre`` stages (e.g. a VectorAssembler) become part of the saved model."""
     train = prepared.where(F.col("split") == "train")
     test = prepared.where(F.col("split") == "test")
     val = prepared.where(F.col("split") == "val")
     fit = {"lr": Mo.fit_lr, "rf": Mo.fit_rf, "svm": Mo.fit_svm}[which](
-        train, fold_col="fold", parallelism=parallelism)
+        train, pre=pre, fold_col="fold", parallelism=parallelism)
     fit.extra["val_auc"] = Mo.validation_auc(fit, val)
     return fit, test_metrics(fit, test)
 
 
-def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None):
-    """Train + val merged, balanced class weights, re-aimed grids."""
-    pool = prepared.where(F.col("split").isin("train", "val"))
+def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
+    """Train + val merged (S12 stack), balanced class weights, re-aimed grids."""
+    pool = B.union_all(prepared.where(F.col("split") == "train"), prepared.where(F.col("split") == "val"))
     pool = B.class_weights(pool, "label")
     test = prepared.where(F.col("split") == "test")
     if which == "rf":
-        fit = Mo.fit_twin_rf(pool, fold_col="fold", parallelism=parallelism)
+        fit = Mo.fit_twin_rf(pool, pre=pre, fold_col="fold", parallelism=parallelism)
     else:
         n = pool.count()  # one scalar: sets regParam = 1 / (C * n)
         fn = Mo.fit_twin_lr if which == "lr" else Mo.fit_twin_svm
-        fit = fn(pool, n, fold_col="fold", parallelism=parallelism)
+        fit = fn(pool, n, pre=pre, fold_col="fold", parallelism=parallelism)
     return fit, test_metrics(fit, test)
+
+
+def report(prepared: DataFrame, out_dir: str, feature_cols: list[str] | None = None,
+           twin: bool = True, parallelism: int | None = None):
+    """Entry point B end to end: the three original grids (+ optionally the
+    three re-aimed single-machine grids), saved models (S9), metric CSVs (S7)
+    and the comparison table (P8 + W3). Returns (spark rows, twin rows,
+    comparison) as DataFrames."""
+    from pixelmill.operators import compare as C
+    from pixelmill.operators.features import assembler
+    from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN
+    from pixelmill.sources.tables import write_metrics_csv
+
+    pre = [assembler(feature_cols, "features", "skip")] if feature_cols else []
+    names = {"lr": "logistic_regression", "rf": "random_forest", "svm": "svm"}
+    spark_rows, twin_rows = [], []
+    for which in ("lr", "rf", "svm"):
+        fit, m = run_spark_grid(prepared, which, parallelism, pre)
+        Mo.save_model(fit.model, out_dir, names[which])
+        spark_rows.append(m)
+        if twin:
+            _, tm = run_twin_grid(prepared, which, parallelism, pre)
+            twin_rows.append(tm)
+    spark_df = B.union_all(*spark_rows)
+    write_metrics_csv(spark_df, f"{out_dir.rstrip('/')}/spark_results")
+    parts = [C.to_comparison(spark_df, FRAMEWORK_SPARK)]
+    twin_df = None
+    if twin_rows:
+        twin_df = B.union_all(*twin_rows)
+        write_metrics_csv(twin_df, f"{out_dir.rstrip('/')}/sklearn_results")
+        parts.append(C.to_comparison(twin_df, FRAMEWORK_TWIN))
+    return spark_df, twin_df, C.union_frameworks(parts)

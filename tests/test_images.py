@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelmill.functions import image_kernels as K
 from pixelmill.operators import images as I
@@ -92,3 +93,36 @@ def test_images_from_arrays_roundtrip(spark):
     assert img.shape == (8, 8, 3)
     b = np.floor((np.array(vals[0]) + 0.5) * 256).clip(0, 255)
     assert (img[:, :, 2].ravel() == b).all()  # channel 0 (B) lands last after BGR -> RGB
+
+
+def test_prepare_and_train_end_to_end(spark, image_store, tmp_path):
+    """Entry points A and B on image files: features, split, balance, three
+    grids, saved models, metric CSVs read back (S7/S8), comparison, insights."""
+    from pixelmill.operators import compare as C
+    from pixelmill.operators.models import load_models
+    from pixelmill.plans import prepare as P
+    from pixelmill.plans import train as Tr
+    from pixelmill.schemas import MODEL_NAMES
+    from pixelmill.sources.tables import read_metrics_csv
+
+    root, labels_csv, _ = image_store
+    prep = P.prepare_images(spark, root, labels_csv, str(tmp_path / "prep"), balance="none")
+    assert prep.table.select("id_code").distinct().count() == 4
+    assert sorted(r["id_code"] for r in prep.unmatched_labels.collect()) == ["bad", "orphan_label"]
+    # four images are too few to train on: replicate them under new ids
+    big = prep.table.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    big = big.withColumn("id_code", F.concat_ws("-", "id_code", "rep")).drop("rep", "split", "fold", "copy")
+    from pixelmill.operators import sampling as B
+    from pixelmill.operators.models import fold_column
+    big = B.hash_split(big, "id_code").withColumn("fold", fold_column("id_code"))
+    out = str(tmp_path / "models")
+    spark_df, twin_df, comp = Tr.report(big, out, P.feature_columns(), twin=False)
+    assert spark_df.count() == 3 and twin_df is None
+    back = read_metrics_csv(spark, out + "/spark_results")
+    assert back.count() == 3
+    assert read_metrics_csv(spark, out + "/missing").count() == 0
+    models, cat = load_models(spark, out, MODEL_NAMES)
+    assert cat.count() == 3
+    scored = models["random_forest"].transform(prep.table)
+    assert scored.count() == prep.table.count()
+    assert C.insights(comp.withColumn("position", F.monotonically_increasing_id())).count() == 2
