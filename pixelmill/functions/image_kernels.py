@@ -56,6 +56,17 @@ def resize_bilinear(img: np.ndarray, out_h: int = IMAGE_SIDE, out_w: int = IMAGE
         return img
     y0, y1, wy = _axis_weights(h, out_h)
     x0, x1, wx = _axis_weights(w, out_w)
+    if h * w <= out_h * out_w:
+        # small source: the two interpolation passes as dense matrix products
+        my = np.zeros((out_h, h))
+        np.add.at(my, (np.arange(out_h), y0), 1 - wy)
+        np.add.at(my, (np.arange(out_h), y1), wy)
+        mx = np.zeros((out_w, w))
+        np.add.at(mx, (np.arange(out_w), x0), 1 - wx)
+        np.add.at(mx, (np.arange(out_w), x1), wx)
+        rows = np.tensordot(my, img.astype(np.float64), axes=(1, 0))       # (out_h, w, c)
+        out = np.tensordot(rows, mx, axes=(1, 1)).transpose(0, 2, 1)        # (out_h, out_w, c)
+        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
     src = img.astype(np.float32)
     rows = src[y0] * (1 - wy)[:, None, None].astype(np.float32) + src[y1] * wy[:, None, None].astype(np.float32)
     out = rows[:, x0] * (1 - wx)[None, :, None].astype(np.float32) + rows[:, x1] * wx[None, :, None].astype(np.float32)
@@ -106,6 +117,26 @@ def channel_stats(x: np.ndarray) -> tuple[float, float, float]:
     return float(mean), float(np.sqrt(m2)), float(skew)
 
 
+_LEVELS = np.arange(256, dtype=np.float64)
+
+
+def level_stats(counts: np.ndarray) -> tuple[float, float, float]:
+    """channel_stats of an 8-bit channel from its 256-level histogram: the
+    same sums, grouped by level (one pass of bincount instead of three float
+    passes over every pixel)."""
+    n = counts.sum()
+    mean = counts @ _LEVELS / n
+    d = _LEVELS - mean
+    m2 = counts @ (d * d) / n
+    m3 = counts @ (d * d * d) / n
+    skew = 0.0 if m2 <= (_RES * mean) ** 2 else m3 / m2 ** 1.5
+    return float(mean), float(np.sqrt(m2)), float(skew)
+
+
+def level_counts(channel: np.ndarray) -> np.ndarray:
+    return np.bincount(channel.ravel(), minlength=256).astype(np.float64)
+
+
 # --- I7 / I9: histogram and entropy ----------------------------------------------------------
 
 def histogram(gray: np.ndarray, bins: int = HIST_BINS, rng=HIST_RANGE) -> np.ndarray:
@@ -216,15 +247,18 @@ def image_features(rgb: np.ndarray) -> list[float]:
     img = resize_bilinear(rgb)
     out: list[float] = []
     for i in range(3):
-        out += channel_stats(img[:, :, i])
+        out += level_stats(level_counts(img[:, :, i]))
     hsv = rgb_to_hsv(img)
     for i in range(3):
-        out += channel_stats(hsv[:, :, i])
+        out += level_stats(level_counts(hsv[:, :, i]))
     gray = rgb_to_gray(img)
-    hist = histogram(gray)
+    gc = level_counts(gray)
+    # 10 equal bins over [0, 256]: integer level v falls in bin floor(v * 10 / 256)
+    hist = np.bincount((np.arange(256) * HIST_BINS) // 256, weights=gc, minlength=HIST_BINS) / gc.sum()
     out += [float(v) for v in hist]
-    g = gray.astype(np.float64)
-    out += [float(g.std()), float(g.mean()), float(g.min()), float(g.max())]
+    mean, std, _ = level_stats(gc)
+    present = np.nonzero(gc)[0]
+    out += [std, mean, float(present[0]), float(present[-1])]
     out.append(entropy(hist))
     out += [float(v) for v in log_scale(hu_moments(gray))]
     edges = canny(gray)

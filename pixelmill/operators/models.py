@@ -125,14 +125,18 @@ def cross_validate(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
 
     t0 = time.perf_counter()
     try:
-        with ThreadPoolExecutor(max_workers=width) as pool:
+        # When the fold fits leave idle slots (small grids), every grid point is
+        # also refitted on all rows right away; the winner's refit is kept.
+        eager = len(tasks) + len(grid) <= max(width, 8)
+        with ThreadPoolExecutor(max_workers=width + (len(grid) if eager else 0)) as pool:
+            refits = [pool.submit(pipeline.fit, data, pm) for pm in grid] if eager else None
             scores = list(pool.map(run, tasks))
-        sums = [0.0] * len(grid)
-        for i, auc in scores:
-            sums[i] += auc
-        avg = [x / folds for x in sums]
-        best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
-        model = pipeline.fit(data, grid[best])
+            sums = [0.0] * len(grid)
+            for i, auc in scores:
+                sums[i] += auc
+            avg = [x / folds for x in sums]
+            best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
+            model = refits[best].result() if eager else pipeline.fit(data, grid[best])
     finally:
         data.unpersist()
     elapsed = time.perf_counter() - t0

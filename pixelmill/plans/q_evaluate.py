@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import compare as C
 from pixelmill.operators import metrics as E
+from pixelmill.operators.sampling import bounded_table
 from pixelmill.plans.common import rounded, severity_frame
 from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN, MODEL_NAMES
 from pixelmill.sources.tables import table
@@ -220,8 +221,10 @@ def comparison(spark, sf_dir) -> DataFrame:
     The fixed scorers have no fitting step; their time column holds a
     deterministic work measure so the reports below are reproducible."""
     ev = evaluated(spark, sf_dir)
-    return C.union_frameworks([C.to_comparison(C.framework_rows(ev, fw, "framework"), fw, keep=["position"])
+    comp = C.union_frameworks([C.to_comparison(C.framework_rows(ev, fw, "framework"), fw, keep=["position"])
                                for fw in FRAMEWORKS])
+    # one row per (model, framework): computed once, reused by every report
+    return bounded_table(comp)
 
 
 def _sql_comparison() -> str:

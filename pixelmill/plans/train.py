@@ -32,8 +32,9 @@ def labelled_vectors(spark, sf_dir: str) -> DataFrame:
 
 
 def prepare(df: DataFrame, key: str = "vec_id", label: str = "label", factor: float = 2.0,
-            balance: bool = True) -> DataFrame:
-    """Split -> balance train only -> fold ids -> one Parquet table by split."""
+            balance: bool = True, path: str | None = None) -> DataFrame:
+    """Split -> balance train only -> fold ids -> one Parquet table by split
+    (written to ``path``, default a fresh folder under the shared folder)."""
     spark = df.sparkSession
     split = B.hash_split(df, key, SEED)
     train = split.where(F.col("split") == "train")
@@ -43,7 +44,7 @@ def prepare(df: DataFrame, key: str = "vec_id", label: str = "label", factor: fl
     else:
         train = train.withColumn("copy", F.lit(1))
     out = train.unionByName(rest).withColumn("fold", Mo.fold_column(key))
-    path = scratch_path(spark, "prepared")
+    path = path or scratch_path(spark, "prepared")
     write_parquet(out, path, partition_by=["split"])
     return spark.read.parquet(path)
 
