@@ -106,7 +106,7 @@ def extract_features(df: DataFrame, keys: list[str], image_col: str = "image",
     # fewer partitions than there are task slots (e.g. one Parquet row group of
     # many images), spread the rows by key first.
     slots = spark.sparkContext.defaultParallelism
-    if flat.rdd.getNumPartitions() < slots:
+    if not flat.isStreaming and flat.rdd.getNumPartitions() < slots:
         flat = flat.repartition(slots, *keys)
     schema = T.StructType([df.schema[k] for k in keys] +
                           [T.StructField(n, T.DoubleType()) for n in FEATURE_NAMES])

@@ -60,6 +60,16 @@ def hash_split(df: DataFrame, key: str, seed=42,
     return df.withColumn(out, expr)
 
 
+def random_split_two_stage(df: DataFrame, seed: int = 42, weights=(0.7, 0.1, 0.2)):
+    """The original's split, kept for comparison: ``randomSplit`` into
+    (train + val, test), then train + val into (train, val). Row placement
+    depends on partitioning and row order; prefer :func:`hash_split`."""
+    tr, va, te = weights
+    train_val, test = df.randomSplit([tr + va, te], seed=seed)
+    train, val = train_val.randomSplit([tr / (tr + va), 1 - tr / (tr + va)], seed=seed)
+    return train, val, test
+
+
 def split_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """A2: rows per (split, class) in one aggregation instead of one job each."""
     return df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))

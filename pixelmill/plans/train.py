@@ -32,10 +32,23 @@ def labelled_vectors(spark, sf_dir: str) -> DataFrame:
 
 
 def prepare(df: DataFrame, key: str = "vec_id", label: str = "label", factor: float = 2.0,
-            balance: bool = True, path: str | None = None) -> DataFrame:
+            balance: bool = True, path: str | None = None, leaky: bool = False) -> DataFrame:
     """Split -> balance train only -> fold ids -> one Parquet table by split
-    (written to ``path``, default a fresh folder under the shared folder)."""
+    (written to ``path``, default a fresh folder under the shared folder).
+
+    ``leaky=True`` reproduces the original order for comparison only: every
+    class is oversampled first and each *copy* is split on its own, so copies
+    of one row reach train, validation and test alike."""
     spark = df.sparkSession
+    if leaky:
+        bal = B.exact_balance(df, key, label, factor, SEED)
+        out = (B.hash_split(bal.withColumn("_copy_key", F.concat_ws(":", F.col(key).cast("string"),
+                                                                      F.col("copy").cast("string"))),
+                            "_copy_key", SEED)
+               .drop("_copy_key").withColumn("fold", Mo.fold_column(key)))
+        path = path or scratch_path(spark, "prepared-leaky")
+        write_parquet(out, path, partition_by=["split"])
+        return spark.read.parquet(path)
     split = B.hash_split(df, key, SEED)
     train = split.where(F.col("split") == "train")
     rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1))

@@ -70,3 +70,20 @@ def test_class_weights_balanced(spark):
     w = {r["label"]: r["class_weight"] for r in B.class_weights(df, "label").select("label", "class_weight").distinct().collect()}
     n = 345
     assert abs(w[0] - n / (2 * 300)) < 1e-12 and abs(w[1] - n / (2 * 45)) < 1e-12
+
+
+def test_two_stage_random_split_partitions_rows(spark):
+    df = _labelled(spark)
+    tr, va, te = B.random_split_two_stage(df)
+    ids = [r["id"] for d in (tr, va, te) for r in d.select("id").collect()]
+    assert sorted(ids) == sorted(r["id"] for r in df.select("id").collect())
+
+
+def test_leaky_order_spreads_copies(spark):
+    from pixelmill.plans import train as Tr
+    df = _labelled(spark)
+    leaky = Tr.prepare(df, key="id", label="label", leaky=True)
+    spread = leaky.groupBy("id").agg(F.countDistinct("split").alias("k")).where("k > 1").count()
+    clean = Tr.prepare(df, key="id", label="label")
+    assert spread > 0
+    assert clean.groupBy("id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
