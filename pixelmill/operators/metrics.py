@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators.sampling import bounded_table
 from pixelmill.schemas import DIAGNOSIS_NEGATIVE, DIAGNOSIS_POSITIVE
+from pixelmill.session import shared_dir
 
 
 def _safe_div(a: Column, b: Column, default=0.0) -> Column:
@@ -23,10 +25,15 @@ def _safe_div(a: Column, b: Column, default=0.0) -> Column:
 
 def confusion_long(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                    by: list[str] | tuple = ()) -> DataFrame:
-    """(by..., label, prediction, n) with label/prediction as doubles."""
-    return (pred.groupBy(*by, F.col(label).cast("double").alias("label"),
-                         F.col(prediction).cast("double").alias("prediction"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    """(by..., label, prediction, n) with label/prediction as doubles.
+
+    One scan of the predictions; the result (groups x classes^2 rows, size
+    checked) is materialised so every per-class metric below reuses it instead
+    of re-reading the predictions."""
+    counts = (pred.groupBy(*by, F.col(label).cast("double").alias("label"),
+                           F.col(prediction).cast("double").alias("prediction"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    return bounded_table(counts)
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -38,15 +45,19 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def per_class(conf: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
-    """Per (by..., class): support, predicted, tp, precision, recall, f1."""
+    """Per (by..., class): support, predicted, tp, precision, recall, f1.
+
+    Each confusion cell counts once as support of its true class and once as
+    a prediction of its predicted class: one aggregation, no joins."""
     by = list(by)
-    support = conf.groupBy(*by, F.col("label").alias("class")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(*by, F.col("prediction").alias("class")).agg(F.sum("n").alias("predicted"))
-    tp = (conf.where(F.col("label") == F.col("prediction"))
-          .groupBy(*by, F.col("label").alias("class")).agg(F.sum("n").alias("tp")))
-    keys = by + ["class"]
-    out = (support.join(predicted, keys, "full").join(tp, keys, "left")
-           .na.fill(0, ["support", "predicted", "tp"]))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+    roles = conf.select(*by, F.explode(F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("s"), F.lit(0).cast("long").alias("p"),
+                 hit.cast("long").alias("t")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("s"), F.col("n").alias("p"),
+                 F.lit(0).cast("long").alias("t")))).alias("_r"))
+    out = roles.groupBy(*by, F.col("_r.class").alias("class")).agg(
+        F.sum("_r.s").alias("support"), F.sum("_r.p").alias("predicted"), F.sum("_r.t").alias("tp"))
     prec = _safe_div(F.col("tp"), F.col("predicted"))
     rec = _safe_div(F.col("tp"), F.col("support"))
     out = out.withColumn("precision", prec).withColumn("recall", rec)
@@ -76,18 +87,18 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
     classes = pc.select(F.col("class").cast("int").cast("string").alias("row"),
                         "precision", "recall", "f1_score", F.col("support").cast("long").alias("support"))
     tot = F.sum("support")
-    acc = pc.agg(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 (F.sum("tp") / tot).alias("f1_score"), tot.cast("long").alias("support"))
-    macro = pc.agg(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
-                   F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
-                   tot.cast("long").alias("support"))
-    weighted = pc.agg(F.lit("weighted avg").alias("row"),
-                      (F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-                      (F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-                      (F.sum(F.col("f1_score") * F.col("support")) / tot).alias("f1_score"),
-                      tot.cast("long").alias("support"))
-    return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
+    wavg = lambda c: F.sum(F.col(c) * F.col("support")) / tot
+    none = F.lit(None).cast("double")
+    summary = pc.agg(F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("row"), none.alias("precision"), none.alias("recall"),
+                 (F.sum("tp") / tot).alias("f1_score"), tot.cast("long").alias("support")),
+        F.struct(F.lit("macro avg").alias("row"), F.avg("precision").alias("precision"),
+                 F.avg("recall").alias("recall"), F.avg("f1_score").alias("f1_score"),
+                 tot.cast("long").alias("support")),
+        F.struct(F.lit("weighted avg").alias("row"), wavg("precision").alias("precision"),
+                 wavg("recall").alias("recall"), wavg("f1_score").alias("f1_score"),
+                 tot.cast("long").alias("support")))).alias("_x")).select("_x.*")
+    return classes.unionByName(summary)
 
 
 def auc_roc(pred: DataFrame, label: str = "label", score: str = "score",
@@ -107,6 +118,10 @@ def auc_roc(pred: DataFrame, label: str = "label", score: str = "score",
     is_pos = F.col(label).cast("double") == 1.0
     d = (src.groupBy(*key, F.col(score).cast("double").alias("_s"))
          .agg(F.count_if(is_pos).alias("_pos"), F.count_if(~is_pos).alias("_neg")))
+    # the distinct-score table is read several times below: write it once to
+    # the shared checkpoint folder (cuts the lineage back to the predictions)
+    shared_dir(d.sparkSession)
+    d = d.checkpoint(eager=True)
     n_distinct = d.count()  # one scalar; sizes the bucketing
     buckets = int(min(max_buckets, max(1, -(-n_distinct // rows_per_bucket))))
     if buckets > 1:
