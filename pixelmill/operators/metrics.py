@@ -126,9 +126,9 @@ def auc_roc(pred: DataFrame, label: str = "label", score: str = "score",
     buckets = int(min(max_buckets, max(1, -(-n_distinct // rows_per_bucket))))
     if buckets > 1:
         pct = [i / buckets for i in range(1, buckets)]
-        cuts = d.groupBy(*key).agg(
-            F.percentile_approx("_s", pct, 10 * buckets).alias("_cuts"))
-        # one row per group; the number of groups (models) bounds its size
+        # one row per group (model) holding buckets - 1 cut points: bounded
+        cuts = bounded_table(d.groupBy(*key).agg(
+            F.percentile_approx("_s", pct, 10 * buckets).alias("_cuts")))
         d = d.join(F.broadcast(cuts), key).withColumn(
             "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))).drop("_cuts")
     else:

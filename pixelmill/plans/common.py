@@ -12,6 +12,25 @@ from pixelmill.sources.tables import table
 DIGITS = 6
 
 
+class Registry:
+    """Named queries of one module and their optional DuckDB twins."""
+
+    def __init__(self):
+        self.queries: dict = {}
+        self.sql: dict = {}
+
+    def __call__(self, name: str, sql: str | None = None):
+        def deco(fn):
+            self.queries[name] = fn
+            if sql is not None:
+                self.sql[name] = sql.strip()
+            return fn
+        return deco
+
+    def add(self, name: str, fn, sql: str | None = None) -> None:
+        self(name, sql)(fn)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every floating column for cross-engine comparison (sums of
     doubles differ in the last bits when the order of addition differs)."""

@@ -14,21 +14,12 @@ from pyspark.sql import functions as F
 from pixelmill.operators import compare as C
 from pixelmill.operators import metrics as E
 from pixelmill.operators.sampling import bounded_table
-from pixelmill.plans.common import rounded, severity_frame
+from pixelmill.plans.common import Registry, rounded, severity_frame
 from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN, MODEL_NAMES
 from pixelmill.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql.strip()
-        return fn
-    return deco
+register = Registry()
+QUERIES, SQL = register.queries, register.sql
 
 
 # --- scorers -----------------------------------------------------------------------------

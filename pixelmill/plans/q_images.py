@@ -15,27 +15,18 @@ from pixelmill.operators import models as Mo
 from pixelmill.operators import sampling as B
 from pixelmill.operators.features import assembler
 from pixelmill.operators.scoring import score
-from pixelmill.plans.common import rounded, severity_frame
+from pixelmill.plans.common import Registry, rounded, severity_frame
 from pixelmill.schemas import FEATURE_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
 
-QUERIES: dict = {}
-SQL: dict = {}
+register = Registry()
+QUERIES, SQL = register.queries, register.sql
 
 SIDE = 8
 SEED = 42
 
 
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql.strip()
-        return fn
-    return deco
-
-
 def derived_images(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return I.images_from_arrays(e, "embedding", SIDE, ["vec_id"])

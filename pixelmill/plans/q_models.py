@@ -8,28 +8,19 @@ from pyspark.sql import functions as F
 from pixelmill.operators import features as Fe
 from pixelmill.operators import models as Mo
 from pixelmill.plans import train as Tr
-from pixelmill.plans.common import rounded
+from pixelmill.plans.common import Registry, rounded
 from pixelmill.schemas import MODEL_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
 from pixelmill.streaming import scoring as St
 
-QUERIES: dict = {}
-SQL: dict = {}
+register = Registry()
+QUERIES, SQL = register.queries, register.sql
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
 
 
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql.strip()
-        return fn
-    return deco
-
-
 def _sql_scaled(std_fn: str, centre: bool, zero_to_one: bool) -> str:
     stats = ", ".join(f"avg({c}) AS m_{c}, {std_fn}({c}) AS s_{c}" for c in NUMERIC)
     cols = []
@@ -98,9 +89,9 @@ def _cv_query(which: str):
     return run
 
 
-QUERIES["lr_cv"] = _cv_query("lr")
-QUERIES["rf_cv"] = _cv_query("rf")
-QUERIES["svm_cv"] = _cv_query("svm")
+register.add("lr_cv", _cv_query("lr"))
+register.add("rf_cv", _cv_query("rf"))
+register.add("svm_cv", _cv_query("svm"))
 
 
 def _twin_query(which: str):
@@ -114,9 +105,9 @@ def _twin_query(which: str):
     return run
 
 
-QUERIES["twin_lr_cv"] = _twin_query("lr")
-QUERIES["twin_rf_cv"] = _twin_query("rf")
-QUERIES["twin_svm_cv"] = _twin_query("svm")
+register.add("twin_lr_cv", _twin_query("lr"))
+register.add("twin_rf_cv", _twin_query("rf"))
+register.add("twin_svm_cv", _twin_query("svm"))
 
 
 # --- R1, R3, S9, S10: scoring with saved models ------------------------------------------

@@ -12,24 +12,15 @@ from pixelmill.functions.hashing import hash_uniform, sql_hash_uniform
 from pixelmill.operators import labels as L
 from pixelmill.operators import sampling as B
 from pixelmill.operators import signal as M
-from pixelmill.plans.common import SQL_SEVERITY, rounded, severity_frame
+from pixelmill.plans.common import Registry, SQL_SEVERITY, rounded, severity_frame
 from pixelmill.sources.tables import preview, table
 
 HIST_LO, HIST_HI, HIST_N = -0.5, 0.5, 10
 GRID_W = 8
 SEED = 42
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql.strip()
-        return fn
-    return deco
+register = Registry()
+QUERIES, SQL = register.queries, register.sql
 
 
 # --- M1-M4: array / grid statistics ------------------------------------------------
