@@ -113,6 +113,32 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "class_weight"
     return df.join(F.broadcast(weights), on=label, how="inner")
 
 
+# --- copies, spread across tasks ---------------------------------------------------
+
+COPY_CHUNK = 1 << 14
+
+
+def replicate(df: DataFrame, count_col: str, keys: list[str], out: str = "copy",
+              chunk: int = COPY_CHUNK) -> DataFrame:
+    """Each row repeated ``count_col`` times, numbered 1..count in ``out``.
+
+    Rows needing at most ``chunk`` copies are expanded where they are. A row
+    needing more (a tiny class oversampled to a huge target) is first cut into
+    chunk descriptors, which are hash-distributed by (keys, chunk) before being
+    expanded, so the copies of one row never pile up in one task."""
+    n = F.col(count_col)
+    light = (df.where((n > 0) & (n <= chunk))
+             .withColumn(out, F.explode(F.sequence(F.lit(1), n.cast("int")))))
+    heavy = (df.where(n > chunk)
+             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))))
+             .repartition(*[F.col(k) for k in keys], F.col("_chunk"))
+             .withColumn(out, F.explode(F.sequence(
+                 (F.col("_chunk") * chunk + 1).cast("int"),
+                 F.least((F.col("_chunk") + 1) * chunk, n).cast("int"))))
+             .drop("_chunk"))
+    return light.unionByName(heavy)
+
+
 # --- W1: exact per-group top-k by hash, without a per-group single task ---------
 
 def smallest_per_group(df: DataFrame, group: str, order: str, ties: list[str],
@@ -183,9 +209,8 @@ def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: flo
     targets = bounded_table(balance_targets(df, label, factor))
     params = F.broadcast(targets.select(label, "target", "fraction"))
     drawn = (df.join(params, label)
-             .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction")))
-             .where(F.col("_k") > 0)
-             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+             .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction"))))
+    drawn = (replicate(drawn, "_k", [key])
              .withColumn("_o", hash_uniform(f"{seed}:order", key, "copy"))
              .drop("_k", "target", "fraction"))
     kept = smallest_per_group(drawn, label, "_o", [key, "copy"],
@@ -202,9 +227,7 @@ def exact_balance(df: DataFrame, key: str, label: str = "label", factor: float =
                             .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
     p = F.broadcast(targets.select(label, "whole", "rest"))
     base = df.join(p, label)
-    whole = (base.where(F.col("whole") > 0)
-             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole").cast("int"))))
-             .drop("whole", "rest"))
+    whole = replicate(base, "whole", [key]).drop("whole", "rest")
     extra_pool = (base.withColumn("copy", (F.col("whole") + 1).cast("int"))
                   .withColumn("_o", hash_uniform(seed, key))
                   .drop("whole", "rest"))

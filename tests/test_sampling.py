@@ -87,3 +87,18 @@ def test_leaky_order_spreads_copies(spark):
     clean = Tr.prepare(df, key="id", label="label")
     assert spread > 0
     assert clean.groupBy("id").agg(F.countDistinct("split").alias("k")).where("k > 1").count() == 0
+
+
+def test_replicate_spreads_heavy_rows(spark):
+    df = spark.createDataFrame([(1, 3), (2, 0), (3, 250)], "id long, k long")
+    out = B.replicate(df, "k", ["id"], chunk=100)
+    got = {(r["id"], r["copy"]) for r in out.collect()}
+    want = {(1, c) for c in range(1, 4)} | {(3, c) for c in range(1, 251)}
+    assert got == want and out.count() == len(want)
+
+
+def test_exact_balance_single_row_class(spark):
+    rows = [(i, 0) for i in range(500)] + [(10_000, 1)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    out = B.exact_balance(df, "id", "label").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in out} == {0: 1000, 1: 1000}
