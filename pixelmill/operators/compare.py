@@ -118,15 +118,26 @@ def percent_text(x: Column) -> Column:
 
 
 def metric_text(comp: DataFrame) -> DataFrame:
-    """Display strings: metrics as percentages, time with two decimals
-    when present and non-zero, else empty."""
-    t = q("Training Time")
+    """P9, comparison rows: metrics as percentages with two decimals, the
+    training time with two decimals."""
     return comp.select(
         "Model", "Framework",
         F.concat(percent_text(q("Accuracy")), F.lit("%")).alias("accuracy_text"),
         F.concat(percent_text(q("F1-Score")), F.lit("%")).alias("f1_text"),
         F.concat(percent_text(q("AUC-ROC")), F.lit("%")).alias("auc_text"),
-        F.when(t.isNotNull() & (t != 0), fixed2(t)).otherwise(F.lit("")).alias("time_text"))
+        fixed2(q("Training Time")).alias("time_text"))
+
+
+def result_text(metrics: DataFrame, model_col: str = "model") -> DataFrame:
+    """P9, per-model result cards: five metrics as percentages; the time
+    ('12.37s') only when it is present and non-zero, else empty."""
+    t = F.col("training_time")
+    pct = {c: F.concat(percent_text(F.col(c)), F.lit("%"))
+           for c in ("accuracy", "precision", "recall", "f1_score", "auc_roc")}
+    return metrics.select(
+        F.col(model_col).alias("model"), *[v.alias(f"{k}_text") for k, v in pct.items()],
+        F.when(t.isNotNull() & (t != 0) & ~F.isnan(t), F.concat(fixed2(t), F.lit("s")))
+        .otherwise(F.lit("")).alias("time_text"))
 
 
 def display_name(name: Column | str) -> Column:

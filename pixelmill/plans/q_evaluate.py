@@ -301,14 +301,34 @@ def q_insights(spark, sf_dir):
 WITH c AS {_sql_comparison()}
 SELECT "Model", "Framework", printf('%.2f%%', round("Accuracy" * 100, 8)) AS accuracy_text,
        printf('%.2f%%', round("F1-Score" * 100, 8)) AS f1_text, printf('%.2f%%', round("AUC-ROC" * 100, 8)) AS auc_text,
-       CASE WHEN "Training Time" IS NOT NULL AND "Training Time" <> 0 THEN printf('%.2f', round("Training Time", 8))
-            ELSE '' END AS time_text
+       printf('%.2f', round("Training Time", 8)) AS time_text
 FROM c
 """)
 def q_metric_text(spark, sf_dir):
     return C.metric_text(comparison(spark, sf_dir))
 
 
+def _sql_result_text() -> str:
+    pct = ", ".join(f"printf('%.2f%%', round({c} * 100, 8)) AS {c}_text"
+                    for c in ("accuracy", "precision", "recall", "f1_score", "auc_roc"))
+    return f"""
+WITH m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework'], None)}),
+w AS (SELECT model, framework, count(*) * first(length) / 1000.0 AS training_time FROM {_sql_stacked()} s GROUP BY ALL)
+SELECT m.model AS model, {pct},
+       CASE WHEN w.training_time IS NOT NULL AND w.training_time <> 0
+            THEN printf('%.2f', round(w.training_time, 8)) || 's' ELSE '' END AS time_text
+FROM m JOIN w ON m.model = w.model AND m.framework = w.framework
+WHERE m.framework = 'Spark MLlib'
+"""
+
+
+@register("result_text", _sql_result_text())
+def q_result_text(spark, sf_dir):
+    """P9 on the per-model metric rows of one framework (the result cards)."""
+    ev = evaluated(spark, sf_dir, by=("model", "framework"))
+    return C.result_text(C.framework_rows(ev, FRAMEWORK_SPARK, "framework"))
+
+
 @register("display_names", """
 WITH n AS (SELECT DISTINCT 'spark_' || event_type || '_model' AS name FROM events),
 a AS (SELECT name, regexp_replace(regexp_replace(name, 'spark_', ''), '_', ' ') AS s FROM n)
