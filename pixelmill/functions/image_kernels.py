@@ -199,6 +199,9 @@ def _sobel(gray: np.ndarray):
     return gx, gy
 
 
+_TG22 = int(round(np.tan(np.pi / 8) * (1 << 15)))
+
+
 def canny(gray: np.ndarray, low: float = CANNY_LOW, high: float = CANNY_HIGH) -> np.ndarray:
     """Edge map (0/255): 3x3 Sobel, L1 magnitude, non-maximum suppression along
     the quantised gradient direction, hysteresis (8-connected) between the
@@ -209,10 +212,12 @@ def canny(gray: np.ndarray, low: float = CANNY_LOW, high: float = CANNY_HIGH) ->
     m = np.zeros((h + 2, w + 2), dtype=np.int64)
     m[1:-1, 1:-1] = mag
     c = m[1:-1, 1:-1]
-    ax, ay = np.abs(gx).astype(np.float64), np.abs(gy).astype(np.float64)
-    tan22 = np.tan(np.pi / 8)
-    horiz = ay < ax * tan22             # gradient within 22.5 deg of x: compare left/right
-    vert = (ay * tan22 > ax) & ~horiz   # within 22.5 deg of y: compare up/down
+    ax, ay = np.abs(gx), np.abs(gy)
+    # direction sectors in integer arithmetic: tan(22.5 deg) in 15-bit fixed
+    # point, tan(67.5 deg) = tan(22.5 deg) + 2
+    tg22x = ax * _TG22
+    horiz = (ay << 15) < tg22x                        # within 22.5 deg of x: compare left/right
+    vert = ~horiz & ((ay << 15) > tg22x + (ax << 16))  # within 22.5 deg of y: compare up/down
     diag = ~horiz & ~vert
     same_sign = (gx * gy) >= 0
     left, right = m[1:-1, :-2], m[1:-1, 2:]
