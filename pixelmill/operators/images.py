@@ -41,14 +41,42 @@ def label_images(images: DataFrame, labels: DataFrame, id_col: str = "id_code",
                  grade_col: str = "diagnosis") -> tuple[DataFrame, DataFrame]:
     """J1 + J2: images whose (id, class folder) matches a label row, and the
     label rows with no image. Labels map to a folder by their grade (unknown
-    grades -> the default folder), exactly as the files were laid out."""
+    grades -> the default folder), exactly as the files were laid out.
+
+    ``images`` may be image rows or, better at scale, rows already reduced to
+    features (see :func:`labelled_features`): the join then moves no pixels."""
     lab = labels.withColumn("class_folder", class_folder(grade_col))
-    keyed = with_image_keys(images)
+    keyed = images if "class_folder" in images.columns else with_image_keys(images)
     matched = keyed.join(lab, [id_col, "class_folder"], "inner")
     missing = lab.join(keyed.select(id_col, "class_folder"), [id_col, "class_folder"], "left_anti")
     return matched, missing
 
 
+def image_keys(spark: SparkSession, root: str) -> DataFrame:
+    """(path, class_folder, id_code) of every file under ``root``, from the
+    file listing only: the binary-file source reads no content when the
+    content column is not selected."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select("path"))
+    folder, key = parse_image_path(F.col("path"))
+    return files.select("path", folder.alias("class_folder"), key.alias("id_code"))
+
+
+def labelled_features(spark: SparkSession, root: str, labels: DataFrame, id_col: str = "id_code",
+                      grade_col: str = "diagnosis") -> tuple[DataFrame, DataFrame]:
+    """J1 + I12 + J2 in the order that scales: every image is decoded and
+    reduced to its 42 features inside its scan task, then the small feature
+    rows are joined to the labels (no image bytes are shuffled).
+
+    Unmatched labels are those that yield no feature row (no file, or a file
+    that does not decode). They are found against the feature keys; callers
+    that need both results should write the features first (as
+    ``plans.prepare`` does) so the images are decoded once."""
+    keyed = with_image_keys(read_images(spark, root))
+    feats = extract_features(keyed, [id_col, "class_folder"])
+    return label_images(feats, labels, id_col, grade_col)
+
+
 def images_from_arrays(df: DataFrame, array_col: str, width: int, keys: list[str],
                        lo: float = -0.5, hi: float = 0.5, origin_prefix: str = "array://") -> DataFrame:
     """Numeric arrays -> image rows in the image-source layout, JVM-side.

@@ -2,14 +2,16 @@
 balanced, written by split.
 
     image scan -> (id, class folder) parsed from the path
-      -> join labels (J1; unmatched labels reported, J2)
-      -> 42 features per image (mapInPandas, I12)
+      -> 42 features per image inside the scan task (mapInPandas, I12)
+      -> join labels on the feature rows (J1; unmatched labels from the
+         file listing, J2)
       -> binary label (P1) -> hash split by id (B3)
       -> oversample the training split only (B1 / B2)
       -> Parquet partitioned by split (S5)
 
-Only labelled images reach the feature extractor; the split is decided per
-image id before any copy is made, so copies never leak across splits.
+Pixels never cross a shuffle: images are reduced to 42 numbers where they
+are read, and only those rows meet the labels. The split is decided per image
+id before any copy is made, so copies never leak across splits.
 """
 
 from __future__ import annotations
@@ -37,10 +39,9 @@ class Prepared:
 
 
 def image_feature_table(spark: SparkSession, image_root: str, labels_csv: str) -> tuple[DataFrame, DataFrame]:
-    images = I.read_images(spark, image_root)
     labels = read_labels_csv(spark, labels_csv)
-    matched, missing = I.label_images(images, labels)
-    feats = I.extract_features(matched, ["id_code", "diagnosis", "class_folder"])
+    feats, _ = I.labelled_features(spark, image_root, labels)
+    missing = labels
     feats = feats.withColumn("image_path", F.concat_ws("/", F.lit(image_root.rstrip("/")), "class_folder",
                                                        F.concat("id_code", F.lit(".png"))))
     return feats.withColumn("label", binary_label("diagnosis")), missing
@@ -53,6 +54,8 @@ def prepare_images(spark: SparkSession, image_root: str, labels_csv: str, out_pa
     staged = out_path.rstrip("/") + "/_features"
     write_parquet(feats, staged)
     feats = spark.read.parquet(staged)
+    # J2 against the written feature keys: labels that produced no features
+    missing = missing.join(feats.select("id_code", "diagnosis").distinct(), ["id_code", "diagnosis"], "left_anti")
     split = B.hash_split(feats, "id_code", SEED)
     train = split.where(F.col("split") == "train")
     rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1))

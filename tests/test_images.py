@@ -152,3 +152,14 @@ def test_stream_of_image_files_equals_batch(spark, image_store, tmp_path):
 
     out = St.stream_score(spark, model, src, ["id_code"], "lr", prepare=prep)
     assert {r["id_code"]: r["prediction"] for r in out.collect()} == batch
+
+
+def test_labelled_features_and_file_listing(spark, image_store):
+    root, labels_csv, imgs = image_store
+    labels = read_labels_csv(spark, labels_csv, LABEL_SCHEMA)
+    feats, missing = I.labelled_features(spark, root, labels)
+    assert sorted(r["id_code"] for r in feats.select("id_code").collect()) == ["checker", "flat", "gradient",
+                                                                              "random"]
+    assert sorted(r["id_code"] for r in missing.collect()) == ["bad", "orphan_label"]  # bad.png: no features
+    keys = {r["id_code"] for r in I.image_keys(spark, root).collect()}
+    assert {"bad", "orphan_image", "flat"} <= keys
