@@ -84,3 +84,126 @@ def q_score_images(spark, sf_dir):
     Mo.save_model(model, root, "logistic_regression")
     models, _ = Mo.load_models(spark, root, ["logistic_regression"])
     return score(models["logistic_regression"], t, ["vec_id", "label", "split"], "logistic_regression")
+
+
+# --- I1-I10 against SQL -----------------------------------------------------------------
+# The derived images are 8 x 8; upscaling to 256 x 256 uses weights that are
+# multiples of 1/64 on integer pixels, so the bilinear values are exact in
+# double arithmetic in both engines; HSV and grey are integer arithmetic. All
+# features except the two edge measures therefore have an exact SQL twin.
+
+EDGE_FEATURES = ("edge_density", "edge_mean")
+COLOR_FEATURES = [n for n in FEATURE_NAMES if n not in EDGE_FEATURES]
+
+
+def _sql_image_color_features() -> str:
+    def level(e):
+        return f"CAST(least(greatest(floor(({e} + 0.5) * 256), 0), 255) AS INTEGER)"
+
+    def stats(ch, name):
+        mean = f"(CAST(sum({ch}) AS DOUBLE) / 65536)"
+        m2 = f"(CAST(sum({ch} * {ch}) AS DOUBLE) / 65536 - {mean} * {mean})"
+        m3 = (f"(CAST(sum(CAST({ch} AS BIGINT) * {ch} * {ch}) AS DOUBLE) / 65536"
+              f" - 3 * {mean} * CAST(sum({ch} * {ch}) AS DOUBLE) / 65536 + 2 * {mean} * {mean} * {mean})")
+        return {f"{name}_mean": mean, f"{name}_m2": m2, f"{name}_m3": m3}
+
+    aggs = {}
+    for ch, name in (("r", "R"), ("g", "G"), ("b", "B"), ("h", "H"), ("s", "S"), ("v", "V"), ("gray", "GRAY")):
+        aggs.update(stats(ch, name))
+    for k in range(10):
+        aggs[f"intensity_hist_{k}"] = f"CAST(count(*) FILTER (WHERE (gray * 10) // 256 = {k}) AS DOUBLE) / 65536"
+    aggs["min_intensity"] = "CAST(min(gray) AS DOUBLE)"
+    aggs["max_intensity"] = "CAST(max(gray) AS DOUBLE)"
+    for p, q in ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)):
+        aggs[f"m{p}{q}"] = f"CAST(sum(CAST(gray AS BIGINT) * {'*'.join(['ox'] * p + ['oy'] * q) or '1'}) AS HUGEINT)"
+    agg_sql = ",\n       ".join(f"{v} AS {k}" for k, v in aggs.items())
+
+    def skew(name):
+        m, m2, m3 = f"{name}_mean", f"{name}_m2", f"{name}_m3"
+        return f"CASE WHEN {m2} <= (1e-15 * {m}) * (1e-15 * {m}) THEN 0.0 ELSE {m3} / pow({m2}, 1.5) END"
+
+    cols = []
+    for name in ("R", "G", "B", "H", "S", "V"):
+        cols += [f"{name}_mean AS {name}_mean", f"sqrt({name}_m2) AS {name}_std", f"{skew(name)} AS {name}_skew"]
+    cols += [f"intensity_hist_{k}" for k in range(10)]
+    cols += ["sqrt(GRAY_m2) AS contrast", "GRAY_mean AS brightness", "min_intensity", "max_intensity"]
+    ent = " + ".join(f"CASE WHEN intensity_hist_{k} > 0 THEN -intensity_hist_{k} * ln(intensity_hist_{k}) "
+                     f"ELSE 0.0 END" for k in range(10))
+    cols.append(f"{ent} AS entropy")
+    # central moments scaled by powers of m00 are exact in 128-bit integers
+    cen = {
+        "mu20": "CAST(m00 * m20 - m10 * m10 AS DOUBLE) / m00",
+        "mu02": "CAST(m00 * m02 - m01 * m01 AS DOUBLE) / m00",
+        "mu11": "CAST(m00 * m11 - m10 * m01 AS DOUBLE) / m00",
+        "mu30": "CAST(m00 * m00 * m30 - 3 * m00 * m10 * m20 + 2 * m10 * m10 * m10 AS DOUBLE) / (CAST(m00 AS DOUBLE) * m00)",
+        "mu03": "CAST(m00 * m00 * m03 - 3 * m00 * m01 * m02 + 2 * m01 * m01 * m01 AS DOUBLE) / (CAST(m00 AS DOUBLE) * m00)",
+        "mu21": "CAST(m00 * m00 * m21 - 2 * m00 * m10 * m11 - m00 * m01 * m20 + 2 * m10 * m10 * m01 AS DOUBLE)"
+                " / (CAST(m00 AS DOUBLE) * m00)",
+        "mu12": "CAST(m00 * m00 * m12 - 2 * m00 * m01 * m11 - m00 * m10 * m02 + 2 * m01 * m01 * m10 AS DOUBLE)"
+                " / (CAST(m00 AS DOUBLE) * m00)",
+    }
+    hu = [
+        "n20 + n02",
+        "(n20 - n02) * (n20 - n02) + 4 * n11 * n11",
+        "(n30 - 3 * n12) * (n30 - 3 * n12) + (3 * n21 - n03) * (3 * n21 - n03)",
+        "(n30 + n12) * (n30 + n12) + (n21 + n03) * (n21 + n03)",
+        "(n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
+        " + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
+        "(n20 - n02) * ((n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03)) + 4 * n11 * (n30 + n12) * (n21 + n03)",
+        "(3 * n21 - n03) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
+        " - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
+    ]
+    final = ", ".join(f"round({c}, 6) AS {c}" for c in COLOR_FEATURES)
+    return f"""
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+                  CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i, len(embedding) AS n FROM embeddings),
+src AS (SELECT a.vec_id, a.i // {SIDE} AS sy, a.i % {SIDE} AS sx,
+               {level('a.x')} AS b, {level('g.x')} AS g, {level('r.x')} AS r
+        FROM e a JOIN e g ON g.vec_id = a.vec_id AND g.i = (a.i + a.n // 3) % a.n
+                 JOIN e r ON r.vec_id = a.vec_id AND r.i = (a.i + (2 * a.n) // 3) % a.n),
+ax AS (SELECT o, CAST(least(greatest(floor(f), 0), {SIDE - 1}) AS BIGINT) AS i0,
+              CAST(least(least(greatest(floor(f), 0), {SIDE - 1}) + 1, {SIDE - 1}) AS BIGINT) AS i1,
+              CASE WHEN floor(f) < 0 THEN 0.0 ELSE f - floor(f) END AS w
+       FROM (SELECT o, (CAST(o AS DOUBLE) + 0.5) * ({SIDE}.0 / 256.0) - 0.5 AS f FROM range(256) t(o)) q),
+hp AS (SELECT s0.vec_id, s0.sy, ax.o AS ox,
+              (1 - ax.w) * s0.r + ax.w * s1.r AS r, (1 - ax.w) * s0.g + ax.w * s1.g AS g,
+              (1 - ax.w) * s0.b + ax.w * s1.b AS b
+       FROM ax JOIN src s0 ON s0.sx = ax.i0
+               JOIN src s1 ON s1.vec_id = s0.vec_id AND s1.sy = s0.sy AND s1.sx = ax.i1),
+px AS (SELECT h0.vec_id, ay.o AS oy, h0.ox,
+              CAST(floor((1 - ay.w) * h0.r + ay.w * h1.r + 0.5) AS BIGINT) AS r,
+              CAST(floor((1 - ay.w) * h0.g + ay.w * h1.g + 0.5) AS BIGINT) AS g,
+              CAST(floor((1 - ay.w) * h0.b + ay.w * h1.b + 0.5) AS BIGINT) AS b
+       FROM ax ay JOIN hp h0 ON h0.sy = ay.i0
+                  JOIN hp h1 ON h1.vec_id = h0.vec_id AND h1.ox = h0.ox AND h1.sy = ay.i1),
+hv AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS diff,
+              CAST(floor((r * 4899 + g * 9617 + b * 1868 + 8192) / 16384.0) AS BIGINT) AS gray FROM px),
+hs AS (SELECT *,
+              CAST(floor((diff * CASE WHEN v = 0 THEN 0 ELSE floor(1044480.0 / v + 0.5) END + 2048) / 4096.0)
+                   AS BIGINT) AS s,
+              CAST(floor(((CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * diff ELSE r - g + 4 * diff END)
+                          * CASE WHEN diff = 0 THEN 0 ELSE floor(737280.0 / (6.0 * diff) + 0.5) END + 2048)
+                         / 4096.0) AS BIGINT) AS h0
+       FROM hv),
+pix AS (SELECT vec_id, oy, ox, r, g, b, v, s, CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END AS h, gray FROM hs),
+a AS (SELECT vec_id,
+       {agg_sql}
+      FROM pix GROUP BY vec_id),
+c AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in cen.items())} FROM a),
+nn AS (SELECT *, mu20 / pow(m00, 2) AS n20, mu02 / pow(m00, 2) AS n02, mu11 / pow(m00, 2) AS n11,
+              mu30 / pow(m00, 2.5) AS n30, mu21 / pow(m00, 2.5) AS n21, mu12 / pow(m00, 2.5) AS n12,
+              mu03 / pow(m00, 2.5) AS n03 FROM c),
+f AS (SELECT vec_id, {", ".join(cols)},
+             {", ".join(f"-sign({h}) * log10(abs({h}) + 1e-10) AS hu_moment_{i}" for i, h in enumerate(hu))}
+      FROM nn)
+SELECT vec_id, {final} FROM f
+"""
+
+
+@register("image_color_features", _sql_image_color_features())
+def q_image_color_features(spark, sf_dir):
+    """I1-I10 checked against SQL: the 40 colour, histogram, intensity and
+    shape features of every derived image (the same extractor as
+    ``image_features``; the edge pair has no SQL form)."""
+    feats = I.extract_features(derived_images(spark, sf_dir), ["vec_id"])
+    return rounded(feats.select("vec_id", *COLOR_FEATURES))
