@@ -95,21 +95,21 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 def balance_targets(df: DataFrame, label: str = "label", factor: float = 2.0) -> DataFrame:
     """A4: per class: count, target = floor(factor * largest class count) and
     the sampling fraction target / count. Empty classes do not appear, so there
-    is no division by zero."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()  # over the per-class table: one row per class
-    return (counts
-            .withColumn("target", F.floor(F.max("n").over(w) * F.lit(factor)).cast("long"))
+    is no division by zero. The per-class counts are one bounded aggregation;
+    the largest count is read from it."""
+    counts = bounded_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    largest = max([r["n"] for r in counts.collect()], default=0)
+    target = int(largest * factor)  # floor for the non-negative product
+    return (counts.withColumn("target", F.lit(target).cast("long"))
             .withColumn("fraction", F.col("target") / F.col("n")))
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
     """B4: 'balanced' weights n / (k * n_c) attached to every row."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.partitionBy()  # over the per-class table: one row per class
-    weights = bounded_table(counts.select(
-        label,
-        (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out)))
+    counts = bounded_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")))
+    rows = counts.collect()
+    n, k = sum(r["_nc"] for r in rows), len(rows)
+    weights = counts.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(weights), on=label, how="inner")
 
 
@@ -206,7 +206,7 @@ def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: flo
     Each row gets Poisson(target / n_c) copies from its own hash draw, exploded
     locally; the cap keeps the copies with the smallest order hash per class
     (exact, see :func:`smallest_per_group`). Output adds ``copy`` (1-based)."""
-    targets = bounded_table(balance_targets(df, label, factor))
+    targets = balance_targets(df, label, factor)
     params = F.broadcast(targets.select(label, "target", "fraction"))
     drawn = (df.join(params, label)
              .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction"))))
@@ -222,9 +222,9 @@ def exact_balance(df: DataFrame, key: str, label: str = "label", factor: float =
                   seed: int = 42) -> DataFrame:
     """B2: exactly ``target`` rows per class: every row ``target // n_c`` times,
     plus the ``target % n_c`` rows with the smallest hash once more."""
-    targets = bounded_table(balance_targets(df, label, factor)
-                            .withColumn("whole", (F.col("target") / F.col("n")).cast("long"))
-                            .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
+    targets = (balance_targets(df, label, factor)
+               .withColumn("whole", (F.col("target") / F.col("n")).cast("long"))
+               .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
     p = F.broadcast(targets.select(label, "whole", "rest"))
     base = df.join(p, label)
     whole = replicate(base, "whole", [key]).drop("whole", "rest")
