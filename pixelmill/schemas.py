@@ -31,19 +31,17 @@ HU_EPS = 1e-10
 # -----------------------------------------------------------------------------
 
 
-def _feature_names() -> tuple[str, ...]:
-    names: list[str] = []
-    for space in (("R", "G", "B"), ("H", "S", "V")):
-        for ch in space:
-            names += [f"{ch}_mean", f"{ch}_std", f"{ch}_skew"]
-    names += [f"intensity_hist_{i}" for i in range(HIST_BINS)]
-    names += ["contrast", "brightness", "min_intensity", "max_intensity", "entropy"]
-    names += [f"hu_moment_{i}" for i in range(7)]
-    names += ["edge_density", "edge_mean"]
-    return tuple(names)
-
-
-FEATURE_NAMES: tuple[str, ...] = _feature_names()
+# --- fixed values: the 42 image features, in vector order ---------------------------
+FEATURE_NAMES: tuple[str, ...] = (
+    "R_mean", "R_std", "R_skew", "G_mean", "G_std", "G_skew", "B_mean", "B_std", "B_skew",
+    "H_mean", "H_std", "H_skew", "S_mean", "S_std", "S_skew", "V_mean", "V_std", "V_skew",
+    "intensity_hist_0", "intensity_hist_1", "intensity_hist_2", "intensity_hist_3", "intensity_hist_4",
+    "intensity_hist_5", "intensity_hist_6", "intensity_hist_7", "intensity_hist_8", "intensity_hist_9",
+    "contrast", "brightness", "min_intensity", "max_intensity", "entropy",
+    "hu_moment_0", "hu_moment_1", "hu_moment_2", "hu_moment_3", "hu_moment_4", "hu_moment_5", "hu_moment_6",
+    "edge_density", "edge_mean",
+)
+# --------------------------------------------------------------------------------------
 assert len(FEATURE_NAMES) == 42
 
 FEATURE_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in FEATURE_NAMES])
