@@ -68,3 +68,13 @@ def test_stream_restart_is_exactly_once(spark, tmp_path):
     res = run()
     assert res.count() == df.count()
     assert res.select("vec_id").distinct().count() == df.count()
+
+
+def test_concurrent_cv_equals_mllib_cv(spark):
+    df = _separable(spark).withColumn("fold", Mo.fold_column("vec_id"))
+    pipe, lr = Mo.lr_pipeline()
+    grid = Mo._grid(lr, {"regParam": [0.01, 0.5]})
+    a = Mo.cross_validate("lr", pipe, grid, df)
+    b = Mo.cross_validate("lr", pipe, grid, df, engine="mllib")
+    assert np.allclose(a.avg_metrics, b.avg_metrics, atol=1e-12)
+    assert a.extra["best_params"] == b.extra["best_params"]
