@@ -3,8 +3,8 @@ balanced, written by split.
 
     image scan -> (id, class folder) parsed from the path
       -> 42 features per image inside the scan task (mapInPandas, I12)
-      -> join labels on the feature rows (J1; unmatched labels from the
-         file listing, J2)
+      -> join labels on the feature rows (J1; labels that produced no
+         feature row are reported, J2)
       -> binary label (P1) -> hash split by id (B3)
       -> oversample the training split only (B1 / B2)
       -> Parquet partitioned by split (S5)

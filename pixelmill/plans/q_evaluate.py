@@ -72,7 +72,7 @@ _SQL_ELEMS = ("(SELECT vec_id, CASE WHEN label % 5 >= 1 THEN 1 ELSE 0 END AS lab
 
 
 def _sql_scored() -> str:
-    return f"""(SELECT vec_id, label, score, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END AS prediction FROM
+    return f"""(SELECT vec_id, label, score, CAST(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS prediction FROM
   (SELECT vec_id, label, sum(x * (((i * 3) % 7) - 3)) AS score FROM {_SQL_ELEMS} e
    GROUP BY vec_id, label) t)"""
 
@@ -81,7 +81,7 @@ def _sql_stacked() -> str:
     values = ", ".join(f"({pos}, '{model}', '{fw}', {m}, {f}, {length})"
                        for pos, model, fw, m, f, length in scorer_spec())
     return f"""(SELECT model, framework, position, length, vec_id, label, score,
-       CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END AS prediction FROM
+       CAST(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS prediction FROM
   (SELECT sc.model, sc.framework, sc.position, sc.length, e.vec_id, e.label,
           sum(CASE WHEN e.i < sc.length THEN e.x * (((e.i * (2 * sc.m + sc.f + 3)) % 7) - 3) ELSE 0.0 END) AS score
    FROM {_SQL_ELEMS} e, (VALUES {values}) AS sc(position, model, framework, m, f, length)

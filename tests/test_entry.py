@@ -35,10 +35,18 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    s = entry.queries()[name](spark, SF_SMALL).toPandas()
-    d = con.execute(entry.oracle_sql()[name]).fetchdf()
+    sdf = entry.queries()[name](spark, SF_SMALL)
+    rel = con.sql(entry.oracle_sql()[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == duck_types
+    s = sdf.toPandas()
+    d = rel.fetchdf()
     assert sorted(s.columns) == sorted(d.columns)
     cols = sorted(s.columns)
 
