@@ -12,6 +12,8 @@ broadcast; nothing else is.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,7 +121,7 @@ COPY_CHUNK = 1 << 14
 
 
 def replicate(df: DataFrame, count_col: str, keys: list[str], out: str = "copy",
-              chunk: int = COPY_CHUNK) -> DataFrame:
+              chunk: int = COPY_CHUNK, max_count: int | None = None) -> DataFrame:
     """Each row repeated ``count_col`` times, numbered 1..count in ``out``.
 
     Rows needing at most ``chunk`` copies are expanded where they are. A row
@@ -129,6 +131,8 @@ def replicate(df: DataFrame, count_col: str, keys: list[str], out: str = "copy",
     n = F.col(count_col)
     light = (df.where((n > 0) & (n <= chunk))
              .withColumn(out, F.explode(F.sequence(F.lit(1), n.cast("int")))))
+    if max_count is not None and max_count <= chunk:
+        return light  # known bound: no row needs spreading, no extra shuffle
     heavy = (df.where(n > chunk)
              .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))))
              .repartition(*[F.col(k) for k in keys], F.col("_chunk"))
@@ -210,7 +214,10 @@ def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: flo
     params = F.broadcast(targets.select(label, "target", "fraction"))
     drawn = (df.join(params, label)
              .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction"))))
-    drawn = (replicate(drawn, "_k", [key])
+    # the largest possible draw is bounded by the scan length of poisson_draw
+    lam = max([r["fraction"] for r in targets.collect()], default=0.0)
+    kmax = int(math.ceil(lam + 12.0 * math.sqrt(lam) + 12.0)) + 1
+    drawn = (replicate(drawn, "_k", [key], max_count=kmax)
              .withColumn("_o", hash_uniform(f"{seed}:order", key, "copy"))
              .drop("_k", "target", "fraction"))
     kept = smallest_per_group(drawn, label, "_o", [key, "copy"],
@@ -227,7 +234,8 @@ def exact_balance(df: DataFrame, key: str, label: str = "label", factor: float =
                .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
     p = F.broadcast(targets.select(label, "whole", "rest"))
     base = df.join(p, label)
-    whole = replicate(base, "whole", [key]).drop("whole", "rest")
+    most = max([r["whole"] for r in targets.collect()], default=0)
+    whole = replicate(base, "whole", [key], max_count=most).drop("whole", "rest")
     extra_pool = (base.withColumn("copy", (F.col("whole") + 1).cast("int"))
                   .withColumn("_o", hash_uniform(seed, key))
                   .drop("whole", "rest"))
