@@ -1,7 +1,8 @@
 """Spark session and shared-storage helpers.
 
 Everything in the library takes an existing ``SparkSession``; this module only
-builds one for tests / benchmarks and resolves the shared checkpoint folder.
+builds one for tests / benchmarks (it is not meant for a cluster, whose own
+settings win) and resolves the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}  # application id -> scratch folder, local masters only
 
 
 def build_session(master: str | None = None, app: str = "pixelmill",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     """Local session with the settings the library assumes (AQE on, UI off,
-    UTC clock, Arrow transfer on, small Arrow batches for image rows)."""
+    UTC clock, Arrow transfer on, few shuffle partitions). For tests and the
+    bench only: a cluster sizes its own partitions."""
     master = master or os.environ.get("PIXELMILL_MASTER", "local[*]")
     builder = (
         SparkSession.builder.master(master).appName(app)
@@ -44,20 +47,23 @@ def build_session(master: str | None = None, app: str = "pixelmill",
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read here.
-    When it is unset (local tests) a fresh scratch folder is created and
-    registered, so later calls in the same session reuse it.
-    """
+    The setting is read from the session and never changed. Where it is unset,
+    a local master (tests) gets one scratch folder per application; any other
+    master is an error, since a driver-local folder is not visible to its
+    executors."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="pixelmill-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        if sc.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="pixelmill-ckpt-")
+        path = _LOCAL_FOLDERS[sc.applicationId]
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared folder for one job's output."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
