@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelmill.llm import bpe, exact_dedup, mixing, quality, queries
+from pixelmill.llm import bpe, exact_dedup, hyperminhash, mixing, quality, queries
 from pixelmill.llm.common import table, written
 
 
@@ -24,6 +24,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.exact_dedup(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near duplicates the document with the smallest id stays."""
+    return hyperminhash.near_dedup(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
@@ -37,6 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", good_quality),
     ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
     ("mixing", mixed),
     ("encoding", encoded),
 ]

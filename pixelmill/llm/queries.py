@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import bpe, exact_dedup, mixing, quality, token_counts, topk
+from pixelmill.llm import bpe, exact_dedup, hyperminhash, mixing, quality, token_counts, topk
 from pixelmill.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 #: Integer vectors that take part, as a DuckDB table expression.
