@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import bpe, exact_dedup, hyperminhash, mixing, quality, token_counts, topk
+from pixelmill.llm import (bpe, exact_dedup, hyperminhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts,
+                           topk)
 from pixelmill.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,11 +44,21 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.pmod(F.col("vec_id"), F.lit(50)) == 0), k=5)
 
 
+def op4_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mixing.mix_counts(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
                                      public_tokenizers.PATTERN)
@@ -65,7 +76,9 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_topk_search": op3_topk_search,
+    "op4_phrase_dedup": op4_phrase_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
@@ -93,4 +106,37 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op5_mix_sources": mixing.SQL,
+    "op4_phrase_dedup": """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + 19], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+later AS (
+  SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, s + unnest(range(20)) AS p FROM later) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE
+         list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id IS NOT DISTINCT FROM gone.doc_id""",
+    "op10_minhash_near_dedup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[s:s + 4], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS s FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.k = b.k AND a.doc_id < b.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
 }
