@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import (bpe, exact_dedup, hyperminhash, mixing, phrase_dedup, quality, suffix_dedup, token_counts,
-                           topk)
+from pixelmill.llm import (bpe, exact_dedup, hyperminhash, masked_lm, mixing, phrase_dedup, quality, suffix_dedup,
+                           token_counts, topk)
 from pixelmill.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -54,6 +54,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.masked_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op4_phrase_dedup": op4_phrase_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_masked_lm": op6_masked_lm,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
