@@ -22,6 +22,7 @@ INSIGHT_BEST_TEXT = "%s (%s) avec un F1-Score de %s%%"
 INSIGHT_SPEED_TEXT = "%s est plus rapide de %s secondes en moyenne"
 INSIGHT_ACC_TEXT = "%s atteint %s%% d'accuracy"
 UNKNOWN_MODEL_TEXT = "Modèle %s non disponible"
+MISSING_MODEL_TEXT = "Modèle non spécifié"
 # -------------------------------------------------------------------------------------
 
 
@@ -30,11 +31,13 @@ def q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def to_comparison(metrics: DataFrame, framework: str, model_col: str = "model",
+def to_comparison(metrics: DataFrame, framework: str | Column, model_col: str = "model",
                   keep: list[str] | tuple = ()) -> DataFrame:
-    """Metric rows -> comparison rows (renamed columns + constant framework)."""
+    """Metric rows -> comparison rows (renamed columns; the framework is a
+    constant or a column of the rows)."""
+    fw = framework if isinstance(framework, Column) else F.lit(framework)
     return metrics.select(
-        F.col(model_col).alias("Model"), F.lit(framework).alias("Framework"),
+        F.col(model_col).alias("Model"), fw.alias("Framework"),
         F.col("accuracy").alias("Accuracy"), F.col("f1_score").alias("F1-Score"),
         F.col("auc_roc").alias("AUC-ROC"), F.col("training_time").alias("Training Time"), *keep)
 
@@ -78,11 +81,30 @@ def metric_pivot(comp: DataFrame, frameworks=(FRAMEWORK_SPARK, FRAMEWORK_TWIN),
     return checked.groupBy("Model", "metric").pivot("Framework", list(frameworks)).agg(F.first("value"))
 
 
-def best_by(comp: DataFrame, metric: str, position: str = "position") -> DataFrame:
-    """The row with the largest ``metric``; the earliest row wins ties."""
-    return (comp.orderBy(q(metric).desc(), F.col(position).asc()).limit(1)
-            .select(F.lit(metric).alias("criterion"), "Model", "Framework",
-                    q(metric).alias("value")))
+def _best(metric: str, position: str) -> Column:
+    """The row with the largest ``metric`` as an aggregate; the earliest wins ties."""
+    return F.max_by(F.struct("Model", "Framework", q(metric).alias("value")),
+                    F.struct(q(metric), -F.col(position)))
+
+
+def best_by(comp: DataFrame, *metrics: str, position: str = "position") -> DataFrame:
+    """For each metric the row with the largest value; the earliest row
+    wins ties. One aggregation for all metrics; no rows for an empty table."""
+    found = comp.agg(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("criterion"), _best(m, position).alias("b")) for m in metrics])).alias("x"))
+    return found.where(F.col("x.b").isNotNull()).select("x.criterion", "x.b.Model", "x.b.Framework", "x.b.value")
+
+
+def _times(a: str, b: str) -> list[Column]:
+    t = q("Training Time")
+    return [F.avg(F.when(F.col("Framework") == a, t)).alias("avg_a"),
+            F.avg(F.when(F.col("Framework") == b, t)).alias("avg_b"),
+            F.count_if(F.col("Framework") == a).alias("n_a"),
+            F.count_if(F.col("Framework") == b).alias("n_b")]
+
+
+def _faster(a: str, b: str) -> Column:
+    return F.when(F.col("avg_a") < F.col("avg_b"), F.lit(a)).otherwise(F.lit(b))
 
 
 def framework_time(comp: DataFrame, a: str = FRAMEWORK_SPARK, b: str = FRAMEWORK_TWIN) -> DataFrame:
@@ -90,16 +112,10 @@ def framework_time(comp: DataFrame, a: str = FRAMEWORK_SPARK, b: str = FRAMEWORK
 
     Empty when either framework has no rows. Ties go to the second framework
     (the original compares with a strict '<')."""
-    t = q("Training Time")
-    agg = comp.agg(
-        F.avg(F.when(F.col("Framework") == a, t)).alias("avg_a"),
-        F.avg(F.when(F.col("Framework") == b, t)).alias("avg_b"),
-        F.count_if(F.col("Framework") == a).alias("n_a"),
-        F.count_if(F.col("Framework") == b).alias("n_b"))
-    return (agg.where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+    return (comp.agg(*_times(a, b)).where((F.col("n_a") > 0) & (F.col("n_b") > 0))
             .select(F.lit(a).alias("framework_a"), F.col("avg_a").alias("avg_time_a"),
                     F.lit(b).alias("framework_b"), F.col("avg_b").alias("avg_time_b"),
-                    F.when(F.col("avg_a") < F.col("avg_b"), F.lit(a)).otherwise(F.lit(b)).alias("faster"),
+                    _faster(a, b).alias("faster"),
                     F.abs(F.col("avg_a") - F.col("avg_b")).alias("gap")))
 
 
@@ -153,18 +169,19 @@ def display_name(name: Column | str) -> Column:
 
 def insights(comp: DataFrame, position: str = "position",
              a: str = FRAMEWORK_SPARK, b: str = FRAMEWORK_TWIN) -> DataFrame:
-    """Up to three insight rows (title, text): best model by F1, the faster
-    framework (only when both are present), best accuracy."""
-    best_f1 = best_by(comp, "F1-Score", position).select(
-        F.lit(1).alias("rank"), F.lit(INSIGHT_BEST_TITLE).alias("title"),
-        F.format_string(INSIGHT_BEST_TEXT, "Model", "Framework", percent_text(F.col("value"))).alias("text"))
-    speed = framework_time(comp, a, b).select(
-        F.lit(2).alias("rank"), F.lit(INSIGHT_SPEED_TITLE).alias("title"),
-        F.format_string(INSIGHT_SPEED_TEXT, "faster", fixed2(F.col("gap"))).alias("text"))
-    best_acc = best_by(comp, "Accuracy", position).select(
-        F.lit(3).alias("rank"), F.lit(INSIGHT_ACC_TITLE).alias("title"),
-        F.format_string(INSIGHT_ACC_TEXT, "Model", percent_text(F.col("value"))).alias("text"))
-    return best_f1.unionByName(speed).unionByName(best_acc)
+    """Up to three insight rows (rank, title, text): best model by F1, the
+    faster framework (only when both are present), best accuracy. The comparison
+    is read once, in one aggregation."""
+    row = lambda rank, title, text: F.struct(F.lit(rank).alias("rank"), F.lit(title).alias("title"), text.alias("text"))
+    agg = comp.agg(*_times(a, b), _best("F1-Score", position).alias("f1"), _best("Accuracy", position).alias("acc"))
+    rows = F.array(
+        F.when(F.col("f1").isNotNull(), row(1, INSIGHT_BEST_TITLE, F.format_string(
+            INSIGHT_BEST_TEXT, "f1.Model", "f1.Framework", percent_text(F.col("f1.value"))))),
+        F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), row(2, INSIGHT_SPEED_TITLE, F.format_string(
+            INSIGHT_SPEED_TEXT, _faster(a, b), fixed2(F.abs(F.col("avg_a") - F.col("avg_b")))))),
+        F.when(F.col("acc").isNotNull(), row(3, INSIGHT_ACC_TITLE, F.format_string(
+            INSIGHT_ACC_TEXT, "acc.Model", percent_text(F.col("acc.value"))))))
+    return agg.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("x")).select("x.rank", "x.title", "x.text")
 
 
 def results_bundle(**tables: DataFrame) -> DataFrame:
@@ -177,15 +194,27 @@ def results_bundle(**tables: DataFrame) -> DataFrame:
     return out
 
 
+MAX_MODELS = 10_000
+
+
+def _named(catalogue: DataFrame, name_col: str) -> list[str]:
+    """The model names of a catalogue (one row per saved model), checked to be few."""
+    names = [r[0] for r in catalogue.select(name_col).distinct().limit(MAX_MODELS + 1).collect()]
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models in the catalogue")
+    return sorted(n for n in names if n is not None)
+
+
 def unknown_model_rejects(requests: DataFrame, model_col: str, catalogue: DataFrame,
                           name_col: str = "name") -> DataFrame:
     """Requests naming a model absent from the catalogue, with the reason
-    and the list of available names. The catalogue is one row per saved model
-    (a handful), so it is broadcast."""
-    avail = catalogue.agg(F.array_join(F.array_sort(F.collect_list(name_col)), ",").alias("available_models"))
-    rejected = requests.join(F.broadcast(catalogue.select(F.col(name_col).alias(model_col))),
-                             on=model_col, how="left_anti")
-    # one-row table of names, joined on a constant key
-    return (rejected.withColumn("_k", F.lit(1))
-            .join(F.broadcast(avail.withColumn("_k", F.lit(1))), "_k").drop("_k")
-            .withColumn("reason", F.format_string(UNKNOWN_MODEL_TEXT, F.col(model_col))))
+    and the list of available names. A request without a name is rejected too,
+    with its own reason. The catalogue is bounded (``MAX_MODELS``), so the names
+    become part of the plan: one narrow pass over the requests."""
+    names = _named(catalogue, name_col)
+    model = F.col(model_col)
+    known = model.isin(*names) if names else F.lit(False)
+    return (requests.where(model.isNull() | ~known)
+            .withColumn("available_models", F.lit(",".join(names)))
+            .withColumn("reason", F.when(model.isNull(), F.lit(MISSING_MODEL_TEXT))
+                        .otherwise(F.format_string(UNKNOWN_MODEL_TEXT, model))))

@@ -1,12 +1,10 @@
 """Classifier metrics as DataFrame aggregations.
 
-All metrics of a predictions table come from two small aggregates:
-* the long confusion table (by..., label, prediction, n): at most
-  groups x classes^2 rows, built with map-side partial counts;
-* per distinct score (by..., score, pos, neg) for the exact AUC.
-
-Nothing is collected to the driver; a stacked table of many models' predictions
-gets every model's metrics in the same jobs (``by=["model"]``).
+Everything is lazy: no job runs while a metric is defined, and nothing is
+collected. A stacked table of many models' predictions gets every model's
+metrics in one plan (``by=["model"]``). :func:`evaluate` reads the predictions
+once: one aggregate by (group, label, prediction, score) feeds the per-class
+counts and the exact AUC.
 """
 
 from __future__ import annotations
@@ -14,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators.sampling import bounded_table
 from pixelmill.schemas import DIAGNOSIS_NEGATIVE, DIAGNOSIS_POSITIVE
-from pixelmill.session import shared_dir
 
 
 def _safe_div(a: Column, b: Column, default=0.0) -> Column:
@@ -25,23 +21,22 @@ def _safe_div(a: Column, b: Column, default=0.0) -> Column:
 
 def confusion_long(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                    by: list[str] | tuple = ()) -> DataFrame:
-    """(by..., label, prediction, n) with label/prediction as doubles.
-
-    One scan of the predictions; the result (groups x classes^2 rows, size
-    checked) is materialised so every per-class metric below reuses it instead
-    of re-reading the predictions."""
-    counts = (pred.groupBy(*by, F.col(label).cast("double").alias("label"),
-                           F.col(prediction).cast("double").alias("prediction"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    return bounded_table(counts)
+    """(by..., label, prediction, n) with label/prediction as doubles: at most
+    groups x classes^2 rows, counted with map-side partial counts."""
+    return (pred.groupBy(*by, F.col(label).cast("double").alias("label"),
+                         F.col(prediction).cast("double").alias("prediction"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                      classes=(0, 1), by: list[str] | tuple = ()) -> DataFrame:
-    """A5: rows = true class, one count column per predicted class (0 when absent)."""
+    """A5: rows = true class, one count column per predicted class (0 when
+    absent) and ``pred_other`` for predictions outside ``classes``, null included."""
     p = F.col(prediction).cast("double")
+    known = F.coalesce(p.isin(*[float(c) for c in classes]), F.lit(False))
     return (pred.groupBy(*by, F.col(label).cast("int").alias("label"))
-            .agg(*[F.count_if(p == F.lit(float(c))).alias(f"pred_{c}") for c in classes]))
+            .agg(*[F.count_if(p == F.lit(float(c))).alias(f"pred_{c}") for c in classes],
+                 F.count_if(~known).alias("pred_other")))
 
 
 def per_class(conf: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
@@ -65,12 +60,7 @@ def per_class(conf: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
                                                 F.col("precision") + F.col("recall")))
 
 
-def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                     by: list[str] | tuple = ()) -> DataFrame:
-    """Accuracy and support-weighted precision / recall / F1 (the
-    definitions of MLlib's MulticlassClassificationEvaluator)."""
-    by = list(by)
-    pc = per_class(confusion_long(pred, label, prediction, by), by)
+def _weighted(pc: DataFrame, by: list[str]) -> DataFrame:
     total = F.sum("support")
     return pc.groupBy(*by).agg(
         (F.sum("tp") / total).alias("accuracy"),
@@ -80,6 +70,14 @@ def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "p
     )
 
 
+def weighted_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                     by: list[str] | tuple = ()) -> DataFrame:
+    """Accuracy and support-weighted precision / recall / F1 (the
+    definitions of MLlib's MulticlassClassificationEvaluator)."""
+    by = list(by)
+    return _weighted(per_class(confusion_long(pred, label, prediction, by), by), by)
+
+
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per-class precision/recall/F1/support, then accuracy, macro and
     support-weighted averages, as one long table keyed by ``row``."""
@@ -102,57 +100,55 @@ def class_report(pred: DataFrame, label: str = "label", prediction: str = "predi
 
 
 def auc_roc(pred: DataFrame, label: str = "label", score: str = "score",
-            by: list[str] | tuple = (), rows_per_bucket: int = 1_000_000,
-            max_buckets: int = 4096) -> DataFrame:
-    """A10: exact area under the ROC curve (ties count one half).
-
-    AUC = sum over positives of (#negatives with a lower score + 1/2 #equal)
-    / (#pos * #neg).  Rows are first aggregated per distinct score (a hot score
-    becomes one row), distinct scores are cut into buckets at approximate
-    quantiles, negatives below each bucket come from a small per-bucket table,
-    and only within a bucket is a running sum needed -- so no single task
-    holds more than about ``rows_per_bucket`` distinct scores."""
+            by: list[str] | tuple = ()) -> DataFrame:
+    """A10: exact area under the ROC curve (ties count one half)."""
     by = list(by)
     key = by if by else ["_g"]
     src = pred if by else pred.withColumn("_g", F.lit(0))
     is_pos = F.col(label).cast("double") == 1.0
-    d = (src.groupBy(*key, F.col(score).cast("double").alias("_s"))
-         .agg(F.count_if(is_pos).alias("_pos"), F.count_if(~is_pos).alias("_neg")))
-    # the distinct-score table is read several times below: write it once to
-    # the shared checkpoint folder (cuts the lineage back to the predictions)
-    shared_dir(d.sparkSession)
-    d = d.checkpoint(eager=True)
-    n_distinct = d.count()  # one scalar; sizes the bucketing
-    buckets = int(min(max_buckets, max(1, -(-n_distinct // rows_per_bucket))))
-    if buckets > 1:
-        pct = [i / buckets for i in range(1, buckets)]
-        # one row per group (model) holding buckets - 1 cut points: bounded
-        cuts = bounded_table(d.groupBy(*key).agg(
-            F.percentile_approx("_s", pct, 10 * buckets).alias("_cuts")))
-        d = d.join(F.broadcast(cuts), key).withColumn(
-            "_b", F.size(F.filter("_cuts", lambda c: c <= F.col("_s")))).drop("_cuts")
-    else:
-        d = d.withColumn("_b", F.lit(0))
-    wb = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_b = (d.groupBy(*key, "_b").agg(F.sum("_neg").alias("_bneg"))
-             .withColumn("_neg_before", F.coalesce(F.sum("_bneg").over(wb), F.lit(0))))
-    wi = Window.partitionBy(*key, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_neg_in", F.coalesce(F.sum("_neg").over(wi), F.lit(0)))
-    d = d.join(per_b.select(*key, "_b", "_neg_before"), key + ["_b"])
-    contrib = F.col("_pos") * (F.col("_neg_before") + F.col("_neg_in") + 0.5 * F.col("_neg"))
-    out = d.groupBy(*key).agg(F.sum(contrib).alias("_num"), F.sum("_pos").alias("_p"),
-                              F.sum("_neg").alias("_n"))
-    denom = F.col("_p").cast("double") * F.col("_n")
-    out = out.select(*key, F.when(denom > 0, F.col("_num") / denom).alias("auc_roc"))
+    out = _auc(src.groupBy(*key, F.col(score).cast("double").alias("_s"))
+               .agg(F.count_if(is_pos).alias("_pos"), F.count_if(~is_pos).alias("_neg")), key)
     return out if by else out.drop("_g")
 
 
+def _auc(scores: DataFrame, key: list[str]) -> DataFrame:
+    """AUC per group from one row per (group, distinct score).
+
+    AUC = sum over positives of (#negatives with a lower score + 1/2 #equal)
+    / (#pos * #neg). The distinct scores are range-partitioned by (group,
+    score); each range of a group takes its own running sum and shrinks to one
+    row (area inside the range, positives, negatives), and the ranges of a group,
+    at most one per partition, are put together in order. So the largest task
+    holds one range, however the scores are distributed."""
+    ranged = (scores.repartitionByRange(*key, "_s").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*key, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (ranged.withColumn("_below", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
+             .groupBy(*key, "_range").agg(
+                 F.sum(F.col("_pos") * (F.col("_below") + 0.5 * F.col("_neg"))).alias("_area"),
+                 F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = parts.groupBy(*key).agg(F.sum(F.col("_area") + F.col("_p") * F.col("_before")).alias("_num"),
+                                  F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    denom = F.col("_p").cast("double") * F.col("_n")
+    return out.select(*key, F.when(denom > 0, F.col("_num") / denom).alias("auc_roc"))
+
+
 def evaluate(pred: DataFrame, label: str = "label", prediction: str = "prediction",
              score: str = "score", by: list[str] | tuple = ()) -> DataFrame:
-    """Accuracy, weighted precision / recall / F1 and AUC per group."""
+    """Accuracy, weighted precision / recall / F1 and AUC per group,
+    from one aggregate of the predictions."""
     key = list(by) if by else ["_g"]
     src = pred if by else pred.withColumn("_g", F.lit(0))
-    out = weighted_metrics(src, label, prediction, key).join(auc_roc(src, label, score, key), key)
+    cells = (src.groupBy(*key, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("label"),
+                         F.col(prediction).cast("double").alias("prediction"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    conf = cells.groupBy(*key, "label", "prediction").agg(F.sum("n").alias("n"))
+    is_pos = F.col("label") == 1.0
+    scores = cells.groupBy(*key, "_s").agg(
+        F.coalesce(F.sum(F.when(is_pos, F.col("n"))), F.lit(0)).alias("_pos"),
+        F.coalesce(F.sum(F.when(~is_pos, F.col("n"))), F.lit(0)).alias("_neg"))
+    out = _weighted(per_class(conf, key), key).join(_auc(scores, key), key)
     return out if by else out.drop("_g")
 
 

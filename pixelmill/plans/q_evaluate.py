@@ -2,8 +2,8 @@
 
 Scores come from fixed linear scorers over ``embeddings`` so every metric has
 an exact SQL twin without training a model (trained models are covered by the
-``*_cv`` queries, checked by row count). Scorer k uses the first L_k elements
-with integer weights ((i * (2m + f + 3)) mod 7) - 3.
+``*_cv`` queries). Every scorer reads the whole vector; they differ in their
+integer weights ((i * (2m + f + 3)) mod 7) - 3 for element i.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import compare as C
 from pixelmill.operators import metrics as E
-from pixelmill.operators.sampling import bounded_table
 from pixelmill.plans.common import Registry, rounded, severity_frame
 from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN, MODEL_NAMES
 from pixelmill.sources.tables import table
@@ -28,42 +27,37 @@ FRAMEWORKS = (FRAMEWORK_SPARK, FRAMEWORK_TWIN)
 
 
 def scorer_spec():
-    """[(position, model, framework, m, f, length)] for 3 scorers x 2 frameworks."""
-    out = []
-    for m in range(3):
-        for f in range(2):
-            length = 16 * (m + 1) + 8 * f
-            out.append((2 * m + f + 1, f"linear_{16 * (m + 1)}", FRAMEWORKS[f], m, f, length))
-    return out
-
-
-def linear_score(arr: str, m: int, f: int, length: int):
-    weights = [((i * (2 * m + f + 3)) % 7) - 3 for i in range(length)]
-    prods = F.zip_with(F.slice(F.col(arr), 1, length), F.array(*[F.lit(float(w)) for w in weights]),
-                       lambda x, w: x.cast("double") * w)
+    """[(position, model, framework, m, f)] for 3 scorers x 2 frameworks."""
+    return [(2 * m + f + 1, f"linear_{m + 1}", FRAMEWORKS[f], m, f) for m in range(3) for f in range(2)]
+
+
+def linear_score(arr: str, m: int, f: int):
+    """Weighted sum over the whole array, whatever its length."""
+    prods = F.transform(F.col(arr), lambda x, i: x.cast("double") * ((i * (2 * m + f + 3)) % 7 - 3))
     return F.aggregate(prods, F.lit(0.0), lambda a, b: a + b)
 
 
+def _predicted(df: DataFrame) -> DataFrame:
+    return df.withColumn("prediction", F.when(F.col("score") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def scored(spark, sf_dir) -> DataFrame:
-    """(vec_id, label, score, prediction) from the full-length scorer."""
+    """(vec_id, label, score, prediction) from the first scorer."""
     s = severity_frame(spark, sf_dir)
-    sc = linear_score("embedding", 0, 0, 64)
-    return s.select("vec_id", "label", sc.alias("score")).withColumn(
-        "prediction", F.when(F.col("score") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return _predicted(s.select("vec_id", "label", linear_score("embedding", 0, 0).alias("score")))
 
 
 def stacked(spark, sf_dir) -> DataFrame:
     """All six scorers' predictions stacked: (model, framework, position, work,
-    vec_id, label, score, prediction). One scan; each row fans out six ways."""
+    vec_id, label, score, prediction). One scan; each row fans out six ways.
+    ``work`` is a deterministic cost: elements read times the scorer's position."""
     s = severity_frame(spark, sf_dir)
-    specs = scorer_spec()
     arr = F.array(*[F.struct(F.lit(pos).alias("position"), F.lit(model).alias("model"),
-                             F.lit(fw).alias("framework"), F.lit(length).alias("length"),
-                             linear_score("embedding", m, f, length).alias("score"))
-                    for pos, model, fw, m, f, length in specs])
-    return (s.select("vec_id", "label", F.explode(arr).alias("_s"))
-            .select("_s.model", "_s.framework", "_s.position", "_s.length", "vec_id", "label", "_s.score")
-            .withColumn("prediction", F.when(F.col("score") > 0, F.lit(1.0)).otherwise(F.lit(0.0))))
+                             F.lit(fw).alias("framework"), (F.size("embedding") * pos).cast("long").alias("work"),
+                             linear_score("embedding", m, f).alias("score"))
+                    for pos, model, fw, m, f in scorer_spec()])
+    return _predicted(s.select("vec_id", "label", F.explode(arr).alias("_s")).select(
+        "_s.model", "_s.framework", "_s.position", "_s.work", "vec_id", "label", "_s.score"))
 
 
 _SQL_ELEMS = ("(SELECT vec_id, CASE WHEN label % 5 >= 1 THEN 1 ELSE 0 END AS label, "
@@ -78,14 +72,13 @@ def _sql_scored() -> str:
 
 
 def _sql_stacked() -> str:
-    values = ", ".join(f"({pos}, '{model}', '{fw}', {m}, {f}, {length})"
-                       for pos, model, fw, m, f, length in scorer_spec())
-    return f"""(SELECT model, framework, position, length, vec_id, label, score,
+    values = ", ".join(f"({pos}, '{model}', '{fw}', {m}, {f})" for pos, model, fw, m, f in scorer_spec())
+    return f"""(SELECT model, framework, position, work, vec_id, label, score,
        CAST(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS prediction FROM
-  (SELECT sc.model, sc.framework, sc.position, sc.length, e.vec_id, e.label,
-          sum(CASE WHEN e.i < sc.length THEN e.x * (((e.i * (2 * sc.m + sc.f + 3)) % 7) - 3) ELSE 0.0 END) AS score
-   FROM {_SQL_ELEMS} e, (VALUES {values}) AS sc(position, model, framework, m, f, length)
-   GROUP BY sc.model, sc.framework, sc.position, sc.length, e.vec_id, e.label) t)"""
+  (SELECT sc.model, sc.framework, sc.position, count(*) * sc.position AS work, e.vec_id, e.label,
+          sum(e.x * (((e.i * (2 * sc.m + sc.f + 3)) % 7) - 3)) AS score
+   FROM {_SQL_ELEMS} e, (VALUES {values}) AS sc(position, model, framework, m, f)
+   GROUP BY sc.model, sc.framework, sc.position, sc.m, sc.f, e.vec_id, e.label) t)"""
 
 
 def _sql_metrics(src: str, by: list[str], digits: int | None = 6) -> str:
@@ -127,7 +120,8 @@ FROM w a JOIN u b ON {on}"""
 
 @register("confusion_matrix", f"""
 SELECT CAST(label AS INTEGER) AS label, count(*) FILTER (WHERE prediction = 0.0) AS pred_0,
-       count(*) FILTER (WHERE prediction = 1.0) AS pred_1
+       count(*) FILTER (WHERE prediction = 1.0) AS pred_1,
+       count(*) FILTER (WHERE prediction NOT IN (0.0, 1.0) OR prediction IS NULL) AS pred_other
 FROM {_sql_scored()} p GROUP BY 1
 """)
 def q_confusion_matrix(spark, sf_dir):
@@ -198,30 +192,24 @@ def q_decision_projection(spark, sf_dir):
 # --- comparison table and its reports (A12-A14, P7-P10, R5, R6) ----------------------------
 
 def evaluated(spark, sf_dir, by=("model", "framework", "position")) -> DataFrame:
-    """Metrics of the six scorers plus their work measure (rows x weights / 1000)."""
+    """Metrics of the six scorers plus their work measure (thousands)."""
     st = stacked(spark, sf_dir)
-    ev = E.evaluate(st, by=list(by))
-    work = st.groupBy("model", "framework").agg(
-        (F.count(F.lit(1)) * F.first("length") / 1000.0).alias("training_time"))
-    return ev.join(work, ["model", "framework"])
+    work = st.groupBy(*by).agg((F.sum("work") / 1000.0).alias("training_time"))
+    return E.evaluate(st, by=list(by)).join(work, list(by))
 
 
 def comparison(spark, sf_dir) -> DataFrame:
     """(Model, Framework, Accuracy, F1-Score, AUC-ROC, Training Time, position).
 
-    The fixed scorers have no fitting step; their time column holds a
+    The fixed scorers have no fitting step; their time column holds the
     deterministic work measure so the reports below are reproducible."""
-    ev = evaluated(spark, sf_dir)
-    comp = C.union_frameworks([C.to_comparison(C.framework_rows(ev, fw, "framework"), fw, keep=["position"])
-                               for fw in FRAMEWORKS])
-    # one row per (model, framework): computed once, reused by every report
-    return bounded_table(comp)
+    return C.to_comparison(evaluated(spark, sf_dir), F.col("framework"), keep=["position"])
 
 
 def _sql_comparison() -> str:
     return f"""(WITH s AS {_sql_stacked()},
-m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework', 'position', 'length'], None)}),
-w AS (SELECT model, framework, count(*) * first(length) / 1000.0 AS training_time FROM s GROUP BY ALL)
+m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework', 'position'], None)}),
+w AS (SELECT model, framework, sum(work) / 1000.0 AS training_time FROM s GROUP BY ALL)
 SELECT m.model AS "Model", m.framework AS "Framework", m.position AS position, m.accuracy AS "Accuracy",
        m.f1_score AS "F1-Score", m.auc_roc AS "AUC-ROC", w.training_time AS "Training Time"
 FROM m JOIN w ON m.model = w.model AND m.framework = w.framework)"""
@@ -258,8 +246,7 @@ UNION ALL
 (SELECT 'Accuracy', "Model", "Framework", round("Accuracy", 6) FROM c ORDER BY "Accuracy" DESC, position LIMIT 1)
 """)
 def q_best_model(spark, sf_dir):
-    comp = comparison(spark, sf_dir)
-    return rounded(C.best_by(comp, "F1-Score").unionByName(C.best_by(comp, "Accuracy")))
+    return rounded(C.best_by(comparison(spark, sf_dir), "F1-Score", "Accuracy"))
 
 
 @register("framework_time", f"""
@@ -313,7 +300,7 @@ def _sql_result_text() -> str:
                     for c in ("accuracy", "precision", "recall", "f1_score", "auc_roc"))
     return f"""
 WITH m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework'], None)}),
-w AS (SELECT model, framework, count(*) * first(length) / 1000.0 AS training_time FROM {_sql_stacked()} s GROUP BY ALL)
+w AS (SELECT model, framework, sum(work) / 1000.0 AS training_time FROM {_sql_stacked()} s GROUP BY ALL)
 SELECT m.model AS model, {pct},
        CASE WHEN w.training_time IS NOT NULL AND w.training_time <> 0
             THEN printf('%.2f', round(w.training_time, 8)) || 's' ELSE '' END AS time_text
@@ -344,7 +331,7 @@ def q_display_names(spark, sf_dir):
 
 @register("results_bundle", f"""
 WITH m AS ({_sql_metrics(_sql_stacked(), ['model', 'framework'])}),
-w AS (SELECT model, framework, count(*) * first(length) / 1000.0 AS training_time FROM {_sql_stacked()} s GROUP BY ALL),
+w AS (SELECT model, framework, sum(work) / 1000.0 AS training_time FROM {_sql_stacked()} s GROUP BY ALL),
 mm AS (SELECT m.*, w.training_time FROM m JOIN w USING (model, framework)),
 c AS {_sql_comparison()}
 SELECT 'spark' AS source, model, NULL::VARCHAR AS framework, accuracy, precision, recall, f1_score, auc_roc,
@@ -365,13 +352,23 @@ def q_results_bundle(spark, sf_dir):
     return rounded(C.results_bundle(spark=spark_rows, sklearn=twin_rows, comparison=comp))
 
 
+# requested model names: some events ask for a saved model, some for none
+REQUESTED = {"view": MODEL_NAMES[0], "click": MODEL_NAMES[1], "error": None}
+_SQL_REQUESTED = ("CASE event_type " + " ".join(
+    f"WHEN '{k}' THEN {'NULL' if v is None else repr(v)}" for k, v in REQUESTED.items()) + " ELSE event_type END")
+
+
 @register("unknown_model_rejects", f"""
-SELECT event_id, event_type, 'Modèle ' || event_type || ' non disponible' AS reason,
+WITH r AS (SELECT event_id, {_SQL_REQUESTED} AS model FROM events)
+SELECT event_id, model, CASE WHEN model IS NULL THEN 'Modèle non spécifié'
+       ELSE 'Modèle ' || model || ' non disponible' END AS reason,
        '{",".join(sorted(MODEL_NAMES))}' AS available_models
-FROM events WHERE event_type NOT IN ({", ".join(f"'{m}'" for m in MODEL_NAMES)})
+FROM r WHERE model IS NULL OR model NOT IN ({", ".join(f"'{m}'" for m in MODEL_NAMES)})
 """)
 def q_unknown_model_rejects(spark, sf_dir):
-    req = table(spark, sf_dir, "events").select("event_id", "event_type")
+    model = F.col("event_type")
+    for name, wanted in REQUESTED.items():
+        model = F.when(F.col("event_type") == name, F.lit(wanted)).otherwise(model)
+    req = table(spark, sf_dir, "events").select("event_id", model.alias("model"))
     cat = spark.createDataFrame([(m,) for m in MODEL_NAMES], "name string")
-    return C.unknown_model_rejects(req, "event_type", cat).select(
-        "event_id", "event_type", "reason", "available_models")
+    return C.unknown_model_rejects(req, "model", cat).select("event_id", "model", "reason", "available_models")

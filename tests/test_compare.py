@@ -2,6 +2,7 @@
 
 from pixelmill.operators import compare as C
 
+# fixed values: plain numbers of the original result file
 ROWS = [
     (1, "Logistic Regression", "Spark MLlib", 0.9068767908309456, 0.9068280281156372, 0.966699507389164, 81.18108),
     (2, "Random Forest", "Spark MLlib", 0.9412607449856734, 0.9412531486907244, 0.9854679802955668, 13.933387),
@@ -58,3 +59,17 @@ def test_display_name(spark):
     df = spark.createDataFrame([("spark_logistic_regression",), ("svm",), ("spark_random_forest",)], "n string")
     out = [r[0] for r in df.select(C.display_name("n")).collect()]
     assert out == ["Logistic Regression", "Svm", "Random Forest"]
+
+
+def test_unknown_models_with_known_and_null_names(spark):
+    req = spark.createDataFrame([(1, "svm"), (2, None), (3, "other")], "id int, model string")
+    cat = spark.createDataFrame([("svm",), ("lr",)], "name string")
+    rows = {r["id"]: r for r in C.unknown_model_rejects(req, "model", cat).collect()}
+    assert set(rows) == {2, 3} and rows[3]["available_models"] == "lr,svm"
+    assert rows[3]["reason"] == "Modèle other non disponible" and rows[2]["reason"] == "Modèle non spécifié"
+
+
+def test_several_best_rows_and_empty_table(spark):
+    both = {r["criterion"]: r["Model"] for r in C.best_by(_comp(spark), "F1-Score", "Training Time").collect()}
+    assert both == {"F1-Score": "SVM", "Training Time": "Logistic Regression"}
+    assert C.best_by(_comp(spark, []), "F1-Score").count() == 0 and C.insights(_comp(spark, [])).count() == 0

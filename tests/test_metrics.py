@@ -32,11 +32,35 @@ def test_auc_matches_brute_force_and_mllib(spark):
     assert abs(got - ml) < 1e-9
 
 
-def test_auc_bucketed_equals_single_bucket(spark):
-    df, y, s, _ = _pred(spark, seed=5, n=3000)
-    a = E.auc_roc(df, rows_per_bucket=10).collect()[0]["auc_roc"]
-    b = E.auc_roc(df).collect()[0]["auc_roc"]
-    assert abs(a - b) < 1e-12 and abs(a - _numpy_auc(y, s)) < 1e-12
+def test_auc_of_skewed_tied_and_many_groups(spark):
+    """Groups of very different sizes and score ranges over several ranges."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g in range(30):
+        n = 2000 if g == 0 else int(rng.integers(2, 40))
+        y = rng.integers(0, 2, n)
+        s = [np.round(rng.normal(size=n), 1), np.exp(rng.normal(size=n) * 20), np.ones(n)][g % 3] + 0.0
+        rows += [(g, int(a), float(b)) for a, b in zip(y, s)]
+        want[g] = _numpy_auc(y, s) if 0 < y.sum() < n else None
+    df = spark.createDataFrame(rows, "g int, label int, score double").repartition(6)
+    for r in E.auc_roc(df, by=["g"]).collect():
+        assert (r["auc_roc"] is None) == (want[r["g"]] is None)
+        assert want[r["g"]] is None or abs(r["auc_roc"] - want[r["g"]]) < 1e-12
+
+
+def test_nothing_runs_while_metrics_are_defined(spark):
+    df, *_ = _pred(spark, seed=5)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("define-metrics", "none expected")
+    E.evaluate(df), E.class_report(df), E.weighted_metrics(df), E.auc_roc(df)
+    assert list(tracker.getJobIdsForGroup("define-metrics")) == []
+
+
+def test_predictions_of_other_classes_are_counted(spark):
+    rows = [(0, 0.0), (0, 2.0), (1, None), (1, 1.0)]
+    cm = {r["label"]: tuple(r)[1:] for r in E.confusion_matrix(
+        spark.createDataFrame(rows, "label int, prediction double")).collect()}
+    assert cm == {0: (1, 0, 1), 1: (0, 1, 1)}
 
 
 def test_weighted_metrics_match_mllib(spark):
