@@ -50,26 +50,14 @@ def _axis_weights(src: int, dst: int):
 
 def resize_bilinear(img: np.ndarray, out_h: int = IMAGE_SIDE, out_w: int = IMAGE_SIDE) -> np.ndarray:
     """Half-pixel-centre bilinear resize with edge clamping, rounded to uint8
-    (separable: rows first, then columns)."""
+    (separable: rows first, then columns), in double precision at every size."""
     h, w = img.shape[:2]
     if (h, w) == (out_h, out_w):
         return img
     y0, y1, wy = _axis_weights(h, out_h)
     x0, x1, wx = _axis_weights(w, out_w)
-    if h * w <= out_h * out_w:
-        # small source: the two interpolation passes as dense matrix products
-        my = np.zeros((out_h, h))
-        np.add.at(my, (np.arange(out_h), y0), 1 - wy)
-        np.add.at(my, (np.arange(out_h), y1), wy)
-        mx = np.zeros((out_w, w))
-        np.add.at(mx, (np.arange(out_w), x0), 1 - wx)
-        np.add.at(mx, (np.arange(out_w), x1), wx)
-        rows = np.tensordot(my, img.astype(np.float64), axes=(1, 0))       # (out_h, w, c)
-        out = np.tensordot(rows, mx, axes=(1, 1)).transpose(0, 2, 1)        # (out_h, out_w, c)
-        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
-    src = img.astype(np.float32)
-    rows = src[y0] * (1 - wy)[:, None, None].astype(np.float32) + src[y1] * wy[:, None, None].astype(np.float32)
-    out = rows[:, x0] * (1 - wx)[None, :, None].astype(np.float32) + rows[:, x1] * wx[None, :, None].astype(np.float32)
+    rows = img[y0].astype(np.float64) * (1 - wy)[:, None, None] + img[y1].astype(np.float64) * wy[:, None, None]
+    out = rows[:, x0] * (1 - wx)[None, :, None] + rows[:, x1] * wx[None, :, None]
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
@@ -106,24 +94,13 @@ def rgb_to_gray(rgb: np.ndarray) -> np.ndarray:
 
 # --- I3 / I5 / I8: moments -----------------------------------------------------------------
 
-def channel_stats(x: np.ndarray) -> tuple[float, float, float]:
-    """mean, population std, population skew (0 when the channel is flat)."""
-    v = x.astype(np.float64).ravel()
-    mean = v.mean()
-    d = v - mean
-    m2 = np.mean(d * d)
-    m3 = np.mean(d * d * d)
-    skew = 0.0 if m2 <= (_RES * mean) ** 2 else m3 / m2 ** 1.5
-    return float(mean), float(np.sqrt(m2)), float(skew)
-
-
 _LEVELS = np.arange(256, dtype=np.float64)
 
 
 def level_stats(counts: np.ndarray) -> tuple[float, float, float]:
-    """channel_stats of an 8-bit channel from its 256-level histogram: the
-    same sums, grouped by level (one pass of bincount instead of three float
-    passes over every pixel)."""
+    """Mean, population std and population skew (0 when the channel is flat) of
+    an 8-bit channel from its 256-level histogram: sums grouped by level, one
+    pass of bincount instead of three float passes over every pixel."""
     n = counts.sum()
     mean = counts @ _LEVELS / n
     d = _LEVELS - mean
@@ -139,12 +116,6 @@ def level_counts(channel: np.ndarray) -> np.ndarray:
 
 # --- I7 / I9: histogram and entropy ----------------------------------------------------------
 
-def histogram(gray: np.ndarray, bins: int = HIST_BINS, rng=HIST_RANGE) -> np.ndarray:
-    counts, _ = np.histogram(gray.ravel(), bins=bins, range=rng)
-    total = counts.sum()
-    return counts / total if total > 0 else np.zeros(bins)
-
-
 def entropy(p: np.ndarray) -> float:
     p = p[p > 0]
     return float(-(p * np.log(p)).sum())

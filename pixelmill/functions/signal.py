@@ -57,20 +57,6 @@ def skew_from_moments(mean: Column, m2: Column, m3: Column) -> Column:
     return F.when(flat, F.lit(0.0)).otherwise(m3 / F.pow(m2, 1.5))
 
 
-def array_moments(arr: Column | str, prefix: str) -> list[Column]:
-    """[mean, std (population), skew (population), min, max] of a numeric array."""
-    a = as_double_array(arr)
-    cm = central_moments(a)
-    mean, m2, m3 = cm["mean"], cm["m2"], cm["m3"]
-    return [
-        mean.alias(f"{prefix}_mean"),
-        F.sqrt(m2).alias(f"{prefix}_std"),
-        skew_from_moments(mean, m2, m3).alias(f"{prefix}_skew"),
-        F.array_min(a).alias(f"{prefix}_min"),
-        F.array_max(a).alias(f"{prefix}_max"),
-    ]
-
-
 def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Histogram bin of one value over [lo, hi] in ``bins`` equal bins; the last
     bin is closed; -1 when the value lies outside the range (it is not counted)."""
@@ -79,21 +65,14 @@ def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
     return F.when(inside, F.least(raw, F.lit(bins - 1))).otherwise(F.lit(-1))
 
 
-def array_histogram(arr: Column | str, lo: float, hi: float, bins: int,
-                    prefix: str = "hist") -> list[Column]:
-    """Normalised fixed-range histogram of an array (fractions of the in-range
-    values; values outside [lo, hi] are ignored)."""
-    a = as_double_array(arr)
-    idx = F.transform(a, lambda x: bin_index(x, lo, hi, bins))
-    total = F.size(F.filter(idx, lambda b: b >= 0))
-
-    def is_bin(k):  # one-argument lambda: PySpark reads the arity
-        return lambda b: b == k
+def bin_counts(arr: Column, lo: float, hi: float, bins: int) -> Column:
+    """Counts of the in-range values per bin, as one array: a single pass of
+    ``aggregate`` over the array (values outside [lo, hi] are ignored)."""
+    def step(acc, x):
+        b = bin_index(x, lo, hi, bins)
+        return F.transform(acc, lambda n, i: n + F.when(i == b, F.lit(1)).otherwise(F.lit(0)))
 
-    return [
-        F.when(total > 0, F.size(F.filter(idx, is_bin(k))) / total).alias(f"{prefix}_{k}")
-        for k in range(bins)
-    ]
+    return F.aggregate(arr, F.array_repeat(F.lit(0), bins), step)
 
 
 def entropy(probs: list[Column]) -> Column:
@@ -156,9 +135,3 @@ def hu_invariants(m: Column) -> list[Column]:
 def log_scale(h: Column, eps: float = 1e-10) -> Column:
     """-sign(h) * log10(|h| + eps): the usual dynamic-range squash for Hu moments."""
     return -F.signum(h) * F.log10(F.abs(h) + F.lit(eps))
-
-
-def grid_hu_moments(arr: Column | str, width: int, prefix: str = "hu_moment",
-                    eps: float = 1e-10) -> list[Column]:
-    m = grid_raw_moments(arr, width)
-    return [log_scale(h, eps).alias(f"{prefix}_{i}") for i, h in enumerate(hu_invariants(m))]

@@ -3,8 +3,9 @@
 
 Images are decoded by Spark's ``image`` source on the executors; the 42
 features are computed by one ``mapInPandas`` function over Arrow batches of
-flat (height, width, channels, bytes) rows. A decoded image is 3 x H x W bytes,
-so batches are kept small.
+flat (height, width, channels, bytes) rows. Spark bounds those batches by bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set otherwise); no
+setting of the session is changed here, and no pixels are shuffled.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from pixelmill.functions.signal import as_double_array
 from pixelmill.operators.labels import class_folder, parse_image_path
 from pixelmill.schemas import FEATURE_NAMES
 
-IMAGE_BATCH_ROWS = 32
 CV_8UC3 = 16
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """S2 + P5: every image file under ``root`` (any depth); unreadable files
-    are dropped by the source."""
+def read_images(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """S2 + P5: every image file under one or several folders (any depth);
+    unreadable files are dropped by the source."""
     return (spark.read.format("image").option("dropInvalid", True)
             .option("recursiveFileLookup", True).load(root))
 
@@ -62,28 +62,48 @@ def image_keys(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", folder.alias("class_folder"), key.alias("id_code"))
 
 
+def labelled_folders(spark: SparkSession, root: str, labels: DataFrame, grade_col: str = "diagnosis") -> list[str]:
+    """The class folders under ``root`` that a label points to and that exist.
+    There are as many as classes, a handful."""
+    found = image_keys(spark, root).select("class_folder").distinct()
+    wanted = labels.select(class_folder(grade_col).alias("class_folder")).distinct()
+    return sorted(f"{root.rstrip('/')}/{r[0]}" for r in found.join(wanted, "class_folder").collect())
+
+
 def labelled_features(spark: SparkSession, root: str, labels: DataFrame, id_col: str = "id_code",
                       grade_col: str = "diagnosis") -> tuple[DataFrame, DataFrame]:
-    """J1 + I12 + J2 in the order that scales: every image is decoded and
-    reduced to its 42 features inside its scan task, then the small feature
-    rows are joined to the labels (no image bytes are shuffled).
+    """J1 + I12 + J2 in the order that scales: only class folders that labels
+    point to are read; every image there is decoded and reduced to its 42 features
+    inside its scan task, then the small feature rows are joined to the labels
+    (no image bytes are shuffled). ``image_path`` is the file's real path.
 
     Unmatched labels are those that yield no feature row (no file, or a file
     that does not decode). They are found against the feature keys; callers
     that need both results should write the features first (as
     ``plans.prepare`` does) so the images are decoded once."""
-    keyed = with_image_keys(read_images(spark, root))
-    feats = extract_features(keyed, [id_col, "class_folder"])
+    folders = labelled_folders(spark, root, labels, grade_col)
+    keyed = with_image_keys(read_images(spark, folders or root)).withColumn("image_path", F.col("image.origin"))
+    feats = extract_features(keyed, [id_col, "class_folder", "image_path"])
     return label_images(feats, labels, id_col, grade_col)
 
 
+def invalid_images(images: DataFrame, keys: list[str], image_col: str = "image") -> DataFrame:
+    """P5: the keys of rows that do not decode and that the extractor therefore
+    drops: no bytes, no extent, or bytes that do not fit the extent."""
+    i = F.col(image_col)
+    fits = F.length(i["data"]) == i["height"].cast("long") * i["width"] * i["nChannels"]
+    return images.where(~F.coalesce(fits & (i["height"] > 0) & (i["width"] > 0), F.lit(False))).select(*keys)
+
+
 def images_from_arrays(df: DataFrame, array_col: str, width: int, keys: list[str],
                        lo: float = -0.5, hi: float = 0.5, origin_prefix: str = "array://") -> DataFrame:
     """Numeric arrays -> image rows in the image-source layout, JVM-side.
 
     Element i of an n-array is pixel (i div width, i mod width); the three
     channels are the array read from offsets 0, n/3 and 2n/3 (B, G, R), each
-    value mapped linearly from [lo, hi] to 0..255 and clamped."""
+    value mapped linearly from [lo, hi] to 0..255 and clamped. Where the width
+    does not divide n, black pixels fill the last row, so no value is lost. Null
+    and empty arrays give rows that :func:`invalid_images` reports."""
     staged = df.select(*keys, as_double_array(array_col).alias("_a"))
     a = F.col("_a")
     n = F.size(a)
@@ -98,11 +118,13 @@ def images_from_arrays(df: DataFrame, array_col: str, width: int, keys: list[str
     idx = F.sequence(F.lit(0), n - 1)
     pix = F.flatten(F.transform(idx, lambda i: F.array(
         level(at(i)), level(at(i + F.floor(n / 3))), level(at(i + F.floor(2 * n / 3))))))
+    height = F.ceil(n / width).cast("int")
+    pix = F.when(n > 0, F.concat(pix, F.array_repeat(F.lit(0), (height * width - n) * 3)))
     data = F.unhex(F.array_join(F.transform(pix, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     img = F.struct(
         F.concat(F.lit(origin_prefix), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
         .alias("origin"),
-        F.floor(n / width).cast("int").alias("height"), F.lit(width).alias("width"),
+        height.alias("height"), F.lit(width).alias("width"),
         F.lit(3).alias("nChannels"), F.lit(CV_8UC3).alias("mode"), data.alias("data"))
     return staged.select(*keys, img.alias("image"))
 
@@ -121,21 +143,45 @@ def _extractor(keys: list[str]):
     return run
 
 
-def extract_features(df: DataFrame, keys: list[str], image_col: str = "image",
-                     batch_rows: int = IMAGE_BATCH_ROWS) -> DataFrame:
-    """Keys + the 42 image features; undecodable rows are dropped (P5)."""
-    spark = df.sparkSession
-    conf_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(conf_key, "10000")) > batch_rows:
-        spark.conf.set(conf_key, str(batch_rows))
+def extract_features(df: DataFrame, keys: list[str], image_col: str = "image") -> DataFrame:
+    """Keys + the 42 image features, computed where the rows are;
+    undecodable rows are dropped (P5, see :func:`invalid_images`). Inputs in too few
+    partitions are best spread before they become images."""
     flat = df.select(*keys, F.col(f"{image_col}.height").alias("_h"), F.col(f"{image_col}.width").alias("_w"),
                      F.col(f"{image_col}.nChannels").alias("_c"), F.col(f"{image_col}.data").alias("_data"))
-    # Feature extraction costs ~20 ms per image: when the input arrives in
-    # fewer partitions than there are task slots (e.g. one Parquet row group of
-    # many images), spread the rows by key first.
-    slots = spark.sparkContext.defaultParallelism
-    if not flat.isStreaming and flat.rdd.getNumPartitions() < slots:
-        flat = flat.repartition(slots, *keys)
     schema = T.StructType([df.schema[k] for k in keys] +
                           [T.StructField(n, T.DoubleType()) for n in FEATURE_NAMES])
     return flat.mapInPandas(_extractor(keys), schema)
+
+
+def _per_image(df: DataFrame, keys: list[str], work, columns: dict[str, T.DataType], image_col: str) -> DataFrame:
+    """keys + what ``work`` gives for each decoded image."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for at, (h, w, c, data) in enumerate(zip(pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"])):
+                img = K.decode(data, int(h), int(w), int(c)) if h is not None else None
+                if img is not None:
+                    rows.append((at, *work(img)))
+            out = pdf[keys].iloc[[r[0] for r in rows]].reset_index(drop=True)
+            for n, name in enumerate(columns):
+                out[name] = [r[n + 1] for r in rows]
+            yield out
+
+    flat = df.select(*keys, *[F.col(f"{image_col}.{a}").alias(b) for a, b in
+                              (("height", "_h"), ("width", "_w"), ("nChannels", "_c"), ("data", "_data"))])
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, t) for n, t in columns.items()])
+    return flat.mapInPandas(run, schema)
+
+
+def resized(df: DataFrame, keys: list[str], height: int, width: int, image_col: str = "image") -> DataFrame:
+    """The RGB bytes of every image after bilinear resizing."""
+    return _per_image(df, keys, lambda img: (K.resize_bilinear(img, height, width).tobytes(),),
+                      {"rgb": T.BinaryType()}, image_col)
+
+
+def edge_map(df: DataFrame, keys: list[str], image_col: str = "image") -> DataFrame:
+    """The Canny edge map of every image at its own size, row by row as
+    0 / 1 characters."""
+    return _per_image(df, keys, lambda img: ("".join(map(str, (K.canny(K.rgb_to_gray(img)) > 0).astype(int).ravel())),),
+                      {"edges": T.StringType()}, image_col)

@@ -5,8 +5,10 @@ carries its own scaling. Model selection is MLlib's ``CrossValidator``:
 * folds come from a hash of the *source* id (``fold_column``), so oversampled
   copies of one row never sit on both sides of a fold, and the folds do not
   depend on partitioning;
-* grid points are fitted concurrently (``parallelism``), each fit itself a set
-  of distributed jobs (tree aggregation of gradients / split statistics).
+* up to ``parallelism`` fits run at a time, each itself a set of distributed
+  jobs (tree aggregation of gradients / split statistics). Every fit keeps its own
+  cached blocks of the training rows, so the number at a time bounds the storage:
+  ``PARALLELISM`` is meant for large tables; small ones can take more.
 """
 
 from __future__ import annotations
@@ -33,10 +35,24 @@ TWIN_RF_GRID = {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15, None], "min_
 TWIN_SVM_C = [0.1, 1, 10]
 NUM_FOLDS = 3
 SEED = 42
+# Settings of the three estimators and of the scaler before each.
+LR_SETTINGS = {"maxIter": 100, "regParam": 0.01, "elasticNetParam": 0.5}
+RF_SETTINGS = {"numTrees": 50, "maxDepth": 7, "seed": SEED}
+SVM_SETTINGS = {"maxIter": 50, "regParam": 0.3, "tol": 1e-4, "aggregationDepth": 2, "standardization": False}
+SCALE_ONLY, CENTRE_AND_SCALE = {}, {"withMean": True, "withStd": True}
 # MLlib's deepest tree is 30 levels; an unbounded depth maps to it.
 MAX_TREE_DEPTH = 30
 # --------------------------------------------------------------------------------------
 
+#: Fits at a time unless a caller knows that more fit in memory.
+PARALLELISM = 2
+# kind -> (display name, estimator, its settings, scaler settings, grid)
+KINDS = {
+    "lr": ("Logistic Regression", LogisticRegression, LR_SETTINGS, SCALE_ONLY, LR_GRID),
+    "rf": ("Random Forest", RandomForestClassifier, RF_SETTINGS, SCALE_ONLY, RF_GRID),
+    "svm": ("Linear SVM", LinearSVC, SVM_SETTINGS, CENTRE_AND_SCALE, SVM_GRID),
+}
+
 
 @dataclass
 class FitResult:
@@ -61,41 +77,21 @@ def _grid(stage, spec: dict):
     return b.build()
 
 
-def lr_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
-                pre: list | tuple = ()):
-    """Scale (std only) + elastic-net logistic regression, 100 iterations."""
-    sc = StandardScaler(inputCol=features, outputCol="scaledFeatures")
-    lr = LogisticRegression(featuresCol="scaledFeatures", labelCol=label, maxIter=100,
-                            regParam=0.01, elasticNetParam=0.5)
-    if weight:
-        lr.setWeightCol(weight)
-    return Pipeline(stages=[*pre, sc, lr]), lr
-
-
-def rf_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
-                pre: list | tuple = ()):
-    """Scale + random forest, 50 trees, depth 7, seed 42."""
-    sc = StandardScaler(inputCol=features, outputCol="scaledFeatures")
-    rf = RandomForestClassifier(featuresCol="scaledFeatures", labelCol=label, numTrees=50,
-                                maxDepth=7, seed=SEED)
+def classifier_pipeline(kind: str, features: str = "features", label: str = "label", weight: str | None = None,
+                        pre: list | tuple = (), **changed):
+    """``pre`` stages, the kind's scaler and its classifier. Returns
+    (pipeline, classifier); ``changed`` settings replace the fixed ones."""
+    _, estimator, settings, scaling, _ = KINDS[kind]
+    scale = StandardScaler(inputCol=features, outputCol="scaledFeatures", **scaling)
+    stage = estimator(featuresCol="scaledFeatures", labelCol=label, **(settings | changed))
     if weight:
-        rf.setWeightCol(weight)
-    return Pipeline(stages=[*pre, sc, rf]), rf
-
-
-def svm_pipeline(features: str = "features", label: str = "label", weight: str | None = None,
-                pre: list | tuple = ()):
-    """Centre + scale, then a linear SVM on the scaled features."""
-    sc = StandardScaler(inputCol=features, outputCol="scaledFeatures", withMean=True, withStd=True)
-    svm = LinearSVC(featuresCol="scaledFeatures", labelCol=label, maxIter=50, regParam=0.3,
-                    tol=1e-4, aggregationDepth=2, standardization=False)
-    if weight:
-        svm.setWeightCol(weight)
-    return Pipeline(stages=[*pre, sc, svm]), svm
+        stage.setWeightCol(weight)
+    return Pipeline(stages=[*pre, scale, stage]), stage
 
 
 def auc_evaluator(label: str = "label") -> BinaryClassificationEvaluator:
-    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    """Exact AUC (no binning), as the test metrics have it."""
+    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
 
 
 def cross_validate_mllib(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
@@ -106,7 +102,7 @@ def cross_validate_mllib(name: str, pipeline: Pipeline, grid: list, train: DataF
     from pyspark.ml.tuning import CrossValidator
 
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=auc_evaluator(label),
-                        numFolds=folds, seed=SEED, parallelism=parallelism or min(8, len(grid)))
+                        numFolds=folds, seed=SEED, parallelism=parallelism or PARALLELISM)
     if fold_col:
         cv.setFoldCol(fold_col)
     t0 = time.perf_counter()
@@ -126,11 +122,11 @@ def cross_validate(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
     best grid point on all of ``train``; wall time of the whole selection.
 
     Same result as MLlib's ``CrossValidator`` with a fold column (mean AUC per
-    grid point over the held-out folds, arg-max, refit), but every
-    (fold, grid point) fit is submitted at once instead of fold after fold, so
-    small grids (one SVM point, two forest points) still keep the cluster busy.
-    The training table is cached once; each fold is a filter on it.
-    ``engine="mllib"`` uses MLlib's ``CrossValidator`` instead."""
+    grid point over the held-out folds, arg-max, refit), but the fits of all
+    folds share one queue of ``parallelism`` workers, so that a small grid (one SVM
+    point, two forest points) does not wait fold by fold. Each fold is a filter
+    on ``train``, which callers write once before. ``engine="mllib"`` uses
+    MLlib's ``CrossValidator`` instead."""
     from concurrent.futures import ThreadPoolExecutor
 
     if engine == "mllib":
@@ -139,50 +135,36 @@ def cross_validate(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
     ev = auc_evaluator(label)
     data = train if fold_col else train.withColumn("_fold", F.floor(F.rand(SEED) * folds).cast("int"))
     fcol = fold_col or "_fold"
-    data = data.persist()
-    tasks = [(f, i) for f in range(folds) for i in range(len(grid))]
-    width = parallelism or min(8, len(tasks))
 
     def run(task):
         f, i = task
         model = pipeline.fit(data.where(F.col(fcol) != f), grid[i])
-        return i, ev.evaluate(model.transform(data.where(F.col(fcol) == f)))
+        return ev.evaluate(model.transform(data.where(F.col(fcol) == f)))
 
+    tasks = [(f, i) for f in range(folds) for i in range(len(grid))]
     t0 = time.perf_counter()
-    try:
-        # When the fold fits leave idle slots (small grids), every grid point is
-        # also refitted on all rows right away; the winner's refit is kept.
-        eager = len(tasks) + len(grid) <= max(width, 8)
-        with ThreadPoolExecutor(max_workers=width + (len(grid) if eager else 0)) as pool:
-            refits = [pool.submit(pipeline.fit, data, pm) for pm in grid] if eager else None
-            scores = list(pool.map(run, tasks))
-            sums = [0.0] * len(grid)
-            for i, auc in scores:
-                sums[i] += auc
-            avg = [x / folds for x in sums]
-            best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
-            model = refits[best].result() if eager else pipeline.fit(data, grid[best])
-    finally:
-        data.unpersist()
+    with ThreadPoolExecutor(max_workers=parallelism or PARALLELISM) as pool:
+        scores = list(pool.map(run, tasks))
+    avg = [sum(s for s, (_, at) in zip(scores, tasks) if at == i) / folds for i in range(len(grid))]
+    best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
+    model = pipeline.fit(data, grid[best])
     elapsed = time.perf_counter() - t0
     params = [{p.name: v for p, v in pm.items()} for pm in grid]
-    return FitResult(name, model, avg, params, elapsed, n_fits=folds * len(grid) + 1,
+    return FitResult(name, model, avg, params, elapsed, n_fits=len(tasks) + 1,
                      extra={"best_params": params[best]})
 
 
-def fit_lr(train: DataFrame, pre=(), **kw) -> FitResult:
-    pipe, lr = lr_pipeline(pre=pre)
-    return cross_validate("Logistic Regression", pipe, _grid(lr, LR_GRID), train, **kw)
-
+def cv_table(spark, fit: FitResult) -> DataFrame:
+    """The average metric of every grid point, as a table to persist."""
+    rows = [(fit.name, i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(m),
+             p == fit.extra["best_params"]) for i, (p, m) in enumerate(zip(fit.params, fit.avg_metrics))]
+    return spark.createDataFrame(rows, "model string, point int, params string, avg_auc double, best boolean")
 
-def fit_rf(train: DataFrame, pre=(), **kw) -> FitResult:
-    pipe, rf = rf_pipeline(pre=pre)
-    return cross_validate("Random Forest", pipe, _grid(rf, RF_GRID), train, **kw)
 
-
-def fit_svm(train: DataFrame, pre=(), **kw) -> FitResult:
-    pipe, svm = svm_pipeline(pre=pre)
-    return cross_validate("Linear SVM", pipe, _grid(svm, SVM_GRID), train, **kw)
+def fit_grid(kind: str, train: DataFrame, pre=(), **kw) -> FitResult:
+    """One of the three original grids."""
+    pipe, stage = classifier_pipeline(kind, pre=pre)
+    return cross_validate(KINDS[kind][0], pipe, _grid(stage, KINDS[kind][4]), train, **kw)
 
 
 def validation_auc(result: FitResult, val: DataFrame, label: str = "label") -> float:
@@ -198,31 +180,28 @@ def twin_reg_param(c: float, n: int) -> float:
     return 1.0 / (c * n)
 
 
-def fit_twin_lr(train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
-    pipe, lr = lr_pipeline(weight=weight, pre=pre)
-    lr.setElasticNetParam(0.0).setMaxIter(1000)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [twin_reg_param(c, n) for c in TWIN_LR_C]).build()
-    return cross_validate("Logistic Regression", pipe, grid, train, **kw)
-
-
-def fit_twin_rf(train: DataFrame, weight: str = "class_weight", pre=(), **kw) -> FitResult:
-    """min_samples_split s has no MLlib twin; minInstancesPerNode = s // 2 is
-    the nearest rule (a split needs two children of at least that size)."""
-    pipe, rf = rf_pipeline(weight=weight, pre=pre)
-    depths = [MAX_TREE_DEPTH if d is None else d for d in TWIN_RF_GRID["maxDepth"]]
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, TWIN_RF_GRID["numTrees"])
-            .addGrid(rf.maxDepth, depths)
-            .addGrid(rf.minInstancesPerNode, [max(1, s // 2) for s in TWIN_RF_GRID["min_samples_split"]])
-            .build())
-    return cross_validate("Random Forest", pipe, grid, train, **kw)
-
-
-def fit_twin_svm(train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
-    """Linear part of the kernel-SVM grid (no distributed RBF solver in MLlib)."""
-    pipe, svm = svm_pipeline(weight=weight, pre=pre)
-    svm.setMaxIter(100)
-    grid = ParamGridBuilder().addGrid(svm.regParam, [twin_reg_param(c, n) for c in TWIN_SVM_C]).build()
-    return cross_validate("SVM", pipe, grid, train, **kw)
+def twin_grid(kind: str, n: int, weight: str = "class_weight", pre=()):
+    """(pipeline, grid) of a re-aimed grid for ``n`` training rows.
+
+    The forest's min_samples_split s has no MLlib twin; minInstancesPerNode =
+    s // 2 is the nearest rule (a split needs two children of at least that
+    size). Of the kernel-SVM grid only the linear part runs (no distributed RBF
+    solver in MLlib)."""
+    changed = {"lr": {"elasticNetParam": 0.0, "maxIter": 1000}, "rf": {}, "svm": {"maxIter": 100}}[kind]
+    pipe, stage = classifier_pipeline(kind, weight=weight, pre=pre, **changed)
+    if kind == "rf":
+        spec = {"numTrees": TWIN_RF_GRID["numTrees"],
+                "maxDepth": [MAX_TREE_DEPTH if d is None else d for d in TWIN_RF_GRID["maxDepth"]],
+                "minInstancesPerNode": [max(1, s // 2) for s in TWIN_RF_GRID["min_samples_split"]]}
+    else:
+        spec = {"regParam": [twin_reg_param(c, n) for c in (TWIN_LR_C if kind == "lr" else TWIN_SVM_C)]}
+    return pipe, _grid(stage, spec)
+
+
+def fit_twin(kind: str, train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
+    """A single-machine grid, re-aimed."""
+    pipe, grid = twin_grid(kind, n, weight, pre)
+    return cross_validate(KINDS[kind][0], pipe, grid, train, **kw)
 
 
 # --- S9 / S10: model store --------------------------------------------------------------

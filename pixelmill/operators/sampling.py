@@ -6,18 +6,25 @@ All randomness is a hash of (seed, source key), so:
 * results do not depend on partitioning or on task retries.
 
 Per-class parameters are aggregated to one row per class and joined back.
-The number of classes is the size bound of those tables, so they are
+The number of classes is the size bound of those tables (checked), so they are
 broadcast; nothing else is.
+
+Rows without a class (null label) belong to no class: they are neither counted
+nor returned by the balancing and weighting operators; :func:`without_class`
+gives them as a table.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelmill.functions.hashing import hash_uniform
+from pixelmill.session import scratch_path
 
 
 MAX_GROUPS = 10_000
@@ -62,16 +69,6 @@ def hash_split(df: DataFrame, key: str, seed=42,
     return df.withColumn(out, expr)
 
 
-def random_split_two_stage(df: DataFrame, seed: int = 42, weights=(0.7, 0.1, 0.2)):
-    """The original's split, kept for comparison: ``randomSplit`` into
-    (train + val, test), then train + val into (train, val). Row placement
-    depends on partitioning and row order; prefer :func:`hash_split`."""
-    tr, va, te = weights
-    train_val, test = df.randomSplit([tr + va, te], seed=seed)
-    train, val = train_val.randomSplit([tr / (tr + va), 1 - tr / (tr + va)], seed=seed)
-    return train, val, test
-
-
 def split_counts(df: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """A2: rows per (split, class) in one aggregation instead of one job each."""
     return df.groupBy(split, label).agg(F.count(F.lit(1)).alias("n"))
@@ -94,24 +91,31 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 # --- A4 / B4 ---------------------------------------------------------------------
 
+def without_class(df: DataFrame, label: str = "label") -> DataFrame:
+    """The rows that have no class."""
+    return df.where(F.col(label).isNull())
+
+
+def _class_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def balance_targets(df: DataFrame, label: str = "label", factor: float = 2.0) -> DataFrame:
     """A4: per class: count, target = floor(factor * largest class count) and
     the sampling fraction target / count. Empty classes do not appear, so there
-    is no division by zero. The per-class counts are one bounded aggregation;
-    the largest count is read from it."""
-    counts = bounded_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
-    largest = max([r["n"] for r in counts.collect()], default=0)
-    target = int(largest * factor)  # floor for the non-negative product
-    return (counts.withColumn("target", F.lit(target).cast("long"))
+    is no division by zero. Lazy; the window runs over one row per class."""
+    largest = F.max("n").over(Window.partitionBy())
+    return (_class_counts(df, label)
+            .withColumn("target", F.floor(largest * F.lit(float(factor))).cast("long"))
             .withColumn("fraction", F.col("target") / F.col("n")))
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "class_weight") -> DataFrame:
-    """B4: 'balanced' weights n / (k * n_c) attached to every row."""
-    counts = bounded_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")))
+    """B4: 'balanced' weights n / (k * n_c) attached to every row that has a class."""
+    counts = bounded_table(_class_counts(df, label))
     rows = counts.collect()
-    n, k = sum(r["_nc"] for r in rows), len(rows)
-    weights = counts.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("_nc"))).alias(out))
+    n, k = sum(r["n"] for r in rows), len(rows)
+    weights = counts.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("n"))).alias(out))
     return df.join(F.broadcast(weights), on=label, how="inner")
 
 
@@ -122,84 +126,94 @@ COPY_CHUNK = 1 << 14
 
 def replicate(df: DataFrame, count_col: str, keys: list[str], out: str = "copy",
               chunk: int = COPY_CHUNK, max_count: int | None = None) -> DataFrame:
-    """Each row repeated ``count_col`` times, numbered 1..count in ``out``.
+    """Each row repeated ``count_col`` times, numbered 1..count (long) in ``out``.
 
     Rows needing at most ``chunk`` copies are expanded where they are. A row
     needing more (a tiny class oversampled to a huge target) is first cut into
     chunk descriptors, which are hash-distributed by (keys, chunk) before being
-    expanded, so the copies of one row never pile up in one task."""
-    n = F.col(count_col)
-    light = (df.where((n > 0) & (n <= chunk))
-             .withColumn(out, F.explode(F.sequence(F.lit(1), n.cast("int")))))
+    expanded, so the copies of one row never pile up in one task. Both ways give
+    the same rows, columns and types; ``max_count`` only tells that the second is not needed."""
+    n = F.col(count_col).cast("long")
+    one = F.lit(1).cast("long")
+    light = df.where((n > 0) & (n <= chunk)).withColumn(out, F.explode(F.sequence(one, n)))
     if max_count is not None and max_count <= chunk:
-        return light  # known bound: no row needs spreading, no extra shuffle
+        return light
+    size = F.lit(chunk).cast("long")
     heavy = (df.where(n > chunk)
-             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))))
+             .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / size).cast("long"))))
              .repartition(*[F.col(k) for k in keys], F.col("_chunk"))
-             .withColumn(out, F.explode(F.sequence(
-                 (F.col("_chunk") * chunk + 1).cast("int"),
-                 F.least((F.col("_chunk") + 1) * chunk, n).cast("int"))))
+             .withColumn(out, F.explode(F.sequence(F.col("_chunk") * size + 1,
+                                                   F.least((F.col("_chunk") + 1) * size, n))))
              .drop("_chunk"))
     return light.unionByName(heavy)
 
 
 # --- W1: exact per-group top-k by hash, without a per-group single task ---------
 
+#: Rows that the bucket of a group's cut holds on average.
+EDGE_ROWS = 4096
+
+
+def rank_cuts(rows: DataFrame, group: str, order: str, ties: list[str], sizes: DataFrame,
+              k_col: str = "k", n_col: str = "n") -> DataFrame:
+    """Per group the place in (order, *ties) up to which its ``k`` smallest rows
+    reach: (group, _all, _cut). ``_all`` means the whole group, no cut none of it.
+
+    ``order`` is a uniform [0, 1) column. Rows are counted in even buckets of
+    it, as many per group as give ``EDGE_ROWS`` rows each; the bucket of the k-th row
+    is found on the counts and only that one is ranked. ``sizes``: one row per
+    group (group, k, n), a checked small table, as is the result."""
+    sized = F.broadcast(sizes.select(group, F.col(k_col).cast("long").alias("_k"), F.col(n_col).cast("long").alias("_n")))
+    buckets = F.ceil(F.col("_n") / F.lit(EDGE_ROWS))
+    b = (rows.select(group, order, *ties).join(sized, group)
+         .withColumn("_bucket", F.floor(F.col(order) * buckets).cast("long")))
+    upto = F.sum("_c").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    reach = (b.groupBy(group, "_bucket", "_k").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto)
+             .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_c") < F.col("_k")))
+             .select(group, F.col("_bucket").alias("_edge"), (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_need")))
+    edges = bounded_table(reach)
+    place = Window.partitionBy(group).orderBy(order, *ties)
+    cut = (b.join(F.broadcast(edges), group).where(F.col("_bucket") == F.col("_edge"))
+           .withColumn("_r", F.row_number().over(place)).where(F.col("_r") == F.col("_need"))
+           .select(group, F.struct(order, *ties).alias("_cut")))
+    return bounded_table(sizes.join(cut, group, "left").select(
+        group, (F.col(k_col) >= F.col(n_col)).alias("_all"), "_cut"))
+
+
+def up_to_cut(df: DataFrame, cuts: DataFrame, group: str, order: str, ties: list[str]) -> DataFrame:
+    """The rows of ``df`` within the cuts of :func:`rank_cuts`: one narrow pass."""
+    inside = F.col("_all") | F.coalesce(F.struct(order, *ties) <= F.col("_cut"), F.lit(False))
+    return df.join(F.broadcast(cuts), group).where(inside).drop("_all", "_cut")
+
+
 def smallest_per_group(df: DataFrame, group: str, order: str, ties: list[str],
-                       k: DataFrame, k_col: str = "k", buckets: int = 1 << 16) -> DataFrame:
-    """Keep, per ``group``, the ``k`` rows with the smallest (order, *ties).
-
-    ``order`` is a uniform [0, 1) column. A window over each whole group would
-    put a hot class in one task; instead rows are counted per (group, bucket of
-    ``order``) -- a table bounded by groups x buckets -- the boundary bucket of
-    each group is found on that small table, rows below it are kept as they
-    are, and only the boundary bucket (about 1/buckets of the group) is ranked.
-    ``k`` is one row per group: (group, k_col)."""
-    b = df.withColumn("_bucket", F.floor(F.col(order) * F.lit(buckets)).cast("int"))
-    per_bucket = b.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    kk = k.select(group, F.col(k_col).cast("long").alias("_k"))
-    cum = (per_bucket.withColumn("_upto", F.sum("_cnt").over(wb))
-           .withColumn("_before", F.col("_upto") - F.col("_cnt"))
-           .join(F.broadcast(kk), group))
-    # per group: total rows and the boundary bucket (where the running count
-    # first reaches k) with the number of rows still needed from it
-    reach = F.when(F.col("_upto") >= F.col("_k"), F.col("_bucket"))
-    plan = bounded_table(cum.groupBy(group).agg(
-        F.max("_upto").alias("_total"), F.first("_k").alias("_k"),
-        F.min_by(F.struct(F.col("_bucket").alias("b"), (F.col("_k") - F.col("_before")).alias("need")), reach)
-        .alias("_edge")))
-    plan = plan.select(group, (F.col("_k") >= F.col("_total")).alias("_all"),
-                       F.col("_edge.b").alias("_cut"), F.col("_edge.need").alias("_need"))
-    tagged = b.join(F.broadcast(plan), group)
-    keep_low = tagged.where(F.col("_all") | (F.col("_bucket") < F.col("_cut")))
-    edge = tagged.where(~F.col("_all") & (F.col("_bucket") == F.col("_cut")))
-    wr = Window.partitionBy(group).orderBy(F.col(order), *[F.col(t) for t in ties])
-    edge_kept = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= F.col("_need")).drop("_r")
-    cols = df.columns
-    return keep_low.select(*cols).unionByName(edge_kept.select(*cols))
+                       k: DataFrame, k_col: str = "k") -> DataFrame:
+    """Keep, per ``group``, the ``k`` rows with the smallest (order, *ties)."""
+    sizes = bounded_table(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).join(k.select(group, k_col), group))
+    return up_to_cut(df, rank_cuts(df, group, order, ties, sizes, k_col), group, order, ties).select(*df.columns)
 
 
 # --- B1: Poisson bootstrap --------------------------------------------------------
 
-def poisson_draw(u: Column, lam: Column) -> Column:
-    """Inverse Poisson CDF: smallest j with u < P(X <= j), by a sequential scan
-    of j = 0..kmax (kmax well past the tail)."""
-    kmax = F.ceil(lam + F.lit(12.0) * F.sqrt(lam) + F.lit(12.0)).cast("int")
-    # pmf in log space (log j! accumulated), so a large lambda does not underflow
-    start = F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("lf"), F.lit(0.0).alias("c"))
-
-    def step(acc, j):
-        lf = acc["lf"] + F.when(j == 0, F.lit(0.0)).otherwise(F.log(j.cast("double")))
-        p = F.exp(-lam + j * F.log(lam) - lf)
-        c = acc["c"] + p
-        k = F.when((acc["k"] < 0) & (u < c), j).otherwise(acc["k"])
-        return F.struct(k.alias("k"), lf.alias("lf"), c.alias("c"))
+def poisson_table(lam: float) -> tuple[int, list[float]]:
+    """(least, cumulative): P(X <= least + i) of a Poisson variable, over the
+    24 standard deviations around its mean that hold all but 1e-30 of it."""
+    if lam <= 0:
+        return 0, [1.0]
+    width = 12.0 * math.sqrt(lam) + 12.0
+    least, most = max(0, math.floor(lam - width)), math.ceil(lam + width)
+    j = np.arange(least, most + 1, dtype=np.float64)
+    log_j = np.log(np.maximum(j, 1.0))
+    # log j! from the first value on, so that no large factorial is formed
+    log_p = -lam + j * math.log(lam) - (math.lgamma(least + 1) + np.concatenate([[0.0], np.cumsum(log_j[1:])]))
+    return least, np.cumsum(np.exp(log_p)).tolist()
 
-    def finish(acc):
-        return F.when(acc["k"] < 0, kmax + 1).otherwise(acc["k"])
 
-    return F.aggregate(F.sequence(F.lit(0), kmax), start, step, finish)
+def _draws(spark, params: list, label_field: T.StructField) -> DataFrame:
+    """(label, least, cumulative) per class: the lookup of its Poisson draws."""
+    schema = T.StructType([label_field, T.StructField("_least", T.LongType()),
+                           T.StructField("_cumulative", T.ArrayType(T.DoubleType()))])
+    return spark.createDataFrame([(r[label_field.name], *poisson_table(r["fraction"])) for r in params], schema)
 
 
 def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: float = 2.0,
@@ -207,38 +221,51 @@ def bootstrap_balance(df: DataFrame, key: str, label: str = "label", factor: flo
     """B1: oversample every class with replacement toward ``factor`` x the
     largest class, then cap each class at that target.
 
-    Each row gets Poisson(target / n_c) copies from its own hash draw, exploded
-    locally; the cap keeps the copies with the smallest order hash per class
-    (exact, see :func:`smallest_per_group`). Output adds ``copy`` (1-based)."""
-    targets = balance_targets(df, label, factor)
-    params = F.broadcast(targets.select(label, "target", "fraction"))
-    drawn = (df.join(params, label)
-             .withColumn("_k", poisson_draw(hash_uniform(seed, key), F.col("fraction"))))
-    # the largest possible draw is bounded by the scan length of poisson_draw
-    lam = max([r["fraction"] for r in targets.collect()], default=0.0)
-    kmax = int(math.ceil(lam + 12.0 * math.sqrt(lam) + 12.0)) + 1
-    drawn = (replicate(drawn, "_k", [key], max_count=kmax)
-             .withColumn("_o", hash_uniform(f"{seed}:order", key, "copy"))
-             .drop("_k", "target", "fraction"))
-    kept = smallest_per_group(drawn, label, "_o", [key, "copy"],
-                              targets.select(label, F.col("target").alias("k")))
-    return kept.drop("_o")
+    Each row gets Poisson(target / n_c) copies from its own hash draw, looked up
+    in a cumulative table of its class; the cap keeps the copies with the
+    smallest order hash per class. The narrow rows (key, class, copy, order) are
+    drawn and written once, the cut of each class is found on them, and one
+    pass over the input then expands the copies up to the cut. Output adds
+    ``copy`` (long, from 1)."""
+    spark = df.sparkSession
+    df = df.where(F.col(label).isNotNull())
+    targets = bounded_table(balance_targets(df, label, factor))
+    params = targets.collect()
+    draws = F.broadcast(_draws(spark, params, df.schema[label]))
+    most = max((len(poisson_table(r["fraction"])[1]) + poisson_table(r["fraction"])[0] for r in params), default=0)
+
+    def copies(rows: DataFrame) -> DataFrame:
+        u = hash_uniform(seed, key)
+        drawn = (rows.join(draws, label).withColumn("_u", u)
+                 .withColumn("_k", F.col("_least") + F.size(F.filter("_cumulative", lambda c: c <= F.col("_u"))))
+                 .drop("_least", "_cumulative", "_u"))
+        return (replicate(drawn, "_k", [key], max_count=most).drop("_k")
+                .withColumn("_o", hash_uniform(f"{seed}:order", key, "copy")))
+
+    path = scratch_path(spark, "drawn-copies")
+    copies(df.select(key, label)).write.parquet(path)
+    narrow = spark.read.parquet(path)
+    sizes = bounded_table(narrow.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+                          .join(F.broadcast(targets.select(label, F.col("target").alias("k"))), label))
+    cuts = rank_cuts(narrow, label, "_o", [key, "copy"], sizes)
+    return up_to_cut(copies(df), cuts, label, "_o", [key, "copy"]).select(*df.columns, "copy")
 
 
 def exact_balance(df: DataFrame, key: str, label: str = "label", factor: float = 2.0,
                   seed: int = 42) -> DataFrame:
     """B2: exactly ``target`` rows per class: every row ``target // n_c`` times,
-    plus the ``target % n_c`` rows with the smallest hash once more."""
-    targets = (balance_targets(df, label, factor)
-               .withColumn("whole", (F.col("target") / F.col("n")).cast("long"))
-               .withColumn("rest", F.col("target") - F.col("whole") * F.col("n")))
-    p = F.broadcast(targets.select(label, "whole", "rest"))
-    base = df.join(p, label)
-    most = max([r["whole"] for r in targets.collect()], default=0)
-    whole = replicate(base, "whole", [key], max_count=most).drop("whole", "rest")
-    extra_pool = (base.withColumn("copy", (F.col("whole") + 1).cast("int"))
-                  .withColumn("_o", hash_uniform(seed, key))
-                  .drop("whole", "rest"))
-    extra = smallest_per_group(extra_pool, label, "_o", [key],
-                               targets.select(label, F.col("rest").alias("k"))).drop("_o")
-    return whole.unionByName(extra)
+    plus the ``target % n_c`` rows with the smallest hash once more. The cut of
+    each class is found on keys and classes alone; one pass over the input then
+    expands every row to its copies (numbered from 1, long)."""
+    df = df.where(F.col(label).isNotNull())
+    targets = bounded_table(balance_targets(df, label, factor)
+                            .withColumn("whole", F.floor(F.col("target") / F.col("n")).cast("long"))
+                            .withColumn("k", F.col("target") - F.col("whole") * F.col("n")))
+    order = hash_uniform(seed, key)
+    narrow = df.select(key, label).withColumn("_o", order)
+    cuts = rank_cuts(narrow, label, "_o", [key], targets)
+    more = F.coalesce(F.struct("_o", key) <= F.col("_cut"), F.lit(False))
+    most = max([r["whole"] for r in targets.collect()], default=0) + 1
+    counted = (df.withColumn("_o", order).join(F.broadcast(targets.select(label, "whole").join(cuts, label)), label)
+               .withColumn("_k", F.col("whole") + F.when(more, F.lit(1)).otherwise(F.lit(0))))
+    return replicate(counted, "_k", [key], max_count=most).select(*df.columns, "copy")

@@ -17,3 +17,16 @@ def score(model: PipelineModel, df: DataFrame, keys: list[str], model_name: str)
         *keys, F.col("prediction"), positive_score("rawPrediction").alias("score"),
         *decision("prediction"), F.lit(model_name).alias("model"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+
+
+def score_requests(models: dict[str, PipelineModel], requests: DataFrame, model_col: str, keys: list[str]) -> DataFrame:
+    """R2: every request scored with the model that it names; requests that name
+    no known model give no row (see ``compare.unknown_model_rejects``). One
+    filtered pass per saved model, of which there are few."""
+    out = None
+    for name in sorted(models):
+        part = score(models[name], requests.where(F.col(model_col) == name), keys, name)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no models to score with")
+    return out

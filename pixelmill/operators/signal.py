@@ -32,8 +32,14 @@ def array_moments(df: DataFrame, array_col: str, keys: list[str], prefix: str =
 
 def array_histogram(df: DataFrame, array_col: str, keys: list[str], lo: float, hi: float,
                     bins: int = 10, prefix: str = "hist") -> DataFrame:
-    """M2: normalised fixed-range histogram, one column per bin."""
-    return df.select(*keys, *S.array_histogram(array_col, lo, hi, bins, prefix))
+    """M2: normalised fixed-range histogram, one column per bin (null where no
+    value is in range). The counts are staged once, in their own projection."""
+    counts = df.select(*keys, S.as_double_array(array_col).alias("_a")).select(
+        *keys, S.bin_counts(F.col("_a"), lo, hi, bins).alias("_c"))
+    total = F.aggregate("_c", F.lit(0), lambda a, b: a + b)
+    staged = counts.select(*keys, "_c", total.alias("_n"))
+    return staged.select(*keys, *[F.when(F.col("_n") > 0, F.col("_c")[k] / F.col("_n")).alias(f"{prefix}_{k}")
+                                  for k in range(bins)])
 
 
 def array_entropy(df: DataFrame, array_col: str, keys: list[str], lo: float, hi: float,

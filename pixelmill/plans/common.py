@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelmill.functions.hashing import sql_hash_uniform
+from pixelmill.operators import sampling as B
 from pixelmill.operators.labels import binary_label
 from pixelmill.sources.tables import table
 
@@ -53,3 +55,13 @@ def severity_frame(spark, sf_dir: str) -> DataFrame:
 
 SQL_SEVERITY = ("(SELECT vec_id, embedding, label % 5 AS severity, "
                 "CASE WHEN label % 5 >= 1 THEN 1 ELSE 0 END AS label FROM embeddings)")
+
+
+SPLIT_SEED = 42
+
+
+def sql_split(key: str) -> str:
+    """The hash split of a key in DuckDB."""
+    u = sql_hash_uniform(SPLIT_SEED, key)
+    c = B.split_thresholds((0.7, 0.1, 0.2))
+    return f"CASE WHEN {u} < {c[0]!r} THEN 'train' WHEN {u} < {c[1]!r} THEN 'val' ELSE 'test' END"

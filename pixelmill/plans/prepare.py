@@ -42,8 +42,6 @@ def image_feature_table(spark: SparkSession, image_root: str, labels_csv: str) -
     labels = read_labels_csv(spark, labels_csv)
     feats, _ = I.labelled_features(spark, image_root, labels)
     missing = labels
-    feats = feats.withColumn("image_path", F.concat_ws("/", F.lit(image_root.rstrip("/")), "class_folder",
-                                                       F.concat("id_code", F.lit(".png"))))
     return feats.withColumn("label", binary_label("diagnosis")), missing
 
 
@@ -55,16 +53,16 @@ def prepare_images(spark: SparkSession, image_root: str, labels_csv: str, out_pa
     write_parquet(feats, staged)
     feats = spark.read.parquet(staged)
     # J2 against the written feature keys: labels that produced no features
-    missing = missing.join(feats.select("id_code", "diagnosis").distinct(), ["id_code", "diagnosis"], "left_anti")
+    missing = missing.join(feats.select("id_code", "diagnosis"), ["id_code", "diagnosis"], "left_anti")
     split = B.hash_split(feats, "id_code", SEED)
     train = split.where(F.col("split") == "train")
-    rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1))
+    rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1).cast("long"))
     if balance == "exact":
         train = B.exact_balance(train, "id_code", "label", factor, SEED)
     elif balance == "bootstrap":
         train = B.bootstrap_balance(train, "id_code", "label", factor, SEED)
     else:
-        train = train.withColumn("copy", F.lit(1))
+        train = train.withColumn("copy", F.lit(1).cast("long"))
     out = train.unionByName(rest).withColumn("fold", fold_column("id_code"))
     final = out_path.rstrip("/") + "/prepared"
     write_parquet(out, final, partition_by=["split"])

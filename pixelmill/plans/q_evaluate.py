@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pixelmill.operators import compare as C
 from pixelmill.operators import metrics as E
 from pixelmill.plans.common import Registry, rounded, severity_frame
-from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN, MODEL_NAMES
-from pixelmill.sources.tables import table
+from pixelmill.plans.train import results_from_files
+from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN, METRIC_SCHEMA, MODEL_NAMES
+from pixelmill.session import scratch_path
+from pixelmill.sources.tables import table, write_metrics_csv
 
 register = Registry()
 QUERIES, SQL = register.queries, register.sql
@@ -352,6 +354,19 @@ def q_results_bundle(spark, sf_dir):
     return rounded(C.results_bundle(spark=spark_rows, sklearn=twin_rows, comparison=comp))
 
 
+@register("results_from_files", f"SELECT * EXCLUDE (position) FROM ({SQL['results_bundle']}) b")
+def q_results_from_files(spark, sf_dir):
+    """S7 + S8 + R5: the two metric tables and the comparison written as CSV,
+    read back with their schemas and bundled."""
+    root = scratch_path(spark, "results")
+    ev = evaluated(spark, sf_dir)
+    fields = [f.name for f in METRIC_SCHEMA.fields]
+    write_metrics_csv(ev.where(F.col("framework") == FRAMEWORK_SPARK).select(*fields), f"{root}/spark_results")
+    write_metrics_csv(ev.where(F.col("framework") == FRAMEWORK_TWIN).select(*fields), f"{root}/sklearn_results")
+    write_metrics_csv(comparison(spark, sf_dir).orderBy("position").drop("position"), f"{root}/comparison_results")
+    return rounded(results_from_files(spark, root))
+
+
 # requested model names: some events ask for a saved model, some for none
 REQUESTED = {"view": MODEL_NAMES[0], "click": MODEL_NAMES[1], "error": None}
 _SQL_REQUESTED = ("CASE event_type " + " ".join(

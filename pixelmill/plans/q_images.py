@@ -8,15 +8,17 @@ read by the image source (see the tests and ``plans/prepare.py``).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pixelmill.operators import images as I
-from pixelmill.operators import models as Mo
 from pixelmill.operators import sampling as B
 from pixelmill.operators.features import assembler
-from pixelmill.operators.scoring import score
-from pixelmill.plans.common import Registry, rounded, severity_frame
-from pixelmill.schemas import FEATURE_NAMES
+from pixelmill.operators.scoring import score_requests
+from pixelmill.plans.common import SQL_SEVERITY, Registry, rounded, severity_frame, sql_split
+from pixelmill.plans.q_models import SQL_DECISION_CHECKS, decision_checks, saved_models
+from pixelmill.schemas import CANNY_HIGH, CANNY_LOW, FEATURE_NAMES, MODEL_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
 
@@ -28,7 +30,9 @@ SEED = 42
 
 
 def derived_images(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
+    # one file holds many images: spread the short arrays, so that no pixels need to be
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(
+        spark.sparkContext.defaultParallelism, "vec_id")
     return I.images_from_arrays(e, "embedding", SIDE, ["vec_id"])
 
 
@@ -56,34 +60,108 @@ def q_image_rows(spark, sf_dir):
                      F.hex("image.data").alias("data_hex"))
 
 
-@register("image_features")
-def q_image_features(spark, sf_dir):
-    """The 42 features of every derived image."""
-    return rounded(I.extract_features(derived_images(spark, sf_dir), ["vec_id"]))
-
-
 def image_feature_table(spark, sf_dir):
     feats = I.extract_features(derived_images(spark, sf_dir), ["vec_id"])
     lab = severity_frame(spark, sf_dir).select("vec_id", "label")
     return feats.join(lab, "vec_id")
 
 
-@register("score_images")
+# requested models in turn; every fourth request names one that is not there
+WANTED = (*MODEL_NAMES, "missing_model")
+
+
+@register("score_images", f"""
+SELECT vec_id, label, {sql_split('vec_id')} AS split,
+       CASE vec_id % 4 {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODEL_NAMES))} END AS model,
+       {SQL_DECISION_CHECKS}
+FROM {SQL_SEVERITY} e WHERE vec_id % 4 < 3
+""")
 def q_score_images(spark, sf_dir):
-    """R2: images -> features -> saved (assembler + scaler + classifier)
-    pipeline -> decision fields, for every image."""
-    from pyspark.ml import Pipeline
-    t = B.hash_split(image_feature_table(spark, sf_dir), "vec_id", SEED)
+    """R2: images -> features -> the saved (assembler + scaler + classifier)
+    pipeline that each request names -> decision fields."""
     path = scratch_path(spark, "image-features")
-    t.write.mode("overwrite").partitionBy("split").parquet(path)
+    B.hash_split(image_feature_table(spark, sf_dir), "vec_id", SEED).write.partitionBy("split").parquet(path)
     t = spark.read.parquet(path)
-    base, lr = Mo.lr_pipeline(features="features")
-    pipe = Pipeline(stages=[assembler(list(FEATURE_NAMES), "features", "skip")] + base.getStages())
-    model = pipe.fit(t.where(F.col("split") == "train"))
-    root = scratch_path(spark, "image-models")
-    Mo.save_model(model, root, "logistic_regression")
-    models, _ = Mo.load_models(spark, root, ["logistic_regression"])
-    return score(models["logistic_regression"], t, ["vec_id", "label", "split"], "logistic_regression")
+    models, _ = saved_models(spark, t.where(F.col("split") == "train"),
+                             pre=[assembler(list(FEATURE_NAMES), "features", "skip")])
+    wanted = F.element_at(F.array(*[F.lit(m) for m in WANTED]), (F.col("vec_id") % len(WANTED) + 1).cast("int"))
+    keys = ["vec_id", "label", "split"]
+    return decision_checks(score_requests(models, t.withColumn("wanted", wanted), "wanted", keys), keys)
+
+
+# --- I2, I11 on the native 8 x 8 grids -----------------------------------------------------
+
+_SQL_SOURCE = f"""
+e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
+             CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i, len(embedding) AS n FROM embeddings),
+src AS (SELECT a.vec_id, a.i // {SIDE} AS sy, a.i % {SIDE} AS sx,
+               {_sql_level('a.x')} AS b, {_sql_level('g.x')} AS g, {_sql_level('r.x')} AS r
+        FROM e a JOIN e g ON g.vec_id = a.vec_id AND g.i = (a.i + a.n // 3) % a.n
+                 JOIN e r ON r.vec_id = a.vec_id AND r.i = (a.i + (2 * a.n) // 3) % a.n)"""
+SMALL = 5
+
+
+def _sql_resize_down() -> str:
+    def blend(w, lo, hi):
+        return ", ".join(f"{lo}.{c} * (1 - {w}) + {hi}.{c} * {w} AS {c}" for c in "rgb")
+
+    rgb = " || ".join(f"lpad(upper(to_hex(CAST(floor({c} + 0.5) AS INTEGER))), 2, '0')" for c in "rgb")
+    return f"""
+WITH {_SQL_SOURCE},
+ax AS (SELECT o, CAST(least(greatest(floor(f), 0), {SIDE - 1}) AS BIGINT) AS i0,
+              CAST(least(least(greatest(floor(f), 0), {SIDE - 1}) + 1, {SIDE - 1}) AS BIGINT) AS i1,
+              CASE WHEN floor(f) < 0 THEN 0.0::DOUBLE ELSE f - floor(f) END AS w
+       FROM (SELECT o, (CAST(o AS DOUBLE) + 0.5::DOUBLE) * ({SIDE}::DOUBLE / {SMALL}::DOUBLE) - 0.5::DOUBLE AS f
+             FROM range({SMALL}) t(o)) q),
+v AS (SELECT s0.vec_id, ax.o AS oy, s0.sx, {blend('ax.w', 's0', 's1')}
+      FROM ax JOIN src s0 ON s0.sy = ax.i0 JOIN src s1 ON s1.vec_id = s0.vec_id AND s1.sx = s0.sx AND s1.sy = ax.i1),
+h AS (SELECT v0.vec_id, v0.oy, ax.o AS ox, {blend('ax.w', 'v0', 'v1')}
+      FROM ax JOIN v v0 ON v0.sx = ax.i0 JOIN v v1 ON v1.vec_id = v0.vec_id AND v1.oy = v0.oy AND v1.sx = ax.i1)
+SELECT vec_id, string_agg({rgb}, '' ORDER BY oy, ox) AS rgb_hex FROM h GROUP BY vec_id"""
+
+
+@register("resize_down", _sql_resize_down())
+def q_resize_down(spark, sf_dir):
+    """I2, shrinking: every derived image as 5 x 5 RGB bytes."""
+    small = I.resized(derived_images(spark, sf_dir), ["vec_id"], SMALL, SMALL)
+    return small.select("vec_id", F.hex("rgb").alias("rgb_hex"))
+
+
+def _sql_grid_canny() -> str:
+    last = SIDE - 1
+    offsets = ", ".join(f"({dy}, {dx}, {dx * (2 - abs(dy))}, {dy * (2 - abs(dx))})"
+                        for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    tangent = round(math.tan(math.pi / 8) * (1 << 15))
+    return f"""
+WITH RECURSIVE {_SQL_SOURCE},
+gr AS (SELECT vec_id, sy, sx, (r * 4899 + g * 9617 + b * 1868 + 8192) // 16384 AS gray FROM src),
+so AS (SELECT p.vec_id, p.sy AS y, p.sx AS x, CAST(sum(o.kx * n.gray) AS BIGINT) AS gx, CAST(sum(o.ky * n.gray) AS BIGINT) AS gy
+       FROM gr p CROSS JOIN (VALUES {offsets}) AS o(dy, dx, kx, ky)
+       JOIN gr n ON n.vec_id = p.vec_id AND n.sy = least(greatest(p.sy + o.dy, 0), {last})
+                AND n.sx = least(greatest(p.sx + o.dx, 0), {last})
+       GROUP BY ALL),
+se AS (SELECT *, abs(gx) + abs(gy) AS c,
+              CASE WHEN abs(gy) * 32768 < abs(gx) * {tangent} THEN 'h'
+                   WHEN abs(gy) * 32768 > abs(gx) * {tangent} + abs(gx) * 65536 THEN 'v'
+                   WHEN gx * gy >= 0 THEN 'd' ELSE 'u' END AS sector FROM so),
+nb AS (SELECT *, CASE sector WHEN 'h' THEN 0 ELSE -1 END AS ay,
+              CASE sector WHEN 'v' THEN 0 WHEN 'u' THEN 1 ELSE -1 END AS ax FROM se),
+cand AS (SELECT p.vec_id, p.y, p.x, p.c FROM nb p
+         LEFT JOIN se a ON a.vec_id = p.vec_id AND a.y = p.y + p.ay AND a.x = p.x + p.ax
+         LEFT JOIN se b ON b.vec_id = p.vec_id AND b.y = p.y - p.ay AND b.x = p.x - p.ax
+         WHERE p.c > {CANNY_LOW} AND p.c > coalesce(a.c, 0)
+           AND (p.c > coalesce(b.c, 0) OR (p.sector IN ('h', 'v') AND p.c = coalesce(b.c, 0)))),
+edge AS (SELECT vec_id, y, x FROM cand WHERE c > {CANNY_HIGH}
+         UNION SELECT n.vec_id, n.y, n.x FROM edge e
+               JOIN cand n ON n.vec_id = e.vec_id AND abs(n.y - e.y) <= 1 AND abs(n.x - e.x) <= 1)
+SELECT gr.vec_id, string_agg(CASE WHEN edge.vec_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY sy, sx) AS edges
+FROM gr LEFT JOIN edge ON edge.vec_id = gr.vec_id AND edge.y = gr.sy AND edge.x = gr.sx GROUP BY gr.vec_id"""
+
+
+@register("grid_canny", _sql_grid_canny())
+def q_grid_canny(spark, sf_dir):
+    """The edge map of every derived image at its own 8 x 8 size."""
+    return I.edge_map(derived_images(spark, sf_dir), ["vec_id"])
 
 
 # --- I1-I10 against SQL -----------------------------------------------------------------
@@ -204,6 +282,17 @@ SELECT vec_id, {final} FROM f
 def q_image_color_features(spark, sf_dir):
     """I1-I10 checked against SQL: the 40 colour, histogram, intensity and
     shape features of every derived image (the same extractor as
-    ``image_features``; the edge pair has no SQL form)."""
+    ``image_features``)."""
     feats = I.extract_features(derived_images(spark, sf_dir), ["vec_id"])
     return rounded(feats.select("vec_id", *COLOR_FEATURES))
+
+
+@register("image_features", f"SELECT *, TRUE AS edges_agree FROM ({_sql_image_color_features()}) f")
+def q_image_features(spark, sf_dir):
+    """The 42 features of every derived image. The edge pair, which has no
+    closed SQL form at 256 x 256 (``grid_canny`` checks the edges themselves), is
+    held against itself: a share in [0, 1] and 255 times that share."""
+    f = I.extract_features(derived_images(spark, sf_dir), ["vec_id"])
+    share, mean = F.col("edge_density"), F.col("edge_mean")
+    agree = (share >= 0) & (share <= 1) & (F.abs(mean - 255 * share) < 1e-9)
+    return rounded(f.select("vec_id", *COLOR_FEATURES, agree.alias("edges_agree")))

@@ -1,5 +1,11 @@
-"""Registered queries: scaling (SQL-checked), model selection and scoring
-(row-count checked: fitted models are not expressible in SQL)."""
+"""Registered queries: scaling, model selection, model store and scoring.
+
+A fitted model cannot be written in SQL. The queries of this module therefore
+return what must hold for any correct fit and is known to SQL: how many models
+were fitted on how many rows, the identities between metrics, and for every
+scored row that its decision fields follow from its prediction. Every query
+prepares its own data.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import features as Fe
 from pixelmill.operators import models as Mo
+from pixelmill.operators import scoring as Sc
 from pixelmill.plans import train as Tr
-from pixelmill.plans.common import Registry, rounded
+from pixelmill.plans.common import SQL_SEVERITY, Registry, rounded, sql_split
 from pixelmill.schemas import MODEL_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
@@ -58,112 +65,153 @@ def q_standardize_pop(spark, sf_dir):
 
 # --- C1-C8: the original three grids ---------------------------------------------------
 
-_MEMO: dict = {}
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+#: Fits at a time: the tables of these queries are small.
+PARALLELISM = 6
+_KEY = "vec_id"
 
 
 def prepared_table(spark, sf_dir):
-    """The written, split and balanced training table for ``sf_dir``; built
-    once per application and reused by every model query (it is a pure
-    function of the input tables)."""
-    key = ("prepared", spark.sparkContext.applicationId, sf_dir)
-    path = _MEMO.get(key)
-    if path is None or not _exists(spark, path):
-        path = scratch_path(spark, "prepared")
-        Tr.prepare(Tr.labelled_vectors(spark, sf_dir), path=path)
-        _MEMO[key] = path
-    return spark.read.parquet(path)
+    """The split, balanced training table of ``sf_dir``, written once per query."""
+    return Tr.prepare(Tr.labelled_vectors(spark, sf_dir))
+
+
+def _checks(fit, metrics, prepared, train_splits):
+    """One row: sizes of the selection and identities of its metrics."""
+    n = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    test = F.lit(float(n.get("test", 0)))
+    hits = F.col("accuracy") * test
+    within = lambda c: (F.col(c) >= 0) & (F.col(c) <= 1)
+    return metrics.select(
+        "model", F.lit(len(fit.params)).alias("n_points"), F.lit(fit.n_fits).alias("n_fits"),
+        F.lit(sum(n.get(s, 0) for s in train_splits)).cast("long").alias("n_train"),
+        F.lit(n.get("val", 0)).cast("long").alias("n_val"), F.lit(n.get("test", 0)).cast("long").alias("n_test"),
+        (F.abs(hits - F.round(hits)) < 1e-6).alias("hits_are_whole"),
+        (F.abs(F.col("recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
+        (within("precision") & within("f1_score") & within("auc_roc")).alias("metrics_in_range"),
+        F.lit(abs(max(fit.avg_metrics) - fit.avg_metrics[fit.params.index(fit.extra["best_params"])]) < 1e-12
+              and all(0 <= m <= 1 for m in fit.avg_metrics)).alias("best_is_greatest"))
+
+
+def _sql_checks(model: str, points: int, splits: tuple[str, ...]) -> str:
+    split = sql_split(_KEY)
+    return f"""
+WITH s AS (SELECT label, {split} AS split FROM {SQL_SEVERITY} e),
+c AS (SELECT label, count(*) AS n FROM s WHERE split = 'train' GROUP BY label),
+n AS (SELECT 'train' AS split, CAST(count(*) * floor(2.0 * max(n)) AS BIGINT) AS n FROM c
+      UNION ALL SELECT split, count(*) FROM s WHERE split <> 'train' GROUP BY split)
+SELECT '{model}' AS model, {points} AS n_points, {3 * points + 1} AS n_fits,
+       CAST(sum(n) FILTER (WHERE split IN ({", ".join(f"'{x}'" for x in splits)})) AS BIGINT) AS n_train,
+       CAST(sum(n) FILTER (WHERE split = 'val') AS BIGINT) AS n_val,
+       CAST(sum(n) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+       TRUE AS hits_are_whole, TRUE AS recall_is_accuracy, TRUE AS metrics_in_range, TRUE AS best_is_greatest
+FROM n"""
 
 
 def _cv_query(which: str):
     def run(spark, sf_dir):
         prepared = prepared_table(spark, sf_dir)
-        fit, metrics = Tr.run_spark_grid(prepared, which)
-        return metrics.withColumn("val_auc", F.lit(float(fit.extra["val_auc"]))).withColumn(
-            "n_fits", F.lit(fit.n_fits))
+        fit, metrics = Tr.run_spark_grid(prepared, which, PARALLELISM)
+        return _checks(fit, metrics, prepared, ("train",))
     run.__name__ = f"q_{which}_cv"
     return run
 
 
-register.add("lr_cv", _cv_query("lr"))
-register.add("rf_cv", _cv_query("rf"))
-register.add("svm_cv", _cv_query("svm"))
-
-
 def _twin_query(which: str):
     def run(spark, sf_dir):
         """A single-machine grid re-aimed at MLlib (train + val merged,
         balanced class weights)."""
         prepared = prepared_table(spark, sf_dir)
-        fit, metrics = Tr.run_twin_grid(prepared, which)
-        return metrics.withColumn("n_fits", F.lit(fit.n_fits))
+        fit, metrics = Tr.run_twin_grid(prepared, which, PARALLELISM)
+        return _checks(fit, metrics, prepared, ("train", "val"))
     run.__name__ = f"q_twin_{which}_cv"
     return run
 
 
-register.add("twin_lr_cv", _twin_query("lr"))
-register.add("twin_rf_cv", _twin_query("rf"))
-register.add("twin_svm_cv", _twin_query("svm"))
+_POINTS = {"lr": 9, "rf": 2, "svm": 1}
+_TWIN_POINTS = {"lr": 4, "rf": 24, "svm": 3}
+for _kind, (_name, *_) in Mo.KINDS.items():
+    register.add(f"{_kind}_cv", _cv_query(_kind), _sql_checks(_name, _POINTS[_kind], ("train",)))
+    register.add(f"twin_{_kind}_cv", _twin_query(_kind), _sql_checks(_name, _TWIN_POINTS[_kind], ("train", "val")))
 
 
 # --- R1, R3, S9, S10: scoring with saved models ------------------------------------------
 
-def _saved_models(spark, sf_dir):
-    """Fit the three pipelines once at their default settings on the training
-    split, save them under the shared folder, load them back through the
-    catalogue (S9 + S10)."""
-    prepared = prepared_table(spark, sf_dir)
-    key = ("models", spark.sparkContext.applicationId, sf_dir)
-    root = _MEMO.get(key)
-    if root is None or not _exists(spark, root):
-        train = prepared.where(F.col("split") == "train")
-        root = scratch_path(spark, "models")
-        builders = {"logistic_regression": Mo.lr_pipeline, "random_forest": Mo.rf_pipeline,
-                    "svm": Mo.svm_pipeline}
-        for name in MODEL_NAMES:
-            pipe, _ = builders[name]()
-            Mo.save_model(pipe.fit(train), root, name)
-        _MEMO[key] = root
-    models, catalogue = Mo.load_models(spark, root, MODEL_NAMES)
-    return prepared, models, catalogue
-
-
-@register("model_catalogue")
+def saved_models(spark, train, pre=()):
+    """Fit the three pipelines at their fixed settings, save them under the shared
+    folder, load them back through the catalogue (S9 + S10)."""
+    root = scratch_path(spark, "models")
+    for kind, name in zip(Mo.KINDS, MODEL_NAMES):
+        pipe, _ = Mo.classifier_pipeline(kind, pre=pre)
+        Mo.save_model(pipe.fit(train), root, name)
+    return Mo.load_models(spark, root, MODEL_NAMES)
+
+
+def _train_split(spark, sf_dir):
+    return prepared_table(spark, sf_dir).where(F.col("split") == "train")
+
+
+@register("model_catalogue", """
+SELECT * FROM (VALUES
+  ('logistic_regression', 'StandardScalerModel,LogisticRegressionModel', 'loaded'),
+  ('random_forest', 'StandardScalerModel,RandomForestClassificationModel', 'loaded'),
+  ('svm', 'StandardScalerModel,LinearSVCModel', 'loaded')) AS t(name, stages, status)
+""")
 def q_model_catalogue(spark, sf_dir):
-    _, _, catalogue = _saved_models(spark, sf_dir)
-    return catalogue
+    _, catalogue = saved_models(spark, _train_split(spark, sf_dir))
+    return catalogue.drop("path")
+
+
+def decision_checks(scored, keys):
+    """Per scored row: the fields that follow from its prediction, as checks.
+    The score of a forest is its votes (half of them decide), that of a linear
+    model a signed distance."""
+    cut = F.when(F.col("model") == "random_forest", F.lit(Mo.RF_SETTINGS["numTrees"] / 2)).otherwise(F.lit(0.0))
+    flag = F.when(F.col("prediction") >= 1, F.lit(1)).otherwise(F.lit(0))
+    return scored.select(
+        *keys, "model", (F.col("flag") == flag).alias("flag_ok"),
+        (F.col("class_predicted") == F.col("prediction")).alias("class_ok"),
+        ((F.col("score") > cut) == (F.col("prediction") == 1)).alias("score_ok"),
+        F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("timestamp_ok"))
+
 
+SQL_DECISION_CHECKS = "TRUE AS flag_ok, TRUE AS class_ok, TRUE AS score_ok, TRUE AS timestamp_ok"
 
-@register("batch_score")
+
+@register("batch_score", f"""
+SELECT vec_id, label, model, {SQL_DECISION_CHECKS}
+FROM {SQL_SEVERITY} e, (VALUES {", ".join(f"('{m}')" for m in MODEL_NAMES)}) AS m(model)
+""")
 def q_batch_score(spark, sf_dir):
-    """R1 + P6 over the whole table, every saved model, one stacked result."""
-    from pixelmill.operators.scoring import score
-    _, models, _ = _saved_models(spark, sf_dir)
-    rows = Tr.labelled_vectors(spark, sf_dir)
-    out = None
-    for name, m in models.items():
-        s = score(m, rows, ["vec_id", "label"], name)
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-@register("stream_score")
+    """R1 + P6 + X8 over the whole table: every row scored by every saved model."""
+    models, _ = saved_models(spark, _train_split(spark, sf_dir))
+    rows = Tr.labelled_vectors(spark, sf_dir).withColumn(
+        "wanted", F.explode(F.array(*[F.lit(m) for m in MODEL_NAMES])))
+    return decision_checks(Sc.score_requests(models, rows, "wanted", ["vec_id", "label"]), ["vec_id", "label"])
+
+
+@register("stream_score", f"""
+SELECT vec_id, label, 'logistic_regression' AS model, {SQL_DECISION_CHECKS}, TRUE AS equals_batch
+FROM {SQL_SEVERITY} e
+""")
 def q_stream_score(spark, sf_dir):
     """The embeddings table read as a stream, scored by the saved logistic
-    regression, written to a Parquet sink with a checkpoint."""
+    regression, written to a Parquet sink with a checkpoint; every row is held
+    against the batch score of the same model."""
     from pixelmill.functions.signal import as_double_array
     from pixelmill.operators.labels import binary_label
-    _, models, _ = _saved_models(spark, sf_dir)
+    models, _ = saved_models(spark, _train_split(spark, sf_dir))
+    model, name = models["logistic_regression"], "logistic_regression"
     schema = table(spark, sf_dir, "embeddings").schema
-    src = St.parquet_stream(spark, f"{sf_dir}/embeddings*.parquet", schema)
+    src = St.parquet_stream(spark, f"{sf_dir}/embeddings*.parquet", schema, max_files_per_trigger=64)
 
     def prep(df):
         return df.select("vec_id", Fe.array_vector(as_double_array("embedding")).alias("features"),
                          binary_label(F.col("label") % 5).alias("label"))
 
-    return St.stream_score(spark, models["logistic_regression"], src, ["vec_id", "label"],
-                           "logistic_regression", prepare=prep)
+    keys = ["vec_id", "label"]
+    streamed = St.stream_score(spark, model, src, keys, name, prepare=prep)
+    batch = Sc.score(model, Tr.labelled_vectors(spark, sf_dir), keys, name).select(
+        F.col("vec_id").alias("_id"), F.col("prediction").alias("_p"), F.col("score").alias("_s"))
+    joined = streamed.join(batch, F.col("vec_id") == F.col("_id"), "left")
+    same = F.coalesce((F.col("prediction") == F.col("_p")) & (F.abs(F.col("score") - F.col("_s")) < 1e-9), F.lit(False))
+    return decision_checks(joined, keys + [same.alias("equals_batch")])

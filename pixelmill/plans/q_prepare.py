@@ -12,8 +12,9 @@ from pixelmill.functions.hashing import hash_uniform, sql_hash_uniform
 from pixelmill.operators import labels as L
 from pixelmill.operators import sampling as B
 from pixelmill.operators import signal as M
-from pixelmill.plans.common import Registry, SQL_SEVERITY, rounded, severity_frame
-from pixelmill.sources.tables import preview, table
+from pixelmill.plans.common import Registry, SQL_SEVERITY, rounded, severity_frame, sql_split
+from pixelmill.session import scratch_path
+from pixelmill.sources.tables import preview, read_labels_csv, table, write_parquet
 
 HIST_LO, HIST_HI, HIST_N = -0.5, 0.5, 10
 GRID_W = 8
@@ -186,11 +187,12 @@ def q_label_join(spark, sf_dir):
 
 @register("unmatched_labels", """
 SELECT l.doc_id, l.quality, l.toxic FROM labels l
-WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')
 """)
 def q_unmatched_labels(spark, sf_dir):
-    return L.unmatched(table(spark, sf_dir, "labels"),
-                       table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    """J2 against one part of the item store: the labels of all other items."""
+    items = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id")
+    return L.unmatched(table(spark, sf_dir, "labels"), items, ["doc_id"])
 
 
 @register("unlabelled_items", """
@@ -225,24 +227,18 @@ def q_preview(spark, sf_dir):
 
 # --- B3 / A2: hash split ----------------------------------------------------------------------
 
-def _sql_split(key: str) -> str:
-    u = sql_hash_uniform(SEED, key)
-    c = B.split_thresholds((0.7, 0.1, 0.2))
-    return f"CASE WHEN {u} < {c[0]!r} THEN 'train' WHEN {u} < {c[1]!r} THEN 'val' ELSE 'test' END"
-
-
 def _split_frame(spark, sf_dir):
     return B.hash_split(severity_frame(spark, sf_dir).select("vec_id", "label"), "vec_id", SEED)
 
 
-@register("hash_split", f"SELECT vec_id, label, {_sql_split('vec_id')} AS split FROM {SQL_SEVERITY} s")
+@register("hash_split", f"SELECT vec_id, label, {sql_split('vec_id')} AS split FROM {SQL_SEVERITY} s")
 def q_hash_split(spark, sf_dir):
     return _split_frame(spark, sf_dir)
 
 
 @register("split_counts", f"""
 SELECT split, label, count(*) AS n FROM
-  (SELECT label, {_sql_split('vec_id')} AS split FROM {SQL_SEVERITY} s) t
+  (SELECT label, {sql_split('vec_id')} AS split FROM {SQL_SEVERITY} s) t
 GROUP BY split, label
 """)
 def q_split_counts(spark, sf_dir):
@@ -296,7 +292,7 @@ cdf AS (SELECT doc_id, quality, toxic, target, u, j,
                sum(pmf) OVER (PARTITION BY doc_id ORDER BY j) AS c FROM s),
 k AS (SELECT doc_id, quality, toxic, target, count(*) FILTER (WHERE c <= u) AS k
       FROM cdf GROUP BY doc_id, quality, toxic, target),
-x AS (SELECT doc_id, quality, toxic, target, CAST(copy AS INTEGER) AS copy
+x AS (SELECT doc_id, quality, toxic, target, CAST(copy AS BIGINT) AS copy
       FROM k, range(1, k + 1) AS r(copy) WHERE k > 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {order}, doc_id, copy) AS rn FROM x)
 SELECT doc_id, quality, toxic, copy FROM o WHERE rn <= target
@@ -315,8 +311,8 @@ WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality),
 t AS (SELECT quality, n, CAST(floor(max(n) OVER () * 2.0) AS BIGINT) AS target FROM c),
 p AS (SELECT l.doc_id, l.quality, l.toxic, t.target // t.n AS whole, t.target - (t.target // t.n) * t.n AS rest
       FROM labels l JOIN t ON l.quality = t.quality),
-w AS (SELECT doc_id, quality, toxic, CAST(copy AS INTEGER) AS copy FROM p, range(1, whole + 1) AS r(copy)),
-e AS (SELECT doc_id, quality, toxic, CAST(whole + 1 AS INTEGER) AS copy, rest,
+w AS (SELECT doc_id, quality, toxic, CAST(copy AS BIGINT) AS copy FROM p, range(1, whole + 1) AS r(copy)),
+e AS (SELECT doc_id, quality, toxic, CAST(whole + 1 AS BIGINT) AS copy, rest,
              row_number() OVER (PARTITION BY quality ORDER BY {u}, doc_id) AS rn FROM p)
 SELECT * FROM w
 UNION ALL
@@ -327,3 +323,23 @@ SELECT doc_id, quality, toxic, copy FROM e WHERE rn <= rest
 @register("exact_balance", _sql_exact_balance())
 def q_exact_balance(spark, sf_dir):
     return B.exact_balance(table(spark, sf_dir, "labels"), "doc_id", "quality", 2.0, SEED)
+
+
+# --- S1, S5, S7, S8: sinks read back -------------------------------------------------------
+
+@register("label_csv_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS id_code, quality AS diagnosis FROM labels")
+def q_label_csv_round_trip(spark, sf_dir):
+    """Label rows written as headed CSV files and scanned with the fixed schema."""
+    path = scratch_path(spark, "labels-csv")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id_code"),
+                                                 F.col("quality").alias("diagnosis"))
+    rows.write.option("header", True).csv(path)
+    return read_labels_csv(spark, path)
+
+
+@register("parquet_sink", f"SELECT vec_id, label, {sql_split('vec_id')} AS split FROM {SQL_SEVERITY} s")
+def q_parquet_sink(spark, sf_dir):
+    """The split table written partitioned by split and scanned again."""
+    path = scratch_path(spark, "split-table")
+    write_parquet(_split_frame(spark, sf_dir), path, partition_by=["split"])
+    return spark.read.parquet(path)

@@ -19,6 +19,7 @@ from pixelmill.operators import models as Mo
 from pixelmill.operators import sampling as B
 from pixelmill.operators.features import array_vector
 from pixelmill.plans.common import severity_frame
+from pixelmill.schemas import MODEL_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import write_parquet
 
@@ -51,11 +52,11 @@ def prepare(df: DataFrame, key: str = "vec_id", label: str = "label", factor: fl
         return spark.read.parquet(path)
     split = B.hash_split(df, key, SEED)
     train = split.where(F.col("split") == "train")
-    rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1))
+    rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1).cast("long"))
     if balance:
         train = B.exact_balance(train, key, label, factor, SEED)
     else:
-        train = train.withColumn("copy", F.lit(1))
+        train = train.withColumn("copy", F.lit(1).cast("long"))
     out = train.unionByName(rest).withColumn("fold", Mo.fold_column(key))
     path = path or scratch_path(spark, "prepared")
     write_parquet(out, path, partition_by=["split"])
@@ -66,67 +67,91 @@ def score_column(pred: DataFrame, raw: str = "rawPrediction") -> DataFrame:
     return pred.withColumn("score", E.positive_score(raw))
 
 
+def test_predictions(result: Mo.FitResult, test: DataFrame, label: str = "label") -> DataFrame:
+    """(label, prediction, score) of the selected model on the test split."""
+    return score_column(result.model.transform(test)).select(F.col(label).alias("label"), "prediction", "score")
+
+
 def test_metrics(result: Mo.FitResult, test: DataFrame, label: str = "label") -> DataFrame:
-    """One metrics row of the selected model on the test split."""
-    pred = score_column(result.model.transform(test))
-    m = E.evaluate(pred, label=label)
+    """One metrics row of the selected model on the test split. The split
+    is scored in one pass."""
+    m = E.evaluate(test_predictions(result, test, label))
     return m.select(F.lit(result.name).alias("model"), "accuracy", "precision", "recall", "f1_score",
                     "auc_roc", F.lit(float(result.training_time)).alias("training_time"))
 
 
+def test_tables(result: Mo.FitResult, test: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """C8 in full: confusion matrix and per-class report of a fitted model."""
+    pred = test_predictions(result, test, label)
+    name = F.lit(result.name).alias("model")
+    return (E.confusion_matrix(pred).select(name, "*"), E.class_report(pred).select(name, "*"))
+
+
 def run_spark_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
     """Fit one of the original MLlib grids; returns (FitResult, metrics row).
     ``pre`` stages (e.g. a VectorAssembler) become part of the saved model."""
     train = prepared.where(F.col("split") == "train")
-    test = prepared.where(F.col("split") == "test")
-    val = prepared.where(F.col("split") == "val")
-    fit = {"lr": Mo.fit_lr, "rf": Mo.fit_rf, "svm": Mo.fit_svm}[which](
-        train, pre=pre, fold_col="fold", parallelism=parallelism)
-    fit.extra["val_auc"] = Mo.validation_auc(fit, val)
-    return fit, test_metrics(fit, test)
+    fit = Mo.fit_grid(which, train, pre=pre, fold_col="fold", parallelism=parallelism)
+    fit.extra["val_auc"] = Mo.validation_auc(fit, prepared.where(F.col("split") == "val"))
+    return fit, test_metrics(fit, prepared.where(F.col("split") == "test"))
 
 
 def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
     """Train + val merged (S12 stack), balanced class weights, re-aimed grids."""
     pool = B.union_all(prepared.where(F.col("split") == "train"), prepared.where(F.col("split") == "val"))
     pool = B.class_weights(pool, "label")
-    test = prepared.where(F.col("split") == "test")
-    if which == "rf":
-        fit = Mo.fit_twin_rf(pool, pre=pre, fold_col="fold", parallelism=parallelism)
-    else:
-        n = pool.count()  # one scalar: sets regParam = 1 / (C * n)
-        fn = Mo.fit_twin_lr if which == "lr" else Mo.fit_twin_svm
-        fit = fn(pool, n, pre=pre, fold_col="fold", parallelism=parallelism)
-    return fit, test_metrics(fit, test)
+    n = pool.count()  # one scalar: sets regParam = 1 / (C * n)
+    fit = Mo.fit_twin(which, pool, n, pre=pre, fold_col="fold", parallelism=parallelism)
+    return fit, test_metrics(fit, prepared.where(F.col("split") == "test"))
 
 
 def report(prepared: DataFrame, out_dir: str, feature_cols: list[str] | None = None,
            twin: bool = True, parallelism: int | None = None):
     """Entry point B end to end: the three original grids (+ optionally the
-    three re-aimed single-machine grids), saved models (S9), metric CSVs (S7)
-    and the comparison table (P8 + W3). Returns (spark rows, twin rows,
-    comparison) as DataFrames."""
+    three re-aimed single-machine grids), saved models (S9), metric CSVs (S7),
+    average metrics per grid point, confusion matrices and class reports of the
+    fitted models, and the comparison table (P8 + W3), all written under
+    ``out_dir``. Returns (spark rows, twin rows, comparison) as read back."""
     from pixelmill.operators import compare as C
     from pixelmill.operators.features import assembler
     from pixelmill.schemas import FRAMEWORK_SPARK, FRAMEWORK_TWIN
-    from pixelmill.sources.tables import write_metrics_csv
+    from pixelmill.sources.tables import read_comparison_csv, read_metrics_csv, write_metrics_csv
 
+    spark, root = prepared.sparkSession, out_dir.rstrip("/")
     pre = [assembler(feature_cols, "features", "skip")] if feature_cols else []
-    names = {"lr": "logistic_regression", "rf": "random_forest", "svm": "svm"}
-    spark_rows, twin_rows = [], []
-    for which in ("lr", "rf", "svm"):
+    test = prepared.where(F.col("split") == "test")
+    names = dict(zip(("lr", "rf", "svm"), MODEL_NAMES))
+    rows, twin_rows, grids, confusions, reports = [], [], [], [], []
+    for which, name in names.items():
         fit, m = run_spark_grid(prepared, which, parallelism, pre)
-        Mo.save_model(fit.model, out_dir, names[which])
-        spark_rows.append(m)
+        Mo.save_model(fit.model, out_dir, name)
+        confusion, classes = test_tables(fit, test)
+        rows.append(m)
+        grids.append(Mo.cv_table(spark, fit))
+        confusions.append(confusion)
+        reports.append(classes)
         if twin:
-            _, tm = run_twin_grid(prepared, which, parallelism, pre)
-            twin_rows.append(tm)
-    spark_df = B.union_all(*spark_rows)
-    write_metrics_csv(spark_df, f"{out_dir.rstrip('/')}/spark_results")
+            twin_rows.append(run_twin_grid(prepared, which, parallelism, pre)[1])
+    for table, where in ((rows, "spark_results"), (twin_rows, "sklearn_results"), (grids, "cv_results"),
+                         (confusions, "confusion_matrices"), (reports, "class_reports")):
+        if table:
+            write_metrics_csv(B.union_all(*table), f"{root}/{where}")
+    spark_df = read_metrics_csv(spark, f"{root}/spark_results")
+    twin_df = read_metrics_csv(spark, f"{root}/sklearn_results") if twin_rows else None
     parts = [C.to_comparison(spark_df, FRAMEWORK_SPARK)]
-    twin_df = None
     if twin_rows:
-        twin_df = B.union_all(*twin_rows)
-        write_metrics_csv(twin_df, f"{out_dir.rstrip('/')}/sklearn_results")
         parts.append(C.to_comparison(twin_df, FRAMEWORK_TWIN))
-    return spark_df, twin_df, C.union_frameworks(parts)
+    write_metrics_csv(C.union_frameworks(parts), f"{root}/comparison_results")
+    return spark_df, twin_df, read_comparison_csv(spark, f"{root}/comparison_results")
+
+
+def results_from_files(spark, out_dir: str) -> DataFrame:
+    """The result files under ``out_dir`` as one tagged table; files that are
+    not there add no rows."""
+    from pixelmill.operators import compare as C
+    from pixelmill.sources.tables import read_comparison_csv, read_metrics_csv
+
+    root = out_dir.rstrip("/")
+    return C.results_bundle(spark=read_metrics_csv(spark, f"{root}/spark_results"),
+                            sklearn=read_metrics_csv(spark, f"{root}/sklearn_results"),
+                            comparison=C.from_comparison(read_comparison_csv(spark, f"{root}/comparison_results")))

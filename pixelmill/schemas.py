@@ -44,8 +44,6 @@ FEATURE_NAMES: tuple[str, ...] = (
 # --------------------------------------------------------------------------------------
 assert len(FEATURE_NAMES) == 42
 
-FEATURE_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in FEATURE_NAMES])
-
 LABEL_SCHEMA = T.StructType([
     T.StructField("id_code", T.StringType()),
     T.StructField("diagnosis", T.IntegerType()),

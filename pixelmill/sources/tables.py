@@ -6,12 +6,10 @@ none, so Catalyst prunes columns and pushes filters into the Parquet reader.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pixelmill.schemas import LABEL_SCHEMA, METRIC_SCHEMA
+from pixelmill.schemas import COMPARISON_SCHEMA, LABEL_SCHEMA, METRIC_SCHEMA
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -19,7 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of one named table under ``sf_dir``."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_labels_csv(spark: SparkSession, path: str, schema: T.StructType = LABEL_SCHEMA) -> DataFrame:
@@ -36,7 +34,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:
-    """Metric rows as one headed CSV folder (the table is a few rows)."""
+    """Metric rows as one headed CSV folder. One row per model (or per grid
+    point, class or confusion cell of one), so a single file is enough."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -50,6 +49,11 @@ def read_metrics_csv(spark: SparkSession, path: str,
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_comparison_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S8 for the comparison table."""
+    return read_metrics_csv(spark, path, COMPARISON_SCHEMA)
+
+
 def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """Deterministic n-row preview (TakeOrdered, not an arbitrary head)."""
     return df.orderBy(key).limit(n)

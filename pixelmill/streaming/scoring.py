@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pixelmill.operators.scoring import score
+from pixelmill.schemas import IMAGE_STRUCT
 from pixelmill.session import scratch_path
 
 
@@ -34,13 +35,13 @@ def stream_score(spark: SparkSession, model: PipelineModel, source: DataFrame, k
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+                   max_files_per_trigger: int = 1000) -> DataFrame:
+    """Rows of Parquet files as a stream; a backlog is taken up in batches of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
-def image_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as a stream (Spark's image source; bad files dropped)."""
-    return spark.readStream.format("image").option("dropInvalid", True).load(path)
+def image_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Image files under a folder (any depth) as a stream; bad files are dropped."""
+    return (spark.readStream.format("image").schema(T.StructType([T.StructField("image", IMAGE_STRUCT)]))
+            .option("dropInvalid", True).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(path))

@@ -85,6 +85,43 @@ def test_image_source_join_and_extract(spark, image_store):
         assert np.allclose(got, want, atol=1e-9), key
 
 
+def test_arrays_of_any_length_become_images(spark):
+    rows = [(n, [0.25] * n) for n in (64, 60, 65, 1)] + [(0, []), (-1, None)]
+    images = I.images_from_arrays(spark.createDataFrame(rows, "id long, a array<float>"), "a", 8, ["id"])
+    assert {r["id"] for r in I.extract_features(images, ["id"]).collect()} == {64, 60, 65, 1}
+    assert {r["id"] for r in I.invalid_images(images, ["id"]).collect()} == {0, -1}
+    sizes = {r["id"]: (r["height"], r["n"]) for r in images.select("id", "image.height", F.length("image.data").alias("n")).collect()}
+    assert [sizes[n] for n in (64, 60, 65, 1)] == [(8, 192), (8, 192), (9, 216), (1, 24)]
+
+
+def test_extraction_runs_nothing_and_shuffles_nothing(spark, image_store):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.sparkContext.setJobGroup("define-features", "none expected")
+    feats = I.extract_features(I.with_image_keys(I.read_images(spark, image_store[0])), ["id_code"])
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("define-features")) == []
+    assert "Exchange" not in feats._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("shape", [(300, 400), (257, 256), (1000, 120), (3, 2), (256, 300)])
+def test_resize_is_one_double_formula(shape):
+    rng = np.random.default_rng(3)
+    img = rng.integers(0, 256, (*shape, 3), dtype=np.uint8)
+    got = K.resize_bilinear(img, 64, 48)
+    for y, x in [(0, 0), (63, 47), *rng.integers(0, 48, (40, 2))]:
+        def axis(o, src, dst):
+            f = (o + 0.5) * (src / dst) - 0.5
+            lo = int(np.floor(f))
+            w = 0.0 if lo < 0 else f - lo
+            lo = min(max(lo, 0), src - 1)
+            return lo, min(lo + 1, src - 1), w
+        y0, y1, wy = axis(y, shape[0], 64)
+        x0, x1, wx = axis(x, shape[1], 48)
+        rows = [img[y0, c].astype(float) * (1 - wy) + img[y1, c].astype(float) * wy for c in (x0, x1)]
+        want = np.floor(rows[0] * (1 - wx) + rows[1] * wx + 0.5)
+        assert (got[y, x] == want).all()
+
+
 def test_images_from_arrays_roundtrip(spark):
     vals = [[(i - 32) / 64.0 for i in range(64)]]
     df = spark.createDataFrame([(1, v) for v in vals], "id long, a array<float>")
@@ -109,6 +146,7 @@ def test_prepare_and_train_end_to_end(spark, image_store, tmp_path):
     prep = P.prepare_images(spark, root, labels_csv, str(tmp_path / "prep"), balance="none")
     assert prep.table.select("id_code").distinct().count() == 4
     assert sorted(r["id_code"] for r in prep.unmatched_labels.collect()) == ["bad", "orphan_label"]
+    assert all(r[0].endswith(".png") and r[0].startswith("file:") for r in prep.table.select("image_path").collect())
     # four images are too few to train on: replicate them under new ids
     big = prep.table.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(29))))
     big = big.withColumn("id_code", F.concat_ws("-", "id_code", "rep")).drop("rep", "split", "fold", "copy")
@@ -121,6 +159,11 @@ def test_prepare_and_train_end_to_end(spark, image_store, tmp_path):
     back = read_metrics_csv(spark, out + "/spark_results")
     assert back.count() == 3
     assert read_metrics_csv(spark, out + "/missing").count() == 0
+    assert {r["source"]: r["count"] for r in Tr.results_from_files(spark, out).groupBy("source").count().collect()} == {
+        "spark": 3, "comparison": 3}
+    assert Tr.results_from_files(spark, out + "/none").count() == 0
+    assert spark.read.option("header", True).csv(out + "/cv_results").count() == 12
+    assert spark.read.option("header", True).csv(out + "/confusion_matrices").count() >= 3
     models, cat = load_models(spark, out, MODEL_NAMES)
     assert cat.count() == 3
     scored = models["random_forest"].transform(prep.table)
@@ -132,7 +175,7 @@ def test_stream_of_image_files_equals_batch(spark, image_store, tmp_path):
     """R3 over image files: new files are decoded, featurised and scored by a
     saved pipeline; the streamed result equals the batch result."""
     from pixelmill.operators.features import assembler
-    from pixelmill.operators.models import lr_pipeline
+    from pixelmill.operators.models import classifier_pipeline
     from pixelmill.operators.scoring import score
     from pixelmill.streaming import scoring as St
 
@@ -140,12 +183,10 @@ def test_stream_of_image_files_equals_batch(spark, image_store, tmp_path):
     keyed = I.with_image_keys(I.read_images(spark, root))
     feats = I.extract_features(keyed, ["id_code"]).withColumn(
         "label", (F.col("id_code").isin("random", "checker")).cast("int"))
-    base, _ = lr_pipeline()
+    base, _ = classifier_pipeline("lr")
     model = base.copy().setStages([assembler(list(FEATURE_NAMES), "features", "skip")] + base.getStages()).fit(feats)
     batch = {r["id_code"]: r["prediction"] for r in score(model, feats, ["id_code"], "lr").collect()}
-    schema = spark.read.format("image").load(root + "/No_DR").schema
-    src = spark.readStream.format("image").schema(schema).option("dropInvalid", True) \
-        .option("recursiveFileLookup", True).load(root)
+    src = St.image_stream(spark, root, max_files_per_trigger=2)
 
     def prep(df):
         return I.extract_features(I.with_image_keys(df), ["id_code"])
