@@ -35,8 +35,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_CHARS = {b: chr(FIRST_CHAR + b) for b in range(256)}
+
+
 def to_chars(data: bytes) -> str:
-    return "".join(chr(FIRST_CHAR + b) for b in data)
+    return data.decode("latin-1").translate(_CHARS)
 
 
 def _varint(n: int) -> bytes:
@@ -89,25 +92,28 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.token = sorted(ranks, key=ranks.__getitem__)
-        self.cache: dict[str, list[int]] = {}
+        #: piece -> (number of ids, ids, ids as text, bytes that the ids decode to)
+        self.cache: dict[str, tuple[int, list[int], str, bytes]] = {}
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def learn(self, pieces: set[str]) -> dict[str, list[int]]:
-        """Ids of every given distinct piece; what was met before is kept, up
-        to a fixed number of entries."""
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, list[int], str, bytes]]:
+        """Encodes and decodes every given distinct piece; what was met before
+        is kept, up to a fixed number of entries."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache = {}
         new = [p for p in pieces if p not in self.cache]
-        self.cache.update(zip(new, self.model.encode([to_chars(p.encode()) for p in new],
-                                                     out_type=int, num_threads=1) if new else ()))
+        if new:
+            found = self.model.encode([to_chars(p.encode()) for p in new], out_type=int, num_threads=1)
+            self.cache.update((p, (len(ids), ids, " ".join(map(str, ids)), self.decode(ids)))
+                              for p, ids in zip(new, found))
         return self.cache
 
     def encode(self, text: str) -> list[int]:
         parts = self.split(text)
-        ids = self.learn(set(parts))
-        return [i for p in parts for i in ids[p]]
+        known = self.learn(set(parts))
+        return [i for p in parts for i in known[p][1]]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.token[i] for i in ids])
@@ -174,18 +180,16 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
         c = codec(vocabulary, pattern)
         for batch in slices(batches, "text", BATCH_BYTES):
             split = [c.split(t) if t else [] for t in batch.column(1).to_pylist()]
-            distinct = set().union(*split)
-            ids = c.learn(distinct)
-            said = {p: " ".join(map(str, ids[p])) for p in distinct}
-            decoded = {p: c.decode(ids[p]) for p in distinct}
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([sum([len(ids[p]) for p in parts]) for parts in split], pa.int64()),
-                pa.array([hashlib.sha256(" ".join([said[p] for p in parts]).encode()).hexdigest()
-                          for parts in split], pa.string()),
-                pa.array([hashlib.sha256(b"".join([decoded[p] for p in parts])).hexdigest()
-                          for parts in split], pa.string()),
-            ], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            get = c.learn(set().union(*split)).__getitem__
+            counts, said, decoded = [], [], []
+            for parts in split:
+                n, _, text, data = zip(*map(get, parts)) if parts else ((),) * 4
+                counts.append(sum(n))
+                said.append(hashlib.sha256(" ".join(text).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(data)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())],
+                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (_two(docs, id_col, text_col)

@@ -44,33 +44,31 @@ def suffix_array(symbols: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarra
     key = np.zeros(n, np.uint64)
     for k in range(PACKED):
         key = (key << np.uint64(9)) | np.where(left >= k, padded[k:k + n], 0)
-    ended = np.where(left < PACKED, mark + 1, 0)
-    order = np.lexsort((ended, key))
+    order = np.argsort(key)
+    # keys that hold an end mark tie with each other alone: the mark decides
+    short = np.flatnonzero(left[order] < PACKED)
+    tied = order[short]
+    order[short] = tied[np.lexsort((tied, key[tied]))]
     fresh = np.ones(n, bool)
-    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (ended[order[1:]] != ended[order[:-1]])
-    place = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    fresh[1:] = key[order[1:]] != key[order[:-1]]
+    fresh[short] = True
     rank = np.empty(n, np.int64)
-    rank[order] = place
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     have = PACKED
     while have < depth:
-        # suffixes that still share their place with another
-        alone = fresh & np.append(fresh[1:], True)
-        open_ = order[~alone]
-        if not len(open_):
+        # places of suffixes that still share their rank with another
+        shared = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(shared):
             break
-        at = rank[open_]
-        by = np.lexsort((rank[open_ + have], at))
-        open_, at = open_[by], at[by]
-        then = rank[open_ + have]
-        group = np.ones(len(open_), bool)
-        group[1:] = at[1:] != at[:-1]
-        split = group.copy()
-        split[1:] |= then[1:] != then[:-1]
-        index = np.arange(len(open_))
-        offset = np.maximum.accumulate(np.where(split, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
-        rank[open_] = at + offset
-        order = np.argsort(rank, kind="stable")
-        fresh[1:] = rank[order[1:]] != rank[order[:-1]]
+        open_ = order[shared]
+        at, then = rank[open_], rank[open_ + have]
+        by = np.argsort(at * n + then)
+        open_, at, then = open_[by], at[by], then[by]
+        split = np.ones(len(open_), bool)
+        split[1:] = (at[1:] != at[:-1]) | (then[1:] != then[:-1])
+        order[shared] = open_
+        fresh[shared] = split
+        rank[open_] = np.maximum.accumulate(np.where(split, shared, 0))
         have *= 2
     return order
 
