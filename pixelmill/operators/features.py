@@ -57,8 +57,8 @@ def scaled_columns(df: DataFrame, cols: list[str], keys: list[str], with_mean: b
 def standardize_columns(df: DataFrame, cols: list[str], keys: list[str], ddof: int = 0,
                         with_mean: bool = True, prefix: str = "z_") -> DataFrame:
     """F4 (ddof=0, the single-machine twin) or F2 (ddof=1) as expressions:
-    (x - mean) / std, with a zero std treated as 1 (the column becomes 0 after
-    centring)."""
+    (x - mean) / std, with a zero or missing std (constant column, single row)
+    treated as 1 (the column becomes 0 after centring)."""
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
     stats = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
                    *[std(c).alias(f"_s_{i}") for i, c in enumerate(cols)]).withColumn("_one", F.lit(1))
@@ -66,7 +66,8 @@ def standardize_columns(df: DataFrame, cols: list[str], keys: list[str], ddof: i
     j = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
     out = []
     for i, c in enumerate(cols):
-        s = F.when(F.col(f"_s_{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{i}"))
+        std_i = F.coalesce(F.col(f"_s_{i}"), F.lit(0.0))
+        s = F.when(std_i == 0, F.lit(1.0)).otherwise(std_i)
         x = F.col(c) - F.col(f"_m_{i}") if with_mean else F.col(c)
         out.append((x / s).alias(f"{prefix}{c}"))
     return j.select(*keys, *out)
