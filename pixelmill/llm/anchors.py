@@ -18,37 +18,47 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import SpanHash, multi_arange, slices, text_buffer, word_spans, written
+from pixelmill.llm.common import SpanHash, by_group, mix, multi_arange, slices, text_buffer, word_spans, written
 from pixelmill.llm.exact_dedup import BROADCAST_IDS
 
 #: A null id stands before all others.
 NULL_ID = -(1 << 63)
 #: Segments that a group holds on average, at most; frequent anchors are cut into chunks.
-CHUNK = 20_000
+CHUNK = 5_000
 SCAN_BYTES = 1 << 20
 #: Segment bytes that are worked on at a time, whole groups together.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 
-def sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least value (the rightmost of equals) of every ``width``
-    consecutive values, by doubling."""
-    value, at, have = v, np.arange(len(v), dtype=np.int32), 1
+#: Bits of a position in a packed (order, position); the order has the others.
+PLACE_BITS = np.uint64(24)
 
-    def join(value, at, step):
-        right = value[step:] <= value[:-step]
-        return np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step])
 
-    while have * 2 <= width:
-        value, at = join(value, at, have)
-        have *= 2
-    if have < width:
-        value, at = join(value, at, width - have)
-    return at
+def sliding_argmin(v: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least value of every ``width`` consecutive values, in an
+    order by the upper 40 bits of their product with an odd constant; of equals
+    the rightmost. Order and position share a word, so that one minimum finds both;
+    minima of runs come from forward and backward minima of blocks."""
+    n, most = len(v), 1 << int(PLACE_BITS)
+    if n < width:
+        return np.empty(0, np.int64)
+    if n >= most:  # in overlapping parts, whose positions fit
+        step = most // 2
+        return np.concatenate([sliding_argmin(v[at:at + step + width - 1], width) + at
+                               for at in range(0, n - width + 1, step)])
+    places = np.uint64(most - 1)
+    packed = (v * np.uint64(0x9FB21C651E98DF25)) & ~places
+    packed |= places - np.arange(n, dtype=np.uint64)
+    full = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    full[:n] = packed
+    blocks = full.reshape(-1, width)
+    forward = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    backward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    least = np.minimum(backward[:n - width + 1], forward[width - 1:n])
+    return (places - (least & places)).astype(np.int64)
 
 
 class Words:
@@ -77,8 +87,7 @@ class Bytes:
         self.window, self.gram = window, gram
 
     def runs(self, data: np.ndarray, offsets: np.ndarray):
-        at = np.arange(max(0, len(data) - self.gram + 1))
-        begin, count, anchor = _runs(SpanHash(data)(at, at + self.gram), offsets, self.window, self.gram)
+        begin, count, anchor = _runs(SpanHash(data).rolling(self.gram), offsets, self.window, self.gram)
         owner = np.searchsorted(offsets, begin, "right") - 1
         begin = begin - offsets[owner]
         return owner, anchor, begin, count, begin, begin + count + self.window - 1
@@ -97,7 +106,7 @@ def _runs(grams: np.ndarray, first: np.ndarray, window: int, gram: int):
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     begin = np.flatnonzero(fresh)
     count = np.diff(np.append(begin, len(starts)))
-    return starts[begin], count, grams[anchor[begin]].view(np.int64)
+    return starts[begin], count, mix(grams[anchor[begin]]).view(np.int64)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -158,33 +167,8 @@ def segments(keyed_docs: DataFrame, windows: Words | Bytes) -> DataFrame:
 
 
 def grouped(rows: DataFrame, columns: list[str], work: Callable, schema: str, run_bytes: int | None = None) -> DataFrame:
-    """``work`` over whole groups (anchor, chunk), several at a time while they
-    stay under ``run_bytes`` of ``segment``: pa.Table in, record batches out."""
-    keys, limit = ["anchor", "chunk"], run_bytes or RUN_BYTES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # rows are sorted: find where groups begin in this batch
-            a, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in keys)
-            begins = np.flatnonzero((a[1:] != a[:-1]) | (c[1:] != c[:-1])) + 1
-            lengths = pc.fill_null(pc.binary_length(batch.column("segment")), 0).to_numpy(zero_copy_only=False)
-            upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            done = 0
-            same = held and (held[-1].column("anchor")[-1].as_py(), held[-1].column("chunk")[-1].as_py()) == (a[0], c[0])
-            for b in ([] if same or not held else [0]) + begins.tolist():
-                if size + upto[b] - upto[done] >= limit:
-                    yield from work(pa.Table.from_batches(held + ([batch.slice(done, b - done)] if b > done else [])))
-                    held, size, done = [], 0, b
-            held.append(batch.slice(done))
-            size += upto[-1] - upto[done]
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    return (rows.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, schema))
+    """:func:`by_group` for segments."""
+    return by_group(rows, ["anchor", "chunk"], columns, work, schema, "segment", run_bytes or RUN_BYTES)
 
 
 def removed_runs(spans: DataFrame) -> DataFrame:

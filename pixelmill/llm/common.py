@@ -3,7 +3,7 @@ shared folder, Arrow text batches as flat byte buffers, 64-bit hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,11 @@ class SpanHash:
         sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:len(data)])
         self._sums = np.concatenate([np.zeros(1, np.uint64), sums])
 
+    def rolling(self, width: int) -> np.ndarray:
+        """Unmixed hashes of all spans of ``width`` bytes, by their start."""
+        n = max(0, len(self._sums) - width)
+        return (self._sums[len(self._sums) - n:] - self._sums[:n]) * self._inverse[:n]
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
@@ -124,3 +129,38 @@ def multi_arange(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (length[0] numbers), start[1], ..."""
     ends = np.cumsum(length)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length - start, length)
+
+
+def by_group(rows: DataFrame, keys: list[str], columns: list[str], work: Callable, schema: str,
+             weight: str, limit: int) -> DataFrame:
+    """``work`` over whole groups of rows that agree in ``keys`` (numbers), several
+    groups at a time while they stay under ``limit`` bytes of the ``weight`` column:
+    a pa.Table in, record batches out. Only one run of groups is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # rows are sorted: a group begins where any key changes
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for v in values:
+                change[1:] |= v[1:] != v[:-1]
+            if held:
+                last = held[-1]
+                change[0] = any(last.column(k)[-1].as_py() != v[0] for k, v in zip(keys, values))
+            lengths = pc.fill_null(pc.binary_length(batch.column(weight)), 0).to_numpy(zero_copy_only=False)
+            upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            done = 0
+            for b in np.flatnonzero(change).tolist():
+                if size + upto[b] - upto[done] >= limit:
+                    yield from work(pa.Table.from_batches(held + ([batch.slice(done, b - done)] if b > done else [])))
+                    held, size, done = [], 0, b
+            held.append(batch.slice(done))
+            size += upto[-1] - upto[done]
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return (rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys)
+            .mapInArrow(run, schema))

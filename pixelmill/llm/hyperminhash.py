@@ -5,17 +5,18 @@
    least second hash in it, compressed to its leading-zero count and the
    ``MANTISSA`` bits that follow its first one bit.
 2. Equal sets are one node from here on (copies are never paired).
-3. Registers are banded. In every bucket of equal bands each node is linked to
-   the least node for a start; a node is first tested against the least node
-   that it shares most bands with.
+3. Registers are banded. In every bucket of equal bands one node is the hub: the
+   one whose buckets are the fullest, which tends to be the least edited copy. A
+   node is first tested against the hub that it shares most bands with.
 4. A pair is tested by its registers (Jaccard estimate, corrected for chance
    collisions, five standard errors of margin) and then on the full sets.
-5. Buckets that still hold several components are taken up again: their members
-   are compared across components, register block against register block, and
-   the best pairs of each member with each other component are verified, with more
-   and more pairs per round, until no untested pair above the margin is left.
-   So no group is ever paired in full, and yet no pair is left out that could
-   join two components.
+5. Buckets that still hold several components are compared across components,
+   every pair in the first band that it shares. In small buckets the pairs above the
+   margin are tested as in 4. Larger ones are cut into blocks; a task holds two
+   blocks with their full sets, goes through the members outside the largest
+   component, best estimates first, and gives one confirmed link for each other
+   component. So no group is ever paired in full, and yet no pair is left out that
+   could join two components.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import SpanHash, mix, multi_arange, slices, text_buffer, word_spans, written
+from pixelmill.llm.common import SpanHash, by_group, mix, multi_arange, slices, text_buffer, word_spans, written
 from pixelmill.llm.components import connected_components
 from pixelmill.llm.exact_dedup import BROADCAST_IDS, without_ids
 
@@ -40,11 +41,12 @@ MANTISSA = 26
 EMPTY = 0xFFFFFFFF
 #: Standard errors that the estimate may lie below the threshold.
 MARGIN = 5.0
-#: Members of a register block; a task compares two blocks.
-BLOCK = 1024
-#: Pairs of one member with one other component in the first round, and growth per round.
-FIRST_PAIRS, PAIR_GROWTH = 2, 16
-BATCH_BYTES = 8 << 20
+#: Buckets of up to so many members give pairs; larger ones are worked on in blocks.
+SMALL = 64
+#: Members of a block; a task holds two blocks.
+BLOCK = 512
+RUN_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
@@ -62,11 +64,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
     for i in range(words):
         use = width > i
         h = np.where(use, mix(h * np.uint64(0x9E3779B97F4A7C15) + value[np.where(use, at + i, at)]), h) if len(at) else h
-    order = np.lexsort((h, owner))
-    owner, h = owner[order], h[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    return owner[fresh], h[fresh]
+    cuts = np.concatenate([[0], np.cumsum(count)])
+    sets = [np.unique(h[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return (np.repeat(np.arange(len(n)), [len(x) for x in sets]),
+            np.concatenate(sets) if sets else np.empty(0, np.uint64))
 
 
 def registers(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -112,13 +113,13 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _band_rows(nodes: DataFrame) -> DataFrame:
-    """(key, nid): a row for every band of a node that holds anything."""
+    """(key, b, nid): a row for every band of a node that holds anything."""
     width = ROWS * 4
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                                  lambda b: F.struct(b.alias("b"), F.substring("regs", b * width + 1, F.lit(width)).alias("r"))))
     nothing = F.unhex(F.lit("FF" * width))
     return (nodes.select("nid", band.alias("x")).where(F.col("x.r") != nothing)
-            .select(F.xxhash64("x.b", "x.r").alias("key"), "nid"))
+            .select(F.xxhash64("x.b", "x.r").alias("key"), F.col("x.b").alias("b"), "nid"))
 
 
 def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +132,10 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     chance = 0.169919487159739 * 4 * (n_a * n_b) / np.maximum(n_a + n_b, 1) ** 2.0 / 2.0 ** MANTISSA
     jaccard = (equal / used - chance) / (1 - chance)
     t = THRESHOLD_PERCENT / 100
-    return jaccard, jaccard >= t - MARGIN * np.sqrt(t * (1 - t) / used)
+    # the minima of the buckets are drawn from the union without replacement
+    union = np.maximum((n_a + n_b) / (1 + t), used + 1)
+    spread = np.sqrt(t * (1 - t) / used * (union - used) / (union - 1))
+    return jaccard, jaccard >= t - MARGIN * spread - 1 / used
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -175,107 +179,173 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             .groupBy("nid").agg(F.first("set").alias("set")))
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are a link."""
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= THRESHOLD_PERCENT * (len(x) + len(y) - common)
+
+
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.searchsorted(y, x)
-                common = int((y[np.minimum(both, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                good.append(100 * common >= THRESHOLD_PERCENT * (len(x) + len(y) - common) and common > 0)
+            good = [_linked(_set(x), _set(y)) for x, y in zip(batch.column("s_a"), batch.column("s_b"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda c: sets.select(F.col("nid").alias(c), F.col("set").alias(f"s_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, per_component: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members (key, nid, component, size) of one bucket
-    in different components, above the margin: for each member the
-    ``per_component`` best in each other component and block. ``left_out``
-    tells whether a member had more."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("nid"), blocks.cast("long")).cast("int")
-    rows = (members.withColumn("blocks", blocks).withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "component")
-            .join(nodes.select("nid", "n", "regs"), "nid"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own = table["own"].to_numpy()
-        nid, comp, n = (table[c].to_numpy() for c in ("nid", "component", "n"))
-        regs = _regs(table["regs"])
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        out_a, out_b, more = [], [], []
-        for x in left:
-            y = right if i != j else right[nid[right] > nid[x]]
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= THRESHOLD_PERCENT * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            value, near = estimates(regs[x], regs[y], float(n[x]), n[y].astype(float))
-            y, value = y[near], value[near]
-            order = np.lexsort((nid[y], -value, comp[y]))
-            y = y[order]
-            first = np.flatnonzero(np.diff(comp[y], prepend=comp[y][:1] - 1)) if len(y) else np.empty(0, np.int64)
-            place = np.arange(len(y)) - np.repeat(first, np.diff(np.append(first, len(y))))
-            keep = place < per_component
-            out_a += [int(nid[x])] * int(keep.sum())
-            out_b += nid[y[keep]].tolist()
-            more += [not keep.all()] * int(keep.sum())
-        a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "left_out": pa.array(more, pa.bool_())})
-
-    return (rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, left_out boolean")
-            .groupBy("a", "b").agg(F.max("left_out").alias("left_out")))
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band that register rows share (BANDS where none is)."""
+    shape = (*np.broadcast_shapes(a.shape, b.shape)[:-1], BANDS, ROWS)
+    same = ((a == b).reshape(shape).all(-1)) & np.broadcast_to(a != EMPTY, (*shape[:-2], BANDS * ROWS)).reshape(shape).any(-1)
+    return np.where(same.any(-1), same.argmax(-1), BANDS)
+
+
+class _Bucket:
+    """Members of one bucket: ids, components, set sizes and registers."""
+
+    def __init__(self, table: pa.Table):
+        self.nid, self.comp, self.n = (table[c].to_numpy() for c in ("nid", "component", "n"))
+        self.regs = _regs(table["regs"])
+        self.band = table["b"].to_numpy()
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of members, those in different components that the registers
+        do not rule out and that share no earlier band; and their estimates."""
+        ok = (self.comp[x] != self.comp[y]) & (
+            100 * np.minimum(self.n[x], self.n[y]) >= THRESHOLD_PERCENT * np.maximum(self.n[x], self.n[y]))
+        x, y = x[ok], y[ok]
+        value, ok = estimates(self.regs[x], self.regs[y], self.n[x].astype(float), self.n[y].astype(float))
+        x, y, value = x[ok], y[ok], value[ok]
+        ok = _first_shared(self.regs[x], self.regs[y]) == self.band[x]
+        return x[ok], y[ok], value[ok]
+
+
+def _cuts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of a sorted table begin, and its end."""
+    change = np.zeros(table.num_rows, bool)
+    for k in keys:
+        v = table[k].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.flatnonzero(change), [table.num_rows]])
+
+
+def _small_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    bucket, cuts = _Bucket(table), _cuts(table, ["key"])
+    sizes = np.diff(cuts)
+    # every member with all members after it in its bucket
+    rest = np.repeat(cuts[1:], sizes) - np.arange(table.num_rows) - 1
+    x, y = np.repeat(np.arange(table.num_rows), rest), multi_arange(np.arange(table.num_rows) + 1, rest)
+    for at in range(0, len(x), 1 << 14):
+        a, b, _ = bucket.near(x[at:at + (1 << 14)], y[at:at + (1 << 14)])
+        a, b = bucket.nid[a], bucket.nid[b]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _large_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    cuts = _cuts(table, ["key", "i", "j"])
+    for begin, end in zip(cuts, cuts[1:]):
+        yield _block_links(table.slice(begin, end - begin).combine_chunks())
+
+
+def _block_links(table: pa.Table) -> pa.RecordBatch:
+    """One confirmed link for each two components that have one, of two blocks."""
+    bucket, sets = _Bucket(table), table["set"]
+    i, j, own = table["i"][0].as_py(), table["j"][0].as_py(), table["own"].to_numpy()
+    kinds, sizes = np.unique(bucket.comp, return_counts=True)
+    main = bucket.comp == kinds[np.argmax(sizes)]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    filled = (bucket.regs != EMPTY).sum(1)
+    found, a, b = set(), [], []
+
+    def against(xs: np.ndarray, ys: np.ndarray, same_block: bool) -> None:
+        others = bucket.regs[ys]
+        for x in xs.tolist():
+            # equal registers alone rule out most pairs; an empty one equals none
+            own_regs = np.where(bucket.regs[x] == EMPTY, EMPTY - 1, bucket.regs[x]).astype(np.uint32)
+            equal = np.count_nonzero(others == own_regs, axis=1)
+            most = np.maximum(filled[x], filled[ys])
+            t = THRESHOLD_PERCENT / 100
+            y = ys[equal >= (t - MARGIN * np.sqrt(t * (1 - t) / most)) * most - 1]
+            if same_block:
+                y = y[main[y] | (y > x)]
+            u, v, value = bucket.near(np.full(len(y), x), y)
+            order = np.argsort(-value, kind="stable")
+            for u, v in zip(u[order].tolist(), v[order].tolist()):
+                two = frozenset((int(bucket.comp[u]), int(bucket.comp[v])))
+                if two not in found and _linked(_set(sets[u]), _set(sets[v])):
+                    found.add(two)
+                    a.append(min(bucket.nid[u], bucket.nid[v]))
+                    b.append(max(bucket.nid[u], bucket.nid[v]))
+
+    # members of the largest component need no comparison with each other
+    against(left[~main[left]], right, i == j)
+    if i != j:
+        against(right[~main[right]], left[main[left]], False)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of all nodes that are linked with another."""
     bands = _band_rows(nodes)
-    shared = written(bands.groupBy("key").agg(F.min("nid").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"),
-                     "band-buckets")
-    members = written(bands.join(shared, "key").select("key", "nid", "least", "size"), "band-members")
-    start = (members.where(F.col("nid") != F.col("least")).groupBy("nid", "least").agg(F.count(F.lit(1)).alias("bands"))
-             .groupBy("nid").agg(F.max(F.struct("bands", (-F.col("least")).alias("least"))).alias("best"))
-             .select((-F.col("best.least")).alias("a"), F.col("nid").alias("b")))
-    pairs = written(_likely(start, nodes), "likely-pairs")
-    tested, links = pairs, None
+    shared = written(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band-buckets")
+    members = written(bands.join(shared, "key").select("key", "b", "nid", "size"), "band-members")
+    fullness = members.groupBy("nid").agg(F.sum("size").alias("fullness"))
+    hubs = (members.join(fullness, "nid").groupBy("key")
+            .agg(F.max(F.struct("fullness", (-F.col("nid")).alias("hub"))).alias("top"))
+            .select("key", (-F.col("top.hub")).alias("hub")))
+    start = (members.join(hubs, "key").where(F.col("nid") != F.col("hub"))
+             .groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("bands"))
+             .groupBy("nid").agg(F.max(F.struct("bands", (-F.col("hub")).alias("hub"))).alias("best"))
+             .select(F.least("nid", -F.col("best.hub")).alias("a"), F.greatest("nid", -F.col("best.hub")).alias("b"))
+             .distinct())
     known = nodes.select("nid", "node", "first_id")
-    sets, per_component, complete = None, FIRST_PAIRS, False
-    while True:
-        fresh = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        if sets is not None:
-            fresh = fresh.join(sets.select("nid"), "nid", "left_anti")
-        more = written(_sets(docs, known.join(fresh, "nid"), id_col, text_col), "shingle-sets")
-        sets = more if sets is None else sets.unionByName(more)
-        found = written(_confirmed(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(links)
-        if complete:
-            return component
-        placed = (members.join(component, F.col("nid") == F.col("node"), "left")
-                  .select("key", "nid", F.coalesce("component", "nid").alias("component"), "size"))
-        open_keys = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                     .where("low < high").select("key"))
-        left = written(placed.join(open_keys, "key", "left_semi"), "open-buckets")
-        pairs = None
-        while pairs is None:
-            if left.isEmpty():
-                return component
-            across = written(_across(left, nodes, per_component), "across-pairs")
-            complete = across.where("left_out").isEmpty()  # no pair above the margin was held back
-            fresh = written(across.select("a", "b").join(tested, ["a", "b"], "left_anti"), "untested-pairs")
-            per_component *= PAIR_GROWTH
-            if not fresh.isEmpty():
-                pairs = fresh
-            elif complete:
-                return component
-        tested = tested.unionByName(pairs)
+
+    def sets_of(nids: DataFrame, have: DataFrame | None = None) -> DataFrame:
+        nids = nids.distinct() if have is None else nids.distinct().join(have.select("nid"), "nid", "left_anti")
+        more = written(_sets(docs, known.join(nids, "nid"), id_col, text_col), "shingle-sets")
+        return more if have is None else have.unionByName(more)
+
+    both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("nid"))
+    pairs = written(_likely(start, nodes), "likely-pairs")
+    sets = sets_of(both(pairs))
+    links = written(_confirmed(pairs, sets), "links")
+    component = connected_components(links)
+    placed = (members.join(component, F.col("nid") == F.col("node"), "left")
+              .select("key", "b", "nid", F.coalesce("component", "nid").alias("component"), "size"))
+    open_keys = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                 .where("low < high").select("key"))
+    left = written(placed.join(open_keys, "key", "left_semi"), "open-buckets")
+    if left.isEmpty():
+        return component
+    registers_of = nodes.select("nid", "n", "regs")
+    columns = ["nid", "b", "component", "n", "regs"]
+    small = written(by_group(left.where(F.col("size") <= SMALL).join(registers_of, "nid"), ["key"], columns, _small_pairs,
+                             "a long, b long", "regs", RUN_BYTES)
+                    .distinct().join(pairs, ["a", "b"], "left_anti"), "small-pairs")
+    large = left.where(F.col("size") > SMALL)
+    sets = sets_of(both(small).unionByName(large.select("nid")), sets)
+    more = _confirmed(small, sets)
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        blocked = (large.withColumn("blocks", blocks)
+                   .withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks").cast("long")).cast("int"))
+                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                   .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+                   .join(registers_of, "nid").join(sets, "nid"))
+        more = more.unionByName(by_group(blocked, ["key", "i", "j"], [*columns, "own", "set"], _large_links,
+                                         "a long, b long", "set", RUN_BYTES))
+    return connected_components(links.unionByName(written(more, "more-links")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,18 +60,19 @@ def _families(seed, families, copies, words, edits):
     return rows
 
 
+@pytest.mark.parametrize("small", [64, 2])
 @pytest.mark.parametrize("words,edits", [(200, 9), (60, 4), (12, 1)])
-def test_components_equal_brute_force(spark, words, edits):
+def test_components_equal_brute_force(spark, monkeypatch, words, edits, small):
+    monkeypatch.setattr(hm, "SMALL", small)
     rows = _families(words, 8, 15, words, edits)
     assert _run(spark, rows) == _brute(rows)
 
 
 def test_chain_and_open_buckets(spark, monkeypatch):
-    """A drifting chain: neighbours are linked, ends are not; blocks of 8 and
-    one pair at a time force several rounds."""
+    """A drifting chain: neighbours are linked, ends are not; buckets above 4
+    members are worked on in blocks of 8."""
     monkeypatch.setattr(hm, "BLOCK", 8)
-    monkeypatch.setattr(hm, "FIRST_PAIRS", 1)
-    monkeypatch.setattr(hm, "PAIR_GROWTH", 2)
+    monkeypatch.setattr(hm, "SMALL", 4)
     rng = random.Random(5)
     words, rows = [f"c{i}" for i in range(120)], []
     for i in range(40):
