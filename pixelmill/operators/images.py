@@ -134,7 +134,7 @@ def _extractor(keys: list[str]):
         for pdf in batches:
             feats, ok = [], []
             for h, w, c, data in zip(pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"]):
-                img = K.decode(data, int(h), int(w), int(c)) if h is not None else None
+                img = K.decode(data, int(h), int(w), int(c)) if pd.notna(h) and data is not None else None
                 ok.append(img is not None)
                 feats.append(K.image_features(img) if img is not None else [np.nan] * len(FEATURE_NAMES))
             out = pd.concat([pdf[keys].reset_index(drop=True),
@@ -160,7 +160,7 @@ def _per_image(df: DataFrame, keys: list[str], work, columns: dict[str, T.DataTy
         for pdf in batches:
             rows = []
             for at, (h, w, c, data) in enumerate(zip(pdf["_h"], pdf["_w"], pdf["_c"], pdf["_data"])):
-                img = K.decode(data, int(h), int(w), int(c)) if h is not None else None
+                img = K.decode(data, int(h), int(w), int(c)) if pd.notna(h) and data is not None else None
                 if img is not None:
                     rows.append((at, *work(img)))
             out = pdf[keys].iloc[[r[0] for r in rows]].reset_index(drop=True)
