@@ -6,7 +6,7 @@ anchor; it depends on the window's content alone, so equal windows have equal
 anchors. Anchors that occur once in the corpus cannot belong to a repeated window. For
 each other anchor, a segment is cut out: the run of neighbouring windows that
 share that occurrence of the anchor. Segments of one anchor meet in one group;
-groups of a very frequent anchor are split into chunks by document.
+groups of a very frequent anchor are split into chunks.
 
 Whole texts that are equal to another are set aside before (only the document
 with the smallest id goes on), so groups of exact copies cost nothing here.
@@ -162,7 +162,7 @@ def segments(keyed_docs: DataFrame, windows: Words | Bytes) -> DataFrame:
     cut = (keyed_docs.join(per_doc, ["id", "h"]).select("id", "h", pieces.alias("xs"))
            .select("id", "h", F.explode("xs").alias("x")).select("id", "h", "x.*")
            .withColumn("chunks", chunks)
-           .withColumn("chunk", F.pmod(F.xxhash64("id", "h"), F.col("chunks").cast("long")).cast("int")))
+           .withColumn("chunk", F.pmod(F.xxhash64("id", "h", "start"), F.col("chunks").cast("long")).cast("int")))
     return written(cut, "segments")
 
 
@@ -171,6 +171,14 @@ def grouped(rows: DataFrame, columns: list[str], work: Callable, schema: str, ru
     return by_group(rows, ["anchor", "chunk"], columns, work, schema, "segment", run_bytes or RUN_BYTES)
 
 
+def each_group(table: pa.Table) -> Iterator[pa.Table]:
+    """The groups (anchor, chunk) of a sorted table, one by one."""
+    anchor, chunk = table["anchor"].to_numpy(), table["chunk"].to_numpy()
+    cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+    for a, b in zip([0, *cuts], [*cuts, table.num_rows]):
+        yield table.slice(a, b - a)
+
+
 def removed_runs(spans: DataFrame) -> DataFrame:
     """(id, h, starts, counts): the runs of windows found for each document."""
     return spans.groupBy("id", "h").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("counts"))

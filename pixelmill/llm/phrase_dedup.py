@@ -9,8 +9,8 @@ streamed to locate every occurrence. Each occurrence but the first (smallest id,
 then earliest start) is removed.
 
 Where an anchor is so frequent that its group is cut into chunks, the passages of
-each chunk are counted across chunks first, and every chunk then gets the ones
-that recur.
+each chunk are counted across chunks first, and every chunk then gets those of its
+own that recur.
 """
 
 from __future__ import annotations
@@ -25,49 +25,53 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.anchors import (Words, grouped, keyed, later_copies, removed_runs, restored_id, segments,
+from pixelmill.llm.anchors import (Words, each_group, grouped, keyed, later_copies, removed_runs, restored_id, segments,
                                    without_copies)
 from pixelmill.llm.common import slices, written
 
 WINDOW, GRAM = 20, 6
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 SPANS = "id long, h long, start int, windows int"
-FIRSTS = "anchor long, passage binary, n long, id long, h long, start int"
+FIRSTS = "anchor long, chunk int, passage binary, n long, id long, h long, start int"
 
 
 class _Shard:
-    """The segments of some whole groups: distinct word sequences, where each
-    occurs, and their windows."""
+    """The segments of some whole groups: distinct word sequences (words numbered
+    within the shard), where each occurs, and their windows."""
 
     def __init__(self, table: pa.Table):
-        columns = [table.column(c).to_pylist() for c in ("segment", "id", "h", "start", "windows")]
-        self.texts: list[bytes] = []  # words framed by single spaces
-        self.windows: list[int] = []
+        self.numbers: dict[bytes, int] = {}
+        self.texts: list[tuple[int, ...]] = []
         self.places: list[list[tuple[int, int, int]]] = []
         self.anchors: list[int] = []
-        known: dict[bytes, int] = {}
-        for anchor, raw, i, h, start, n in zip(table.column("anchor").to_pylist(), *columns):
-            text = b" " + b" ".join(WORD.findall(raw)) + b" "
+        known: dict[tuple[int, ...], int] = {}
+        for anchor, raw, i, h, start in zip(*(table.column(c).to_pylist() for c in ("anchor", "segment", "id", "h", "start"))):
+            text = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(raw)])
             at = known.setdefault(text, len(self.texts))
             if at == len(self.texts):
                 self.texts.append(text)
-                self.windows.append(n)
                 self.places.append([])
                 self.anchors.append(anchor)
             self.places[at].append((i, h, start))
         self.places = [sorted(set(p)) for p in self.places]
+        self.words = [b"", *self.numbers]
 
-    def each_window(self, at: int) -> Iterator[bytes]:
-        """The windows of one distinct segment, framed by spaces."""
+    def spelled(self, window: tuple[int, ...]) -> bytes:
+        return b" ".join([self.words[w] for w in window])
+
+    def numbered(self, passage: bytes) -> tuple[int, ...] | None:
+        """The numbers of a passage's words; None if a word does not occur here."""
+        found = [self.numbers.get(w) for w in passage.split(b" ")]
+        return None if None in found else tuple(found)
+
+    def each_window(self, at: int) -> list[tuple[int, ...]]:
         text = self.texts[at]
-        spaces = [i for i, c in enumerate(text) if c == 0x20]
-        for j in range(self.windows[at]):
-            yield text[spaces[j]:spaces[j + WINDOW] + 1]
+        return [text[j:j + WINDOW] for j in range(len(text) - WINDOW + 1)]
 
-    def firsts(self) -> dict[bytes, list]:
+    def firsts(self) -> dict[tuple[int, ...], list]:
         """Per window: [occurrences, first place, segments that hold it, anchor]."""
-        found: dict[bytes, list] = {}
+        found: dict[tuple[int, ...], list] = {}
         for at, places in enumerate(self.places):
             i, h, start = places[0]
             for j, window in enumerate(self.each_window(at)):
@@ -81,41 +85,36 @@ class _Shard:
                     x[2] += 1
         return found
 
-    def located(self, firsts: dict[bytes, tuple[int, int, int]], passages: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def located(self, firsts: dict[tuple[int, ...], tuple[int, int, int]],
+                passages: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
         """Streams all segments through the automaton of the passages; gives the
         runs of windows that are not the first occurrence of theirs."""
-        automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for p in passages:
-            # latin-1 maps every byte to one character, so matches are exact on bytes
-            automaton.add_word(p.decode("latin-1"), len(p))
+            automaton.add_word(p, len(p))
         if not passages:
             return
         automaton.make_automaton()
         out: list[tuple[int, int, int, int]] = []
         for at, text in enumerate(self.texts):
-            hit = np.zeros(self.windows[at] + 1, np.int32)
-            spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
-            for end, length in automaton.iter(text.decode("latin-1")):
-                a, b = np.searchsorted(spaces, (end - length + 1, end))
-                hit[a] += 1  # windows a .. b - WINDOW lie inside the passage
-                hit[b - WINDOW + 1] -= 1
-            found = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
-            if not len(found):
-                continue
-            windows = list(self.each_window(at))
-            first = {j: firsts[windows[j]] for j in found.tolist()}
-            for i, h, start in self.places[at]:
-                run_start = run_end = -1
-                for j in first:
-                    if first[j] == (i, h, start + j):
+            windows = self.each_window(at)
+            hit = [False] * len(windows)
+            for end, length in automaton.iter(text):
+                # all windows inside the passage
+                hit[end - length + 1:end - WINDOW + 2] = [True] * (length - WINDOW + 1)
+            first = [(j, firsts[windows[j]]) for j, found in enumerate(hit) if found]
+            for i, h, start in self.places[at] if first else ():
+                begin = end = -1
+                for j, place in first:
+                    if place == (i, h, start + j):
                         continue
-                    if j != run_end:
-                        if run_end > run_start:
-                            out.append((i, h, start + run_start, run_end - run_start))
-                        run_start = j
-                    run_end = j + 1
-                if run_end > run_start:
-                    out.append((i, h, start + run_start, run_end - run_start))
+                    if j != end:
+                        if end > begin:
+                            out.append((i, h, start + begin, end - begin))
+                        begin = j
+                    end = j + 1
+                if end > begin:
+                    out.append((i, h, start + begin, end - begin))
         yield _batch(out, SPANS)
 
 
@@ -137,16 +136,20 @@ def _whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk_firsts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield _batch([(x[3], w, x[0], *x[1]) for w, x in _Shard(table).firsts().items()], FIRSTS)
+    for group in each_group(table):
+        shard, anchor, chunk = _Shard(group), group["anchor"][0].as_py(), group["chunk"][0].as_py()
+        yield _batch([(anchor, chunk, shard.spelled(w), x[0], *x[1]) for w, x in shard.firsts().items()], FIRSTS)
 
 
 def _chunk_located(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Chunks together with the recurring passages of their anchors (rows with
-    a null ``windows``)."""
-    own = table.filter(pc.is_valid(table.column("windows")))
-    told = table.filter(pc.is_null(table.column("windows")))
-    firsts = {w: (i, h, s) for w, i, h, s in zip(*(told.column(c).to_pylist() for c in ("segment", "id", "h", "start")))}
-    yield from _Shard(own).located(firsts, list(firsts))
+    """Chunks together with their recurring passages (rows with a null ``windows``)."""
+    for group in each_group(table):
+        told = group.filter(pc.is_null(group.column("windows")))
+        shard = _Shard(group.filter(pc.is_valid(group.column("windows"))))
+        firsts = {shard.numbered(w): (i, h, s) for w, i, h, s in
+                  zip(*(told.column(c).to_pylist() for c in ("segment", "id", "h", "start")))}
+        firsts.pop(None, None)
+        yield from shard.located(firsts, list(firsts))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -160,11 +163,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = grouped(rows.where("chunks = 1"), columns, _whole, SPANS)
     frequent = rows.where("chunks > 1")
     if not frequent.isEmpty():
-        firsts = (grouped(frequent, columns, _chunk_firsts, FIRSTS).groupBy("anchor", "passage")
+        counted = written(grouped(frequent, columns, _chunk_firsts, FIRSTS), "passages")
+        firsts = (counted.groupBy("anchor", "passage")
                   .agg(F.sum("n").alias("n"), F.min(F.struct("id", "h", "start")).alias("first")).where("n > 1"))
-        firsts = written(firsts, "passages")
-        parts = frequent.select("anchor", "chunks").distinct()
-        told = (firsts.join(parts, "anchor").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        told = (counted.select("anchor", "chunk", "passage").join(firsts, ["anchor", "passage"])
                 .select("anchor", "chunk", "first.id", "first.h", "first.start", F.lit(None).cast("int").alias("windows"),
                         F.col("passage").alias("segment")))
         both = frequent.select("anchor", "chunk", *columns).unionByName(told)
