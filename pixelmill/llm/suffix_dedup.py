@@ -23,12 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.anchors import Bytes, grouped, keyed, later_copies, removed_runs, restored_id, segments, without_copies
+from pixelmill.llm.anchors import (Bytes, each_group, grouped, keyed, later_copies, removed_runs, restored_id,
+                                   segments, without_copies)
 from pixelmill.llm.common import multi_arange, slices, written
 
 WINDOW, GRAM = 200, 32
 RUN_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Symbols are 0 (end of a segment) and byte + 1; so many fit in one sort key.
 PACKED = 7
 
@@ -194,24 +195,25 @@ def _digests(shard: _Shard, segment: np.ndarray, offset: np.ndarray, kind: np.nd
 
 
 def _chunk_totals(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    shard = _Shard(table, skip_lone=False)
-    segment, offset, kind = shard.classes()
-    one, named, _ = _digests(shard, segment, offset, kind)
-    totals = shard.totals(segment, kind)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([shard.anchors[s] for s in segment[one].tolist()], pa.int64()), pa.array(named, pa.binary()),
-         pa.array(totals[one], pa.int64())], names=["anchor", "window", "n"])
+    for group in each_group(table):
+        shard = _Shard(group, skip_lone=False)
+        segment, offset, kind = shard.classes()
+        one, named, _ = _digests(shard, segment, offset, kind)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([group[c][0].as_py()] * len(one), t) for c, t in (("anchor", pa.int64()), ("chunk", pa.int32()))]
+            + [pa.array(named, pa.binary()), pa.array(shard.totals(segment, kind)[one], pa.int64())],
+            names=["anchor", "chunk", "window", "n"])
 
 
 def _chunk_spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Chunks together with the repeated windows of their anchors (rows with a
-    null ``windows``)."""
-    told = set(table.filter(pc.is_null(table.column("windows"))).column("segment").to_pylist())
-    shard = _Shard(table.filter(pc.is_valid(table.column("windows"))), skip_lone=False)
-    segment, offset, kind = shard.classes()
-    _, named, back = _digests(shard, segment, offset, kind)
-    repeated = np.array([x in told for x in named], bool)[back] if named else np.empty(0, bool)
-    yield shard.spans(segment[repeated], offset[repeated])
+    """Chunks together with their repeated windows (rows with a null ``windows``)."""
+    for group in each_group(table):
+        told = set(group.filter(pc.is_null(group.column("windows"))).column("segment").to_pylist())
+        shard = _Shard(group.filter(pc.is_valid(group.column("windows"))), skip_lone=False)
+        segment, offset, kind = shard.classes()
+        _, named, back = _digests(shard, segment, offset, kind)
+        repeated = np.array([x in told for x in named], bool)[back] if named else np.empty(0, bool)
+        yield shard.spans(segment[repeated], offset[repeated])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -224,12 +226,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = grouped(rows.where("chunks = 1"), columns, _whole, SPANS, RUN_BYTES)
     frequent = rows.where("chunks > 1")
     if not frequent.isEmpty():
-        totals = (grouped(frequent, columns, _chunk_totals, "anchor long, window binary, n long", RUN_BYTES)
-                  .groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1"))
-        totals = written(totals, "windows")
-        parts = frequent.select("anchor", "chunks").distinct()
+        counted = written(grouped(frequent, columns, _chunk_totals, "anchor long, chunk int, window binary, n long",
+                                  RUN_BYTES), "windows")
+        repeated = counted.groupBy("anchor", "window").agg(F.sum("n").alias("n")).where("n > 1")
         none = lambda kind: F.lit(None).cast(kind)
-        told = (totals.join(parts, "anchor").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        told = (counted.join(repeated.select("anchor", "window"), ["anchor", "window"], "left_semi")
                 .select("anchor", "chunk", none("long").alias("id"), none("long").alias("h"), none("int").alias("start"),
                         none("int").alias("windows"), F.col("window").alias("segment")))
         both = frequent.select("anchor", "chunk", *columns).unionByName(told)
