@@ -44,7 +44,7 @@ MARGIN = 5.0
 #: Buckets of up to so many members give pairs; larger ones are worked on in blocks.
 SMALL = 64
 #: Members of a block; a task holds two blocks.
-BLOCK = 512
+BLOCK = 1024
 RUN_BYTES = 4 << 20
 BATCH_BYTES = 1 << 20
 
@@ -295,6 +295,28 @@ def _block_links(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _blocked(large: DataFrame) -> DataFrame:
+    """Members of large buckets, once for each pair (i, j) of blocks that theirs is
+    compared in. Members of a bucket's largest component are only compared with
+    the others: these come in the first blocks, each of which meets all blocks."""
+    counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("all"))
+    rows = (large.join(top, "key").withColumn("main", F.col("component") == F.col("top.component"))
+            .withColumn("minor_blocks", F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int"))
+            .withColumn("blocks", F.col("minor_blocks") + F.ceil(F.col("top.c") / BLOCK).cast("int")))
+    columns = ["key", "b", "nid", "component", "own", "i", "j"]
+    none = F.lit(0)
+    whole = (rows.where(F.col("all") <= BLOCK).withColumn("own", none).withColumn("i", none).withColumn("j", none))
+    place = F.xxhash64("nid")
+    own = F.when(F.col("main"), F.col("minor_blocks") + F.pmod(place, (F.col("blocks") - F.col("minor_blocks")).cast("long")))
+    cut = (rows.where(F.col("all") > BLOCK)
+           .withColumn("own", own.otherwise(F.pmod(place, F.col("minor_blocks").cast("long"))).cast("int"))
+           .withColumn("other", F.explode(F.sequence(none, F.when(F.col("main"), F.col("minor_blocks"))
+                                                     .otherwise(F.col("blocks")) - 1)))
+           .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+    return whole.select(columns).unionByName(cut.select(columns))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, component) of all nodes that are linked with another."""
     bands = _band_rows(nodes)
@@ -337,12 +359,7 @@ def _links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Dat
     sets = sets_of(both(small).unionByName(large.select("nid")), sets)
     more = _confirmed(small, sets)
     if not large.isEmpty():
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocked = (large.withColumn("blocks", blocks)
-                   .withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks").cast("long")).cast("int"))
-                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                   .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-                   .join(registers_of, "nid").join(sets, "nid"))
+        blocked = _blocked(large).join(registers_of, "nid").join(sets, "nid")
         more = more.unionByName(by_group(blocked, ["key", "i", "j"], [*columns, "own", "set"], _large_links,
                                          "a long, b long", "set", RUN_BYTES))
     return connected_components(links.unionByName(written(more, "more-links")))
