@@ -99,7 +99,9 @@ def run_spark_grid(prepared: DataFrame, which: str, parallelism: int | None = No
 def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
     """Train + val merged (S12 stack), balanced class weights, re-aimed grids."""
     pool = B.union_all(prepared.where(F.col("split") == "train"), prepared.where(F.col("split") == "val"))
-    pool = B.class_weights(pool, "label")
+    spark, path = prepared.sparkSession, scratch_path(prepared.sparkSession, "twin-pool")
+    write_parquet(B.class_weights(pool, "label"), path)  # read by every fit
+    pool = spark.read.parquet(path)
     n = pool.count()  # one scalar: sets regParam = 1 / (C * n)
     fit = Mo.fit_twin(which, pool, n, pre=pre, fold_col="fold", parallelism=parallelism)
     return fit, test_metrics(fit, prepared.where(F.col("split") == "test"))
