@@ -65,3 +65,18 @@ def sql_split(key: str) -> str:
     u = sql_hash_uniform(SPLIT_SEED, key)
     c = B.split_thresholds((0.7, 0.1, 0.2))
     return f"CASE WHEN {u} < {c[0]!r} THEN 'train' WHEN {u} < {c[1]!r} THEN 'val' ELSE 'test' END"
+
+
+# the seven Hu invariants for DuckDB, from normalised central moments n20 .. n03
+SQL_HU = [
+    "n20 + n02",
+    "(n20 - n02) * (n20 - n02) + 4 * n11 * n11",
+    "(n30 - 3 * n12) * (n30 - 3 * n12) + (3 * n21 - n03) * (3 * n21 - n03)",
+    "(n30 + n12) * (n30 + n12) + (n21 + n03) * (n21 + n03)",
+    "(n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
+    " + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
+    "(n20 - n02) * ((n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))"
+    " + 4 * n11 * (n30 + n12) * (n21 + n03)",
+    "(3 * n21 - n03) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
+    " - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
+]

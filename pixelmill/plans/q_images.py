@@ -16,7 +16,7 @@ from pixelmill.operators import images as I
 from pixelmill.operators import sampling as B
 from pixelmill.operators.features import assembler
 from pixelmill.operators.scoring import score_requests
-from pixelmill.plans.common import SQL_SEVERITY, Registry, rounded, severity_frame, sql_split
+from pixelmill.plans.common import SQL_HU, SQL_SEVERITY, Registry, rounded, severity_frame, sql_split
 from pixelmill.plans.q_models import SQL_DECISION_CHECKS, decision_checks, saved_models
 from pixelmill.schemas import CANNY_HIGH, CANNY_LOW, FEATURE_NAMES, MODEL_NAMES
 from pixelmill.session import scratch_path
@@ -220,17 +220,6 @@ def _sql_image_color_features() -> str:
         "mu12": "CAST(m00 * m00 * m12 - 2 * m00 * m01 * m11 - m00 * m10 * m02 + 2 * m01 * m01 * m10 AS DOUBLE)"
                 " / (CAST(m00 AS DOUBLE) * m00)",
     }
-    hu = [
-        "n20 + n02",
-        "(n20 - n02) * (n20 - n02) + 4 * n11 * n11",
-        "(n30 - 3 * n12) * (n30 - 3 * n12) + (3 * n21 - n03) * (3 * n21 - n03)",
-        "(n30 + n12) * (n30 + n12) + (n21 + n03) * (n21 + n03)",
-        "(n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
-        " + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
-        "(n20 - n02) * ((n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03)) + 4 * n11 * (n30 + n12) * (n21 + n03)",
-        "(3 * n21 - n03) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
-        " - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
-    ]
     final = ", ".join(f"round({c}, 6) AS {c}" for c in COLOR_FEATURES)
     return f"""
 WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x,
@@ -272,7 +261,7 @@ nn AS (SELECT *, mu20 / pow(m00, 2) AS n20, mu02 / pow(m00, 2) AS n02, mu11 / po
               mu30 / pow(m00, 2.5) AS n30, mu21 / pow(m00, 2.5) AS n21, mu12 / pow(m00, 2.5) AS n12,
               mu03 / pow(m00, 2.5) AS n03 FROM c),
 f AS (SELECT vec_id, {", ".join(cols)},
-             {", ".join(f"-sign({h}) * log10(abs({h}) + 1e-10) AS hu_moment_{i}" for i, h in enumerate(hu))}
+             {", ".join(f"-sign({h}) * log10(abs({h}) + 1e-10) AS hu_moment_{i}" for i, h in enumerate(SQL_HU))}
       FROM nn)
 SELECT vec_id, {final} FROM f
 """

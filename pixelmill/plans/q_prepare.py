@@ -12,7 +12,7 @@ from pixelmill.functions.hashing import hash_uniform, sql_hash_uniform
 from pixelmill.operators import labels as L
 from pixelmill.operators import sampling as B
 from pixelmill.operators import signal as M
-from pixelmill.plans.common import Registry, SQL_SEVERITY, rounded, severity_frame, sql_split
+from pixelmill.plans.common import Registry, SQL_SEVERITY, SQL_HU, rounded, severity_frame, sql_split
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import preview, read_labels_csv, table, write_parquet
 
@@ -90,21 +90,9 @@ def _sql_hu():
         "n30": "mu30 / pow(m00, 2.5)", "n21": "mu21 / pow(m00, 2.5)",
         "n12": "mu12 / pow(m00, 2.5)", "n03": "mu03 / pow(m00, 2.5)",
     }
-    hu = [
-        "n20 + n02",
-        "(n20 - n02) * (n20 - n02) + 4 * n11 * n11",
-        "(n30 - 3 * n12) * (n30 - 3 * n12) + (3 * n21 - n03) * (3 * n21 - n03)",
-        "(n30 + n12) * (n30 + n12) + (n21 + n03) * (n21 + n03)",
-        "(n30 - 3 * n12) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
-        " + (3 * n21 - n03) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
-        "(n20 - n02) * ((n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))"
-        " + 4 * n11 * (n30 + n12) * (n21 + n03)",
-        "(3 * n21 - n03) * (n30 + n12) * ((n30 + n12) * (n30 + n12) - 3 * (n21 + n03) * (n21 + n03))"
-        " - (n30 - 3 * n12) * (n21 + n03) * (3 * (n30 + n12) * (n30 + n12) - (n21 + n03) * (n21 + n03))",
-    ]
     eta_sql = ", ".join(f"{v} AS {k}" for k, v in eta.items())
     hu_sql = ",\n       ".join(
-        f"round(-sign({h}) * log10(abs({h}) + 1e-10), 6) AS hu_moment_{i}" for i, h in enumerate(hu))
+        f"round(-sign({h}) * log10(abs({h}) + 1e-10), 6) AS hu_moment_{i}" for i, h in enumerate(SQL_HU))
     return f"""
 WITH e AS (SELECT vec_id, abs(CAST(unnest(embedding) AS DOUBLE)) AS v,
                   CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i FROM embeddings),
@@ -153,6 +141,7 @@ def q_severity_distribution(spark, sf_dir):
     return L.distribution(severity_frame(spark, sf_dir), "severity")
 
 
+# the folder names in the SQL are fixed values, as in schemas.CLASS_FOLDERS
 @register("class_folder_path", """
 WITH f AS (SELECT vec_id, label AS diagnosis,
                   CASE label WHEN 0 THEN 'No_DR' WHEN 1 THEN 'Mild' WHEN 2 THEN 'Moderate'
