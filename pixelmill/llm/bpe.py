@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from pixelmill.llm.common import slices
 
-BATCH_BYTES = 8 << 20
-CACHE_ENTRIES = 1 << 18
+BATCH_BYTES = 2 << 20
+CACHE_ENTRIES = 1 << 17
 #: First code point of the 256 characters that stand for bytes (Latin Extended-A
 #: onwards: no white space, nothing that sentencepiece treats specially).
 FIRST_CHAR = 0x100
