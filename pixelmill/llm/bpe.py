@@ -92,13 +92,13 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.token = sorted(ranks, key=ranks.__getitem__)
-        #: piece -> (number of ids, ids, ids as text, bytes that the ids decode to)
-        self.cache: dict[str, tuple[int, list[int], str, bytes]] = {}
+        #: piece -> (number of ids, ids as text, bytes that the ids decode to)
+        self.cache: dict[str, tuple[int, str, bytes]] = {}
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, list[int], str, bytes]]:
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, str, bytes]]:
         """Encodes and decodes every given distinct piece; what was met before
         is kept, up to a fixed number of entries."""
         if len(self.cache) > CACHE_ENTRIES:
@@ -106,14 +106,14 @@ class Codec:
         new = [p for p in pieces if p not in self.cache]
         if new:
             found = self.model.encode([to_chars(p.encode()) for p in new], out_type=int, num_threads=1)
-            self.cache.update((p, (len(ids), ids, " ".join(map(str, ids)), self.decode(ids)))
+            self.cache.update((p, (len(ids), " ".join(map(str, ids)), self.decode(ids)))
                               for p, ids in zip(new, found))
         return self.cache
 
     def encode(self, text: str) -> list[int]:
         parts = self.split(text)
         known = self.learn(set(parts))
-        return [i for p in parts for i in known[p][1]]
+        return [int(i) for p in parts for i in known[p][1].split()]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.token[i] for i in ids])
@@ -183,7 +183,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
             get = c.learn(set().union(*split)).__getitem__
             counts, said, decoded = [], [], []
             for parts in split:
-                n, _, text, data = zip(*map(get, parts)) if parts else ((),) * 4
+                n, text, data = zip(*map(get, parts)) if parts else ((),) * 3
                 counts.append(sum(n))
                 said.append(hashlib.sha256(" ".join(text).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(data)).hexdigest())
