@@ -63,6 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int,
         for a, b in zip(cuts, cuts[1:]):
             for at in range(a, b, max_rows):
                 yield batch.slice(at, min(max_rows, b - at))
+    pa.default_memory_pool().release_unused()  # the worker lives on, with other stages to come
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,10 +158,13 @@ def by_group(rows: DataFrame, keys: list[str], columns: list[str], work: Callabl
                 if size + upto[b] - upto[done] >= limit:
                     yield from work(pa.Table.from_batches(held + ([batch.slice(done, b - done)] if b > done else [])))
                     held, size, done = [], 0, b
-            held.append(batch.slice(done))
+            # a copy of the rest, so that the batch itself is not kept
+            held.append(pa.Table.from_batches([batch.slice(done)]).take(np.arange(batch.num_rows - done))
+                        .combine_chunks().to_batches()[0])
             size += upto[-1] - upto[done]
         if held:
             yield from work(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
 
     return (rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys)
             .mapInArrow(run, schema))
