@@ -3,6 +3,7 @@ shared folder, Arrow text batches as flat byte buffers, 64-bit hashing."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system at the end of a task's work: the
+    worker lives on, next to other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n + 1 offsets
     of its rows in it. Null rows are empty."""
@@ -63,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int,
         for a, b in zip(cuts, cuts[1:]):
             for at in range(a, b, max_rows):
                 yield batch.slice(at, min(max_rows, b - at))
-    pa.default_memory_pool().release_unused()  # the worker lives on, with other stages to come
+    release_memory()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,7 +174,7 @@ def by_group(rows: DataFrame, keys: list[str], columns: list[str], work: Callabl
             size += upto[-1] - upto[done]
         if held:
             yield from work(pa.Table.from_batches(held))
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     return (rows.select(*dict.fromkeys([*keys, *columns])).repartition(*keys).sortWithinPartitions(*keys)
             .mapInArrow(run, schema))

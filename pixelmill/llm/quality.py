@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import SpanHash, slices, text_buffer, word_spans
 
 #: Labelled texts of each label that the model is fitted on, at most.
-SAMPLE_PER_LABEL = 2048
+SAMPLE_PER_LABEL = 1024
 BUCKETS = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = (docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
              .join(F.broadcast(chosen), "_id").select("_label", "text"))
     rows = _features(texts, "_label").collect()
-    raw = np.stack([np.frombuffer(r["features"], np.float32) for r in rows]) if rows else np.zeros((0, WIDTH), np.float32)
+    raw = np.frombuffer(b"".join([r["features"] for r in rows]), np.float32).reshape(len(rows), WIDTH)
     classes = np.array([r["label"] for r in rows], np.float64)
     prior = sizes.get(1, 0) / sum(sizes.values())
     idf = np.log((1 + len(raw)) / (1 + (raw[:, :BUCKETS] > 0).sum(0))).astype(np.float32) + 1
