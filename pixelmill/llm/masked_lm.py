@@ -8,8 +8,9 @@ context are summed into one tanh layer, and a two-level softmax (class, then
 word in class) gives the probability of the word. The vocabulary is the most
 frequent words of all documents. Training is data-parallel: each partition of
 the corpus runs its own pass from the current weights and the weights are
-averaged over all partitions by the words they saw, for ``ROUNDS`` rounds. So
-every partition of the input takes part in the model.
+averaged over all partitions by the words they saw, for ``ROUNDS`` rounds. A
+round trains on every ``ROUNDS``-th word of each text, the next round on the words
+after those, so the rounds together train on every word of the input once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ VOCABULARY = CLASSES * SLOTS
 SPAN = 3
 HIDDEN = 32
 ROUNDS = 2
-#: In a round, the words of every text at places of one residue are trained on.
-STRIDE = 12
 RATE = 0.15
 BATCH = 4096
 SCORE_ROWS = 1 << 15
@@ -67,55 +66,83 @@ class Net:
         return net
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.bias + self.embed[0][context[0]]
+        total = self.embed[0].take(context[0], 0, mode="clip")
+        total += self.bias
+        part = np.empty_like(total)
         for p in range(1, 2 * SPAN):
-            total += self.embed[p][context[p]]
-        return np.tanh(total)
+            total += self.embed[p].take(context[p], 0, out=part, mode="clip")
+        return np.tanh(total, out=total)
+
+    def slots(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Inputs of the second softmax, for rows sorted by class."""
+        out = np.empty((len(h), SLOTS), h.dtype)
+        for c, rows in _runs(cuts):
+            np.matmul(h[rows], self.to_slot[c], out=out[rows])
+            out[rows] += self.slot_bias[c]
+        return out
 
     def log_probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        kind, slot = word // SLOTS, word % SLOTS
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(word)), kind]
-        for c, rows in _by_class(kind):
-            out[rows] += _log_softmax(h[rows] @ self.to_slot[c] + self.slot_bias[c])[np.arange(len(rows)), slot[rows]]
+        order, kind, slot, cuts = _by_class(word)
+        h = self.hidden(context[:, order])
+        out = np.empty(len(word), h.dtype)
+        out[order] = _log_softmax_at(h @ self.to_class + self.class_bias, kind) + _log_softmax_at(self.slots(h, cuts), slot)
         return out
 
     def gradient(self, context: np.ndarray, word: np.ndarray) -> "Net":
         """Of the mean log-probability."""
         g = Net(np.zeros_like(self.flat))
-        n, h = len(word), self.hidden(context)
-        kind, slot = word // SLOTS, word % SLOTS
-        d = -np.exp(_log_softmax(h @ self.to_class + self.class_bias))
-        d[np.arange(n), kind] += 1
+        order, kind, slot, cuts = _by_class(word)
+        context = context[:, order]
+        h = self.hidden(context)
+        d = _left_over(h @ self.to_class + self.class_bias, kind)
         g.to_class[:], g.class_bias[:] = h.T @ d, d.sum(0)
         dh = d @ self.to_class.T
-        for c, rows in _by_class(kind):
-            d = -np.exp(_log_softmax(h[rows] @ self.to_slot[c] + self.slot_bias[c]))
-            d[np.arange(len(rows)), slot[rows]] += 1
-            g.to_slot[c], g.slot_bias[c] = h[rows].T @ d, d.sum(0)
-            dh[rows] += d @ self.to_slot[c].T
-        dh *= 1 - h * h
+        d = _left_over(self.slots(h, cuts), slot)
+        for c, rows in _runs(cuts):
+            g.to_slot[c], g.slot_bias[c] = h[rows].T @ d[rows], d[rows].sum(0)
+            dh[rows] += d[rows] @ self.to_slot[c].T
+        h *= h
+        dh *= np.subtract(1, h, out=h)
         g.bias[:] = dh.sum(0)
+        # id 0 is most of the words: one product, the other ids sorted and summed
+        g.embed[:, 0] = (context == 0).astype(dh.dtype) @ dh
         for p in range(2 * SPAN):
-            order = np.argsort(context[p], kind="stable")
-            ids = context[p][order]
+            rows = np.flatnonzero(context[p])
+            ids = context[p][rows].astype(np.int16)
+            by_id = np.argsort(ids, kind="stable")
+            ids = ids[by_id]
             starts = np.flatnonzero(np.diff(ids, prepend=-1))
-            g.embed[p][ids[starts]] = np.add.reduceat(dh[order], starts, axis=0)
-        g.flat /= n
+            if len(starts):
+                g.embed[p][ids[starts]] = np.add.reduceat(dh.take(rows[by_id], 0, mode="clip"), starts, axis=0)
+        g.flat /= len(word)
         return g
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(1))
+
+
+def _left_over(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Gradient of the log-softmax at ``at``: one there, less the probabilities."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= -x.sum(1, keepdims=True)
+    x[np.arange(len(x)), at] += 1
+    return x
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c + 1] > cuts[c]:
-            yield c, order[cuts[c]:cuts[c + 1]]
+def _by_class(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order by class; class and slot in that order; where each class begins."""
+    order = np.argsort((word // SLOTS).astype(np.int16), kind="stable")
+    kind, slot = np.divmod(word[order], SLOTS)
+    return order, kind, slot, np.searchsorted(kind, np.arange(CLASSES + 1))
+
+
+def _runs(cuts: np.ndarray) -> Iterator[tuple[int, slice]]:
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        yield c, slice(cuts[c], cuts[c + 1])
 
 
 class Vocabulary:
@@ -152,6 +179,12 @@ def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.ndarr
     return out
 
 
+def places_of_round(first: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Places of the words whose number in their own text is ``number`` modulo ``rounds``."""
+    own = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(own % rounds == number)
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The most frequent words of all texts (ties: the smaller hash)."""
 
@@ -191,7 +224,8 @@ def _weight_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: int = ROUNDS) -> Net:
-    """Averages the passes of all partitions, ``rounds`` times."""
+    """Averages the passes of all partitions, ``rounds`` times; every word of
+    every text is trained on in exactly one of the rounds."""
     context = docs.sparkSession.sparkContext
     net = Net.fresh(words.counts)
     for number in range(rounds):
@@ -206,7 +240,7 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: in
                 if lane < 0 and len(hashes):
                     lane = int(hashes[0] % np.uint64(LANES))
                 ids = vocabulary.ids(hashes)
-                places = np.arange(number * STRIDE // rounds, len(ids), STRIDE)
+                places = places_of_round(first, number, rounds)
                 for at in range(0, len(places), BATCH):
                     some = places[at:at + BATCH]
                     g = own.gradient(contexts(ids, first, some), ids[some]).flat

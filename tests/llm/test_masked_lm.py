@@ -73,3 +73,29 @@ def test_training_helps_on_texts_it_has_not_seen(spark):
     words = lm.vocabulary(seen)
     total = lambda net: lm.score(unseen, net, words).agg({"log_likelihood": "sum"}).first()[0]
     assert total(lm.train(seen, words)) > total(lm.Net.fresh(words.counts))
+
+
+def test_rounds_train_on_every_word_of_every_text():
+    texts = ["a b c d e f g h i j k l m", "b", "", "a b", "c d e f g", " "]
+    _, first = lm.word_hashes(*text_buffer(pa.array(texts)))
+    for rounds in (1, lm.ROUNDS, 3):
+        seen = [lm.places_of_round(first, r, rounds) for r in range(rounds)]
+        assert sorted(np.concatenate(seen).tolist()) == list(range(first[-1]))
+    assert [len(lm.places_of_round(first, 0, 2)), len(lm.places_of_round(first[:2], 0, 2))] == [7 + 1 + 1 + 3, 7]
+
+
+def test_training_sees_as_many_words_as_the_texts_have(spark, monkeypatch):
+    texts = ["a b c d e f g h i j k l m", "b", None, "a b", "c d e f g", " "] * 3
+    docs, seen = table(spark, list(enumerate(texts))), []
+    write = lm.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name.startswith("weights-"):
+            seen.append(out.agg({"n": "max"}).first()[0])
+        return out
+
+    words = lm.vocabulary(docs)
+    monkeypatch.setattr(lm, "written", spy)
+    lm.train(docs, words)
+    assert sum(seen) == sum(len((t or "").split()) for t in texts)
