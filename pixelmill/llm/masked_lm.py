@@ -5,8 +5,10 @@ itself masked; the conditional log-probabilities add up to the text's score.
 
 The network is small and trained in numpy: position-wise embeddings of the
 context are summed into one tanh layer, and a two-level softmax (class, then
-word in class) gives the probability of the word. The vocabulary is the most
-frequent words of all documents. Training is data-parallel: each partition of
+word in class) gives the probability of the word. The classes tell the most
+frequent words of all documents apart; every other word is id 0 to the network and
+has the probability of id 0 times its own share of that id's occurrences, from the
+word counts of all documents. Training is data-parallel: each partition of
 the corpus runs its own pass from the current weights and the weights are
 averaged over all partitions by the words they saw, for ``ROUNDS`` rounds. A
 round trains on every ``ROUNDS``-th word of each text, the next round on the words
@@ -19,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import SpanHash, slices, text_buffer, word_spans, written
 
 CLASSES = SLOTS = 32
-#: Words that the model tells apart; id 0 stands for all others.
+#: Words that the network tells apart; id 0 stands for all others.
 VOCABULARY = CLASSES * SLOTS
 SPAN = 3
 HIDDEN = 32
@@ -34,6 +37,11 @@ RATE = 0.15
 BATCH = 4096
 SCORE_ROWS = 1 << 15
 SCAN_BYTES = 4 << 20
+#: Counts of words of id 0 are broadcast if the word makes up one occurrence in so
+#: many or more (so there are at most so many); those of the others are joined.
+HOT_SHARE = 1 << 20
+#: Sums of logarithms are added up in this unit, so that their order has no effect.
+UNIT = 1 << 30
 #: Weights travel in blocks of so many numbers, summed over so many lanes first.
 BLOCK, LANES = 1 << 14, 64
 
@@ -146,15 +154,37 @@ def _runs(cuts: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 class Vocabulary:
-    """Ids of the most frequent words, looked up by the hash of the word."""
+    """Ids of the most frequent words, looked up by the hash of the word.
 
-    def __init__(self, hashes: list[int], counts: list[int], total: int):
+    ``others`` has the counts of all words (word, n), ``hot`` and ``hot_counts``
+    those of the more frequent words of id 0. Without ``others``, the words of
+    id 0 are not told apart."""
+
+    def __init__(self, hashes: list[int], counts: list[int], total: int, others: DataFrame | None = None,
+                 hot: np.ndarray = np.empty(0, np.int64), hot_counts: np.ndarray = np.empty(0, np.int64)):
         known = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(known)
         self.known = known[self.order]
         self.counts = np.zeros(VOCABULARY)
         self.counts[1:len(counts) + 1] = counts
         self.counts[0] = total - sum(counts)
+        self.others, self.total = others, total
+        order = np.argsort(hot.view(np.uint64))
+        self.hot, self.hot_logs = hot.view(np.uint64)[order], np.log(hot_counts[order])
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "others": None}
+
+    def log_shares(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of id 0: the logarithm of their share in it, and which of them
+        are not in the broadcast table (these count as if they occurred once)."""
+        logs = np.full(len(hashes), -np.log(max(self.counts[0], 1)))
+        if not len(self.hot):
+            return logs, np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
+        found = self.hot[at] == hashes
+        logs[found] += self.hot_logs[at[found]]
+        return logs, ~found
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -198,7 +228,10 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     counts = written(counts, "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY - 1).collect()
-    return Vocabulary([r["word"] for r in top], [r["n"] for r in top], total)
+    # the frequent words are among them, but never looked up
+    hot = counts.where(F.col("n") * HOT_SHARE >= total).select("word", "n").toArrow()
+    return Vocabulary([r["word"] for r in top], [r["n"] for r in top], total, counts,
+                      hot.column("word").to_numpy(), hot.column("n").to_numpy())
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -263,13 +296,18 @@ def score(docs: DataFrame, net: Net, words: Vocabulary, id_col: str = "doc_id",
     """Per row: ``id_col``, ``n_words``, ``log_likelihood`` (sum over all words
     of the whole text) and ``mean_log_likelihood``.
 
+    A word of id 0 has P(id 0) times its share of that id's occurrences; a word
+    that the vocabulary has never met counts as if it had occurred once.
+
     Null, empty and blank texts: no words, 0.0 and a null mean. Repeated rows
     each give a row; a null id stays null; extra columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast((net.flat, words))
+    split = words.others is not None
+    kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, vocabulary = sent.value
-        own = Net(flat)
+        own, row = Net(flat), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", SCAN_BYTES):
             hashes, first = word_hashes(*text_buffer(batch.column(1)))
             ids = vocabulary.ids(hashes)
@@ -277,16 +315,48 @@ def score(docs: DataFrame, net: Net, words: Vocabulary, id_col: str = "doc_id",
             for at in range(0, len(ids), SCORE_ROWS):
                 places = np.arange(at, min(at + SCORE_ROWS, len(ids)))
                 logs[places] = own.log_probabilities(contexts(ids, first, places), ids[places])
+            rows = np.arange(row, row + batch.num_rows)
+            row += batch.num_rows
+            if split:
+                places = np.flatnonzero(ids == 0)
+                shares, rest = vocabulary.log_shares(hashes[places])
+                logs[places] += shares
+                places = places[rest]
+                yield _other_words(rows[np.searchsorted(first, places, "right") - 1], hashes[places], batch.column(0).type)
             n = np.diff(first)
             total = np.where(n > 0, np.add.reduceat(logs, first[:-1]), 0.0)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total), mean],
-                                             names=["key", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
-            .mapInArrow(run, f"key {kind}, n_words long, log_likelihood double, mean_log_likelihood double")
-            .withColumnRenamed("key", id_col))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows), batch.column(0), pa.array(n, pa.int64()), pa.array(total), pa.nulls(len(rows), pa.int64())],
+                names=["row", "key", "n", "logs", "word"])
+
+    # of every text a row, and of every word that it has yet to get the count of (and no key)
+    out = (docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
+           .mapInArrow(run, f"row long, key {kind.simpleString()}, n long, logs double, word long"))
+    if split:
+        out = written(out, "scores")
+    texts = out.where(F.col("word").isNull()).drop("word")
+    if split:
+        # a word that occurs once adds log 1
+        counts = words.others.where((F.col("n") > 1) & (F.col("n") * HOT_SHARE < words.total))
+        counts = counts.select("word", (F.log("n") * UNIT).cast("long").alias("log_count"))
+        more = (out.where(F.col("word").isNotNull()).select("row", "word", "n").join(counts, "word")
+                .groupBy("row").agg((F.sum(F.col("n") * F.col("log_count")) / UNIT).alias("more")))
+        texts = (texts.join(more, "row", "left")
+                 .withColumn("logs", F.col("logs") + F.coalesce(F.col("more"), F.lit(0.0))))
+    return texts.select(F.col("key").alias(id_col), F.col("n").alias("n_words"), F.col("logs").alias("log_likelihood"),
+                        F.when(F.col("n") > 0, F.col("logs") / F.col("n")).alias("mean_log_likelihood"))
+
+
+def _other_words(rows: np.ndarray, hashes: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """(row, null key, n, null, word): each word of each text once."""
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    at = np.flatnonzero(new)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rows[at]), pa.nulls(len(at), kind), pa.array(np.diff(at, append=len(rows)), pa.int64()),
+         pa.nulls(len(at), pa.float64()), pa.array(hashes[at].view(np.int64))], names=["row", "key", "n", "logs", "word"])
 
 
 def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

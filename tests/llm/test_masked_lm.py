@@ -99,3 +99,32 @@ def test_training_sees_as_many_words_as_the_texts_have(spark, monkeypatch):
     monkeypatch.setattr(lm, "written", spy)
     lm.train(docs, words)
     assert sum(seen) == sum(len((t or "").split()) for t in texts)
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    # three words known to the network, the others by broadcast, by join or both
+    common = ["the of and"] * 30
+    texts = [*common, "the rare of", "the rare of", "the scarce of", "the single of", "the rare rare scarce scarce single x y z of",
+             "", None, "rare scarce"]
+    flat = " ".join(t or "" for t in texts).split()
+    counts = {w: flat.count(w) for w in flat}
+    docs = table(spark, list(enumerate(texts)), CLASHING)
+    for share in (1, 30, 1 << 20):
+        monkeypatch.setattr(lm, "HOT_SHARE", share)
+        with monkeypatch.context() as small:
+            small.setattr(lm, "VOCABULARY", 4)
+            words = lm.vocabulary(docs)
+        hashes, first = lm.word_hashes(*text_buffer(pa.array(texts)))
+        ids = words.ids(hashes)
+        others = sum(n for w, n in counts.items() if w not in ("the", "of", "and"))
+        assert words.counts[0] == others and (ids == 0).sum() == others
+        words.counts = np.resize(words.counts, lm.CLASSES * lm.SLOTS)
+        net = lm.Net.fresh(words.counts)
+        got = {r["doc_id"]: r for r in lm.score(docs, net, words).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            own = (text or "").split()
+            shares = sum(math.log(counts[w] / others) for w in own if w not in ("the", "of", "and"))
+            expected = _naive(ids[first[i]:first[i + 1]].tolist(), net) + shares
+            assert math.isclose(got[i]["log_likelihood"], expected, rel_tol=1e-4, abs_tol=1e-6)
+        assert got[30]["log_likelihood"] > got[32]["log_likelihood"] > got[33]["log_likelihood"]
