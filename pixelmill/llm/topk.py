@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     parts = max(1, -(-queries.count() * 2 // QUERY_BATCH))
     found = None
     for part in range(parts):
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("dim", "vec_id", "v").collect()
+        some = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == part).select("dim", "vec_id", "v").collect()
         by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for dim in {r[0] for r in some}:
             own = [r for r in some if r[0] == dim]

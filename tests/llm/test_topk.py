@@ -49,3 +49,14 @@ def test_awkward_vectors(spark):
             (35, [1.0, 2.0]), (0, [3.0, 1.0])]
     assert _run(spark, rows) == _brute(rows, lambda i: i % 5 == 0, 5)
     assert _run(spark, []) == []
+
+
+def test_one_id_with_many_vectors_does_not_fill_a_batch(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(5, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(200)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(20)]
+    sent, kind = [], type(spark.sparkContext)
+    send = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(sum(len(q) for q, _ in x.values())) or send(self, x))
+    monkeypatch.setattr(topk, "QUERY_BATCH", 16)
+    assert _run(spark, rows) == _brute(rows, lambda i: i % 5 == 0, 5)
+    assert sum(sent) == 204 and max(sent) <= 2 * 16
