@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import (bpe, exact_dedup, hyperminhash, masked_lm, mixing, phrase_dedup, quality, suffix_dedup,
-                           token_counts, topk)
+from pixelmill.llm import (bpe, exact_dedup, filter_audit, hard_negatives, html_text, hyperminhash, masked_lm, mixing,
+                           phrase_dedup, quality, suffix_dedup, token_counts, topk)
 from pixelmill.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failure_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.pmod(F.col("vec_id"), F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.labelled_vectors(rows, label_col=moved)
+    return hard_negatives.hard_negatives(vectors, vectors.where(F.pmod(F.col("vec_id"), F.lit(50)) == 0))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_html_text": op13_html_text,
 }
 
 #: Integer vectors that take part, as a DuckDB table expression.
@@ -144,4 +162,59 @@ reach AS (
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op11_filter_audit": """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+          'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'),
+          'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)} AS x
+  FROM w LEFT JOIN marks USING (doc_id)),
+fails AS (SELECT part, good, toxic, MAP(['A', 'B', 'C', 'D', 'E'], [x.A, x.B, x.C, x.D, x.E]) AS m FROM f),
+cells AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, m),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT [a.l, b.l, c.l, d.l, e.l] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT array_to_string(o, '') AS filter_order, step, o[step] AS own, o[1:step - 1] AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+judged AS (
+  SELECT part, filter_order, step, own, n, good, toxic, coalesce(m[own], FALSE) AS bad,
+         len(list_filter(before, lambda l: m[l])) > 0 AS gone,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda l: m[l])) = 1 AS once
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (bad AND gone), 0) AS redundant, coalesce(sum(n) FILTER (bad AND once), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (bad AND NOT gone), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (bad AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS other, q.label = c.label AS same, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+         other AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3""",
 }
