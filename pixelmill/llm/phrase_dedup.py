@@ -1,16 +1,19 @@
-"""Repeated passages of words, found by sharded Aho-Corasick automata.
+"""Repeated passages of words, located by sharded Aho-Corasick automata.
 
 A window is ``WINDOW`` consecutive words. Windows that may repeat are routed by
-their anchors (see :mod:`pixelmill.llm.anchors`). Groups of anchors are worked
-on in shards of bounded size. In each, recurring passages are confirmed word by
-word: segments that recur as a whole, and windows that recur in different
-segments. They are compiled into an automaton, through which all segments are
-streamed to locate every occurrence. Each occurrence but the first (smallest id,
-then earliest start) is removed.
-
-Where an anchor is so frequent that its group is cut into chunks, the passages of
-each chunk are counted across chunks first, and every chunk then gets those of its
-own that recur.
+their anchors (see :mod:`pixelmill.llm.anchors`). The work has two passes:
+
+1. Confirm: windows are counted by their hashes among the windows of their anchor;
+   of those that recur, neighbours whose first places are neighbours too are
+   written as one passage with its first place (smallest id, then earliest start).
+2. Compile and stream: passages meet the stretches of all documents with the same
+   anchors, in shards of bounded size. Each shard compiles an automaton of its
+   passages' windows, word by word, and streams the stretches through it. Every
+   hit but a window's first place is removed. Only the automaton, which compares words
+   and not hashes, decides what a hit is.
+
+Where an anchor's group is cut into chunks, the windows of each chunk are counted
+across chunks, and every chunk gets the recurring ones that it holds.
 """
 
 from __future__ import annotations
@@ -25,131 +28,150 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.anchors import (Words, each_group, grouped, keyed, later_copies, removed_runs, restored_id, segments,
-                                   without_copies)
-from pixelmill.llm.common import slices, written
+from pixelmill.llm.anchors import Words, grouped, keyed, later_copies, removed_runs, restored_id, segments, without_copies
+from pixelmill.llm.common import SpanHash, mix, multi_arange, slices, text_buffer, word_spans, written
 
 WINDOW, GRAM = 20, 6
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BATCH_BYTES = 2 << 20
 SPANS = "id long, h long, start int, windows int"
-FIRSTS = "anchor long, chunk int, passage binary, n long, id long, h long, start int"
+PASSAGES = "anchor long, chunk int, id long, h long, start int, segment binary"
+COUNTED = "anchor long, chunk int, value long, n long, id long, h long, start int"
+#: The letter of a word that no passage of the shard holds, and that of word 0; code
+#: points from there on leave out the surrogates.
+UNKNOWN, FIRST_LETTER, SURROGATES, AFTER = "\x01", 2, 0xD800, 0xE000
 
 
-class _Shard:
-    """The segments of some whole groups: distinct word sequences (words numbered
-    within the shard), where each occurs, and their windows."""
+class _Windows:
+    """All windows of a table of segments: word spans, and for every window its segment,
+    number in the segment, key (anchor, hash of its words) and place."""
 
     def __init__(self, table: pa.Table):
-        self.numbers: dict[bytes, int] = {}
-        self.texts: list[tuple[int, ...]] = []
-        self.places: list[list[tuple[int, int, int]]] = []
-        self.anchors: list[int] = []
-        known: dict[tuple[int, ...], int] = {}
-        for anchor, raw, i, h, start in zip(*(table.column(c).to_pylist() for c in ("anchor", "segment", "id", "h", "start"))):
-            text = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in WORD.findall(raw)])
-            at = known.setdefault(text, len(self.texts))
-            if at == len(self.texts):
-                self.texts.append(text)
-                self.places.append([])
-                self.anchors.append(anchor)
-            self.places[at].append((i, h, start))
-        self.places = [sorted(set(p)) for p in self.places]
-        self.words = [b"", *self.numbers]
-
-    def spelled(self, window: tuple[int, ...]) -> bytes:
-        return b" ".join([self.words[w] for w in window])
-
-    def numbered(self, passage: bytes) -> tuple[int, ...] | None:
-        """The numbers of a passage's words; None if a word does not occur here."""
-        found = [self.numbers.get(w) for w in passage.split(b" ")]
-        return None if None in found else tuple(found)
-
-    def each_window(self, at: int) -> list[tuple[int, ...]]:
-        text = self.texts[at]
-        return [text[j:j + WINDOW] for j in range(len(text) - WINDOW + 1)]
-
-    def firsts(self) -> dict[tuple[int, ...], list]:
-        """Per window: [occurrences, first place, segments that hold it, anchor]."""
-        found: dict[tuple[int, ...], list] = {}
-        for at, places in enumerate(self.places):
-            i, h, start = places[0]
-            for j, window in enumerate(self.each_window(at)):
-                here = (i, h, start + j)
-                x = found.get(window)
-                if x is None:
-                    found[window] = [len(places), here, 1, self.anchors[at]]
-                else:
-                    x[0] += len(places)
-                    x[1] = min(x[1], here)
-                    x[2] += 1
-        return found
-
-    def located(self, firsts: dict[tuple[int, ...], tuple[int, int, int]],
-                passages: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
-        """Streams all segments through the automaton of the passages; gives the
-        runs of windows that are not the first occurrence of theirs."""
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for p in passages:
-            automaton.add_word(p, len(p))
-        if not passages:
-            return
-        automaton.make_automaton()
-        out: list[tuple[int, int, int, int]] = []
-        for at, text in enumerate(self.texts):
-            windows = self.each_window(at)
-            hit = [False] * len(windows)
-            for end, length in automaton.iter(text):
-                # all windows inside the passage
-                hit[end - length + 1:end - WINDOW + 2] = [True] * (length - WINDOW + 1)
-            first = [(j, firsts[windows[j]]) for j, found in enumerate(hit) if found]
-            for i, h, start in self.places[at] if first else ():
-                begin = end = -1
-                for j, place in first:
-                    if place == (i, h, start + j):
-                        continue
-                    if j != end:
-                        if end > begin:
-                            out.append((i, h, start + begin, end - begin))
-                        begin = j
-                    end = j + 1
+        self.data, offsets = text_buffer(table["segment"].cast(pa.large_binary()))
+        self.start, self.end, self.first = word_spans(self.data, offsets)
+        hashes = SpanHash(self.data)(self.start, self.end)
+        value = np.zeros(max(0, len(hashes) - WINDOW + 1), np.uint64)
+        for i in range(WINDOW):
+            value = (value ^ hashes[i:i + len(value)]) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+        per_segment = np.maximum(np.diff(self.first) - WINDOW + 1, 0)
+        self.segment = np.repeat(np.arange(len(per_segment)), per_segment)
+        self.number = multi_arange(np.zeros(len(per_segment), np.int64), per_segment)
+        self.value = value[self.first[self.segment] + self.number]
+        self.anchor, self.id, self.h, self.begin = (table[c].to_numpy() for c in ("anchor", "id", "h", "start"))
+        self.chunk = table["chunk"].to_numpy()
+        # segments in the order of their places; rows that repeat a place are one
+        order = np.lexsort((self.begin, self.h, self.id))
+        fresh = np.zeros(len(order), bool)
+        fresh[1:] = ((np.diff(self.id[order]) != 0) | (np.diff(self.h[order]) != 0) | (np.diff(self.begin[order]) != 0))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(fresh)
+        self.place = (rank[self.segment] << 32) | self.number
+        salt = mix(self.anchor.view(np.uint64) + self.chunk.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        self.key = mix(self.value ^ salt[self.segment])
+
+    def grouped(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the window at the first place of every key, places of the key)."""
+        order = np.lexsort((self.place, self.key))
+        key, place = self.key[order], self.place[order]
+        head = np.ones(len(order), bool)
+        head[1:] = key[1:] != key[:-1]
+        other = head.copy()
+        other[1:] |= place[1:] != place[:-1]
+        at = np.flatnonzero(head)
+        counts = np.add.reduceat(other.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        return order[at], counts
+
+    def passages(self, chosen: np.ndarray, joined: bool = True) -> pa.RecordBatch:
+        """The chosen windows with their words; neighbours are ``joined`` to passages."""
+        chosen = chosen[np.lexsort((self.number[chosen], self.segment[chosen]))]
+        segment, number = self.segment[chosen], self.number[chosen]
+        head = np.ones(len(chosen), bool)
+        if joined:
+            head[1:] = (segment[1:] != segment[:-1]) | (number[1:] != number[:-1] + 1)
+        at = np.flatnonzero(head)
+        last = np.append(at[1:], len(chosen)) - 1 if len(at) else at
+        seg, word = segment[at], self.first[segment[at]] + number[at]
+        low, high = self.start[word], self.end[self.first[seg] + number[last] + WINDOW - 1]
+        raw = self.data.tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.anchor[seg]), pa.array(self.chunk[seg], pa.int32()), pa.array(self.id[seg]), pa.array(self.h[seg]),
+             pa.array((self.begin[seg] + number[at]).astype(np.int32)),
+             pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())],
+            names=["anchor", "chunk", "id", "h", "start", "segment"])
+
+
+def _confirmed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The recurring passages of whole groups."""
+    windows = _Windows(table)
+    firsts, counts = windows.grouped()
+    yield windows.passages(firsts[counts > 1])
+
+
+def _counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The windows of every chunk: hash, places and the first of them."""
+    w = _Windows(table)
+    firsts, counts = w.grouped()
+    seg = w.segment[firsts]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(w.anchor[seg]), pa.array(w.chunk[seg], pa.int32()), pa.array(w.value[firsts].view(np.int64)), pa.array(counts),
+         pa.array(w.id[seg]), pa.array(w.h[seg]), pa.array((w.begin[seg] + w.number[firsts]).astype(np.int32))],
+        names=["anchor", "chunk", "value", "n", "id", "h", "start"])
+
+
+def _spelled(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The windows of chunks at the places that are told (rows without ``windows``)."""
+    told = table.filter(pc.is_null(table["windows"]))
+    asked = set(zip(*(told[c].to_pylist() for c in ("id", "h", "start"))))
+    w = _Windows(table.filter(pc.is_valid(table["windows"])))
+    firsts, _ = w.grouped()
+    seg = w.segment[firsts]
+    places = zip(w.id[seg].tolist(), w.h[seg].tolist(), (w.begin[seg] + w.number[firsts]).tolist())
+    yield w.passages(firsts[np.array([p in asked for p in places], bool)], joined=False)
+
+
+def _letters(n: int) -> str:
+    """The letter of word number ``n`` of a shard."""
+    code = FIRST_LETTER + n
+    return chr(code if code < SURROGATES else code + AFTER - SURROGATES)
+
+
+def _located(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Compiles the passages of a shard (rows without ``windows``) and streams its
+    stretches of documents through the automaton: the runs of windows that are hit and
+    do not stand at their first place."""
+    told = table.filter(pc.is_null(table["windows"]))
+    if not told.num_rows:
+        return
+    letters: dict[bytes, str] = {}
+    automaton = ahocorasick.Automaton()
+    for raw, i, h, start in zip(*(told[c].to_pylist() for c in ("segment", "id", "h", "start"))):
+        text = "".join([letters.get(w) or letters.setdefault(w, _letters(len(letters))) for w in WORD.findall(raw)])
+        for j in range(len(text) - WINDOW + 1):
+            automaton.add_word(text[j:j + WINDOW], (i, h, start + j))
+    automaton.make_automaton()
+    rows = table.filter(pc.is_valid(table["windows"]))
+    known: dict[bytes, list[tuple[int, tuple[int, int, int]]]] = {}
+    out: set[tuple[int, int, int, int]] = set()
+    for raw, i, h, start in zip(*(rows[c].to_pylist() for c in ("segment", "id", "h", "start"))):
+        hits = known.get(raw)
+        if hits is None:
+            text = "".join([letters.get(w, UNKNOWN) for w in WORD.findall(raw)])
+            hits = known[raw] = [(end - WINDOW + 1, first) for end, first in automaton.iter(text)]
+        begin = end = -1
+        for j, first in hits:
+            if first == (i, h, start + j):
+                continue
+            if j != end:
                 if end > begin:
-                    out.append((i, h, start + begin, end - begin))
-        yield _batch(out, SPANS)
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)],
-                                      names=[name for name, _ in fields])
-
-
-def _whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Groups that are whole: confirm, compile and locate at once."""
-    shard = _Shard(table)
-    firsts = shard.firsts()
-    passages = [t for t, p in zip(shard.texts, shard.places) if len(p) > 1]
-    passages += [w for w, x in firsts.items() if x[2] > 1]
-    yield from shard.located({w: x[1] for w, x in firsts.items() if x[0] > 1}, passages)
-
-
-def _chunk_firsts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    for group in each_group(table):
-        shard, anchor, chunk = _Shard(group), group["anchor"][0].as_py(), group["chunk"][0].as_py()
-        yield _batch([(anchor, chunk, shard.spelled(w), x[0], *x[1]) for w, x in shard.firsts().items()], FIRSTS)
-
-
-def _chunk_located(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Chunks together with their recurring passages (rows with a null ``windows``)."""
-    for group in each_group(table):
-        told = group.filter(pc.is_null(group.column("windows")))
-        shard = _Shard(group.filter(pc.is_valid(group.column("windows"))))
-        firsts = {shard.numbered(w): (i, h, s) for w, i, h, s in
-                  zip(*(told.column(c).to_pylist() for c in ("segment", "id", "h", "start")))}
-        firsts.pop(None, None)
-        yield from shard.located(firsts, list(firsts))
+                    out.add((i, h, start + begin, end - begin))
+                begin = j
+            end = j + 1
+        if end > begin:
+            out.add((i, h, start + begin, end - begin))
+    columns = list(zip(*out)) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                                     names=["id", "h", "start", "windows"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -158,20 +180,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     which every window does."""
     base = keyed(docs, id_col, text_col)
     copies = later_copies(base)
-    rows = segments(without_copies(base, copies), Words(WINDOW, GRAM))
+    rows = segments(without_copies(base, copies), Words(WINDOW, GRAM)).drop("n", "times")
     columns = ["id", "h", "start", "windows", "segment"]
-    spans = grouped(rows.where("chunks = 1"), columns, _whole, SPANS)
+    passages = grouped(rows.where("chunks = 1"), ["id", "h", "start", "segment"], _confirmed, PASSAGES)
     frequent = rows.where("chunks > 1")
     if not frequent.isEmpty():
-        counted = written(grouped(frequent, columns, _chunk_firsts, FIRSTS), "passages")
-        firsts = (counted.groupBy("anchor", "passage")
-                  .agg(F.sum("n").alias("n"), F.min(F.struct("id", "h", "start")).alias("first")).where("n > 1"))
-        told = (counted.select("anchor", "chunk", "passage").join(firsts, ["anchor", "passage"])
-                .select("anchor", "chunk", "first.id", "first.h", "first.start", F.lit(None).cast("int").alias("windows"),
-                        F.col("passage").alias("segment")))
-        both = frequent.select("anchor", "chunk", *columns).unionByName(told)
-        spans = spans.unionByName(grouped(both, columns, _chunk_located, SPANS))
-    return removed_runs(written(spans, "spans")), copies
+        counted = written(grouped(frequent, ["id", "h", "start", "segment"], _counted, COUNTED), "windows")
+        recurring = (counted.groupBy("anchor", "value")
+                     .agg(F.sum("n").alias("n"), F.min(F.struct("id", "h", "start", "chunk")).alias("first")).where("n > 1"))
+        recurring = written(recurring.select("anchor", "value", "first"), "recurring")
+        asked = recurring.select("anchor", "first.chunk", "first.id", "first.h", "first.start", F.lit(None).cast("int").alias("windows"),
+                                 F.lit(b"").alias("segment"))
+        spelled = written(grouped(frequent.select("anchor", "chunk", *columns).unionByName(asked), columns, _spelled, PASSAGES), "spelled")
+        # every chunk gets the recurring windows that it holds
+        held = (counted.select("anchor", "chunk", "value").join(recurring, ["anchor", "value"])
+                .select("anchor", "chunk", "first.id", "first.h", "first.start"))
+        passages = passages.unionByName(held.join(spelled.drop("chunk"), ["anchor", "id", "h", "start"]).select("anchor", "chunk", "id", "h", "start", "segment"))
+    passages = written(passages, "passages")
+    told = passages.withColumn("windows", F.lit(None).cast("int"))
+    stretches = rows.join(passages.select("anchor", "chunk").distinct(), ["anchor", "chunk"], "left_semi")
+    both = stretches.select("anchor", "chunk", *columns).unionByName(told.select("anchor", "chunk", *columns))
+    return removed_runs(written(grouped(both, columns, _located, SPANS), "spans")), copies
 
 
 def _kept_words(text: bytes, starts, counts, everything: bool) -> tuple[list[bytes], list[bytes]]:
@@ -194,8 +223,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earlier in the same text. Windows are judged on the input. Null, empty and
     short texts lose nothing. Null ids stand before all others. Rows that share
     an id but not the text are told apart by a hash of the text; rows that share
-    both are one document, of which each row is returned. An empty table
-    gives no rows; extra columns are not read."""
+    both are one document, of which each row is returned. Very long texts are read in
+    parts. An empty table gives no rows; extra columns are not read."""
     spans, copies = repeated_spans(docs, id_col, text_col)
     later = copies.where("id <> first_id").select("id", "h", F.lit(True).alias("copy"))
     base = keyed(docs, id_col, text_col)

@@ -122,16 +122,18 @@ class _Shard:
         self.places: list[set[tuple[int, int, int]]] = []
         self.anchors: list[int] = []
         per_anchor: dict[int, int] = {}
-        for anchor, raw, i, h, start in zip(*(table.column(c).to_pylist() for c in ("anchor", "segment", "id", "h", "start"))):
+        for anchor, raw, i, h, start, times in zip(*(table.column(c).to_pylist() for c in ("anchor", "segment", "id", "h", "start", "times"))):
             at = known.setdefault(raw, len(self.segments))
+            if times > 1:  # a segment with several places of its anchor can repeat inside itself
+                per_anchor[anchor] = per_anchor.get(anchor, 0) + 2
             if at == len(self.segments):
                 self.segments.append(raw)
                 self.places.append(set())
                 self.anchors.append(anchor)
                 per_anchor[anchor] = per_anchor.get(anchor, 0) + 1
             self.places[at].add((i, h, start))
-        # an anchor with one distinct segment needs no comparison: its windows
-        # occur wherever the segment does, and nowhere else
+        # an anchor with one distinct segment, in which it stands once, needs no
+        # comparison: its windows occur wherever the segment does, and nowhere else
         self.lone = [skip_lone and per_anchor[a] == 1 for a in self.anchors]
 
     def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +224,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = keyed(docs, id_col, text_col)
     copies = later_copies(base)
     rows = segments(without_copies(base, copies), Bytes(WINDOW, GRAM))
-    columns = ["id", "h", "start", "windows", "segment"]
+    columns = ["id", "h", "start", "windows", "times", "segment"]
     spans = grouped(rows.where("chunks = 1"), columns, _whole, SPANS, RUN_BYTES)
     frequent = rows.where("chunks > 1")
     if not frequent.isEmpty():
@@ -232,7 +234,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         none = lambda kind: F.lit(None).cast(kind)
         told = (counted.join(repeated.select("anchor", "window"), ["anchor", "window"], "left_semi")
                 .select("anchor", "chunk", none("long").alias("id"), none("long").alias("h"), none("int").alias("start"),
-                        none("int").alias("windows"), F.col("window").alias("segment")))
+                        none("int").alias("windows"), none("int").alias("times"), F.col("window").alias("segment")))
         both = frequent.select("anchor", "chunk", *columns).unionByName(told)
         spans = spans.unionByName(grouped(both, columns, _chunk_spans, SPANS, RUN_BYTES))
     return removed_runs(written(spans, "spans")), copies
@@ -261,7 +263,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and windows are judged on the input. Null, empty and short texts lose
     nothing. Rows that share an id but not the text are different documents;
     rows that share both are one, of which each row is returned. A null id stays
-    null. An empty table gives no rows; extra columns are not read."""
+    null. Very long texts and long periodic stretches are read in parts. An empty
+    table gives no rows; extra columns are not read."""
     spans, copies = repeated_spans(docs, id_col, text_col)
     base = keyed(docs, id_col, text_col)
     marked = spans.join(copies.select("id", "h", F.lit(True).alias("copy")), ["id", "h"], "full_outer").groupBy("id", "h").agg(

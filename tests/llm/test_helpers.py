@@ -26,7 +26,7 @@ def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(2)
     common_part = bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
     texts = [bytes(rng.integers(97, 123, k).astype(np.uint8)).decode() + common_part for k in (0, 5, 400)]
-    owner, anchor, start, count, low, high = anchors.Bytes(200, 32).runs(*common.text_buffer(pa.array(texts)))
+    owner, anchor, start, count, times, low, high = anchors.Bytes(200, 32).runs(*common.text_buffer(pa.array(texts)))
     found = []
     for t, text in enumerate(texts):
         of = {}
@@ -34,7 +34,43 @@ def test_equal_windows_have_equal_anchors():
             of.update({text[x:x + 200]: a for x in range(s, s + c)})
         assert len(of) == max(0, len(text) - 199)
         found.append([of[common_part[x:x + 200]] for x in range(101)])
-    assert found[0] == found[1] == found[2]
+    assert found[0] == found[1] == found[2] and times.max() == 1
+
+
+def test_a_periodic_stretch_is_one_run_cut_into_pieces(monkeypatch):
+    monkeypatch.setattr(anchors, "PIECE", 1000)
+    for text in ("x" * 5000, "abc" * 2000):
+        owner, anchor, start, count, times, low, high = anchors.Bytes(200, 32).runs(*common.text_buffer(pa.array([text])))
+        assert len(set(anchor.tolist())) == 1 and times.min() > 1 and count.max() == 1000
+        assert sum(count) == len(text) - 199 and start.tolist() == [0, *np.cumsum(count)[:-1].tolist()]
+        assert (high - low == count + 199).all()
+
+
+@pytest.mark.parametrize("kind", [anchors.Bytes(200, 32), anchors.Words(20, 6)])
+def test_parts_of_a_long_text_give_the_same_windows(monkeypatch, kind):
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 50, 3000)) + " go" * 500
+    data, offsets = common.text_buffer(pa.array([text]))
+
+    def anchored(runs, unit=0, byte=0):
+        _, anchor, start, count, _, low, high = runs
+        out = {}
+        for a, s, c, lo, hi in zip(anchor.tolist(), start.tolist(), count.tolist(), low.tolist(), high.tolist()):
+            out |= {unit + x: a for x in range(s, s + c)}
+            piece = text.encode()[lo + byte:hi + byte]
+            n = len(piece) - 199 if isinstance(kind, anchors.Bytes) else len(piece.split()) - 19
+            assert n == c
+        return out
+
+    whole = anchored(kind.runs(data, offsets))
+    monkeypatch.setattr(anchors, "PART", 3000)
+    parts = {}
+    for unit, byte, part in kind.parts(data):
+        got = anchored(kind.runs(part, np.array([0, len(part)])), unit, byte)
+        assert not parts.keys() & got.keys()
+        parts |= got
+    assert parts == whole and len(list(kind.parts(data))) > 3
+    assert sum(len(p) for _, _, p in kind.parts(data[:0])) == 0
 
 
 def test_span_hash_depends_on_content_alone():

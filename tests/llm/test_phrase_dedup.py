@@ -72,3 +72,34 @@ def test_awkward_rows(spark):
 def test_rows_that_repeat_are_one_document(spark):
     text = " ".join(f"x{i}" for i in range(30))
     assert _run(spark, [(1, text), (1, text)]) == _brute([(1, text)]) * 2
+
+
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "PART", 4_000)
+    monkeypatch.setattr(anchors, "PIECE", 50)
+    monkeypatch.setattr(anchors, "CHUNK_BYTES", 5_000)
+    rng = random.Random(4)
+    lexicon = [f"w{i}" for i in range(900)]
+    shared = [rng.choices(lexicon, k=k) for k in (25, 200)] + [["go"] * 700, ["tick", "tock"] * 200]
+    rows = []
+    for i in range(4):
+        words = rng.choices(lexicon, k=1500)
+        for p in rng.sample(shared, 3):
+            at = rng.randrange(len(words))
+            words[at:at] = p
+        rows.append((i, " ".join(words)))
+    rows.append((9, "go " * 3000))
+    assert _run(spark, rows) == _brute(rows)
+
+
+def test_millions_of_one_word(spark):
+    n = 1_000_000
+    got = pd.dedup_passages(table(spark, [(1, "go " * n), (2, "stop " + "go " * n)])).collect()
+    assert {r[0]: (r[1], r[2], bytes(r[3])) for r in got} == {1: (n, n - 1, b"go"), 2: (n + 1, n, b"stop")}
+
+
+def test_words_with_the_same_letters_in_other_shards_do_not_match(spark):
+    """Hits compare words: a shard's letters stand for whole words."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(a)), (2, " ".join(a[:30] + b[:5])), (3, " ".join(b)), (4, " ".join(b[5:] + a[:5]))]
+    assert _run(spark, rows) == _brute(rows)

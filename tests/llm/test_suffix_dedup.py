@@ -69,6 +69,28 @@ def test_awkward_rows(spark):
     assert [r["n_removed"] for r in sd.dedup_bytes(table(spark, long)).collect()] == [len(long[0][1])] * 2
 
 
+def test_long_texts_go_through_segments(spark, monkeypatch):
+    """Different long texts with parts in common, read in parts and cut into pieces."""
+    monkeypatch.setattr(anchors, "PART", 20_000)
+    monkeypatch.setattr(anchors, "PIECE", 700)
+    monkeypatch.setattr(anchors, "CHUNK_BYTES", 30_000)
+    rng = random.Random(9)
+    make = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    shared = [make(2_000), make(300), "-" * 6_000, "=+" * 2_500]
+    rows = []
+    for i in range(4):
+        parts = [make(20_000), *rng.sample(shared, 3), make(15_000)]
+        rows.append((i, "".join(parts)))
+    rows += [(9, "-" * 30_000), (10, "abc" * 9_000), (11, make(250) * 40)]
+    assert _run(spark, rows) == _brute(rows)
+
+
+def test_megabytes_of_one_byte(spark):
+    n = 5_000_000
+    got = sd.dedup_bytes(table(spark, [(1, "x" * n), (2, "y" + "x" * n), (3, "clean text")])).collect()
+    assert {r[0]: tuple(r)[1:4] for r in got} == {1: (n, n, 1), 2: (n + 1, n, 1), 3: (10, 0, 0)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_prefix_values_equal_brute_force(seed):
     rng = random.Random(seed)
