@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pixelmill.operators import images as I
 from pixelmill.operators import sampling as B
 from pixelmill.operators.features import assembler
-from pixelmill.operators.scoring import score_requests
+from pixelmill.operators.scoring import answer_requests
 from pixelmill.plans.common import SQL_HU, SQL_SEVERITY, Registry, rounded, severity_frame, sql_split
-from pixelmill.plans.q_models import SQL_DECISION_CHECKS, decision_checks, saved_models
-from pixelmill.schemas import CANNY_HIGH, CANNY_LOW, FEATURE_NAMES, MODEL_NAMES
+from pixelmill.plans.q_models import SQL_ANSWERS, answer_checks, saved_models, wanted_model
+from pixelmill.schemas import CANNY_HIGH, CANNY_LOW, FEATURE_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
 
@@ -66,27 +66,21 @@ def image_feature_table(spark, sf_dir):
     return feats.join(lab, "vec_id")
 
 
-# requested models in turn; every fourth request names one that is not there
-WANTED = (*MODEL_NAMES, "missing_model")
-
-
 @register("score_images", f"""
-SELECT vec_id, label, {sql_split('vec_id')} AS split,
-       CASE vec_id % 4 {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODEL_NAMES))} END AS model,
-       {SQL_DECISION_CHECKS}
-FROM {SQL_SEVERITY} e WHERE vec_id % 4 < 3
+SELECT vec_id, label, {sql_split('vec_id')} AS split, {SQL_ANSWERS}
+FROM {SQL_SEVERITY} e
 """)
 def q_score_images(spark, sf_dir):
-    """R2: images -> features -> the saved (assembler + scaler + classifier)
-    pipeline that each request names -> decision fields."""
+    """R2 + R4: images -> features -> the saved (assembler + scaler + classifier)
+    pipeline that each request names -> decision fields; requests for a model that is
+    not there are answered with the reason."""
     path = scratch_path(spark, "image-features")
     B.hash_split(image_feature_table(spark, sf_dir), "vec_id", SEED).write.partitionBy("split").parquet(path)
     t = spark.read.parquet(path)
     models, _ = saved_models(spark, t.where(F.col("split") == "train"),
                              pre=[assembler(list(FEATURE_NAMES), "features", "skip")])
-    wanted = F.element_at(F.array(*[F.lit(m) for m in WANTED]), (F.col("vec_id") % len(WANTED) + 1).cast("int"))
     keys = ["vec_id", "label", "split"]
-    return decision_checks(score_requests(models, t.withColumn("wanted", wanted), "wanted", keys), keys)
+    return answer_checks(answer_requests(models, t.withColumn("wanted", wanted_model("vec_id")), "wanted", keys), keys)
 
 
 # --- I2, I11 on the native 8 x 8 grids -----------------------------------------------------

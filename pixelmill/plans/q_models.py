@@ -19,6 +19,7 @@ from pixelmill.plans.common import SQL_SEVERITY, Registry, rounded, sql_split
 from pixelmill.schemas import MODEL_NAMES
 from pixelmill.session import scratch_path
 from pixelmill.sources.tables import table
+from pixelmill.streaming import routing as Ro
 from pixelmill.streaming import scoring as St
 
 register = Registry()
@@ -136,13 +137,18 @@ for _kind, (_name, *_) in Mo.KINDS.items():
 
 # --- R1, R3, S9, S10: scoring with saved models ------------------------------------------
 
+def fit_and_save(spark, train, root, pre=()):
+    """The three pipelines fitted at their fixed settings and saved."""
+    for kind, name in zip(Mo.KINDS, MODEL_NAMES):
+        pipe, _ = Mo.classifier_pipeline(kind, pre=pre)
+        Mo.save_model(pipe.fit(train), root, name)
+
+
 def saved_models(spark, train, pre=()):
     """Fit the three pipelines at their fixed settings, save them under the shared
     folder, load them back through the catalogue (S9 + S10)."""
     root = scratch_path(spark, "models")
-    for kind, name in zip(Mo.KINDS, MODEL_NAMES):
-        pipe, _ = Mo.classifier_pipeline(kind, pre=pre)
-        Mo.save_model(pipe.fit(train), root, name)
+    fit_and_save(spark, train, root, pre)
     return Mo.load_models(spark, root, MODEL_NAMES)
 
 
@@ -182,11 +188,67 @@ SELECT vec_id, label, model, {SQL_DECISION_CHECKS}
 FROM {SQL_SEVERITY} e, (VALUES {", ".join(f"('{m}')" for m in MODEL_NAMES)}) AS m(model)
 """)
 def q_batch_score(spark, sf_dir):
-    """R1 + P6 + X8 over the whole table: every row scored by every saved model."""
+    """R1 + P6 + X8 over the whole table: every row scored by every saved model, in
+    one scan."""
     models, _ = saved_models(spark, _train_split(spark, sf_dir))
-    rows = Tr.labelled_vectors(spark, sf_dir).withColumn(
-        "wanted", F.explode(F.array(*[F.lit(m) for m in MODEL_NAMES])))
-    return decision_checks(Sc.score_requests(models, rows, "wanted", ["vec_id", "label"]), ["vec_id", "label"])
+    keys = ["vec_id", "label"]
+    return decision_checks(Sc.score_all(models, Tr.labelled_vectors(spark, sf_dir), keys), keys)
+
+
+# --- R2-R4: requests that name their model ------------------------------------------------
+
+#: Requested models in turn; every fourth request names one that is not there.
+WANTED = (*MODEL_NAMES, "missing_model")
+
+
+def wanted_model(key: str):
+    return F.element_at(F.array(*[F.lit(m) for m in WANTED]), (F.pmod(F.col(key), F.lit(len(WANTED))) + 1).cast("int"))
+
+
+def answer_checks(answers, keys):
+    """Per request: its sink and reason, and as checks that its fields follow from its
+    prediction (scored) or are not there (rejected)."""
+    cut = F.when(F.col("model") == "random_forest", F.lit(Mo.RF_SETTINGS["numTrees"] / 2)).otherwise(F.lit(0.0))
+    flag = F.when(F.col("prediction") >= 1, F.lit(1)).otherwise(F.lit(0))
+    right = ((F.col("flag") == flag) & (F.col("class_predicted") == F.col("prediction"))
+             & ((F.col("score") > cut) == (F.col("prediction") == 1)) & F.col("diagnosis").isNotNull())
+    absent = F.coalesce("prediction", "score", "flag", "class_predicted").isNull() & F.col("diagnosis").isNull()
+    fields = F.when(F.col("sink") == Sc.SCORED, F.coalesce(right, F.lit(False))).otherwise(absent)
+    return answers.select(*keys, "model", "sink", "reason", "available_models", fields.alias("fields_ok"),
+                          F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("timestamp_ok"))
+
+
+SQL_ANSWERS = f"""
+       CASE vec_id % 4 {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(WANTED))} END AS model,
+       CASE WHEN vec_id % 4 < 3 THEN 'scored' ELSE 'rejected' END AS sink,
+       CASE WHEN vec_id % 4 = 3 THEN 'Modèle missing_model non disponible' END AS reason,
+       CASE WHEN vec_id % 4 = 3 THEN '{",".join(sorted(MODEL_NAMES))}' END AS available_models,
+       TRUE AS fields_ok, TRUE AS timestamp_ok"""
+
+
+def vectors_stream(spark, sf_dir):
+    """The embeddings table as a stream."""
+    schema = table(spark, sf_dir, "embeddings").schema
+    return St.parquet_stream(spark, f"{sf_dir}/embeddings*.parquet", schema, max_files_per_trigger=64)
+
+
+def _as_input(df):
+    """Arriving rows as the models' input."""
+    from pixelmill.functions.signal import as_double_array
+    from pixelmill.operators.labels import binary_label
+    return df.select("vec_id", Fe.array_vector(as_double_array("embedding")).alias("features"),
+                     binary_label(F.col("label") % 5).alias("label"))
+
+
+@register("stream_requests", f"SELECT vec_id, label, {SQL_ANSWERS} FROM {SQL_SEVERITY} e")
+def q_stream_requests(spark, sf_dir):
+    """R2 + R3 + R4: the embeddings table read as a stream of requests, each answered
+    by the saved model that it names or rejected, read back from both sinks."""
+    root = scratch_path(spark, "models")
+    fit_and_save(spark, _train_split(spark, sf_dir), root)
+    out = Ro.route_stream(spark, Ro.ModelStore(spark, root), vectors_stream(spark, sf_dir), "wanted", ["vec_id", "label"],
+                          prepare=lambda df: _as_input(df).withColumn("wanted", wanted_model("vec_id")))
+    return answer_checks(Ro.answers(spark, out), ["vec_id", "label"])
 
 
 @register("stream_score", f"""
@@ -197,19 +259,10 @@ def q_stream_score(spark, sf_dir):
     """The embeddings table read as a stream, scored by the saved logistic
     regression, written to a Parquet sink with a checkpoint; every row is held
     against the batch score of the same model."""
-    from pixelmill.functions.signal import as_double_array
-    from pixelmill.operators.labels import binary_label
     models, _ = saved_models(spark, _train_split(spark, sf_dir))
     model, name = models["logistic_regression"], "logistic_regression"
-    schema = table(spark, sf_dir, "embeddings").schema
-    src = St.parquet_stream(spark, f"{sf_dir}/embeddings*.parquet", schema, max_files_per_trigger=64)
-
-    def prep(df):
-        return df.select("vec_id", Fe.array_vector(as_double_array("embedding")).alias("features"),
-                         binary_label(F.col("label") % 5).alias("label"))
-
     keys = ["vec_id", "label"]
-    streamed = St.stream_score(spark, model, src, keys, name, prepare=prep)
+    streamed = St.stream_score(spark, model, vectors_stream(spark, sf_dir), keys, name, prepare=_as_input)
     batch = Sc.score(model, Tr.labelled_vectors(spark, sf_dir), keys, name).select(
         F.col("vec_id").alias("_id"), F.col("prediction").alias("_p"), F.col("score").alias("_s"))
     joined = streamed.join(batch, F.col("vec_id") == F.col("_id"), "left")
