@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import SpanHash, slices, text_buffer, word_spans
 
 #: Labelled texts of each label that the model is fitted on, at most.
-SAMPLE_PER_LABEL = 1024
+SAMPLE_PER_LABEL = 2048
 BUCKETS = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
 #: Similarities are raised to this power as vote weights.
 SHARPNESS = 8.0
+#: Similarities are told apart in steps of 2**-20; of equals, voters that come first count.
+STEPS = 1 << 20
 THRESHOLD = 0.7
 #: Weights of the shares: words equal to the word before, capitals, ASCII signs.
 FORM_WEIGHTS = (2.0, 1.0, 1.0)
@@ -91,7 +93,7 @@ class Voters:
     prior: float
 
     def latent(self, raw: np.ndarray) -> np.ndarray:
-        return _unit(weighted(raw, self.idf) @ self.basis)
+        return _unit(weighted(raw, self.idf).astype(np.float64) @ self.basis)
 
     def scores(self, latent: np.ndarray) -> np.ndarray:
         """Votes of the nearest labelled vectors; the share of label 1 where
@@ -99,56 +101,78 @@ class Voters:
         if not len(self.labels):
             return np.full(len(latent), self.prior)
         cosine = latent @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** SHARPNESS
+        n = len(self.labels)
+        k = min(NEIGHBOURS, n)
+        # ties go to the voter that comes first, so no two ranks are equal; what is
+        # summed and in which order does not depend on the batch
+        step = np.rint(cosine * STEPS).astype(np.int64)
+        near = np.sort(np.argpartition(-(step * n + (n - 1 - np.arange(n))), k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.take_along_axis(step, near, 1) / STEPS, 0) ** SHARPNESS
         total = weight.sum(1)
         voted = (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, voted, self.prior), 0.0, 1.0)
 
 
-def _features(docs: DataFrame, key: str) -> DataFrame:
+def _features(texts: DataFrame) -> DataFrame:
+    """(key, label, features) of rows (key, label, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES, BATCH_ROWS):
-            packed = pa.array([c.tobytes() for c in features(*text_buffer(batch.column(1)))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["label", "features"])
+            packed = pa.array([c.tobytes() for c in features(*text_buffer(batch.column(2)))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["key", "label", "features"])
+
+    return texts.select("key", "label", "text").mapInArrow(run, "key string, label int, features binary")
 
-    return docs.select(F.col(key).cast("int").alias("label"), F.col("text")).mapInArrow(run, "label int, features binary")
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> tuple[DataFrame | None, dict[int, int]]:
+    """(key, label, text) of up to ``sample_per_label`` ids of each label 0 and 1, one row
+    for each id, and the number of ids of each label. Ids are chosen by a hash; of the rows
+    that share an id, the text of least hash speaks for it. Null ids and other labels
+    are left out; ids that repeat in ``labels`` count by their least label. Null texts
+    count as empty."""
+    known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+             .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label")))
+    sizes = {r[0]: r[1] for r in known.groupBy("label").agg(F.count(F.lit(1))).collect()}
+    chosen = None
+    for label in sorted(sizes):
+        some = (known.where(F.col("label") == label).orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample_per_label))
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
+        return None, sizes
+    texts = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    one = texts.groupBy("_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x"))
+    return one.select(F.col("_id").cast("string").alias("key"), "label", "x.text"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL) -> Voters:
-    """Fits on labelled rows: up to about ``sample_per_label`` of each label 0
-    and 1, chosen by a hash of their id. Null ids and other labels are left
-    out; ids that repeat in ``labels`` count by their least label."""
-    known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-             .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label")))
-    sizes = {r[0]: r[1] for r in known.groupBy("_label").agg(F.count(F.lit(1))).collect()}
-    if not sizes:
-        return Voters(np.ones(BUCKETS, np.float32), np.eye(WIDTH, 1, dtype=np.float32),
-                      np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_per_label / n))])
-    u = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.where(u < share[F.col("_label")]).limit(2 * len(sizes) * sample_per_label)
-    texts = (docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
-             .join(F.broadcast(chosen), "_id").select("_label", "text"))
-    rows = _features(texts, "_label").collect()
+    """Fits on the rows of :func:`sampled_texts`: what reaches the driver is bounded by
+    ``sample_per_label`` rows of each label, whatever repeats. Without labels, every
+    text scores one half."""
+    texts, sizes = sampled_texts(docs, labels, id_col, text_col, label_col, sample_per_label)
+    rows = sorted(_features(texts).collect(), key=lambda r: (r["key"], r["label"])) if texts is not None else []
+    prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
+    if not rows:
+        return Voters(np.ones(BUCKETS, np.float32), np.eye(WIDTH, 1),
+                      np.zeros((0, 1)), np.zeros(0), prior)
     raw = np.frombuffer(b"".join([r["features"] for r in rows]), np.float32).reshape(len(rows), WIDTH)
     classes = np.array([r["label"] for r in rows], np.float64)
-    prior = sizes.get(1, 0) / sum(sizes.values())
     idf = np.log((1 + len(raw)) / (1 + (raw[:, :BUCKETS] > 0).sum(0))).astype(np.float32) + 1
     rows = weighted(raw, idf)
     _, directions = np.linalg.eigh(rows.T @ rows)
-    basis = np.ascontiguousarray(directions[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
-    model = Voters(idf, basis, np.zeros((0, DIMENSIONS), np.float32), classes, prior)
-    model.vectors = model.latent(raw).astype(np.float32)
+    basis = np.ascontiguousarray(directions[:, ::-1][:, :DIMENSIONS]).astype(np.float64)
+    model = Voters(idf, basis, np.zeros((0, DIMENSIONS)), classes, prior)
+    model.vectors = model.latent(raw)
     return model
 
 
 def score(docs: DataFrame, model: Voters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col`` and ``score`` (0 to 1), from the whole text alone.
     Null and empty texts score the share of label 1 among all labelled rows.
-    Repeated rows each give a row; extra columns are not read."""
+    Repeated rows each give a row, equal texts the same score; ids, null ones too, are
+    passed through. Whole texts are read, however long. An empty table gives no rows;
+    extra columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

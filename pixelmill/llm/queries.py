@@ -19,8 +19,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no classifier learns from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows that no classifier learns from; a null id is none of them."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Voters:
