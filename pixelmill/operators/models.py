@@ -154,6 +154,42 @@ def cross_validate(name: str, pipeline: Pipeline, grid: list, train: DataFrame,
                      extra={"best_params": params[best]})
 
 
+def cross_validate_passes(kind: str, name: str, pipeline: Pipeline, grid: list, train: DataFrame,
+                          label: str = "label", fold_col: str = "fold", folds: int = NUM_FOLDS,
+                          weight: str | None = None) -> FitResult | None:
+    """The same selection for linear models, all grid points and folds fitted in shared
+    passes (:mod:`pixelmill.operators.linear_fits`); the best point is refitted by its
+    MLlib pipeline. The logistic averages are MLlib's to rounding; the SVM's are those
+    of fits at their optimum. None where it does not apply: stages before the scaler that
+    need fitting, or more than ``MAX_FEATURES`` features."""
+    from pixelmill.operators import linear_fits as Lf
+
+    *pre, scale, stage = pipeline.getStages()
+    if kind not in ("lr", "svm") or any(hasattr(p, "fit") for p in pre):
+        return None
+    t0 = time.perf_counter()
+    rows = train
+    for p in pre:
+        rows = p.transform(rows)
+    blocks = Lf.pack(rows, scale.getInputCol(), label, weight, fold_col)
+    first = blocks.select("n", F.length("x").alias("bytes")).where("n > 0").first()
+    if first is None or first["bytes"] // 8 // first["n"] > Lf.MAX_FEATURES:
+        return None
+    d = first["bytes"] // 8 // first["n"]
+    params = [{p.name: v for p, v in pm.items()} for pm in grid]
+    value = lambda p, c: float(p.get(c, stage.getOrDefault(c)))
+    scales = Lf.scales(blocks, d, list(range(folds)), weighted_std=kind == "lr")
+    groups = [[Lf.Fit(s, value(p, "regParam"), value(p, "elasticNetParam") if kind == "lr" else 0.0) for p in params] for s in scales]
+    fits = [f for g in groups for f in g]
+    Lf.solve(blocks, Lf.LOGISTIC if kind == "lr" else Lf.HINGE, fits, d)
+    auc = Lf.held_out_auc(blocks, groups)
+    avg = [sum(auc.get((f, i), 0.5) for f in range(folds)) / folds for i in range(len(grid))]
+    best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
+    model = pipeline.fit(train, grid[best])
+    return FitResult(name, model, avg, params, time.perf_counter() - t0, n_fits=len(fits) + 1,
+                     extra={"best_params": params[best], "passes": max(f.passes for f in fits)})
+
+
 def cv_table(spark, fit: FitResult) -> DataFrame:
     """The average metric of every grid point, as a table to persist."""
     rows = [(fit.name, i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(m),
@@ -161,10 +197,16 @@ def cv_table(spark, fit: FitResult) -> DataFrame:
     return spark.createDataFrame(rows, "model string, point int, params string, avg_auc double, best boolean")
 
 
-def fit_grid(kind: str, train: DataFrame, pre=(), **kw) -> FitResult:
-    """One of the three original grids."""
+def fit_grid(kind: str, train: DataFrame, pre=(), engine: str | None = None, **kw) -> FitResult:
+    """One of the three original grids. Logistic regression is fitted in shared passes; the
+    SVM's grid fixes a number of iterations, so it is fitted by MLlib as it stands."""
     pipe, stage = classifier_pipeline(kind, pre=pre)
-    return cross_validate(KINDS[kind][0], pipe, _grid(stage, KINDS[kind][4]), train, **kw)
+    grid = _grid(stage, KINDS[kind][4])
+    if engine == "passes" or engine is None and kind == "lr":
+        done = cross_validate_passes(kind, KINDS[kind][0], pipe, grid, train, fold_col=kw.get("fold_col", "fold"))
+        if done is not None:
+            return done
+    return cross_validate(KINDS[kind][0], pipe, grid, train, **kw, engine=engine if engine == "mllib" else "concurrent")
 
 
 def validation_auc(result: FitResult, val: DataFrame, label: str = "label") -> float:
@@ -198,10 +240,14 @@ def twin_grid(kind: str, n: int, weight: str = "class_weight", pre=()):
     return pipe, _grid(stage, spec)
 
 
-def fit_twin(kind: str, train: DataFrame, n: int, weight: str = "class_weight", pre=(), **kw) -> FitResult:
-    """A single-machine grid, re-aimed."""
+def fit_twin(kind: str, train: DataFrame, n: int, weight: str = "class_weight", pre=(), engine: str | None = None, **kw) -> FitResult:
+    """A single-machine grid, re-aimed; the linear ones in shared passes."""
     pipe, grid = twin_grid(kind, n, weight, pre)
-    return cross_validate(KINDS[kind][0], pipe, grid, train, **kw)
+    if engine in (None, "passes") and kind != "rf":
+        done = cross_validate_passes(kind, KINDS[kind][0], pipe, grid, train, fold_col=kw.get("fold_col", "fold"), weight=weight)
+        if done is not None:
+            return done
+    return cross_validate(KINDS[kind][0], pipe, grid, train, **kw, engine=engine if engine == "mllib" else "concurrent")
 
 
 # --- S9 / S10: model store --------------------------------------------------------------

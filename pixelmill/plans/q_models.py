@@ -2,17 +2,23 @@
 
 A fitted model cannot be written in SQL. The queries of this module therefore
 return what must hold for any correct fit and is known to SQL: how many models
-were fitted on how many rows, the identities between metrics, and for every
-scored row that its decision fields follow from its prediction. Every query
+were fitted on how many rows, the identities between metrics, whether the fit is
+proved (a linear model stands at its optimum, a forest's nodes give its votes), and for
+every scored row that its decision fields follow from its prediction. Every query
 prepares its own data.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pixelmill.operators import features as Fe
+from pixelmill.operators import forest as Fo
+from pixelmill.operators import kernel as Ke
+from pixelmill.operators import metrics as Me
 from pixelmill.operators import models as Mo
+from pixelmill.operators import optimality as Op
 from pixelmill.operators import scoring as Sc
 from pixelmill.plans import train as Tr
 from pixelmill.plans.common import SQL_SEVERITY, Registry, rounded, sql_split
@@ -76,12 +82,37 @@ def prepared_table(spark, sf_dir):
     return Tr.prepare(Tr.labelled_vectors(spark, sf_dir))
 
 
-def _checks(fit, metrics, prepared, train_splits):
-    """One row: sizes of the selection and identities of its metrics."""
+#: What a certified fit may leave: violation of the optimality conditions (logistic
+#: regression), objective above its least value (SVM, of which the bound takes 0.003).
+RESIDUALS = {"lr": 1e-5, "svm": 0.01}
+
+
+def fit_proved(kind: str, model, train, test, weight=None) -> bool:
+    """Whether a fitted pipeline is what its objective or its own nodes say: a linear
+    model stands at its optimum; a forest's nodes add up, keep to its depth and, walked by
+    joins, give its votes and predictions for every row of ``test``."""
+    if kind != "rf":
+        return bool(Op.residual(model, train, weight=weight) <= RESIDUALS[kind])
+    forest = model.stages[-1]
+    depth = forest.getOrDefault("maxDepth")
+    nodes = Fo.forest_nodes(test.sparkSession, forest)
+    if not Fo.structure_faults(nodes, depth).isEmpty():
+        return False
+    scored = model.transform(test)
+    own = scored.dropDuplicates([_KEY]).select(_KEY, vector_to_array("rawPrediction").alias("_raw"), F.col("prediction").alias("_p"))
+    both = own.join(Fo.walk(scored, nodes, [_KEY], forest.getOrDefault("featuresCol"), depth), _KEY, "full_outer")
+    near = F.forall(F.zip_with("votes", "_raw", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return both.where(~F.coalesce(near & (F.col("prediction") == F.col("_p")), F.lit(False))).isEmpty()
+
+
+def _checks(fit, metrics, prepared, train_splits, proved):
+    """One row: sizes of the selection, identities of its metrics and the proof of its fit."""
     n = {r["split"]: r["n"] for r in prepared.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     test = F.lit(float(n.get("test", 0)))
     hits = F.col("accuracy") * test
     within = lambda c: (F.col(c) >= 0) & (F.col(c) <= 1)
+    val = prepared.where(F.col("split") == "val")
+    ranked = Me.auc_roc(Tr.test_predictions(fit, val)).first()["auc_roc"]
     return metrics.select(
         "model", F.lit(len(fit.params)).alias("n_points"), F.lit(fit.n_fits).alias("n_fits"),
         F.lit(sum(n.get(s, 0) for s in train_splits)).cast("long").alias("n_train"),
@@ -90,7 +121,10 @@ def _checks(fit, metrics, prepared, train_splits):
         (F.abs(F.col("recall") - F.col("accuracy")) < 1e-9).alias("recall_is_accuracy"),
         (within("precision") & within("f1_score") & within("auc_roc")).alias("metrics_in_range"),
         F.lit(abs(max(fit.avg_metrics) - fit.avg_metrics[fit.params.index(fit.extra["best_params"])]) < 1e-12
-              and all(0 <= m <= 1 for m in fit.avg_metrics)).alias("best_is_greatest"))
+              and all(0 <= m <= 1 for m in fit.avg_metrics)).alias("best_is_greatest"),
+        # MLlib's value against the rank formula
+        F.lit(bool(abs(fit.extra.get("val_auc", ranked) - ranked) < 1e-9)).alias("val_auc_is_rank_auc"),
+        F.lit(proved).alias("fit_proved"))
 
 
 def _sql_checks(model: str, points: int, splits: tuple[str, ...]) -> str:
@@ -104,7 +138,8 @@ SELECT '{model}' AS model, {points} AS n_points, {3 * points + 1} AS n_fits,
        CAST(sum(n) FILTER (WHERE split IN ({", ".join(f"'{x}'" for x in splits)})) AS BIGINT) AS n_train,
        CAST(sum(n) FILTER (WHERE split = 'val') AS BIGINT) AS n_val,
        CAST(sum(n) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
-       TRUE AS hits_are_whole, TRUE AS recall_is_accuracy, TRUE AS metrics_in_range, TRUE AS best_is_greatest
+       TRUE AS hits_are_whole, TRUE AS recall_is_accuracy, TRUE AS metrics_in_range, TRUE AS best_is_greatest,
+       TRUE AS val_auc_is_rank_auc, TRUE AS fit_proved
 FROM n"""
 
 
@@ -112,7 +147,8 @@ def _cv_query(which: str):
     def run(spark, sf_dir):
         prepared = prepared_table(spark, sf_dir)
         fit, metrics = Tr.run_spark_grid(prepared, which, PARALLELISM)
-        return _checks(fit, metrics, prepared, ("train",))
+        train, test = (prepared.where(F.col("split") == s) for s in ("train", "test"))
+        return _checks(fit, metrics, prepared, ("train",), fit_proved(which, fit.model, train, test))
     run.__name__ = f"q_{which}_cv"
     return run
 
@@ -122,8 +158,10 @@ def _twin_query(which: str):
         """A single-machine grid re-aimed at MLlib (train + val merged,
         balanced class weights)."""
         prepared = prepared_table(spark, sf_dir)
-        fit, metrics = Tr.run_twin_grid(prepared, which, PARALLELISM)
-        return _checks(fit, metrics, prepared, ("train", "val"))
+        pool = Tr.twin_pool(prepared)
+        fit, metrics = Tr.run_twin_grid(prepared, which, PARALLELISM, pool=pool)
+        proved = fit_proved(which, fit.model, pool, prepared.where(F.col("split") == "test"), "class_weight")
+        return _checks(fit, metrics, prepared, ("train", "val"), proved)
     run.__name__ = f"q_twin_{which}_cv"
     return run
 
@@ -135,6 +173,46 @@ for _kind, (_name, *_) in Mo.KINDS.items():
     register.add(f"twin_{_kind}_cv", _twin_query(_kind), _sql_checks(_name, _TWIN_POINTS[_kind], ("train", "val")))
 
 
+@register("forest_walk", f"""
+SELECT vec_id, label, TRUE AS votes_equal, TRUE AS prediction_equal, CAST({Mo.RF_SETTINGS["numTrees"]} AS BIGINT) AS votes
+FROM {SQL_SEVERITY} e
+""")
+def q_forest_walk(spark, sf_dir):
+    """Every row led through the nodes of a fitted forest by joins, against the
+    model's own votes."""
+    model = Mo.classifier_pipeline("rf")[0].fit(_train_split(spark, sf_dir))
+    forest = model.stages[-1]
+    scored = model.transform(Tr.labelled_vectors(spark, sf_dir))
+    walked = Fo.walk(scored, Fo.forest_nodes(spark, forest), [_KEY], forest.getOrDefault("featuresCol"), forest.getOrDefault("maxDepth"))
+    own = scored.select(_KEY, "label", vector_to_array("rawPrediction").alias("_raw"), F.col("prediction").alias("_p"))
+    total = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v)
+    return own.join(walked, _KEY, "left").select(
+        _KEY, "label", F.forall(F.zip_with("votes", "_raw", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x).alias("votes_equal"),
+        (F.col("prediction") == F.col("_p")).alias("prediction_equal"), F.round(total).cast("long").alias("votes"))
+
+
+@register("kernel_svm", f"""
+WITH s AS (SELECT vec_id, label, {sql_split(_KEY)} AS split FROM {SQL_SEVERITY} e)
+SELECT vec_id, label, TRUE AS probability_follows_score, TRUE AS prediction_follows_score, 9 AS n_points, TRUE AS curve_is_best
+FROM s WHERE split = 'test'
+""")
+def q_kernel_svm(spark, sf_dir):
+    """C11 with its Gaussian kernels and probabilities: the selected model on every
+    test row; the curve of its probabilities is the best one through the left-out scores."""
+    prepared = prepared_table(spark, sf_dir)
+    pool = Tr.twin_pool(prepared)
+    fit = Ke.fit_kernel_grid(pool, pool.count())
+    curve = fit.extra["platt"]
+    test = Tr.score_column(fit.model.transform(prepared.where(F.col("split") == "test")))
+    scored = Ke.with_probability(test, curve)
+    # the probability is the score's place on the curve, so it turns where the curve crosses one half
+    follows = F.abs(F.log(F.col("probability") / (1 - F.col("probability"))) - (curve[0] * F.col("score") + curve[1])) < 1e-6
+    best = fit.extra["platt_residual"] < 1e-6
+    return scored.select(_KEY, "label", follows.alias("probability_follows_score"),
+                         ((F.col("score") > 0) == (F.col("prediction") == 1)).alias("prediction_follows_score"),
+                         F.lit(len(fit.params)).alias("n_points"), F.lit(best).alias("curve_is_best"))
+
+
 # --- R1, R3, S9, S10: scoring with saved models ------------------------------------------
 
 def fit_and_save(spark, train, root, pre=()):

@@ -96,12 +96,18 @@ def run_spark_grid(prepared: DataFrame, which: str, parallelism: int | None = No
     return fit, test_metrics(fit, prepared.where(F.col("split") == "test"))
 
 
-def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=()):
-    """Train + val merged (S12 stack), balanced class weights, re-aimed grids."""
+def twin_pool(prepared: DataFrame) -> DataFrame:
+    """Train + val merged (S12 stack) with balanced class weights, written once:
+    every fit reads it."""
     pool = B.union_all(prepared.where(F.col("split") == "train"), prepared.where(F.col("split") == "val"))
     spark, path = prepared.sparkSession, scratch_path(prepared.sparkSession, "twin-pool")
-    write_parquet(B.class_weights(pool, "label"), path)  # read by every fit
-    pool = spark.read.parquet(path)
+    write_parquet(B.class_weights(pool, "label"), path)
+    return spark.read.parquet(path)
+
+
+def run_twin_grid(prepared: DataFrame, which: str, parallelism: int | None = None, pre=(), pool: DataFrame | None = None):
+    """One re-aimed grid over :func:`twin_pool`."""
+    pool = twin_pool(prepared) if pool is None else pool
     n = pool.count()  # one scalar: sets regParam = 1 / (C * n)
     fit = Mo.fit_twin(which, pool, n, pre=pre, fold_col="fold", parallelism=parallelism)
     return fit, test_metrics(fit, prepared.where(F.col("split") == "test"))
@@ -111,8 +117,8 @@ def report(prepared: DataFrame, out_dir: str, feature_cols: list[str] | None = N
            twin: bool = True, parallelism: int | None = None):
     """Entry point B end to end: the three original grids (+ optionally the
     three re-aimed single-machine grids), saved models (S9), metric CSVs (S7),
-    average metrics per grid point, confusion matrices and class reports of the
-    fitted models, and the comparison table (P8 + W3), all written under
+    average metrics per grid point, validation AUCs (C6), confusion matrices and class
+    reports of the fitted models, and the comparison table (P8 + W3), all written under
     ``out_dir``. Returns (spark rows, twin rows, comparison) as read back."""
     from pixelmill.operators import compare as C
     from pixelmill.operators.features import assembler
@@ -123,7 +129,7 @@ def report(prepared: DataFrame, out_dir: str, feature_cols: list[str] | None = N
     pre = [assembler(feature_cols, "features", "skip")] if feature_cols else []
     test = prepared.where(F.col("split") == "test")
     names = dict(zip(("lr", "rf", "svm"), MODEL_NAMES))
-    rows, twin_rows, grids, confusions, reports = [], [], [], [], []
+    rows, twin_rows, grids, confusions, reports, validation = [], [], [], [], [], []
     for which, name in names.items():
         fit, m = run_spark_grid(prepared, which, parallelism, pre)
         Mo.save_model(fit.model, out_dir, name)
@@ -132,12 +138,14 @@ def report(prepared: DataFrame, out_dir: str, feature_cols: list[str] | None = N
         grids.append(Mo.cv_table(spark, fit))
         confusions.append(confusion)
         reports.append(classes)
+        validation.append((fit.name, float(fit.extra["val_auc"])))
         if twin:
             twin_rows.append(run_twin_grid(prepared, which, parallelism, pre)[1])
     for table, where in ((rows, "spark_results"), (twin_rows, "sklearn_results"), (grids, "cv_results"),
                          (confusions, "confusion_matrices"), (reports, "class_reports")):
         if table:
             write_metrics_csv(B.union_all(*table), f"{root}/{where}")
+    write_metrics_csv(spark.createDataFrame(validation, "model string, val_auc double"), f"{root}/validation_results")
     spark_df = read_metrics_csv(spark, f"{root}/spark_results")
     twin_df = read_metrics_csv(spark, f"{root}/sklearn_results") if twin_rows else None
     parts = [C.to_comparison(spark_df, FRAMEWORK_SPARK)]
