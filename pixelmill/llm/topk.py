@@ -5,6 +5,12 @@ neighbouring ids, its forward index (the block's vectors) and the greatest and
 least value of every term (vector component). For a query, the sum of each
 term's best product bounds every score in a block; blocks are scored in order
 of falling bound until the bound of the next is below the k-th score found.
+
+A sample of rows gives every query a first bound: no k-th score of all rows is below
+the k-th of some. So a task starts with a threshold that holds everywhere, and
+sends on only what reaches it. Queries are a table, packed into blocks that meet
+every part of the index (:mod:`pixelmill.llm.blocks`): the plan is the same for
+any number of them.
 """
 
 from __future__ import annotations
@@ -16,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.llm.blocks import against_all, packed, unpacked
 from pixelmill.llm.common import written
 
 SCALE = 256.0
 BLOCK_ROWS = 128
 #: Vectors that one index row (a run of neighbouring blocks) holds at most.
 SHARD_ROWS = 4096
-#: Queries searched at a time: what is broadcast is bounded by this many vectors.
-QUERY_BATCH = 16_384
-#: Queries whose scores against a block are computed together.
-QUERY_TILE = 2048
+#: Queries searched at a time, at most.
+QUERY_BATCH = 1024
+#: Rows that the first bounds are taken from, at most.
+SAMPLE_ROWS = 4096
+INDEX = {"vec_id": np.int64}
+QUERIES = {"query": np.int64, "vec_id": np.int64}
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,114 +47,97 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             .select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("double")).alias("v")).distinct())
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def build_index(rows: DataFrame) -> DataFrame:
+    """Index rows (dim, n, vec_id, vectors): up to ``SHARD_ROWS`` neighbouring ids of one
+    dimension, packed."""
+    return packed(rows.withColumn("dim", F.size("v")).repartitionByRange("dim", "vec_id").sortWithinPartitions("dim", "vec_id"),
+                  INDEX, SHARD_ROWS)
+
 
+class Shard:
+    """The index rows of one dimension that a task holds, in blocks."""
 
-def build_index(rows: DataFrame) -> DataFrame:
-    """Index rows (dim, n, ids, vectors): up to ``SHARD_ROWS`` neighbouring ids
-    of one dimension, as packed little-endian int64 and float64."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in held], np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([len(held[0][1])], pa.int32()), pa.array([len(held)], pa.int32()),
-                 pa.array([ids.tobytes()], pa.binary()),
-                 pa.array([np.stack([v for _, v in held]).tobytes()], pa.binary())],
-                names=["dim", "n", "ids", "vectors"])
-
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = v.values.to_numpy(zero_copy_only=False)
-                if held and (len(held) >= SHARD_ROWS or len(v) != len(held[0][1])):
-                    yield flush()
-                    held = []
-                held.append((i, v))
-        if held:
-            yield flush()
-
-    return (rows.withColumn("dim", F.size("v")).repartitionByRange("dim", "vec_id")
-            .sortWithinPartitions("dim", "vec_id").select("vec_id", "v")
-            .mapInArrow(run, "dim int, n int, ids binary, vectors binary"))
-
-
-def _search_shard(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
-    """The k best rows of one shard for every query: (query index, row id, score)."""
-    starts = np.arange(0, len(ids), BLOCK_ROWS)
-    high = np.maximum.reduceat(rows, starts, axis=0)
-    low = np.minimum.reduceat(rows, starts, axis=0)
-    for t in range(0, len(q), QUERY_TILE):
-        part, own = q[t:t + QUERY_TILE], q_ids[t:t + QUERY_TILE]
+    def __init__(self, rows: list[dict]):
+        self.ids, self.rows = (np.concatenate(c) for c in zip(*[unpacked(r, INDEX) for r in rows]))
+        self.starts = np.arange(0, len(self.ids), BLOCK_ROWS)
+        self.high = np.maximum.reduceat(self.rows, self.starts, axis=0)
+        self.low = np.minimum.reduceat(self.rows, self.starts, axis=0)
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        """The k best rows for every query that reach its ``floor``: (query index, row
+        id, score)."""
         # sum over terms of the largest product that a block allows
-        bound = np.maximum(part, 0) @ high.T + np.minimum(part, 0) @ low.T
+        bound = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
         order = np.argsort(-bound, axis=1, kind="stable")
-        best_s = np.full((len(part), k), -np.inf)
-        best_i = np.full((len(part), k), np.iinfo(np.int64).max)
-        alive = np.arange(len(part))
-        for step in range(len(starts)):
+        best_s = np.full((len(q), k), -np.inf)
+        best_i = np.full((len(q), k), np.iinfo(np.int64).max)
+        alive = np.arange(len(q))
+        for step in range(len(self.starts)):
             at = order[alive, step]
             # a block whose bound equals the k-th score may still hold a smaller id
-            go = bound[alive, at] >= best_s[alive, -1]
+            go = bound[alive, at] >= np.maximum(best_s[alive, -1], floor[alive])
             alive, at = alive[go], at[go]
             if not len(alive):
                 break
             for b in np.unique(at):
                 who = alive[at == b]
-                block = slice(starts[b], min(starts[b] + BLOCK_ROWS, len(ids)))
-                scores = part[who] @ rows[block].T
-                scores[own[who][:, None] == ids[block][None, :]] = -np.inf
+                block = slice(self.starts[b], min(self.starts[b] + BLOCK_ROWS, len(self.ids)))
+                scores = q[who] @ self.rows[block].T
+                scores[q_ids[who][:, None] == self.ids[block][None, :]] = -np.inf
                 s = np.concatenate([best_s[who], scores], axis=1)
-                i = np.concatenate([best_i[who], np.broadcast_to(ids[block], scores.shape)], axis=1)
+                i = np.concatenate([best_i[who], np.broadcast_to(self.ids[block], scores.shape)], axis=1)
                 first = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s[who] = np.take_along_axis(s, first, 1)
                 best_i[who] = np.take_along_axis(i, first, 1)
-        found = np.argwhere(best_s > -np.inf)
-        yield found[:, 0] + t, best_i[found[:, 0], found[:, 1]], best_s[found[:, 0], found[:, 1]]
+        found = np.argwhere((best_s > -np.inf) & (best_s >= floor[:, None]))
+        return found[:, 0], best_i[found[:, 0], found[:, 1]], best_s[found[:, 0], found[:, 1]]
+
+
+def sample_of(vectors: DataFrame, sample_rows: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{dimension: (ids, vectors)} of ``sample_rows`` rows at most, by a hash of their
+    content."""
+    rows = (vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample_rows).select("vec_id", "v").collect())
+    by_dim: dict[int, list] = {}
+    for r in rows:
+        by_dim.setdefault(len(r["v"]), []).append(r)
+    return {d: (np.array([r["vec_id"] for r in own], np.int64), np.array([r["v"] for r in own], np.float64).reshape(len(own), d))
+            for d, own in by_dim.items()}
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per query the ``k`` rows of highest inner product (all, if fewer), without
     its own: (query_id, rank from 1, vec_id, score). Ties go to the smaller id.
 
-    Both inputs are tables of :func:`integer_vectors`. Rows that repeat id and
-    vector count once; different vectors under one id are each searched (and
-    searched for), none of them finding its own id. A query only meets vectors
-    of its dimension; empty vectors score 0. Scores are exact while every inner
-    product is below 2**53. Queries are searched ``QUERY_BATCH`` at a time
-    against the whole index."""
-    spark = vectors.sparkSession
+    Both inputs are tables of :func:`integer_vectors`; other columns are not read. Rows
+    that repeat id and vector count once; different vectors under one id are each
+    searched (and searched for), none of them finding its own id. A query only
+    meets vectors of its dimension; empty vectors score 0. An empty table gives no
+    rows. Scores are exact while every inner product is below 2**53."""
+    vectors = written(vectors.select("vec_id", "v"), "topk-vectors")
     index = written(build_index(vectors), "topk-index")
-    queries = written(queries.withColumn("dim", F.size("v")), "topk-queries")
-    parts = max(1, -(-queries.count() * 2 // QUERY_BATCH))
-    found = None
-    for part in range(parts):
-        some = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)) == part).select("dim", "vec_id", "v").collect()
-        by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {r[0] for r in some}:
-            own = [r for r in some if r[0] == dim]
-            by_dim[dim] = np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.float64).reshape(len(own), dim)
-        sent = spark.sparkContext.broadcast(by_dim)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["dim"] not in sent.value:
-                        continue
-                    q_ids, q = sent.value[row["dim"]]
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    rows = np.frombuffer(row["vectors"], np.float64).reshape(row["n"], row["dim"])
-                    for who, i, s in _search_shard(ids, rows, q_ids, q, k):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(q_ids[who]), pa.array(who, pa.int64()),
-                             pa.array(np.full(len(who), row["dim"], np.int32)), pa.array(i), pa.array(s.astype(np.int64))],
-                            names=["query_id", "query", "dim", "vec_id", "score"])
-
-        hits = index.mapInArrow(run, "query_id long, query long, dim int, vec_id long, score long").withColumn("part", F.lit(part))
-        found = hits if found is None else found.unionByName(hits)
-    order = Window.partitionBy("part", "dim", "query").orderBy(F.col("score").desc(), "vec_id")
+    sent = vectors.sparkSession.sparkContext.broadcast(sample_of(vectors, sample_rows))
+    numbered = written(queries.select("vec_id", "v").withColumn("dim", F.size("v")).withColumn("query", F.monotonically_increasing_id()), "topk-queries")
+    blocks = written(packed(numbered.repartitionByRange("dim", "query").sortWithinPartitions("dim", "query"), QUERIES, QUERY_BATCH), "query-blocks")
+
+    def load(rows: list[dict]) -> dict[int, Shard]:
+        return {dim: Shard([r for r in rows if r["dim"] == dim]) for dim in {r["dim"] for r in rows}}
+
+    def search(shards: dict[int, Shard], block: dict) -> Iterator[pa.RecordBatch]:
+        shard = shards.get(block["dim"])
+        if shard is None:
+            return
+        number, ids, q = unpacked(block, QUERIES)
+        s_ids, s_rows = sent.value.get(block["dim"], (ids[:0], q[:0]))
+        floor = np.full(len(q), -np.inf)
+        if len(s_ids) > k:
+            known = q @ s_rows.T
+            known[ids[:, None] == s_ids[None, :]] = -np.inf
+            floor = np.partition(known, len(s_ids) - k, axis=1)[:, len(s_ids) - k]
+        who, i, s = shard.search(ids, q, floor, k)
+        yield pa.RecordBatch.from_arrays([pa.array(number[who]), pa.array(ids[who]), pa.array(i), pa.array(s.astype(np.int64))],
+                                         names=["query", "query_id", "vec_id", "score"])
+
+    found = against_all(index, blocks, load, search, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

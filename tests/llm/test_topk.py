@@ -2,9 +2,10 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelmill.llm import topk
+from pixelmill.llm import blocks, topk
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
@@ -51,12 +52,36 @@ def test_awkward_vectors(spark):
     assert _run(spark, []) == []
 
 
-def test_one_id_with_many_vectors_does_not_fill_a_batch(spark, monkeypatch):
+def test_one_id_with_many_vectors_does_not_fill_a_block(spark, monkeypatch):
+    """Queries are cut by their number, so a hot id is many blocks, in one plan."""
     rng = random.Random(3)
     rows = [(5, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(200)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(20)]
-    sent, kind = [], type(spark.sparkContext)
-    send = kind.broadcast
-    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(sum(len(q) for q, _ in x.values())) or send(self, x))
+    packs, pack = [], topk.packed
+    monkeypatch.setattr(topk, "packed", lambda df, keys, n: packs.append(pack(df, keys, n)) or packs[-1])
     monkeypatch.setattr(topk, "QUERY_BATCH", 16)
     assert _run(spark, rows) == _brute(rows, lambda i: i % 5 == 0, 5)
-    assert sum(sent) == 204 and max(sent) <= 2 * 16
+    sizes = [r["n"] for r in packs[1].collect()]
+    assert sum(sizes) == 204 and max(sizes) <= 16
+
+
+def test_the_sample_has_no_effect_but_on_what_is_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 16)
+    monkeypatch.setattr(blocks, "PARTS_PER_SLOT", 1)
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(300)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA))
+    q = v.where("pmod(vec_id, 5) = 0")
+    want = _brute(rows, lambda i: i % 5 == 0, 5)
+    for n in (0, 4, 20, 1000):
+        assert sorted(tuple(r) for r in topk.top_k(v, q, 5, sample_rows=n).collect()) == want
+
+
+def test_extra_columns_are_not_read(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA))
+    wider = v
+    for c in ("dim", "query", "n", "vectors", "slot", "kind", "score", "rank", "query_id"):
+        wider = wider.withColumn(c, F.lit("x"))
+    got = topk.top_k(wider, wider.where("pmod(vec_id, 5) = 0"), 5).collect()
+    assert sorted(tuple(r) for r in got) == _brute(rows, lambda i: i % 5 == 0, 5)
