@@ -23,7 +23,10 @@ from pyspark.sql import DataFrame
 from pixelmill.llm.common import slices
 
 BATCH_BYTES = 2 << 20
+#: Pieces that a worker keeps, at most, and the characters of each; a longer one is only
+#: known while its batch is.
 CACHE_ENTRIES = 1 << 17
+CACHE_CHARS = 64
 #: First code point of the 256 characters that stand for bytes (Latin Extended-A
 #: onwards: no white space, nothing that sentencepiece treats specially).
 FIRST_CHAR = 0x100
@@ -94,15 +97,19 @@ class Codec:
         self.token = sorted(ranks, key=ranks.__getitem__)
         #: piece -> (number of ids, ids as text, bytes that the ids decode to)
         self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.long: list[str] = []
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def learn(self, pieces: set[str]) -> dict[str, tuple[int, str, bytes]]:
         """Encodes and decodes every given distinct piece; what was met before
-        is kept, up to a fixed number of entries."""
+        is kept, up to a fixed number of entries of a fixed length."""
+        for p in self.long:
+            self.cache.pop(p, None)
         if len(self.cache) > CACHE_ENTRIES:
             self.cache = {}
+        self.long = [p for p in pieces if len(p) > CACHE_CHARS]
         new = [p for p in pieces if p not in self.cache]
         if new:
             found = self.model.encode([to_chars(p.encode()) for p in new], out_type=int, num_threads=1)
@@ -133,7 +140,8 @@ def codec(vocabulary: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Per row: ``id_col`` and ``ids`` (array<int>). A null or empty text has
-    no ids; rows keep their number and repeat if they do in the input."""
+    no ids; rows keep their number and repeat if they do in the input. Whole texts are
+    read, however long; an empty table gives no rows; extra columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
@@ -174,7 +182,8 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
     space), ``decoded_sha256`` (decoded bytes). One narrow pass, no shuffle.
 
     Null and empty texts: 0 tokens and the digest of nothing. Repeated rows
-    each give a row. A null id stays null."""
+    each give a row. A null id stays null. Whole texts are read, however long; an
+    empty table gives no rows; extra columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)

@@ -40,3 +40,13 @@ def test_round_trip_and_empty_table(spark):
     back = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert sorted(str((r[0], bytes(r[1]))) for r in back) == sorted(str((i, (t or "").encode())) for i, t in AWKWARD)
     assert bpe.digests(table(spark, []), RANKS, P.PATTERN).count() == 0
+
+
+def test_long_pieces_are_not_kept():
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    for i in range(5):
+        text = f"short words {i} " + chr(97 + i) * 50_000
+        assert codec.decode(codec.encode(text)) == text.encode()
+        assert sum(len(p) for p in codec.cache) < 60_000
+    codec.learn({"a"})
+    assert max(map(len, codec.cache)) <= bpe.CACHE_CHARS and codec.long == []
