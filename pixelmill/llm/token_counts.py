@@ -28,8 +28,10 @@ BATCH_BYTES = 8 << 20
 HOT_SHARE = 1 << 20
 #: ... and has at most so many bytes.
 HOT_BYTES = 64
-#: Distinct pre-tokens that a task counts before it hands its counts on.
+#: Distinct pre-tokens that a task counts before it hands its counts on; those of more
+#: characters are handed on with their batch.
 COUNTER_ENTRIES = 400_000
+COUNTER_CHARS = 64
 
 
 class PreTokens:
@@ -85,7 +87,7 @@ def _tokenizer(vocabulary: str):
 def pretoken_frequencies(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
     """(piece, n): every distinct pre-token of all texts and its occurrences."""
 
-    def flush(counter: Counter) -> pa.RecordBatch:
+    def flush(counter: dict[str, int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counter.keys(), pa.string()),
                                            pa.array(counter.values(), pa.int64())], names=["piece", "n"])
 
@@ -95,6 +97,9 @@ def pretoken_frequencies(docs: DataFrame, vocabulary: str, pattern: str, text_co
             for text in batch.column(0).to_pylist():
                 if text:
                     counter.update(split(text))
+            long = {p: counter.pop(p) for p in [p for p in counter if len(p) > COUNTER_CHARS]}
+            if long:
+                yield flush(long)
             if len(counter) > COUNTER_ENTRIES:
                 yield flush(counter)
                 counter = Counter()
@@ -124,7 +129,8 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 51
     (more than ``limit`` tokens), without begin, end or padding tokens.
 
     Null and empty texts: 0 bytes, 0 tokens. Repeated rows each give a row; a
-    null id stays null. Extra columns are not read."""
+    null id stays null. Whole texts are read, however long; an empty table gives no
+    rows. Extra columns are not read."""
     spark = docs.sparkSession
     pieces = written(piece_counts(pretoken_frequencies(docs, vocabulary, pattern, text_col), vocabulary),
                      "pre-tokens")
