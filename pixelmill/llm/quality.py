@@ -156,14 +156,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows:
         return Voters(np.ones(BUCKETS, np.float32), np.eye(WIDTH, 1),
                       np.zeros((0, 1)), np.zeros(0), prior)
-    raw = np.frombuffer(b"".join([r["features"] for r in rows]), np.float32).reshape(len(rows), WIDTH)
     classes = np.array([r["label"] for r in rows], np.float64)
-    idf = np.log((1 + len(raw)) / (1 + (raw[:, :BUCKETS] > 0).sum(0))).astype(np.float32) + 1
-    rows = weighted(raw, idf)
-    _, directions = np.linalg.eigh(rows.T @ rows)
+    raw = np.empty((len(rows), WIDTH), np.float32)
+    for i in range(len(rows)):
+        raw[i], rows[i] = np.frombuffer(rows[i]["features"], np.float32), None
+    parts = range(0, len(raw), BATCH_ROWS)  # the driver holds one copy of the sample
+    idf = np.log((1 + len(raw)) / (1 + sum((raw[i:i + BATCH_ROWS, :BUCKETS] > 0).sum(0) for i in parts))).astype(np.float32) + 1
+    gram = np.zeros((WIDTH, WIDTH), np.float32)
+    for i in parts:
+        rows = weighted(raw[i:i + BATCH_ROWS], idf)
+        gram += rows.T @ rows
+    _, directions = np.linalg.eigh(gram)
     basis = np.ascontiguousarray(directions[:, ::-1][:, :DIMENSIONS]).astype(np.float64)
+    del gram, directions
     model = Voters(idf, basis, np.zeros((0, DIMENSIONS)), classes, prior)
-    model.vectors = model.latent(raw)
+    model.vectors = np.concatenate([model.latent(raw[i:i + BATCH_ROWS]) for i in parts])
     return model
 
 
