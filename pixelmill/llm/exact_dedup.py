@@ -22,6 +22,9 @@ from pixelmill.llm.common import written
 BLOCK_BYTES = 4096
 #: Ids of dropped rows are broadcast up to this number (16 MB), else joined by a shuffle.
 BROADCAST_IDS = 1 << 21
+#: Groups of more rows meet their documents by a broadcast (there is at most one of them
+#: for so many rows), up to this number of groups.
+HOT_GROUP, BROADCAST_GROUPS = 1 << 10, 1 << 20
 
 
 #: The right half of a pair that has none. Names are never -1.
@@ -114,11 +117,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                 & F.col("i.doc_id").eqNullSafe(F.col("r.doc_id")))
     known = written(known.select("i.doc_id", "level", "name", "text_sha256", "n_rows"), "named-documents")
     groups = known.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    return (known.join(groups, ["level", "name"])
+    return (_with_groups(known, written(groups, "groups"))
             .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                     "text_sha256", "n_rows"))
 
 
+def _with_groups(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """``known`` with the columns of its group. Rows of a large group never meet in
+    one task: large groups are counted, and up to ``BROADCAST_GROUPS`` of them broadcast."""
+    keys = ["level", "name"]
+    hot = groups.where(F.col("group_size") > HOT_GROUP)
+    if not 0 < hot.count() <= BROADCAST_GROUPS:
+        return known.join(groups, keys)
+    large = known.join(F.broadcast(hot), keys)
+    rest = known.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups, keys)
+    return large.unionByName(rest)
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``dropped`` (one id column). The
     ids are counted first: up to ``BROADCAST_IDS`` of them are broadcast, more

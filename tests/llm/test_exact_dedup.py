@@ -54,3 +54,12 @@ def test_empty_table(spark):
 def test_no_python_in_plan(spark):
     plan = ed.exact_groups(table(spark, ROWS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_large_groups_meet_their_rows_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(ed, "HOT_GROUP", 2)
+    monkeypatch.setattr(ed, "BROADCAST_GROUPS", most)
+    rows = [(i, t) for i, t in ROWS if len(t or "") < 100] + [(100 + i, "many") for i in range(40)]
+    got = ed.exact_groups(table(spark, rows)).drop("n_rows").collect()
+    assert {tuple(r) for r in got} == _brute(rows) and len(got) == len(_brute(rows))
