@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pixelmill.functions import image_kernels as K
 from pixelmill.functions.signal import as_double_array
 from pixelmill.operators.labels import class_folder, parse_image_path
-from pixelmill.schemas import FEATURE_NAMES
+from pixelmill.schemas import FEATURE_NAMES, IMAGE_STRUCT
 
 CV_8UC3 = 16
 
@@ -73,7 +73,7 @@ def labelled_folders(spark: SparkSession, root: str, labels: DataFrame, grade_co
 def labelled_features(spark: SparkSession, root: str, labels: DataFrame, id_col: str = "id_code",
                       grade_col: str = "diagnosis") -> tuple[DataFrame, DataFrame]:
     """J1 + I12 + J2 in the order that scales: only class folders that labels
-    point to are read; every image there is decoded and reduced to its 42 features
+    point to are read (nothing, if there are none); every image there is decoded and reduced to its 42 features
     inside its scan task, then the small feature rows are joined to the labels
     (no image bytes are shuffled). ``image_path`` is the file's real path.
 
@@ -82,7 +82,8 @@ def labelled_features(spark: SparkSession, root: str, labels: DataFrame, id_col:
     that need both results should write the features first (as
     ``plans.prepare`` does) so the images are decoded once."""
     folders = labelled_folders(spark, root, labels, grade_col)
-    keyed = with_image_keys(read_images(spark, folders or root)).withColumn("image_path", F.col("image.origin"))
+    images = read_images(spark, folders) if folders else spark.createDataFrame([], T.StructType([T.StructField("image", IMAGE_STRUCT)]))
+    keyed = with_image_keys(images).withColumn("image_path", F.col("image.origin"))
     feats = extract_features(keyed, [id_col, "class_folder", "image_path"])
     return label_images(feats, labels, id_col, grade_col)
 

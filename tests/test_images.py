@@ -204,3 +204,58 @@ def test_labelled_features_and_file_listing(spark, image_store):
     assert sorted(r["id_code"] for r in missing.collect()) == ["bad", "orphan_label"]  # bad.png: no features
     keys = {r["id_code"] for r in I.image_keys(spark, root).collect()}
     assert {"bad", "orphan_image", "flat"} <= keys
+
+
+def test_images_of_no_labelled_folder_are_not_read(spark, image_store):
+    root, _, _ = image_store
+    labels = spark.createDataFrame([], "id_code string, diagnosis int")
+    feats, missing = I.labelled_features(spark, root, labels)
+    assert feats.count() == 0 and missing.count() == 0
+
+
+def _grown(mask, seeds):
+    """Seeds spread over a mask, one step at a time."""
+    while True:
+        p = np.pad(seeds, 1)
+        near = np.logical_or.reduce([p[dy:dy + mask.shape[0], dx:dx + mask.shape[1]] for dy in range(3) for dx in range(3)])
+        if ((near & mask) == seeds).all():
+            return seeds
+        seeds = near & mask
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 9), (7, 1), (12, 17), (40, 40)])
+def test_components_equal_growing(shape):
+    rng = np.random.default_rng(shape[0])
+    for share in (0.0, 0.2, 0.45, 0.7, 1.0):
+        mask = rng.uniform(size=shape) < share
+        parts = K.components(mask)
+        assert (parts[~mask] == mask.size).all()
+        for y, x in np.argwhere(mask)[:40]:
+            seed = np.zeros(shape, bool)
+            seed[y, x] = True
+            assert ((parts == parts[y, x]) == _grown(mask, seed)).all()
+
+
+def test_a_long_spiral_is_one_component_in_little_time():
+    import time
+    n = 256
+    mask = np.zeros((n, n), bool)
+    top, left, bottom, right = 0, 0, n - 1, n - 1
+    while top <= bottom and left <= right:
+        mask[top, max(0, left - 2):right + 1] = True
+        mask[top:bottom + 1, right] = True
+        mask[bottom, left:right + 1] = True
+        mask[top + 2:bottom + 1, left] = True
+        top, left, bottom, right = top + 2, left + 2, bottom - 2, right - 2
+    t = time.perf_counter()
+    parts = K.components(mask)
+    assert time.perf_counter() - t < 2 and len(np.unique(parts[mask])) == 1 and mask.sum() > 20_000
+
+
+def test_canny_equals_growing_from_strong_pixels():
+    rng = np.random.default_rng(8)
+    for size in (16, 64, 256):
+        smooth = rng.uniform(0, 255, (size // 8, size // 8)).repeat(8, 0).repeat(8, 1)
+        gray = np.clip(smooth + rng.normal(0, 12, (size, size)), 0, 255).astype(np.uint8)
+        weak, strong = K.canny(gray, 60, 60) > 0, K.canny(gray, 180, 180) > 0
+        assert (weak >= strong).all() and ((K.canny(gray, 60, 180) > 0) == _grown(weak, strong)).all()
