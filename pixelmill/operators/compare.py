@@ -194,6 +194,20 @@ def results_bundle(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def bundle_of(evaluated: DataFrame, a: str = FRAMEWORK_SPARK, b: str = FRAMEWORK_TWIN) -> DataFrame:
+    """R5 from one table of metrics (model, framework, position, ...): every row as a row
+    of its framework's result table and as one of the comparison. The metrics are
+    computed once, as nothing is filtered or stacked."""
+    none = lambda kind: F.lit(None).cast(kind)
+    same = [F.col(c) for c in ("accuracy", "f1_score", "auc_roc", "training_time", "model")]
+    own = F.struct(*same, F.col("precision"), F.col("recall"), none("string").alias("framework"), none("int").alias("position"),
+                   F.when(F.col("framework") == a, F.lit("spark")).when(F.col("framework") == b, F.lit("sklearn")).alias("source"))
+    compared = F.struct(*same, none("double").alias("precision"), none("double").alias("recall"), F.col("framework"),
+                        F.col("position").cast("int").alias("position"), F.lit("comparison").alias("source"))
+    rows = F.filter(F.array(own, compared), lambda r: r["source"].isNotNull())
+    return evaluated.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
 MAX_MODELS = 10_000
 
 

@@ -119,15 +119,18 @@ def fit_kernel_grid(train: DataFrame, n: int, features: str = "features", label:
     blocks = Lf.pack(train, features, label, weight, fold_col)
     scales = Lf.scales(blocks, d, list(range(folds)), weighted_std=False)
     params, avg, groups_of = [], [], []
+    fitted: dict[tuple[str, float], tuple] = {}  # widths that are the same number are one family
     for kernel, name in [(LINEAR, None), *[(RBF, g) for g in gammas]]:
         lift, gamma, dim = None, 1.0, d
         if kernel == RBF:
             gamma, dim = kernel_gamma(train, name, features), n_features
             lift = fourier_map(d, n_features, gamma, Mo.SEED)
-        own = [Lf.Scale(s.left_out, s.mean, s.std, s.weight, s.rows, lift) for s in scales]
-        groups = [[Lf.Fit(s, Mo.twin_reg_param(c, n)) for c in costs] for s in own]
-        Lf.solve(blocks, Lf.HINGE, [f for g in groups for f in g], dim)
-        auc = Lf.held_out_auc(blocks, groups)
+        if (kernel, gamma) not in fitted:
+            own = [Lf.Scale(s.left_out, s.mean, s.std, s.weight, s.rows, lift) for s in scales]
+            groups = [[Lf.Fit(s, Mo.twin_reg_param(c, n)) for c in costs] for s in own]
+            Lf.solve(blocks, Lf.HINGE, [f for g in groups for f in g], dim)
+            fitted[kernel, gamma] = groups, Lf.held_out_auc(blocks, groups)
+        groups, auc = fitted[kernel, gamma]
         for i, c in enumerate(costs):
             params.append({"kernel": kernel, "gamma": name, "C": c, "gamma_value": gamma})
             avg.append(sum(auc.get((f, i), 0.5) for f in range(folds)) / folds)

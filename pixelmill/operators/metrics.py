@@ -135,20 +135,23 @@ def _auc(scores: DataFrame, key: list[str]) -> DataFrame:
 
 
 def evaluate(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-             score: str = "score", by: list[str] | tuple = ()) -> DataFrame:
+             score: str = "score", by: list[str] | tuple = (),
+             sums: dict[str, str] | None = None) -> DataFrame:
     """Accuracy, weighted precision / recall / F1 and AUC per group,
     from one aggregate of the predictions."""
-    key = list(by) if by else ["_g"]
+    key, sums = list(by) if by else ["_g"], sums or {}
     src = pred if by else pred.withColumn("_g", F.lit(0))
     cells = (src.groupBy(*key, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("label"),
                          F.col(prediction).cast("double").alias("prediction"))
-             .agg(F.count(F.lit(1)).alias("n")))
+             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()]))
     conf = cells.groupBy(*key, "label", "prediction").agg(F.sum("n").alias("n"))
     is_pos = F.col("label") == 1.0
     scores = cells.groupBy(*key, "_s").agg(
         F.coalesce(F.sum(F.when(is_pos, F.col("n"))), F.lit(0)).alias("_pos"),
         F.coalesce(F.sum(F.when(~is_pos, F.col("n"))), F.lit(0)).alias("_neg"))
     out = _weighted(per_class(conf, key), key).join(_auc(scores, key), key)
+    if sums:
+        out = out.join(cells.groupBy(*key).agg(*[F.sum(f"_sum_{name}").alias(name) for name in sums]), key)
     return out if by else out.drop("_g")
 
 

@@ -195,9 +195,8 @@ def q_decision_projection(spark, sf_dir):
 
 def evaluated(spark, sf_dir, by=("model", "framework", "position")) -> DataFrame:
     """Metrics of the six scorers plus their work measure (thousands)."""
-    st = stacked(spark, sf_dir)
-    work = st.groupBy(*by).agg((F.sum("work") / 1000.0).alias("training_time"))
-    return E.evaluate(st, by=list(by)).join(work, list(by))
+    ev = E.evaluate(stacked(spark, sf_dir), by=list(by), sums={"training_time": "work"})
+    return ev.withColumn("training_time", F.col("training_time") / 1000.0)
 
 
 def comparison(spark, sf_dir) -> DataFrame:
@@ -347,11 +346,7 @@ SELECT 'comparison', "Model", "Framework", round("Accuracy", 6), NULL, NULL, rou
        round("AUC-ROC", 6), round("Training Time", 6), position FROM c
 """)
 def q_results_bundle(spark, sf_dir):
-    ev = evaluated(spark, sf_dir, by=("model", "framework"))
-    spark_rows = ev.where(F.col("framework") == FRAMEWORK_SPARK).drop("framework")
-    twin_rows = ev.where(F.col("framework") == FRAMEWORK_TWIN).drop("framework")
-    comp = C.from_comparison(comparison(spark, sf_dir))
-    return rounded(C.results_bundle(spark=spark_rows, sklearn=twin_rows, comparison=comp))
+    return rounded(C.bundle_of(evaluated(spark, sf_dir)))
 
 
 @register("results_from_files", f"SELECT * EXCLUDE (position) FROM ({SQL['results_bundle']}) b")

@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 from pixelmill.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
-#: Whole grids take minutes; tests/test_models.py covers them and svm_cv stands for them here.
-SLOW = {"lr_cv", "rf_cv", "twin_lr_cv", "twin_rf_cv", "twin_svm_cv"}
+#: Whole grids take minutes; test_models.py and test_linear_fits.py cover them and svm_cv stands for them here.
+SLOW = {"lr_cv", "rf_cv", "twin_lr_cv", "twin_rf_cv", "twin_svm_cv", "kernel_svm"}
 
 
 def test_entry_runs(spark):
