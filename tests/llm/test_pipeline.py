@@ -7,6 +7,7 @@ import tiktoken
 import corpus_pipeline as cp
 from pixelmill.llm import bpe, mixing, quality, queries
 from pixelmill.llm.common import table as read
+from tests.llm.docs import AWKWARD, CLASHING, table
 from tests.llm.test_hyperminhash import _brute as near_brute
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,33 @@ def test_stages_keep_the_columns_of_documents(spark):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def _written(spark, tmp, rows, labels, extra=()):
+    table(spark, rows, extra).write.parquet(f"{tmp}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
+    return str(tmp)
+
+
+def test_awkward_documents_end_to_end(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, ties, clashing names."""
+    good = [(100 + i, f"the quick brown fox number {i} jumps over lazy dogs near river bank {i * 7}", "ab"[i % 2]) for i in range(40)]
+    bad = [(200 + i, "$$$ BUY! " * (i + 3), None) for i in range(10)]
+    odd = [(i, t) for i, t in AWKWARD]
+    rows = good + bad + odd + [good[3], (300, good[5][1], "a"), (None, good[7][1], None)]
+    labels = [(i, 1, 0) for i, *_ in good] + [(i, 0, 0) for i, *_ in bad] + [(None, 1, 0), (1, None, None), (100, 1, 0)]
+    sf = _written(spark, tmp_path / "sf", rows, labels, CLASHING)
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], set()).add(hashlib.sha256((r[1] or "").encode()).hexdigest())
+    got = cp.run(spark, sf).collect()
+    assert got and all(r["decoded_sha256"] in texts[r["doc_id"]] for r in got)
+    kept = {r["doc_id"] for r in got}
+    # clean texts without a copy stay or are passed over by the mix alone; copies of them go
+    assert kept & {i for i, *_ in good} and 105 not in kept and not kept & {i for i, *_ in bad}
+    copies = Counter(tuple(r) for r in got)
+    assert max(copies.values()) <= mixing.MAX_COPIES
+
+
+def test_no_documents_at_all(spark, tmp_path):
+    assert cp.run(spark, _written(spark, tmp_path / "sf", [], [])).count() == 0
