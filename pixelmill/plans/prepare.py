@@ -39,21 +39,22 @@ class Prepared:
 
 
 def image_feature_table(spark: SparkSession, image_root: str, labels_csv: str) -> tuple[DataFrame, DataFrame]:
+    """(features with their label, all labels as read)."""
     labels = read_labels_csv(spark, labels_csv)
     feats, _ = I.labelled_features(spark, image_root, labels)
-    missing = labels
-    return feats.withColumn("label", binary_label("diagnosis")), missing
+    return feats.withColumn("label", binary_label("diagnosis")), labels
 
 
 def prepare_images(spark: SparkSession, image_root: str, labels_csv: str, out_path: str,
                    balance: str = "exact", factor: float = 2.0) -> Prepared:
-    feats, missing = image_feature_table(spark, image_root, labels_csv)
+    feats, labels = image_feature_table(spark, image_root, labels_csv)
     # features are computed once and written: everything after reads the table
     staged = out_path.rstrip("/") + "/_features"
     write_parquet(feats, staged)
     feats = spark.read.parquet(staged)
     # J2 against the written feature keys: labels that produced no features
-    missing = missing.join(feats.select("id_code", "diagnosis"), ["id_code", "diagnosis"], "left_anti")
+    known = feats.select(F.col("id_code").alias("_id"), F.col("diagnosis").alias("_grade"))
+    missing = labels.join(known, (F.col("id_code") == F.col("_id")) & F.col("diagnosis").eqNullSafe(F.col("_grade")), "left_anti")
     split = B.hash_split(feats, "id_code", SEED)
     train = split.where(F.col("split") == "train")
     rest = split.where(F.col("split") != "train").withColumn("copy", F.lit(1).cast("long"))

@@ -179,7 +179,8 @@ SELECT l.doc_id, l.quality, l.toxic FROM labels l
 WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')
 """)
 def q_unmatched_labels(spark, sf_dir):
-    """J2 against one part of the item store: the labels of all other items."""
+    """J2 against one part of the item store, the English items: every label of the given
+    tables has an item, so that the labels of all others stand for orphans."""
     items = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id")
     return L.unmatched(table(spark, sf_dir, "labels"), items, ["doc_id"])
 
