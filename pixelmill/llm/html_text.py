@@ -51,13 +51,15 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 #: Parts of class names, ids and roles by which pages mark what is not their text.
 OTHER_NAMES = frozenset(
-    "ad ads adbox adsense adslot advert adverts advertisement advertisements advertising alert alertdialog banner billboard"
-    " breadcrumb breadcrumbs captcha comment commenter commentform commentlist comments commentsection complementary consent contentinfo"
-    " cookie cookiebar cookies copyright dialog discussion disqus donate feedback footer gdpr header hidden login masthead menu menubar"
-    " modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popular popup privacy promo"
-    " promoted promotion rail recommended register related replies reply respond search share sharing sidebar sidenav signup skip"
-    " skyscraper social sponsor sponsored subnav subscribe subscription taboola tags teaser teasers toast toolbar topbar topnav"
-    " tracking trending usercomments widget widgets".split())
+    "ad adbox ads adsense adslot advert advertisement advertisements advertising adverts alert alertdialog announcement"
+    " announcements anzeige aside banner banners billboard breadcrumb breadcrumbs captcha comentarios comment commentaires"
+    " commenter commentform commentlist comments commentsection complementary consent contactform contentinfo cookie"
+    " cookiebar cookies copyright crumbs dialog disclaimer discussion disqus donate feedback footer form forms gdpr header"
+    " hidden infobar kommentare login masthead menu menubar modal nav navbar navi navigation newsletter notice notices"
+    " notification outbrain pager pagination paywall popular popup privacy promo promoted promotion rail recommended"
+    " register related replies reply respond responses search share sharing sidebar sidemenu sidenav signup skip skyscraper"
+    " social sponsor sponsored submenu subnav subscribe subscription taboola tags talkback teaser teasers toast toolbar"
+    " topbar topmenu topnav tracking trending usercomments warning werbung widget widgets".split())
 #: Said before another part, these speak of the layout of the whole page.
 SAID_OF_LAYOUT = frozenset("has with no without not layout is type status format category tag".split())
 MAIN_NAMES = frozenset("article articlebody blogpost content entry main maincontent post postbody postcontent prose story".split())
