@@ -205,8 +205,8 @@ def q_kernel_svm(spark, sf_dir):
     curve = fit.extra["platt"]
     test = Tr.score_column(fit.model.transform(prepared.where(F.col("split") == "test")))
     scored = Ke.with_probability(test, curve)
-    # the probability is the score's place on the curve, so it turns where the curve crosses one half
-    follows = F.abs(F.log(F.col("probability") / (1 - F.col("probability"))) - (curve[0] * F.col("score") + curve[1])) < 1e-6
+    # the probability turns where the curve crosses one half
+    follows = (F.col("probability") > 0.5) == (curve[0] * F.col("score") + curve[1] > 0)
     best = fit.extra["platt_residual"] < 1e-6
     return scored.select(_KEY, "label", follows.alias("probability_follows_score"),
                          ((F.col("score") > 0) == (F.col("prediction") == 1)).alias("prediction_follows_score"),
