@@ -3,10 +3,16 @@
 The nodes of a saved forest become rows, so its structure can be checked with ordinary
 aggregates, and rows are led from the roots to the leaves by one join with the nodes
 for each level. The votes are summed as MLlib sums them.
+
+A forest also holds smaller ones: its first trees are a forest of fewer trees, and a tree
+cut at a depth is the tree that the same draws grow to that depth, as the limit of
+depth decides only where growth ends. So one grown forest scores rows for many points of a grid.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +39,39 @@ def forest_nodes(spark, model, path: str | None = None) -> DataFrame:
         F.col(node + "impurityStats").alias("stats"), F.col(node + "rawCount").alias("n"), F.col(node + "prediction").alias("prediction"))
 
 
+def _levels(left: np.ndarray, right: np.ndarray, limit: int):
+    """The levels of a tree from its root: for each (position of the nodes, how often the
+    root reaches each). Children are positions, negative where there are none."""
+    at, times = np.zeros(min(1, len(left)), np.int64), np.ones(min(1, len(left)))
+    for _ in range(limit + 1):
+        if not len(at):
+            return
+        yield at, times
+        kids, twice = np.concatenate([left[at], right[at]]), np.concatenate([times, times])
+        at, inverse = np.unique(kids[kids >= 0], return_inverse=True)
+        times = np.bincount(inverse, twice[kids >= 0], len(at))
+
+
+def _tree(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The nodes of one tree by their number, and the positions of their children."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    place = {n: i for i, n in reversed(list(enumerate(pdf["node"])))}
+    return pdf, *(np.array([place.get(c, -1) for c in pdf[side].fillna(-1).astype(np.int64)], np.int64) for side in ("left", "right"))
+
+
 def depths(nodes: DataFrame, limit: int) -> DataFrame:
-    """(tree, node, depth) of every node that the roots reach within ``limit`` steps."""
-    level = nodes.where("node = 0").select("tree", "node", F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, limit + 1):
-        level = (level.join(nodes, ["tree", "node"]).select("tree", F.explode(F.array("left", "right")).alias("node"), F.lit(depth).alias("depth"))
-                 .where("node IS NOT NULL"))
-        out = out.unionByName(level)
-    return out
+    """(tree, node, depth, times) of every node that the roots reach within ``limit``
+    steps, and how often they do. Each tree is one group; MLlib itself holds it whole."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left, right = _tree(pdf)
+        if not len(pdf) or pdf["node"][0] != 0:
+            return pd.DataFrame({"tree": [], "node": [], "depth": [], "times": []})
+        parts = [pd.DataFrame({"node": pdf["node"].to_numpy()[at], "depth": depth, "times": times})
+                 for depth, (at, times) in enumerate(_levels(left, right, limit))]
+        return pd.concat(parts).assign(tree=pdf["tree"][0])[["tree", "node", "depth", "times"]]
+
+    return (nodes.select("tree", "node", "left", "right").groupBy("tree")
+            .applyInPandas(run, "tree int, node int, depth int, times double"))
 
 
 def structure_faults(nodes: DataFrame, limit: int) -> DataFrame:
@@ -59,7 +89,7 @@ def structure_faults(nodes: DataFrame, limit: int) -> DataFrame:
                        | F.col("child_n").isNull()).select("tree", F.lit("children do not add up").alias("fault"))
     missing = pairs.where("child_n IS NULL").select("tree", F.lit("child is missing").alias("fault"))
     unsplit = nodes.where("left IS NOT NULL AND (threshold IS NULL OR feature < 0 OR right IS NULL)").select("tree", F.lit("no split").alias("fault"))
-    reached = depths(nodes, limit).groupBy("tree", "node").agg(F.count(F.lit(1)).alias("times"))
+    reached = depths(nodes, limit).groupBy("tree", "node").agg(F.sum("times").alias("times"))
     lost = (nodes.join(reached, ["tree", "node"], "left").where("times IS NULL OR times > 1")
             .select("tree", F.lit("not reached once within the depth").alias("fault")))
     return wrong.unionByName(missing).unionByName(unsplit).unionByName(lost)
@@ -89,3 +119,59 @@ def walk(rows: DataFrame, nodes: DataFrame, keys: list[str], features: str, limi
     most = F.array_max(F.transform("_v", lambda v: v["votes"]))
     first = F.filter("_v", lambda v: v["votes"] >= most)[0]["class"]
     return out.select(*keys, F.transform("_v", lambda v: v["votes"]).alias("votes"), first.cast("double").alias("prediction"))
+
+
+def cut_leaves(nodes: DataFrame, cuts: list[int]) -> DataFrame:
+    """(tree, leaf, shares): for every leaf of every tree (numbered from the left, as
+    ``leafCol`` numbers them) the share of class 1 that its rows meet in the tree cut at
+    each depth of ``cuts``. Of a cut tree, sibling leaves of one prediction become one, as
+    MLlib has it."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left, right = _tree(pdf)
+        stats = np.stack(pdf["stats"].to_numpy())
+        total = stats.sum(1)
+        share = np.divide(stats[:, 1], total, out=np.zeros(len(total)), where=total != 0)
+        prediction = pdf["prediction"].to_numpy()
+        levels = [at for at, _ in _levels(left, right, len(pdf))]
+        ends = np.flatnonzero(left < 0)
+        shares = np.empty((len(ends), len(cuts)))
+        for j, cut in enumerate(cuts):
+            leaf = left < 0
+            for at in levels[cut:cut + 1]:
+                leaf[at] = True
+            for at in reversed(levels[:cut]):
+                at = at[~leaf[at]]
+                a, b = left[at], right[at]
+                leaf[at] = leaf[a] & leaf[b] & (prediction[a] == prediction[b])
+            stop = np.arange(len(pdf))  # the node at which a row on its way to this one stops
+            for at in levels:
+                at = at[left[at] >= 0]
+                for kids in (left[at], right[at]):
+                    stop[kids] = np.where(leaf[stop[at]], stop[at], kids)
+            shares[:, j] = share[stop[ends]]
+        return pd.DataFrame({"tree": pdf["tree"][0], "leaf": np.arange(len(ends)), "shares": list(shares)})
+
+    return (nodes.select("tree", "node", "left", "right", "stats", "prediction").groupBy("tree")
+            .applyInPandas(run, "tree int, leaf int, shares array<double>"))
+
+
+def cut_scores(model, rows: DataFrame, points: list[tuple[int, int]], label: str = "label") -> DataFrame:
+    """(point, label, score): every row's votes for class 1 in each of the forests
+    ``points``, (number of first trees, depth of the cut), of one fitted forest. The
+    leaf that a row reaches in every tree tells them all. ``rows`` must be a scan."""
+    cuts = sorted({depth for _, depth in points})
+    nodes = forest_nodes(rows.sparkSession, model)
+    leaves = cut_leaves(nodes, cuts)
+    if model.totalNumNodes <= BROADCAST_NODES:
+        leaves = F.broadcast(leaves)
+    model = model.copy()
+    model.setLeafCol("_leaf")
+    # rows are numbered before they become a row for each tree; those stay in the row's
+    # task, in the order of the trees, and are summed there
+    numbered = model.transform(rows).select(F.monotonically_increasing_id().alias("_row"), F.col(label).alias("label"),
+                                            vector_to_array(F.col("_leaf")).alias("_leaves"))
+    reached = (numbered.select("_row", "label", F.posexplode("_leaves").alias("tree", "leaf"))
+               .withColumn("leaf", F.col("leaf").cast("int")).join(leaves, ["tree", "leaf"]))
+    sums = [F.sum(F.when(F.col("tree") < trees, F.col("shares")[cuts.index(depth)]).otherwise(0.0)) for trees, depth in points]
+    scores = reached.groupBy("_row", "label").agg(F.array(*sums).alias("_s"))
+    return scores.select(F.posexplode("_s").alias("point", "score"), "label").select("point", "label", "score")

@@ -190,6 +190,60 @@ def cross_validate_passes(kind: str, name: str, pipeline: Pipeline, grid: list,
                      extra={"best_params": params[best], "passes": max(f.passes for f in fits)})
 
 
+def cross_validate_forests(name: str, pipeline: Pipeline, grid: list, train: DataFrame, label: str = "label",
+                           fold_col: str = "fold", folds: int = NUM_FOLDS, parallelism: int | None = None) -> FitResult:
+    """The same selection for forests whose grid varies the number of trees and the
+    depth: points that agree in all else are the first trees, cut at a depth, of the largest
+    forest among them (:func:`pixelmill.operators.forest.cut_scores`), grown once a fold. Every
+    point of every fold is scored on all of its left-out rows; the best is refitted at
+    its own parameters by its pipeline. ``n_fits`` counts the forests scored, ``grown``
+    those grown for them."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pixelmill.operators import forest as Fo
+    from pixelmill.operators.metrics import auc_roc
+
+    stage = pipeline.getStages()[-1]
+    t0 = time.perf_counter()
+    params = [{p.name: v for p, v in pm.items()} for pm in grid]
+    sizes = [tuple(int(p.get(c, stage.getOrDefault(c))) for c in ("numTrees", "maxDepth")) for p in params]
+    families: dict[tuple, list[int]] = {}
+    for i, p in enumerate(params):
+        # a single tree draws among all features, others among some
+        rest = tuple(sorted((k, v) for k, v in p.items() if k not in ("numTrees", "maxDepth")))
+        families.setdefault((sizes[i][0] == 1, rest), []).append(i)
+
+    tasks = [(f, own) for f in range(folds) for own in families.values()]
+    at_a_time = min(parallelism or PARALLELISM, len(tasks))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+
+    def spread(rows, fits):
+        """A table of few files over the cores that one of ``fits`` fits at a time has."""
+        wanted = -(-cores // fits)
+        return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+
+    def run(task):
+        f, own = task
+        trees, depth = max(sizes[i][0] for i in own), max(sizes[i][1] for i in own)
+        changed = {stage.numTrees: trees, stage.maxDepth: depth}
+        model = pipeline.fit(spread(train.where(F.col(fold_col) != f), at_a_time), grid[own[0]] | changed)
+        left_out = PipelineModel(model.stages[:-1]).transform(train.where(F.col(fold_col) == f))
+        scored = Fo.cut_scores(model.stages[-1], left_out, [sizes[i] for i in own], label)
+        return {own[r["point"]]: r["auc_roc"] for r in auc_roc(scored, by=["point"]).collect()}
+
+    with ThreadPoolExecutor(max_workers=at_a_time) as pool:
+        found = list(pool.map(run, tasks))
+    sums = [0.0] * len(grid)
+    for (_, own), auc in zip(tasks, found):
+        for i in own:
+            sums[i] += 0.5 if auc.get(i) is None else auc[i]
+    avg = [s / folds for s in sums]
+    best = max(range(len(grid)), key=lambda i: avg[i])  # first point wins ties
+    model = pipeline.fit(spread(train, 1), grid[best])
+    return FitResult(name, model, avg, params, time.perf_counter() - t0, n_fits=folds * len(grid) + 1,
+                     extra={"best_params": params[best], "grown": len(tasks)})
+
+
 def cv_table(spark, fit: FitResult) -> DataFrame:
     """The average metric of every grid point, as a table to persist."""
     rows = [(fit.name, i, ", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(m),
@@ -227,9 +281,10 @@ def twin_grid(kind: str, n: int, weight: str = "class_weight", pre=()):
 
     The forest's min_samples_split s has no MLlib twin; minInstancesPerNode =
     s // 2 is the nearest rule (a split needs two children of at least that
-    size). Of the kernel-SVM grid only the linear part runs (no distributed RBF
+    size). A row's node in every tree is kept between levels, so that a level of a deep
+    forest does not lead every row down from the roots. Of the kernel-SVM grid only the linear part runs (no distributed RBF
     solver in MLlib)."""
-    changed = {"lr": {"elasticNetParam": 0.0, "maxIter": 1000}, "rf": {}, "svm": {"maxIter": 100}}[kind]
+    changed = {"lr": {"elasticNetParam": 0.0, "maxIter": 1000}, "rf": {"cacheNodeIds": True}, "svm": {"maxIter": 100}}[kind]
     pipe, stage = classifier_pipeline(kind, weight=weight, pre=pre, **changed)
     if kind == "rf":
         spec = {"numTrees": TWIN_RF_GRID["numTrees"],
@@ -241,8 +296,11 @@ def twin_grid(kind: str, n: int, weight: str = "class_weight", pre=()):
 
 
 def fit_twin(kind: str, train: DataFrame, n: int, weight: str = "class_weight", pre=(), engine: str | None = None, **kw) -> FitResult:
-    """A single-machine grid, re-aimed; the linear ones in shared passes."""
+    """A single-machine grid, re-aimed; the linear ones in shared passes, the
+    forests as parts of the largest ones."""
     pipe, grid = twin_grid(kind, n, weight, pre)
+    if engine is None and kind == "rf" and kw.get("fold_col", "fold"):
+        return cross_validate_forests(KINDS[kind][0], pipe, grid, train, **kw)
     if engine in (None, "passes") and kind != "rf":
         done = cross_validate_passes(kind, KINDS[kind][0], pipe, grid, train, fold_col=kw.get("fold_col", "fold"), weight=weight)
         if done is not None:
