@@ -30,8 +30,9 @@ from pixelmill.llm.common import SpanHash, multi_arange, slices, text_buffer, wo
 FILTERS = "ABCDE"
 MIN_WORDS, MIN_DISTINCT_PCT, MAX_CAPITALS_PCT = 200, 50, 2
 SIGNS = b"#$%&*|"
-#: Text bytes of one CSR shard.
-SHARD_BYTES = 4 << 20
+#: Text bytes of one CSR shard. The work on a shard takes some 40 times its bytes (hashes are
+#: eight bytes a character), and two workers a task do it.
+SHARD_BYTES = 1 << 20
 #: Words that share a hash with another word and are broadcast, at most (2**32 random
 #: words hold 0.5 such words, 2**40 some 33,000).
 MAX_SHARED = 1 << 18
@@ -52,30 +53,30 @@ def _gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
-def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(hash, word): the distinct words of all texts, as bytes, and their hashes."""
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", SHARD_BYTES):
+        data, offsets = text_buffer(batch.column("text"))
+        start, end, _ = word_spans(data, offsets)
+        if not len(start):
+            continue
+        code = _hashes(data, start, end)
+        order = np.argsort(code, kind="stable")
+        sorted_code, s, length = code[order], start[order], (end - start)[order]
+        head = np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]])
+        first = np.flatnonzero(head)[np.cumsum(head) - 1]
+        # words that differ from the first of their hash are told as well
+        odd = length != length[first]
+        size = np.where(odd, 0, length)
+        differs = data[multi_arange(s, size)] != data[multi_arange(s[first], size)]
+        odd[np.repeat(np.arange(len(s)), size)[differs]] = True
+        told = np.flatnonzero(head | odd)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sorted_code[told]), _gather(data, s[told], length[told]).cast(pa.binary())], names=["hash", "word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SHARD_BYTES):
-            data, offsets = text_buffer(batch.column("text"))
-            start, end, _ = word_spans(data, offsets)
-            if not len(start):
-                continue
-            code = _hashes(data, start, end)
-            order = np.argsort(code, kind="stable")
-            sorted_code, s, length = code[order], start[order], (end - start)[order]
-            head = np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            # words that differ from the first of their hash are told as well
-            odd = length != length[first]
-            size = np.where(odd, 0, length)
-            differs = data[multi_arange(s, size)] != data[multi_arange(s[first], size)]
-            odd[np.repeat(np.arange(len(s)), size)[differs]] = True
-            told = np.flatnonzero(head | odd)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sorted_code[told]), _gather(data, s[told], length[told]).cast(pa.binary())], names=["hash", "word"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "hash long, word binary").distinct()
+def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(hash, word): the distinct words of all texts, as bytes, and their hashes."""
+    return docs.select(docs[text_col].alias("text")).mapInArrow(_distinct_words, "hash long, word binary").distinct()
 
 
 def shared_codes(words: DataFrame) -> dict[bytes, int]:

@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
 from pixelmill.llm import filter_audit
@@ -105,3 +107,16 @@ def test_csr_shards_hold_the_counts(spark):
     code = {w: filter_audit._word_hash(w) for w in (b"a", b"b", b"c")}
     got = list(zip(np.frombuffer(shard["columns"], np.int64).tolist(), np.frombuffer(shard["counts"], np.int32).tolist()))
     assert sorted(got[:2]) == sorted([(code[b"a"], 2), (code[b"b"], 1)]) and sorted(got[2:]) == sorted([(code[b"b"], 3), (code[b"c"], 1)])
+
+
+def test_the_memory_of_a_task_does_not_grow_with_its_batches():
+    """Four workers of an executor do this at a time, next to its heap."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    words = {w for out in filter_audit._distinct_words(iter([batch])) for w in out.column("word").to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == {w.encode() for t in texts for w in t.split()}
+    assert sum(map(len, texts)) > 8 << 20 and peak < 128 << 20, peak >> 20
