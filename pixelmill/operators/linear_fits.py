@@ -77,29 +77,42 @@ def pack(rows: DataFrame, features: str = "features", label: str = "label", weig
     return rows.sparkSession.read.parquet(path)
 
 
-def _summed(blocks: DataFrame, work: Callable, size: int) -> np.ndarray:
-    """``work(fold, x, y, w)`` (an array of ``size`` doubles) summed over all blocks: in
-    every task, then in about as many tasks as the root of their number, then here."""
+def _summed(blocks: DataFrame, work: Callable, size: int, parts: int = 1) -> np.ndarray:
+    """``work(fold, x, y, w)`` (an array of ``size`` doubles, in ``parts`` equal parts) summed
+    over all blocks: in every task, for many tasks in about as many as the root of their
+    number, and then each part in one task. The driver gets one row a part, however
+    many tasks there are."""
+    each = size // parts
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             for fold, n, *packed in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y, w = (np.frombuffer(p, np.float64) for p in packed)
                 total += work(fold, x.reshape(n, -1), y, w)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+        for i in range(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * each:(i + 1) * each].tobytes()], pa.binary())], names=["part", "s"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                total += np.frombuffer(s, np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    sums = blocks.select("fold", "n", "x", "y", "w").mapInArrow(add, "s binary")
+            for part, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if part not in totals:
+                    totals[part] = np.zeros(each)
+                totals[part] += np.frombuffer(s, np.float64)
+        for part, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "s"])
+
+    sums = blocks.select("fold", "n", "x", "y", "w").mapInArrow(add, "part int, s binary")
     tasks = blocks.rdd.getNumPartitions()
     if tasks > 64:
-        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(merge, "s binary")
-    return np.sum([np.zeros(size)] + [np.frombuffer(r["s"], np.float64) for r in sums.collect()], axis=0)
+        sums = sums.repartition(math.isqrt(tasks)).mapInArrow(merge, "part int, s binary")
+    if tasks > 1:
+        sums = sums.repartition(min(parts, blocks.sparkSession.sparkContext.defaultParallelism), "part").mapInArrow(merge, "part int, s binary")
+    out = np.zeros((parts, each))
+    for r in sums.collect():
+        out[r["part"]] += np.frombuffer(r["s"], np.float64)
+    return out.reshape(-1)
 
 
 @dataclass
@@ -202,8 +215,10 @@ def _parts(kind: str, margin: np.ndarray, y: np.ndarray, width: float):
 
 
 def _pass(blocks: DataFrame, kind: str, fits: list[Fit], d: int) -> np.ndarray:
-    """(loss, gradient, curvature) sums of every model at its trial coefficients."""
-    k = 1 + (d + 1) + (d + 1) ** 2
+    """(loss, gradient, curvature) sums of every model at its trial coefficients. The
+    curvature is symmetric, so that only one triangle of it travels."""
+    upper = np.triu_indices(d + 1)
+    k = 1 + (d + 1) + len(upper[0])
     groups: dict[int, list[int]] = {}
     for i, f in enumerate(fits):
         groups.setdefault(id(f.scale), []).append(i)
@@ -212,6 +227,7 @@ def _pass(blocks: DataFrame, kind: str, fits: list[Fit], d: int) -> np.ndarray:
 
     def work(fold, x, y, w):
         out = np.zeros((len(fits), k))
+        triangle = np.triu_indices(d + 1)
         for scale, own, coef, widths in sets:
             if scale.left_out == fold:
                 continue
@@ -222,10 +238,15 @@ def _pass(blocks: DataFrame, kind: str, fits: list[Fit], d: int) -> np.ndarray:
                 out[i, 0] = w @ loss
                 out[i, 1:d + 2] = (w * slope) @ z
                 live = bend > 0
-                out[i, d + 2:] = ((z[live] * (w * bend)[live, None]).T @ z[live]).reshape(-1)
+                out[i, d + 2:] = ((z[live] * (w * bend)[live, None]).T @ z[live])[triangle]
         return out.reshape(-1)
 
-    return _summed(blocks, work, len(fits) * k).reshape(len(fits), k)
+    sums = _summed(blocks, work, len(fits) * k, len(fits)).reshape(len(fits), k)
+    whole = np.zeros((len(fits), d + 2 + (d + 1) ** 2))
+    whole[:, :d + 2] = sums[:, :d + 2]
+    bends = whole[:, d + 2:].reshape(len(fits), d + 1, d + 1)
+    bends[:, upper[0], upper[1]] = bends[:, upper[1], upper[0]] = sums[:, d + 2:]
+    return whole
 
 
 def _violation(fit: Fit, coef: np.ndarray, gradient: np.ndarray) -> float:
