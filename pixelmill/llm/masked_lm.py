@@ -37,6 +37,12 @@ RATE = 0.15
 BATCH = 4096
 SCORE_ROWS = 1 << 15
 SCAN_BYTES = 4 << 20
+#: Words are hashed in pieces of so many bytes, which stay in the processor's cache.
+HASH_BYTES = 1 << 17
+#: Ids are looked up by so many leading bits of the hash.
+LEAD_BITS = 16
+#: exp of a number no larger than this, of either sign, and sums of such stay in the range of float32.
+LARGE = 60
 #: Counts of words of id 0 are broadcast if the word makes up one occurrence in so
 #: many or more (so there are at most so many); those of the others are joined.
 HOT_SHARE = 1 << 20
@@ -81,63 +87,85 @@ class Net:
             total += self.embed[p].take(context[p], 0, out=part, mode="clip")
         return np.tanh(total, out=total)
 
-    def slots(self, h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        """Inputs of the first softmax."""
+        out = h @ self.to_class
+        out += self.class_bias
+        return out
+
+    def slots(self, h: np.ndarray, kind: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Inputs of the second softmax, for rows sorted by class."""
-        out = np.empty((len(h), SLOTS), h.dtype)
+        out = self.slot_bias.take(kind, 0)
+        part = np.empty_like(out)
         for c, rows in _runs(cuts):
-            np.matmul(h[rows], self.to_slot[c], out=out[rows])
-            out[rows] += self.slot_bias[c]
+            np.matmul(h[rows], self.to_slot[c], out=part[rows])
+        out += part
         return out
 
     def log_probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         order, kind, slot, cuts = _by_class(word)
-        h = self.hidden(context[:, order])
+        h = self.hidden(context.take(order, 1))
         out = np.empty(len(word), h.dtype)
-        out[order] = _log_softmax_at(h @ self.to_class + self.class_bias, kind) + _log_softmax_at(self.slots(h, cuts), slot)
+        out[order] = _log_softmax_at(self.classes(h), kind) + _log_softmax_at(self.slots(h, kind, cuts), slot)
         return out
 
     def gradient(self, context: np.ndarray, word: np.ndarray) -> "Net":
         """Of the mean log-probability."""
         g = Net(np.zeros_like(self.flat))
         order, kind, slot, cuts = _by_class(word)
-        context = context[:, order]
+        context = context.take(order, 1)
         h = self.hidden(context)
-        d = _left_over(h @ self.to_class + self.class_bias, kind)
-        g.to_class[:], g.class_bias[:] = h.T @ d, d.sum(0)
+        # sums over rows are products with a row of ones
+        ones = np.ones(len(word), h.dtype)
+        d = _left_over(self.classes(h), kind)
+        np.matmul(h.T, d, out=g.to_class)
+        np.matmul(ones, d, out=g.class_bias)
         dh = d @ self.to_class.T
-        d = _left_over(self.slots(h, cuts), slot)
+        d = _left_over(self.slots(h, kind, cuts), slot)
+        part = np.empty_like(dh)
         for c, rows in _runs(cuts):
-            g.to_slot[c], g.slot_bias[c] = h[rows].T @ d[rows], d[rows].sum(0)
-            dh[rows] += d[rows] @ self.to_slot[c].T
+            own = d[rows]
+            np.matmul(h[rows].T, own, out=g.to_slot[c])
+            np.matmul(ones[rows], own, out=g.slot_bias[c])
+            np.matmul(own, self.to_slot[c].T, out=part[rows])
+        dh += part
         h *= h
         dh *= np.subtract(1, h, out=h)
-        g.bias[:] = dh.sum(0)
-        # id 0 is most of the words: one product, the other ids sorted and summed
+        np.matmul(ones, dh, out=g.bias)
+        # id 0 is most of the words: one product, the other ids sorted and summed,
+        # two numbers (one complex) at a time
         g.embed[:, 0] = (context == 0).astype(dh.dtype) @ dh
-        for p in range(2 * SPAN):
-            rows = np.flatnonzero(context[p])
-            ids = context[p][rows].astype(np.int16)
-            by_id = np.argsort(ids, kind="stable")
-            ids = ids[by_id]
-            starts = np.flatnonzero(np.diff(ids, prepend=-1))
-            if len(starts):
-                g.embed[p][ids[starts]] = np.add.reduceat(dh.take(rows[by_id], 0, mode="clip"), starts, axis=0)
+        at = np.flatnonzero(context)
+        step, rows = np.divmod(at, len(word))
+        ids = (context.ravel()[at] + step * (VOCABULARY + 1)).astype(np.min_scalar_type(-2 * SPAN * (VOCABULARY + 1)))
+        by_id = np.argsort(ids, kind="stable")
+        ids = ids[by_id]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        if len(starts):
+            pairs = dh.take(rows[by_id], 0, mode="clip").view(np.result_type(dh.dtype, np.complex64))
+            g.embed.reshape(-1, HIDDEN)[ids[starts]] = np.add.reduceat(pairs, starts, axis=0).view(dh.dtype)
         g.flat /= len(word)
         return g
 
 
+def _in_range(x: np.ndarray) -> None:
+    """Takes its largest number from every row if ``exp`` or its sums may leave their range."""
+    if max(x.max(), -x.min()) > LARGE:
+        x -= x.max(1, keepdims=True)
+
+
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x).sum(1))
+    _in_range(x)
+    own = x.take(np.arange(0, x.size, x.shape[1]) + at)
+    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def _left_over(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Gradient of the log-softmax at ``at``: one there, less the probabilities."""
-    x -= x.max(1, keepdims=True)
+    _in_range(x)
     np.exp(x, out=x)
-    x /= -x.sum(1, keepdims=True)
-    x[np.arange(len(x)), at] += 1
+    x /= -(x @ np.ones(x.shape[1], x.dtype))[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] += 1
     return x
 
 
@@ -165,6 +193,9 @@ class Vocabulary:
         known = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(known)
         self.known = known[self.order]
+        leads = np.arange(1 << LEAD_BITS, dtype=np.uint64) << np.uint64(64 - LEAD_BITS)
+        self.lead = np.searchsorted(self.known, leads)
+        self.most = int(np.diff(self.lead, append=len(known)).max())
         self.counts = np.zeros(VOCABULARY)
         self.counts[1:len(counts) + 1] = counts
         self.counts[0] = total - sum(counts)
@@ -189,13 +220,26 @@ class Vocabulary:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.order[at] + 1, 0)
+        out = np.empty(len(hashes), np.int64)
+        for a in range(0, len(hashes), BATCH):
+            some = hashes[a:a + BATCH]
+            # the first known hash of the same leading bits, then on to the one itself
+            at = self.lead.take(some >> np.uint64(64 - LEAD_BITS))
+            for _ in range(self.most - 1):
+                at += self.known.take(at, mode="clip") < some
+            found = self.known.take(at, mode="clip") == some
+            out[a:a + BATCH] = np.where(found, self.order.take(at, mode="clip") + 1, 0)
+        return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = word_spans(data, offsets)
-    return SpanHash(data)(start, end), first
+    out = np.empty(len(start), np.uint64)
+    cuts = np.flatnonzero(np.diff(start // HASH_BYTES, prepend=-1, append=-1)).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        low = start[a]
+        out[a:b] = SpanHash(data[low:end[b - 1]])(start[a:b] - low, end[a:b] - low)
+    return out, first
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -267,7 +311,7 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: in
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             flat, vocabulary = sent.value
             own = Net(flat.copy())
-            square, seen, lane = np.full_like(flat, 1e-4), 0, -1
+            square, step, seen, lane = np.full_like(flat, 1e-4), np.empty_like(flat), 0, -1
             for batch in slices(batches, "text", SCAN_BYTES):
                 hashes, first = word_hashes(*text_buffer(batch.column(0)))
                 if lane < 0 and len(hashes):
@@ -277,8 +321,10 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: in
                 for at in range(0, len(places), BATCH):
                     some = places[at:at + BATCH]
                     g = own.gradient(contexts(ids, first, some), ids[some]).flat
-                    square += g * g
-                    own.flat += RATE * g / np.sqrt(square)
+                    square += np.multiply(g, g, out=step)
+                    g *= RATE
+                    g /= np.sqrt(square, out=step)
+                    own.flat += g
                     seen += len(some)
             yield _weight_rows([(b, lane, seen, own.flat[b * BLOCK:(b + 1) * BLOCK].astype(np.float64) * seen)
                                 for b in range(-(-Net.size() // BLOCK))] if seen else [])
