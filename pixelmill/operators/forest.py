@@ -2,7 +2,8 @@
 
 The nodes of a saved forest become rows, so its structure can be checked with ordinary
 aggregates, and rows are led from the roots to the leaves by one join with the nodes
-for each level. The votes are summed as MLlib sums them.
+for each level; of a large forest whole trees are joined to blocks of rows. The votes are
+summed as MLlib sums them.
 
 A forest also holds smaller ones: its first trees are a forest of fewer trees, and a tree
 cut at a depth is the tree that the same draws grow to that depth, as the limit of
@@ -11,16 +12,22 @@ depth decides only where growth ends. So one grown forest scores rows for many p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.session import scratch_path
 
-#: Nodes that are broadcast, at most (about 100 MB); larger forests are joined by a shuffle.
-BROADCAST_NODES = 1 << 20
+#: Nodes that are broadcast, at most (about 10 MB); of larger forests each tree is packed into one
+#: row, and trees meet blocks of rows in tasks.
+BROADCAST_NODES = 1 << 17
+BLOCK_ROWS = 1024
+PACKED = ("feature", "threshold", "left", "right", "shares")
 
 
 def forest_nodes(spark, model, path: str | None = None) -> DataFrame:
@@ -28,6 +35,8 @@ def forest_nodes(spark, model, path: str | None = None) -> DataFrame:
     every node of a fitted forest, from its saved form under ``path``. ``stats`` are the
     weighted rows of each class that reached the node in training, ``n`` their number;
     leaves have null features and children."""
+    if hasattr(model, "trees_table"):  # a grown forest is a table already
+        return model.nodes()
     path = path or scratch_path(spark, "forest")
     model.write().overwrite().save(path)
     node, split = "nodeData.", F.col("nodeData.split")
@@ -39,7 +48,7 @@ def forest_nodes(spark, model, path: str | None = None) -> DataFrame:
         F.col(node + "impurityStats").alias("stats"), F.col(node + "rawCount").alias("n"), F.col(node + "prediction").alias("prediction"))
 
 
-def _levels(left: np.ndarray, right: np.ndarray, limit: int):
+def levels(left: np.ndarray, right: np.ndarray, limit: int):
     """The levels of a tree from its root: for each (position of the nodes, how often the
     root reaches each). Children are positions, negative where there are none."""
     at, times = np.zeros(min(1, len(left)), np.int64), np.ones(min(1, len(left)))
@@ -55,8 +64,12 @@ def _levels(left: np.ndarray, right: np.ndarray, limit: int):
 def _tree(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """The nodes of one tree by their number, and the positions of their children."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    place = {n: i for i, n in reversed(list(enumerate(pdf["node"])))}
-    return pdf, *(np.array([place.get(c, -1) for c in pdf[side].fillna(-1).astype(np.int64)], np.int64) for side in ("left", "right"))
+    numbers, sides = pdf["node"].to_numpy(np.int64), []
+    for side in ("left", "right"):
+        child = pdf[side].fillna(-1).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(numbers, child), len(numbers) - 1)
+        sides.append(np.where(numbers[at] == child, at, -1) if len(numbers) else at)
+    return pdf, *sides
 
 
 def depths(nodes: DataFrame, limit: int) -> DataFrame:
@@ -67,7 +80,7 @@ def depths(nodes: DataFrame, limit: int) -> DataFrame:
         if not len(pdf) or pdf["node"][0] != 0:
             return pd.DataFrame({"tree": [], "node": [], "depth": [], "times": []})
         parts = [pd.DataFrame({"node": pdf["node"].to_numpy()[at], "depth": depth, "times": times})
-                 for depth, (at, times) in enumerate(_levels(left, right, limit))]
+                 for depth, (at, times) in enumerate(levels(left, right, limit))]
         return pd.concat(parts).assign(tree=pdf["tree"][0])[["tree", "node", "depth", "times"]]
 
     return (nodes.select("tree", "node", "left", "right").groupBy("tree")
@@ -99,14 +112,23 @@ def walk(rows: DataFrame, nodes: DataFrame, keys: list[str], features: str, limi
     """(``keys``, votes, prediction): every row led through every tree by ``limit`` joins
     with the nodes; ``votes`` are the trees' class shares, summed, and the
     prediction the first class of most votes. ``keys`` must name a row; rows that repeat
-    them are one. The nodes are broadcast up to ``BROADCAST_NODES`` of them."""
-    trees = [r[0] for r in nodes.select("tree").distinct().collect()]
-    step = nodes.select("tree", "node", "feature", "threshold", "left", "right")
-    leaf = nodes.select("tree", "node", "stats")
-    if nodes.count() <= BROADCAST_NODES:
-        step, leaf = F.broadcast(step), F.broadcast(leaf)
-    state = (rows.dropDuplicates(keys).select(*keys, vector_to_array(F.col(features)).alias("_x"))
-             .withColumn("tree", F.explode(F.array(*[F.lit(t) for t in sorted(trees)]))).withColumn("node", F.lit(0)))
+    them are one. Nodes are broadcast up to ``BROADCAST_NODES`` of them; the trees of a
+    larger forest are joined whole to blocks of rows, which take the same steps there."""
+    sizes = sorted((r["tree"], r["count"]) for r in nodes.groupBy("tree").count().collect())
+    state = rows.dropDuplicates(keys).select(*keys, vector_to_array(F.col(features)).alias("_x"))
+    if sum(size for _, size in sizes) <= BROADCAST_NODES:
+        out = _votes_by_level(state, nodes, keys, [tree for tree, _ in sizes], limit)
+    else:
+        out = _votes_by_tree(state, nodes, keys, limit)
+    most = F.array_max("votes")
+    first = F.array_position(F.transform("votes", lambda v: v >= most), F.lit(True)) - 1
+    return out.select(*keys, "votes", first.cast("double").alias("prediction"))
+
+
+def _votes_by_level(state: DataFrame, nodes: DataFrame, keys: list[str], trees: list[int], limit: int) -> DataFrame:
+    step = F.broadcast(nodes.select("tree", "node", "feature", "threshold", "left", "right"))
+    leaf = F.broadcast(nodes.select("tree", "node", "stats"))
+    state = state.withColumn("tree", F.explode(F.array(*[F.lit(t) for t in trees]).cast("array<int>"))).withColumn("node", F.lit(0))
     for _ in range(limit):
         below = F.get(F.col("_x"), F.col("feature")) <= F.col("threshold")
         then: Column = F.when(F.col("left").isNull(), F.col("node")).when(below, F.col("left")).otherwise(F.col("right"))
@@ -115,10 +137,88 @@ def walk(rows: DataFrame, nodes: DataFrame, keys: list[str], features: str, limi
     total = F.aggregate("stats", F.lit(0.0), lambda a, s: a + s)
     shares = reached.select(*keys, F.posexplode(F.transform("stats", lambda s: s / total)).alias("class", "share"))
     votes = shares.groupBy(*keys, "class").agg(F.sum("share").alias("votes"))
-    out = votes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("class", "votes"))).alias("_v"))
-    most = F.array_max(F.transform("_v", lambda v: v["votes"]))
-    first = F.filter("_v", lambda v: v["votes"] >= most)[0]["class"]
-    return out.select(*keys, F.transform("_v", lambda v: v["votes"]).alias("votes"), first.cast("double").alias("prediction"))
+    return votes.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("class", "votes"))), lambda v: v["votes"]).alias("votes"))
+
+
+def _votes_by_tree(state: DataFrame, nodes: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    spark = state.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left, right = _tree(pdf)
+        stats = np.stack(pdf["stats"].to_numpy())
+        shares = np.divide(stats, stats.sum(1)[:, None], out=np.full(stats.shape, np.nan), where=stats.sum(1)[:, None] != 0)
+        parts = (pdf["feature"].fillna(-1).to_numpy(np.int64), pdf["threshold"].to_numpy(np.float64), left, right, shares)
+        return pd.DataFrame([[pdf["tree"][0], *(a.tobytes() for a in parts)]], columns=["tree", *PACKED])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("_row").to_numpy(zero_copy_only=False)
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else None
+            for at in range(0, len(ids), BLOCK_ROWS):
+                own = slice(at, at + BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[at])], pa.int64()), *[pa.array([np.ascontiguousarray(a[own]).tobytes()], pa.binary()) for a in (ids, x)]],
+                                                 names=["block", "ids", "x"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                feature, left, right = (np.frombuffer(r[c], np.int64) for c in ("feature", "left", "right"))
+                threshold, shares = np.frombuffer(r["threshold"]), np.frombuffer(r["shares"]).reshape(len(left), -1)
+                x = np.frombuffer(r["x"]).reshape(len(r["ids"]) // 8, -1)
+                at, i = np.zeros(len(x), np.int64), np.arange(len(x))
+                for _ in range(limit):
+                    at = np.where(left[at] < 0, at, np.where(x[i, feature[at]] <= threshold[at], left[at], right[at]))
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["tree"]], pa.int32()),
+                                                  pa.array([r["ids"]], pa.binary()), pa.array([shares[at].tobytes()], pa.binary())], names=["block", "tree", "ids", "votes"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.frombuffer(pdf["ids"].iat[0], np.int64)
+        total = sum(np.frombuffer(v) for v in pdf.sort_values("tree")["votes"])
+        return pd.DataFrame({"_row": ids, "votes": list(total.reshape(len(ids), -1))})
+
+    numbered = written(state.withColumn("_row", F.monotonically_increasing_id()), "walked-rows")
+    packed = written(nodes.select("tree", "node", "feature", "threshold", "left", "right", "stats").groupBy("tree").applyInPandas(
+        pack, "tree int, " + ", ".join(f"{c} binary" for c in PACKED)), "walked-trees")
+    blocks = written(numbered.select("_row", "_x").mapInArrow(block, "block long, ids binary, x binary"), "walked-blocks")
+    votes = (packed.crossJoin(blocks).mapInArrow(meet, "block long, tree int, ids binary, votes binary")
+             .groupBy("block").applyInPandas(add, "_row long, votes array<double>"))
+    return numbered.drop("_x").join(votes, "_row").select(*keys, "votes")
+
+
+def merged_leaves(left: np.ndarray, right: np.ndarray, prediction: np.ndarray, leaf: np.ndarray, by_level: list[np.ndarray]) -> np.ndarray:
+    """Which nodes are leaves once sibling leaves of one prediction are one, as MLlib has it."""
+    leaf = leaf.copy()
+    for at in reversed(by_level):
+        at = at[~leaf[at]]
+        a, b = left[at], right[at]
+        leaf[at] = leaf[a] & leaf[b] & (prediction[a] == prediction[b])
+    return leaf
+
+
+def cut_shares(left: np.ndarray, right: np.ndarray, stats: np.ndarray, prediction: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """For every node of a tree (rows) and each depth of ``cuts`` (columns) the share of
+    class 1 that rows on their way to this node meet where they stop in the tree cut there."""
+    total = stats.sum(1)
+    share = np.divide(stats[:, 1], total, out=np.zeros(len(total)), where=total != 0)
+    by_level = [at for at, _ in levels(left, right, len(left))]
+    shares = np.empty((len(left), len(cuts)))
+    for j, cut in enumerate(cuts):
+        leaf = left < 0
+        for at in by_level[cut:cut + 1]:
+            leaf[at] = True
+        leaf = merged_leaves(left, right, prediction, leaf, by_level[:cut])
+        stop = np.arange(len(left))  # the node at which a row on its way to this one stops
+        for at in by_level:
+            at = at[left[at] >= 0]
+            for kids in (left[at], right[at]):
+                stop[kids] = np.where(leaf[stop[at]], stop[at], kids)
+        shares[:, j] = share[stop]
+    return shares
 
 
 def cut_leaves(nodes: DataFrame, cuts: list[int]) -> DataFrame:
@@ -128,28 +228,8 @@ def cut_leaves(nodes: DataFrame, cuts: list[int]) -> DataFrame:
     MLlib has it."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, left, right = _tree(pdf)
-        stats = np.stack(pdf["stats"].to_numpy())
-        total = stats.sum(1)
-        share = np.divide(stats[:, 1], total, out=np.zeros(len(total)), where=total != 0)
-        prediction = pdf["prediction"].to_numpy()
-        levels = [at for at, _ in _levels(left, right, len(pdf))]
-        ends = np.flatnonzero(left < 0)
-        shares = np.empty((len(ends), len(cuts)))
-        for j, cut in enumerate(cuts):
-            leaf = left < 0
-            for at in levels[cut:cut + 1]:
-                leaf[at] = True
-            for at in reversed(levels[:cut]):
-                at = at[~leaf[at]]
-                a, b = left[at], right[at]
-                leaf[at] = leaf[a] & leaf[b] & (prediction[a] == prediction[b])
-            stop = np.arange(len(pdf))  # the node at which a row on its way to this one stops
-            for at in levels:
-                at = at[left[at] >= 0]
-                for kids in (left[at], right[at]):
-                    stop[kids] = np.where(leaf[stop[at]], stop[at], kids)
-            shares[:, j] = share[stop[ends]]
-        return pd.DataFrame({"tree": pdf["tree"][0], "leaf": np.arange(len(ends)), "shares": list(shares)})
+        shares = cut_shares(left, right, np.stack(pdf["stats"].to_numpy()), pdf["prediction"].to_numpy(), cuts)[left < 0]
+        return pd.DataFrame({"tree": pdf["tree"][0], "leaf": np.arange(len(shares)), "shares": list(shares)})
 
     return (nodes.select("tree", "node", "left", "right", "stats", "prediction").groupBy("tree")
             .applyInPandas(run, "tree int, leaf int, shares array<double>"))
@@ -159,6 +239,8 @@ def cut_scores(model, rows: DataFrame, points: list[tuple[int, int]], label: str
     """(point, label, score): every row's votes for class 1 in each of the forests
     ``points``, (number of first trees, depth of the cut), of one fitted forest. The
     leaf that a row reaches in every tree tells them all. ``rows`` must be a scan."""
+    if hasattr(model, "trees_table"):
+        return model.cut_scores(rows, points, label)
     cuts = sorted({depth for _, depth in points})
     nodes = forest_nodes(rows.sparkSession, model)
     leaves = cut_leaves(nodes, cuts)

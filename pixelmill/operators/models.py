@@ -197,13 +197,17 @@ def cross_validate_forests(name: str, pipeline: Pipeline, grid: list, train: Dat
     forest among them (:func:`pixelmill.operators.forest.cut_scores`), grown once a fold. Every
     point of every fold is scored on all of its left-out rows; the best is refitted at
     its own parameters by its pipeline. ``n_fits`` counts the forests scored, ``grown``
-    those grown for them."""
+    those grown for them. They are grown into tables (:mod:`pixelmill.operators.grown_forest`), so the
+    driver holds none of them."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pixelmill.operators import forest as Fo
+    from pixelmill.operators.grown_forest import GrownForestClassifier
     from pixelmill.operators.metrics import auc_roc
 
-    stage = pipeline.getStages()[-1]
+    stage = GrownForestClassifier.like(pipeline.getStages()[-1])
+    pipeline = Pipeline(stages=[*pipeline.getStages()[:-1], stage])
+    grid = [{stage.getParam(p.name): v for p, v in pm.items()} for pm in grid]
     t0 = time.perf_counter()
     params = [{p.name: v for p, v in pm.items()} for pm in grid]
     sizes = [tuple(int(p.get(c, stage.getOrDefault(c))) for c in ("numTrees", "maxDepth")) for p in params]
