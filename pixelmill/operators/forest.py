@@ -12,6 +12,7 @@ depth decides only where growth ends. So one grown forest scores rows for many p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pixelmill.session import scratch_path
 #: row, and trees meet blocks of rows in tasks.
 BROADCAST_NODES = 1 << 17
 BLOCK_ROWS = 1024
+#: Bytes of trees and blocks that meet in a task, about.
+MEETING_BYTES = 16 << 20
 PACKED = ("feature", "threshold", "left", "right", "shares")
 
 
@@ -152,7 +155,7 @@ def _votes_by_tree(state: DataFrame, nodes: DataFrame, keys: list[str], limit: i
         pdf, left, right = _tree(pdf)
         stats = np.stack(pdf["stats"].to_numpy())
         shares = np.divide(stats, stats.sum(1)[:, None], out=np.full(stats.shape, np.nan), where=stats.sum(1)[:, None] != 0)
-        parts = (pdf["feature"].fillna(-1).to_numpy(np.int64), pdf["threshold"].to_numpy(np.float64), left, right, shares)
+        parts = (pdf["feature"].fillna(-1).to_numpy(np.int32), pdf["threshold"].to_numpy(np.float64), left.astype(np.int32), right.astype(np.int32), shares)
         return pd.DataFrame([[pdf["tree"][0], *(a.tobytes() for a in parts)]], columns=["tree", *PACKED])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def _votes_by_tree(state: DataFrame, nodes: DataFrame, keys: list[str], limit: i
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                feature, left, right = (np.frombuffer(r[c], np.int64) for c in ("feature", "left", "right"))
+                feature, left, right = (np.frombuffer(r[c], np.int32) for c in ("feature", "left", "right"))
                 threshold, shares = np.frombuffer(r["threshold"]), np.frombuffer(r["shares"]).reshape(len(left), -1)
                 x = np.frombuffer(r["x"]).reshape(len(r["ids"]) // 8, -1)
                 at, i = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -185,11 +188,22 @@ def _votes_by_tree(state: DataFrame, nodes: DataFrame, keys: list[str], limit: i
     packed = written(nodes.select("tree", "node", "feature", "threshold", "left", "right", "stats").groupBy("tree").applyInPandas(
         pack, "tree int, " + ", ".join(f"{c} binary" for c in PACKED)), "walked-trees")
     blocks = written(numbered.select("_row", "_x").mapInArrow(block, "block long, ids binary, x binary"), "walked-blocks")
-    votes = (packed.crossJoin(blocks).mapInArrow(meet, "block long, tree int, ids binary, votes binary")
+    nodes_of = F.length("left") / 4
+    votes = (meeting(packed, blocks, nodes_of).mapInArrow(meet, "block long, tree int, ids binary, votes binary")
              .groupBy("block").applyInPandas(add, "_row long, votes array<double>"))
     return numbered.drop("_x").join(votes, "_row").select(*keys, "votes")
 
 
+def meeting(trees: DataFrame, blocks: DataFrame, nodes_of: Column) -> DataFrame:
+    """Every tree with every block, both written tables, in so many tasks that each has about
+    ``MEETING_BYTES`` of them (or one tree), which bounds what it sends to Python at a time."""
+    t = trees.agg(F.count(F.lit(1)).alias("n"), F.sum(nodes_of * 40).alias("bytes")).first()
+    b = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x") + F.length("ids")).alias("bytes")).first()
+    tasks = ((t["bytes"] or 0) * b["n"] + (b["bytes"] or 0) * t["n"]) / MEETING_BYTES
+    wanted = min(t["n"], math.ceil(tasks / max(1, blocks.rdd.getNumPartitions())))
+    return (trees.repartition(wanted) if wanted > trees.rdd.getNumPartitions() else trees).crossJoin(blocks)
+
+
 def merged_leaves(left: np.ndarray, right: np.ndarray, prediction: np.ndarray, leaf: np.ndarray, by_level: list[np.ndarray]) -> np.ndarray:
     """Which nodes are leaves once sibling leaves of one prediction are one, as MLlib has it."""
     leaf = leaf.copy()

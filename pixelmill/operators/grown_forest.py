@@ -30,7 +30,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, HasProbabi
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.operators.forest import cut_shares, levels, merged_leaves
+from pixelmill.operators.forest import cut_shares, levels, meeting, merged_leaves
 from pixelmill.session import scratch_path
 
 #: Packed rows of a node that one task holds, at most, to grow what is below it.
@@ -40,7 +40,7 @@ LOCAL_BYTES = 16 << 20
 NODES_AT_A_TIME = 1024
 #: Rows by which features are cut into bins, as many as MLlib takes.
 SAMPLE_ROWS = 10_000
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 10_000
 BLOCKS = "block long, n int, ids binary, x binary, y binary, w binary"
 TREES = ("tree int, feature array<int>, bin array<int>, threshold array<double>, left array<int>, right array<int>, "
          "s0 array<double>, s1 array<double>, n array<long>")
@@ -428,10 +428,10 @@ def summed_votes(trees: DataFrame, blocks: DataFrame, points: list[tuple[int, in
                     last = tree
                     feature, bins, left, right, s0, s1 = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in ("feature", "bin", "left", "right", "s0", "s1"))
                     shares = cut_shares(left, right, np.stack([s0, s1], 1), (s1 > s0).astype(float), cuts)
-                r = {k: batch.column(k)[i].as_py() for k in ("block", "ids", "x", "y", "w")}
-                ids, x, _, _ = _unpacked(r, width)
+                r = {k: batch.column(k)[i].as_py() for k in ("block", "ids", "x", "y")}
+                x = np.frombuffer(r["x"], np.uint8 if width < 256 else np.uint16).reshape(len(r["y"]), -1)
                 if r["block"] not in sums:
-                    sums[r["block"]] = (r["ids"], r["y"], np.zeros((len(points), len(ids))))
+                    sums[r["block"]] = (r["ids"], r["y"], np.zeros((len(points), len(x))))
                 got = shares[_walked(x, feature, bins, left, right)]
                 for j, (first, depth) in enumerate(points):
                     if tree < first:
@@ -440,7 +440,8 @@ def summed_votes(trees: DataFrame, blocks: DataFrame, points: list[tuple[int, in
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([v], pa.binary()) for v in (ids, y, total.tobytes())]],
                                              names=["block", "ids", "y", "votes"])
 
-    return trees.drop("threshold", "n").crossJoin(blocks.drop("n")).mapInArrow(run, "block long, ids binary, y binary, votes binary")
+    pairs = meeting(trees.drop("threshold", "n"), blocks.drop("n", "w"), F.size("left"))
+    return pairs.mapInArrow(run, "block long, ids binary, y binary, votes binary")
 
 
 def _by_block(votes: DataFrame, points: int, fields: str, out) -> DataFrame:

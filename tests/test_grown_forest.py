@@ -187,6 +187,16 @@ def test_large_forests_are_walked_without_a_broadcast(spark, rows, monkeypatch):
         assert all(parts[k]["votes"] == pytest.approx(r["votes"], abs=1e-12) and parts[k]["prediction"] == r["prediction"] for k, r in whole.items())
 
 
+def test_few_trees_and_blocks_meet_in_a_task(spark, rows, monkeypatch, tmp_path):
+    """Batches of 64 MB brought an executor to its limit."""
+    trees = _fit(rows, numTrees=9, maxDepth=6).trees_table()
+    blocks = spark.createDataFrame([(i, b"\0" * 8, b"\0" * 6) for i in range(4)], "block long, ids binary, x binary").coalesce(1)
+    assert Fo.meeting(trees, blocks, F.size("left")).count() == 36
+    monkeypatch.setattr(Fo, "MEETING_BYTES", 1000)
+    pairs = Fo.meeting(trees, blocks, F.size("left"))
+    assert pairs.count() == 36 and "Repartition 9, true" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_what_cannot_be_grown_is_said(spark, rows):
     with pytest.raises(ValueError, match="no rows"):
         _fit(rows.limit(0))
