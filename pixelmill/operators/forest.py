@@ -94,21 +94,24 @@ def structure_faults(nodes: DataFrame, limit: int) -> DataFrame:
     """(tree, fault) for whatever a forest of depth ``limit`` cannot have: a node whose
     children do not add up to it (count or class), an inner node without a threshold, a
     node that is not reached from its root once, within the depth. Empty for a sound
-    forest."""
-    child = nodes.select(F.col("tree"), F.col("node").alias("child"), F.col("n").alias("child_n"), F.col("stats").alias("child_stats"))
-    pairs = (nodes.where("left IS NOT NULL").select("tree", "node", "n", "stats", F.explode(F.array("left", "right")).alias("child"))
-             .join(child, ["tree", "child"], "left"))
-    position = F.posexplode(F.zip_with("stats", "child_stats", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("class", "x")
-    sums = (pairs.select("tree", "node", "n", "child_n", position).groupBy("tree", "node", "class")
-            .agg(F.max("n").alias("n"), F.sum("child_n").alias("child_n"), F.max("x.a").alias("own"), F.sum("x.b").alias("children")))
-    wrong = sums.where((F.col("n") != F.col("child_n")) | (F.abs(F.col("own") - F.col("children")) > 1e-6 * (1 + F.abs("own")))
-                       | F.col("child_n").isNull()).select("tree", F.lit("children do not add up").alias("fault"))
-    missing = pairs.where("child_n IS NULL").select("tree", F.lit("child is missing").alias("fault"))
-    unsplit = nodes.where("left IS NOT NULL AND (threshold IS NULL OR feature < 0 OR right IS NULL)").select("tree", F.lit("no split").alias("fault"))
-    reached = depths(nodes, limit).groupBy("tree", "node").agg(F.sum("times").alias("times"))
-    lost = (nodes.join(reached, ["tree", "node"], "left").where("times IS NULL OR times > 1")
-            .select("tree", F.lit("not reached once within the depth").alias("fault")))
-    return wrong.unionByName(missing).unionByName(unsplit).unionByName(lost)
+    forest. Each tree is one group, as for :func:`depths`."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, left, right = _tree(pdf)
+        inner = pdf["left"].notna().to_numpy()
+        missing = inner & ((left < 0) | (right < 0))
+        n, stats = pdf["n"].to_numpy(np.float64), np.stack(pdf["stats"].to_numpy())
+        own, a, b = (i[inner] for i in (np.arange(len(pdf)), left, right))
+        wrong = missing.copy()
+        wrong[own] |= (n[own] != n[a] + n[b]) | (np.abs(stats[own] - stats[a] - stats[b]) > 1e-6 * (1 + np.abs(stats[own]))).any(1)
+        unsplit = inner & (pdf["threshold"].isna() | (pdf["feature"] < 0) | pdf["right"].isna()).to_numpy()
+        times = np.zeros(len(pdf))
+        for at, reached in levels(left, right, limit) if pdf["node"][0] == 0 else ():
+            times[at] += reached
+        found = {"children do not add up": wrong, "child is missing": missing, "no split": unsplit, "not reached once within the depth": times != 1}
+        return pd.DataFrame({"fault": np.repeat(list(found), [f.sum() for f in found.values()])}).assign(tree=pdf["tree"][0])[["tree", "fault"]]
+
+    return (nodes.select("tree", "node", "n", "stats", "left", "right", "threshold", "feature").groupBy("tree")
+            .applyInPandas(run, "tree int, fault string"))
 
 
 def walk(rows: DataFrame, nodes: DataFrame, keys: list[str], features: str, limit: int) -> DataFrame:
